@@ -25,19 +25,33 @@ class RuleSet:
     rules: tuple[tuple[str, str], ...]
     scope: str = "line"
     severity: str = "error"
+    # Lower-case literals of which at least one occurs (case-folded) in every
+    # line some rule matches: a cheap exact pre-check before the regexes.
+    requires: tuple[str, ...] = ()
 
     def __post_init__(self):
         if self.scope not in SCOPES:
             raise ValueError(f"scope must be one of {SCOPES}")
 
 
+# Pre-check literals of the default rule sets, read off the patterns: every
+# rule of the set contains one of them as a plain (case-insensitive) run.
+P1_REQUIRES = ("sparksession",)
+P2_REQUIRES = ("'", '"')
+P4_REQUIRES = ("format", "create", "stored")
+P5_REQUIRES = ("create",)
+P7_REQUIRES = ("urllib.request.url", "requests.get", "wget", "subprocess", "os.system",
+               "shutil.copyfileobj", "dbutils.fs.cp", "gdown.download",
+               "tf.keras.utils.get_file", "torch.hub.download")
+
+
 def default_rule_sets() -> tuple[RuleSet, ...]:
     return (
-        RuleSet(1, ((fixed.P1_PATTERN, fixed.P1_DESC_LINE),), "line"),
-        RuleSet(2, tuple(fixed.P2_RULES), "code_part"),
-        RuleSet(4, tuple(fixed.P4_RULES), "line"),
-        RuleSet(5, tuple(fixed.P5_RULES), "line"),
-        RuleSet(7, tuple(fixed.P7_RULES), "line"),
+        RuleSet(1, ((fixed.P1_PATTERN, fixed.P1_DESC_LINE),), "line", requires=P1_REQUIRES),
+        RuleSet(2, tuple(fixed.P2_RULES), "code_part", requires=P2_REQUIRES),
+        RuleSet(4, tuple(fixed.P4_RULES), "line", requires=P4_REQUIRES),
+        RuleSet(5, tuple(fixed.P5_RULES), "line", requires=P5_REQUIRES),
+        RuleSet(7, tuple(fixed.P7_RULES), "line", requires=P7_REQUIRES),
     )
 
 
@@ -54,10 +68,10 @@ class ScanConfig:
     file_names: bool = True            # policy 6
 
     def with_policy(self, policy_id: int, name: str, rules, scope: str = "line",
-                    severity: str = "error") -> "ScanConfig":
+                    severity: str = "error", requires: tuple[str, ...] = ()) -> "ScanConfig":
         """Add (or replace) a line-rule policy."""
         sets = tuple(r for r in self.rule_sets if r.policy_id != policy_id)
-        sets += (RuleSet(policy_id, tuple(tuple(r) for r in rules), scope, severity),)
+        sets += (RuleSet(policy_id, tuple(tuple(r) for r in rules), scope, severity, tuple(requires)),)
         return ScanConfig(self.skip_dirs, self.exempt_names, self.min_code_lines, self.max_ratio,
                           {**self.policies, policy_id: name}, sets, self.multiline_session,
                           self.comment_density, self.file_names)

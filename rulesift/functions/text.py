@@ -25,6 +25,26 @@ def matches(col: Column, pattern: str) -> Column:
     return col.rlike(rx(pattern))
 
 
+# Non-ASCII characters that Java's Unicode case-insensitive matching equates
+# with an ASCII letter (found by testing every code point against [a-z]).
+_FOLD_FROM = "\u0130\u0131\u017f\u212a"
+_FOLD_TO = "iisk"
+
+
+def fold(col: Column) -> Column:
+    """Case-folded text for literal pre-checks: a case-insensitive regex can
+    match an ASCII literal only where ``fold`` contains it in lower case."""
+    return F.lower(F.translate(col, _FOLD_FROM, _FOLD_TO))
+
+
+def contains_any(col: Column, literals) -> Column:
+    out = None
+    for lit in literals:
+        c = F.instr(col, lit) > 0
+        out = c if out is None else (out | c)
+    return out
+
+
 def py_strip(col: Column) -> Column:
     """Python ``str.strip()``: trims the full Unicode white-space set at both ends."""
     return F.btrim(col, F.lit(fixed.PY_WHITESPACE))

@@ -35,12 +35,6 @@ def empty_findings() -> Column:
 FINDINGS_COLUMNS = ["repo", "branch", "policy_id", "policy_name", "file_path",
                     "line_number", "line_content", "description", "severity"]
 
-# Literal substrings of which at least one must be present for any rule of the
-# set to match (checked first, with ``instr``; exact because every rule of the
-# default policy 2 needs a quote character).
-_REQUIRES = {2: ("'", '"')}
-
-
 def fmt(template: str, **cols: Column) -> Column:
     """``template.format(**cols)`` as a Spark ``concat``."""
     parts = re.split(r"\{(\w+)\}", template)
@@ -74,26 +68,36 @@ def first_rule_index(target: Column, rules) -> Column:
     return F.coalesce(*[F.when(T.matches(target, pat), F.lit(i + 1)) for i, (pat, _) in enumerate(rules)])
 
 
-def rule_set_description(rs: RuleSet, line: Column, stripped: Column, in_docstring: Column) -> Column:
-    """Scope filter of the rule set, then the first matching rule."""
+def rule_set_description(rs: RuleSet, line: Column, stripped: Column, in_docstring: Column,
+                         folded: Column | None = None) -> Column:
+    """Scope filter of the rule set, its literal pre-check, then the first matching rule."""
     not_comment = ~T.is_comment_line(stripped)
     if rs.scope == "line":
-        return F.when(not_comment, first_rule(line, rs.rules))
-    target = T.code_part(line)
-    cond = not_comment & ~T.has_triple_quote(stripped) & (in_docstring == 0)
-    req = _REQUIRES.get(rs.policy_id) if rs.rules == tuple(fixed.P2_RULES) else None
-    if req:
-        cond = cond & (F.greatest(*[F.instr(target, s) for s in req]) > 0)
+        target, cond = line, not_comment
+        if rs.requires:
+            cond = cond & T.contains_any(folded if folded is not None else T.fold(line), rs.requires)
+    else:
+        target = T.code_part(line)
+        cond = not_comment & ~T.has_triple_quote(stripped) & (in_docstring == 0)
+        if rs.requires:
+            cond = cond & T.contains_any(T.fold(target), rs.requires)
     return F.when(cond, first_rule(target, rs.rules))
 
 
-def line_findings(line: Column, stripped: Column, in_docstring: Column, line_number: Column,
-                  cfg: ScanConfig) -> Column:
-    """Array of findings of all line rule sets on one line."""
-    items = [finding(rs.policy_id, line_number, stripped,
-                     rule_set_description(rs, line, stripped, in_docstring), rs.severity)
-             for rs in cfg.rule_sets]
-    return F.filter(F.array(*items), lambda f: f["description"].isNotNull())
+def line_descriptions(line: Column, stripped: Column, in_docstring: Column, cfg: ScanConfig) -> list[Column]:
+    """One description column per line rule set (null where no rule hit)."""
+    folded = T.fold(line)
+    return [rule_set_description(rs, line, stripped, in_docstring, folded).alias(f"_d{i}")
+            for i, rs in enumerate(cfg.rule_sets)]
+
+
+def line_findings(line_number: Column, stripped: Column, cfg: ScanConfig) -> Column:
+    """Array of the line's findings, built from the description columns ``_d{i}``."""
+    parts = [F.when(F.col(f"_d{i}").isNotNull(),
+                    F.array(finding(rs.policy_id, line_number, stripped, F.col(f"_d{i}"), rs.severity)))
+             .otherwise(empty_findings())
+             for i, rs in enumerate(cfg.rule_sets)]
+    return F.concat(*parts)
 
 
 # -- whole-file detectors -------------------------------------------------------
@@ -102,32 +106,39 @@ def _newlines(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
 
 
-def multiline_session_lines(lines: Column, stripped: Column) -> Column:
-    """P1b start lines: matches of the session pattern on the lines joined by
-    ``\\n`` (``\\s*`` may cross lines), numbered by the line where the match
-    starts, minus lines the one-line pass already reports (J2 inside the row)."""
+def with_multiline_session(files: DataFrame) -> DataFrame:
+    """Adds ``p1b``, the start lines of matches of the session pattern on
+    the lines joined by ``\\n`` (``\\s*`` may cross lines, ``.`` may not),
+    minus lines the one-line pass reports (J2, inside the row).
+
+    Match ``k`` starts after gaps ``0..k`` and matches ``0..k-1`` of
+    ``split``/``regexp_extract_all``; its line is 1 + the newlines in them.
+    A literal search on the raw text skips the join for files that cannot match."""
     pat = T.rx(fixed.P1_PATTERN)
-    full = F.array_join(lines, "\n")
-    hits = F.regexp_extract_all(full, F.lit(pat), 0)
-    gaps = F.split(full, pat, -1)
-    gap_nl = F.transform(gaps, _newlines)
-    hit_nl = F.transform(hits, _newlines)
+    maybe = T.matches(F.col("text"), "SparkSession")
+    full = F.col("_full")
     zero = F.lit(0)
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size(hits)),
-        lambda k: 1 + F.aggregate(F.slice(gap_nl, 1, k), zero, lambda a, x: a + x)
-                    + F.aggregate(F.slice(hit_nl, 1, k - 1), zero, lambda a, x: a + x))
 
     def found_by_line_pass(n: Column) -> Column:
-        return ~F.element_at(stripped, n).startswith("#") & F.element_at(lines, n).rlike(pat)
+        return ~F.element_at(F.col("stripped"), n).startswith("#") & F.element_at(F.col("lines"), n).rlike(pat)
 
-    return F.when(full.rlike(pat), F.filter(F.array_distinct(starts), lambda n: ~found_by_line_pass(n))) \
-        .otherwise(F.array().cast("array<int>"))
+    starts = F.transform(
+        F.sequence(F.lit(1), F.size("_hits")),
+        lambda k: 1 + F.aggregate(F.slice(F.col("_gap_nl"), 1, k), zero, lambda a, x: a + x)
+                    + F.aggregate(F.slice(F.col("_hit_nl"), 1, k - 1), zero, lambda a, x: a + x))
+    return (files
+            .withColumn("_full", F.when(maybe, F.array_join("lines", "\n")))
+            .withColumn("_hits", F.when(full.rlike(pat), F.regexp_extract_all(full, F.lit(pat), 0)))
+            .withColumn("_gap_nl", F.when(F.col("_hits").isNotNull(), F.transform(F.split(full, pat, -1), _newlines)))
+            .withColumn("_hit_nl", F.transform("_hits", _newlines))
+            .withColumn("p1b", F.when(F.col("_hits").isNotNull(),
+                                      F.filter(F.array_distinct(starts), lambda n: ~found_by_line_pass(n)))
+                        .otherwise(F.array().cast("array<int>")))
+            .drop("_full", "_hits", "_gap_nl", "_hit_nl"))
 
 
-def multiline_session_findings(lines: Column, stripped: Column) -> Column:
-    return F.transform(multiline_session_lines(lines, stripped),
-                       lambda n: finding(1, n, F.element_at(stripped, n), F.lit(fixed.P1_DESC_MULTI)))
+def multiline_session_findings(p1b: Column, stripped: Column) -> Column:
+    return F.transform(p1b, lambda n: finding(1, n, F.element_at(stripped, n), F.lit(fixed.P1_DESC_MULTI)))
 
 
 def comment_density_finding(code: Column, comment: Column, cfg: ScanConfig) -> Column:
@@ -156,8 +167,8 @@ def file_name_finding(path: Column, cfg: ScanConfig) -> Column:
 def file_findings(cfg: ScanConfig) -> Column:
     """Whole-file findings of one file row (needs lines, stripped, code/comment counts)."""
     parts = []
-    if cfg.multiline_session and any(rs.policy_id == 1 for rs in cfg.rule_sets):
-        parts.append(multiline_session_findings(F.col("lines"), F.col("stripped")))
+    if _multiline_on(cfg):
+        parts.append(multiline_session_findings(F.col("p1b"), F.col("stripped")))
     if cfg.comment_density:
         parts.append(comment_density_finding(F.col("code_lines"), F.col("comment_lines"), cfg))
     if cfg.file_names:
@@ -172,12 +183,18 @@ def policy_name(policy_id: Column, cfg: ScanConfig) -> Column:
     return F.element_at(m, policy_id)
 
 
+def _multiline_on(cfg: ScanConfig) -> bool:
+    return cfg.multiline_session and any(rs.policy_id == 1 for rs in cfg.rule_sets)
+
+
 def prepared_files(files: DataFrame, cfg: ScanConfig) -> DataFrame:
     """Pruned, decoded files with line arrays, docstring parity and comment counts."""
     f = L.decode(L.prune(files, cfg.skip_dirs))
     f = L.with_line_arrays(f)
     if cfg.comment_density:
         f = L.with_comment_counts(f)
+    if _multiline_on(cfg):
+        f = with_multiline_session(f)
     return f
 
 
@@ -187,14 +204,20 @@ def find(files: DataFrame, cfg: ScanConfig | None = None, prepared: bool = False
     cfg = cfg or ScanConfig()
     f = files if prepared else prepared_files(files, cfg)
     f = f.withColumn("file_findings", file_findings(cfg))
-    z = F.arrays_zip("lines", "stripped", "w1")
-    exploded = f.select("repo", "branch", "path", "file_findings",
-                        F.posexplode_outer(z).alias("pos", "z"))
-    line_no = (F.col("pos") + 1).cast("int")
-    per_line = line_findings(F.col("z.lines"), F.col("z.stripped"), F.col("z.w1"), line_no, cfg)
+    exploded = f.select("repo", "branch", "path", "file_findings", "stripped", "w1",
+                        F.posexplode_outer("lines").alias("pos", "line"))
+    idx = F.col("pos") + 1
+    per_line = exploded.select(
+        "repo", "branch", "path", "file_findings", "pos", "line",
+        F.element_at("stripped", idx).alias("st"),
+        F.element_at("w1", idx).alias("par"))
+    described = per_line.select(
+        "repo", "branch", "path", "file_findings", "pos", "st",
+        *line_descriptions(F.col("line"), F.col("st"), F.col("par"), cfg))
     head = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    every = F.when(head, F.concat(per_line, F.col("file_findings"))).otherwise(per_line)
-    out = exploded.select("repo", "branch", "path", F.explode(every).alias("f"))
+    every = F.concat(line_findings((F.col("pos") + 1).cast("int"), F.col("st"), cfg),
+                     F.when(head, F.col("file_findings")).otherwise(empty_findings()))
+    out = described.select("repo", "branch", "path", F.explode(every).alias("f"))
     return out.select(
         "repo", "branch",
         F.col("f.policy_id").alias("policy_id"),

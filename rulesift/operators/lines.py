@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulesift import fixed
 from rulesift.functions import text as T
 
 
@@ -46,14 +47,15 @@ def decode(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.when(F.col("read_error").isNull(), T.decode_utf8(F.col("content"))))
 
 
-def _state_before(flags: Column, flip: str) -> Column:
-    """Per character of ``flags``: parity of ``flip`` characters strictly before it."""
-    runs = F.split(flags, flip, -1)
-    n_runs = F.size(runs)
+def _states_with_tail(flags: Column, flip: str) -> Column:
+    """Per character of ``flags`` plus one past the end: parity of ``flip``
+    characters strictly before it.  Run ``k`` between flips gives ``length + 1``
+    entries (its characters and the flip that ends it) of value ``k % 2``; the
+    last run's extra entry is the phantom position after the string.  The lambda
+    refers to nothing outside itself, so it stays linear."""
     return F.flatten(F.transform(
-        runs,
-        lambda run, k: F.array_repeat((k % 2).cast("int"),
-                                      F.length(run) + F.when(k < n_runs - 1, 1).otherwise(0))))
+        F.split(flags, flip, -1),
+        lambda run, k: F.array_repeat((k % 2).cast("int"), F.length(run) + 1)))
 
 
 def w1_flags(lines: Column) -> Column:
@@ -61,9 +63,9 @@ def w1_flags(lines: Column) -> Column:
     return F.array_join(F.transform(lines, lambda l: F.when(T.triple_quotes(l) % 2 == 1, "1").otherwise("0")), "")
 
 
-def w1_parity(lines: Column) -> Column:
-    """1 where the line lies inside a docstring for policy 2 (state before the line)."""
-    return _state_before(w1_flags(lines), "1")
+def w1_parity(flags: Column) -> Column:
+    """Per line, 1 inside a docstring for policy 2 (state before the line)."""
+    return F.slice(_states_with_tail(flags, "1"), 1, F.length(flags))
 
 
 def w2_flags(stripped: Column) -> Column:
@@ -77,17 +79,13 @@ def w2_flags(stripped: Column) -> Column:
     return F.array_join(F.transform(stripped, flag), "")
 
 
-def w2_state(stripped: Column) -> Column:
-    """1 where the line starts inside a docstring for policy 3."""
-    segments = F.split(w2_flags(stripped), "R", -1)
-    n_segments = F.size(segments)
-
-    def per_segment(seg: Column, j: Column) -> Column:
-        toggles = F.length(seg) - F.length(F.replace(seg, F.lit("T"), F.lit("")))
-        reset_line = F.when(j < n_segments - 1, F.array((toggles % 2).cast("int"))).otherwise(empty_int_array())
-        return F.concat(_state_before(seg, "T"), reset_line)
-
-    return F.flatten(F.transform(segments, per_segment))
+def w2_state(flags: Column) -> Column:
+    """Per line, 1 where the line starts inside a docstring for policy 3.
+    Each ``R``-segment yields its characters plus the ``R`` after it, whose
+    state is the parity of the segment's toggles; the phantom ``R`` after the
+    last segment is cut off."""
+    per_segment = F.transform(F.split(flags, "R", -1), lambda seg: _states_with_tail(seg, "T"))
+    return F.slice(F.flatten(per_segment), 1, F.length(flags))
 
 
 def line_classes(stripped: Column, state: Column) -> Column:
@@ -109,21 +107,30 @@ def count_chars(s: Column, chars: str) -> Column:
 
 
 def with_line_arrays(files: DataFrame) -> DataFrame:
-    """Adds ``lines``, ``stripped`` (arrays) and ``w1`` parity (array) per file."""
+    """Adds ``lines``, ``stripped`` (arrays) and ``w1`` parity (array) per file.
+    Each array is its own column so that no expression is evaluated twice."""
+    parts = F.col("_parts")
     return (files
-            .withColumn("lines", F.coalesce(T.split_lines(F.col("text")), F.array().cast("array<string>")))
+            .withColumn("_parts", F.split(F.col("text"), fixed.LINE_BREAK_RX, -1))
+            .withColumn("lines", F.coalesce(
+                F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
+                F.array().cast("array<string>")))
+            .drop("_parts")
             .withColumn("stripped", F.transform("lines", T.py_strip))
-            .withColumn("w1", w1_parity(F.col("lines"))))
+            .withColumn("_f1", w1_flags(F.col("lines")))
+            .withColumn("w1", w1_parity(F.col("_f1")))
+            .drop("_f1"))
 
 
 def with_comment_counts(files: DataFrame) -> DataFrame:
     """A1: ``code_lines`` and ``comment_lines`` per file (needs ``stripped``)."""
-    classes = line_classes(F.col("stripped"), w2_state(F.col("stripped")))
     return (files
-            .withColumn("_cls", classes)
+            .withColumn("_f2", w2_flags(F.col("stripped")))
+            .withColumn("w2", w2_state(F.col("_f2")))
+            .withColumn("_cls", line_classes(F.col("stripped"), F.col("w2")))
             .withColumn("code_lines", count_chars(F.col("_cls"), "ic"))
             .withColumn("comment_lines", count_chars(F.col("_cls"), "xmhi"))
-            .drop("_cls"))
+            .drop("_f2", "_cls"))
 
 
 def explode_lines(files: DataFrame, keep=("repo", "branch", "path")) -> DataFrame:

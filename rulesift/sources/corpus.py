@@ -87,6 +87,23 @@ def corpus_lines(orders: DataFrame) -> DataFrame:
                     corpus_line(F.col("k"), F.col("n")).alias("line")))
 
 
-def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread(df: DataFrame, key: str, per_core: int = 2) -> DataFrame:
+    """Hash-spread small, highly expanding input over the cluster.
+
+    One order becomes a file of up to 64 lines, so a few input splits would
+    leave most cores idle.  The partition count is explicit (at least the
+    input's, at least ``per_core`` per core) so that AQE does not coalesce the
+    tiny shuffle back into one task; hashing on the key keeps retries
+    deterministic."""
+    spark = df.sparkSession
+    n = max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism * per_core)
+    return df.repartition(n, key)
+
+
+def load_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    return corpus_files(orders)
+    return spread(orders, "o_orderkey")
+
+
+def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_files(load_orders(spark, sf_dir))
