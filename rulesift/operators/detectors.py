@@ -204,13 +204,13 @@ def find(files: DataFrame, cfg: ScanConfig | None = None, prepared: bool = False
     cfg = cfg or ScanConfig()
     f = files if prepared else prepared_files(files, cfg)
     f = f.withColumn("file_findings", file_findings(cfg))
-    exploded = f.select("repo", "branch", "path", "file_findings", "stripped", "w1",
-                        F.posexplode_outer("lines").alias("pos", "line"))
-    idx = F.col("pos") + 1
+    # exploding a zip (not a bare column built by higher-order functions)
+    # keeps the generator on the fast path
+    exploded = f.select("repo", "branch", "path", "file_findings",
+                        F.posexplode_outer(F.arrays_zip("lines", "stripped", "w1")).alias("pos", "z"))
     per_line = exploded.select(
-        "repo", "branch", "path", "file_findings", "pos", "line",
-        F.element_at("stripped", idx).alias("st"),
-        F.element_at("w1", idx).alias("par"))
+        "repo", "branch", "path", "file_findings", "pos",
+        F.col("z.lines").alias("line"), F.col("z.stripped").alias("st"), F.col("z.w1").alias("par"))
     described = per_line.select(
         "repo", "branch", "path", "file_findings", "pos", "st",
         *line_descriptions(F.col("line"), F.col("st"), F.col("par"), cfg))

@@ -147,9 +147,9 @@ def docstring_parity(spark, sf):
 
 def docstring_state(spark, sf):
     prepared = L.with_comment_counts(L.with_line_arrays(L.prune(_corpus(spark, sf), CFG.skip_dirs)))
-    return (prepared.select("repo", "branch", "path", F.posexplode("w2").alias("pos", "state"))
+    return (prepared.select("repo", "branch", "path", F.posexplode(F.arrays_zip("w2")).alias("pos", "z"))
             .select("repo", "branch", "path", (F.col("pos") + 1).cast("int").alias("line_number"),
-                    F.col("state").cast("int").alias("state")))
+                    F.col("z.w2").cast("int").alias("state")))
 
 
 def first_rule(spark, sf):

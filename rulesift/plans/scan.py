@@ -31,8 +31,9 @@ class ScanResult:
 
     @cached_property
     def cube(self) -> DataFrame:
-        """Summary aggregate (at most 8 rows per repository), kept after first use."""
-        return S.summary_cube(self.file_counts, self.findings, self.cfg).persist()
+        """Summary aggregate (at most 8 rows per repository); call ``materialize``
+        first when several outputs are needed from one scan."""
+        return S.summary_cube(self.file_counts, self.findings, self.cfg)
 
     @property
     def policy_summary(self) -> DataFrame:
