@@ -26,15 +26,27 @@ def matches(col: Column, pattern: str) -> Column:
 
 
 # Non-ASCII characters that Java's Unicode case-insensitive matching equates
-# with an ASCII letter (found by testing every code point against [a-z]).
-_FOLD_FROM = "\u0130\u0131\u017f\u212a"
-_FOLD_TO = "iisk"
+# with an ASCII letter (found by testing every code point against [a-z]):
+# U+0130, U+0131, U+017F, U+212A.  ``lower`` maps U+212A to 'k'; the other
+# three survive ``lower`` (or become two characters), so a line holding one of
+# them skips the literal pre-check and goes straight to the regexes.
+_FOLD_ESCAPES = ("\u0130", "\u0131", "\u017f")
 
 
 def fold(col: Column) -> Column:
-    """Case-folded text for literal pre-checks: a case-insensitive regex can
-    match an ASCII literal only where ``fold`` contains it in lower case."""
-    return F.lower(F.translate(col, _FOLD_FROM, _FOLD_TO))
+    """Lower-cased text for literal pre-checks."""
+    return F.lower(col)
+
+
+def has_fold_escape(col: Column) -> Column:
+    return (F.instr(col, _FOLD_ESCAPES[0]) > 0) | (F.instr(col, _FOLD_ESCAPES[1]) > 0) | \
+        (F.instr(col, _FOLD_ESCAPES[2]) > 0)
+
+
+def may_contain_any(original: Column, folded: Column, literals) -> Column:
+    """Exact necessary condition for a case-insensitive (Unicode) regex that
+    contains one of ``literals`` (lower case) as a plain run to match."""
+    return contains_any(folded, literals) | has_fold_escape(original)
 
 
 def contains_any(col: Column, literals) -> Column:

@@ -75,12 +75,12 @@ def rule_set_description(rs: RuleSet, line: Column, stripped: Column, in_docstri
     if rs.scope == "line":
         target, cond = line, not_comment
         if rs.requires:
-            cond = cond & T.contains_any(folded if folded is not None else T.fold(line), rs.requires)
+            cond = cond & T.may_contain_any(line, folded if folded is not None else T.fold(line), rs.requires)
     else:
         target = T.code_part(line)
         cond = not_comment & ~T.has_triple_quote(stripped) & (in_docstring == 0)
         if rs.requires:
-            cond = cond & T.contains_any(T.fold(target), rs.requires)
+            cond = cond & T.may_contain_any(target, T.fold(target), rs.requires)
     return F.when(cond, first_rule(target, rs.rules))
 
 

@@ -131,3 +131,10 @@ def test_summary_and_gate(files_df):
     summ = {r.policy_id: (r.status, r.errors, r.files_checked) for r in res.policy_summary.collect()}
     assert summ[5] == ("fail", 1, 2) and summ[6] == ("fail", 1, 2) and summ[7] == ("pass", 0, 2)
     assert [r.gate_failed for r in res.gate.collect()] == [True]
+
+
+def test_unicode_case_folding_letters_still_match(files_df):
+    # U+017F (long s) and U+212A (Kelvin sign) match 's' and 'k' case-insensitively
+    text = "s = ſparkSession.builder.getOrCreate()\nos.ſyſtem('wget x')\n"
+    got = findings(files_df, [("jobs/load_data.py", text)])
+    assert [(g[0], g[2]) for g in got] == [(1, 1), (7, 2)]
