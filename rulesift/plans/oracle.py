@@ -349,3 +349,69 @@ FROM findings GROUP BY repo, branch, policy_id"""),
     "file_order": _file_order(),
     "scan_log": _scan_log(),
 }
+
+
+def _report_markdown() -> str:
+    from rulesift.plans.report import DEFAULT_GENERATOR, FIXED_SCAN_TS
+    now = f"{FIXED_SCAN_TS} UTC"
+
+    def case(col, mapping):
+        return "CASE " + " ".join(f"WHEN {col} = {q(k)} THEN {q(v)}" for k, v in mapping.items()) + " END"
+
+    def rows(source, section, exprs, policy="0", sub=0):
+        out = []
+        for i, e in enumerate(exprs):
+            out.append(f"SELECT repo, branch, CAST({section} AS INTEGER) AS section, CAST({policy} AS INTEGER) "
+                       f"AS policy_id, CAST({sub} AS INTEGER) AS sub, '' AS file_path, CAST(0 AS INTEGER) "
+                       f"AS line_number, CAST({i} AS INTEGER) AS seq, {e} AS text FROM {source} "
+                       f"WHERE ({e}) IS NOT NULL")
+        return out
+
+    n = "CAST(files_scanned AS VARCHAR)"
+    parts = []
+    parts += rows("scan_totals", 0, [
+        q(fixed.REPORT_TITLE), "''", q(fixed.REPORT_READ_ONLY), "''", q("| Field | Value |"),
+        q("|-------|-------|"),
+        "CASE WHEN repo <> '' THEN '| **Repository** | `' || repo || '` |' END",
+        "CASE WHEN branch <> '' THEN '| **Branch** | `' || branch || '` |' END",
+        q(f"| **Scan Date** | {now} |"),
+        f"'| **Files Scanned** | ' || {n} || ' Python file(s) |'", "''"])
+    parts += rows("scan_totals", 1, [
+        case("overall_status", fixed.REPORT_OVERALL), "''",
+        f"'> ' || CAST(total_errors AS VARCHAR) || ' error(s), ' || CAST(total_warnings AS VARCHAR) "
+        f"|| ' warning(s) across ' || {n} || ' file(s)'",
+        "''", q("---"), "''", q("## Policy Summary"), "''",
+        q("| # | Policy | Status | Errors | Warnings |"), q("|:-:|--------|:------:|:------:|:--------:|")])
+    parts += rows("policy_summary", 2, [
+        "'| ' || CAST(policy_id AS VARCHAR) || ' | ' || policy_name || ' | ' || "
+        f"{case('status', fixed.STATUS_CELL)} || ' | ' || CAST(errors AS VARCHAR) || ' | ' || "
+        "CAST(warnings AS VARCHAR) || ' |'"], policy="policy_id")
+    parts += rows("scan_totals", 3, ["''", q("---"), "''", q("## Detailed Findings")])
+    has = "(errors + warnings > 0)"
+    parts += rows("per_policy", 4, [
+        "''",
+        f"'### Policy ' || CAST(policy_id AS VARCHAR) || ': ' || policy_name || ' ' || {case('status', fixed.STATUS_ICON)}",
+        "''",
+        f"CASE WHEN {has} THEN '> **' || CAST(errors + warnings AS VARCHAR) || ' violation(s)** in **' "
+        f"|| CAST(n_files AS VARCHAR) || ' file(s)**' ELSE {q(fixed.NO_VIOLATIONS)} END",
+        "''",
+        f"CASE WHEN {has} THEN '| Sev | File | Line | Finding |' END",
+        f"CASE WHEN {has} THEN '|:---:|------|:----:|---------|' END"], policy="policy_id")
+    parts += [f"SELECT repo, branch, CAST(4 AS INTEGER), CAST(policy_id AS INTEGER), CAST(2 AS INTEGER), '', "
+              f"CAST(0 AS INTEGER), CAST(0 AS INTEGER), '' FROM per_policy WHERE {has}"]
+    parts += [f"SELECT repo, branch, CAST(4 AS INTEGER), policy_id, CAST(1 AS INTEGER), file_path, line_number, "
+              f"CAST(0 AS INTEGER), '| ' || {case('severity', fixed.SEVERITY_ICON)} || ' | `' || file_path || '` | ' "
+              f"|| CASE WHEN line_number > 0 THEN CAST(line_number AS VARCHAR) ELSE {q(fixed.WHOLE_FILE_LINE)} END "
+              f"|| ' | ' || replace(description, '|', '\\|') || ' |' FROM findings"]
+    parts += rows("scan_totals", 5, [
+        q("---"), "''", q("## 📖 Policy Definitions Reference"), "''", q("| # | Policy | Rule |"),
+        q("|:-:|--------|------|"), *[q(r) for r in fixed.POLICY_REFERENCE_ROWS], "''", q("---"),
+        q(f"*Report generated by {DEFAULT_GENERATOR} • {now}*")])
+    per_policy = """, per_policy AS (
+  SELECT p.*, c.n_files FROM policy_summary p LEFT JOIN (
+    SELECT repo, branch, policy_id, CAST(count(DISTINCT file_path) AS BIGINT) AS n_files
+    FROM findings GROUP BY repo, branch, policy_id) c USING (repo, branch, policy_id))"""
+    return with_corpus(per_policy + " " + " UNION ALL ".join(parts))
+
+
+ORACLE["report_markdown"] = _report_markdown()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from rulesift import fixed
 from rulesift.functions import text as T
 from rulesift.operators import summary as S
+from rulesift.session import ensure_checkpoint_dir
 
 FIXED_SCAN_TS = "2024-01-01 00:00:00"
 DEFAULT_GENERATOR = "rulesift"
@@ -59,10 +60,13 @@ def overall_lines(totals: DataFrame) -> DataFrame:
 def markdown_rows(result, scan_ts: str = FIXED_SCAN_TS, generator: str = DEFAULT_GENERATOR) -> DataFrame:
     """K1 as ordered rows.  ``scan_ts`` is a parameter so reports repeat."""
     now = F.lit(f"{scan_ts} UTC")
-    totals = result.scan_totals
-    summary = result.policy_summary
+    # the per-repository tables are small (at most 7 rows per repository) and
+    # feed several sections: checkpoint them once instead of re-aggregating
+    ensure_checkpoint_dir(result.findings.sparkSession)
+    totals = result.scan_totals.checkpoint()
+    summary = result.policy_summary.checkpoint()
     counts = S.policy_file_counts(result.findings).select("repo", "branch", "policy_id",
-                                                           F.col("files").alias("n_files"))
+                                                           F.col("files").alias("n_files")).checkpoint()
     n = F.col("files_scanned").cast("string")
     header = _rows(totals, 0, [
         F.lit(fixed.REPORT_TITLE), F.lit(""), F.lit(fixed.REPORT_READ_ONLY), F.lit(""),
