@@ -203,3 +203,21 @@ def review_bundle_rows(files: DataFrame) -> DataFrame:
         F.lit(fixed.BUNDLE_FILE_END))).alias("pos", "text")) \
         .select("repo", "branch", "path", (F.col("pos") + 1).cast("int").alias("part"), "text")
     return header.unionByName(body)
+
+
+def bundle_text(bundle_rows: DataFrame, max_bytes: int = 512 * 1024 * 1024) -> DataFrame:
+    """A9 as one string per repository, in the intake's layout (header, then
+    per file its begin mark, text and end mark).  Refuses repositories whose
+    bundle exceeds ``max_bytes`` (a row must stay far below 2 GB)."""
+    sizes = bundle_rows.groupBy("repo", "branch").agg(F.sum(F.octet_length("text")).alias("b"))
+    worst = sizes.agg(F.max("b")).first()[0]
+    if worst is not None and worst > max_bytes:
+        raise ValueError(f"bundle_text: a repository has {worst} bytes (limit {max_bytes}); use the rows")
+    piece = F.when(F.col("part") == 0, F.concat(F.lit("\n"), F.col("text"), F.lit("\n\n"))) \
+        .when(F.col("part") == 1, F.concat(F.col("text"), F.lit("\n"))) \
+        .when(F.col("part") == 2, F.col("text")) \
+        .otherwise(F.concat(F.lit("\n"), F.col("text"), F.lit("\n\n")))
+    parts = F.sort_array(F.collect_list(F.struct(T.path_parts(F.col("path")).alias("k"), F.col("part"),
+                                                 piece.alias("t"))))
+    return bundle_rows.groupBy("repo", "branch").agg(
+        F.array_join(F.transform(parts, lambda r: r["t"]), "").alias("bundle"))
