@@ -72,6 +72,23 @@ class ScanResult:
                        file_counts=spark.read.parquet(f"{base}/file_counts"))
 
 
+def write_findings(findings: DataFrame, path: str, mode: str = "overwrite"):
+    """K5: keep the findings of a scan, partitioned by repository (the key of a
+    finding is repo, branch, policy_id, file_path, line_number)."""
+    findings.write.mode(mode).partitionBy("repo").parquet(path)
+
+
+def register_views(result: ScanResult, prefix: str = ""):
+    """U4: SQL surface — temp views code_files (prepared files), code_lines,
+    findings, policy_summary, scan_totals."""
+    from rulesift.operators.lines import explode_lines
+    result.prepared.select("repo", "branch", "path", "text").createOrReplaceTempView(f"{prefix}code_files")
+    explode_lines(result.prepared).createOrReplaceTempView(f"{prefix}code_lines")
+    result.findings.createOrReplaceTempView(f"{prefix}findings")
+    result.policy_summary.createOrReplaceTempView(f"{prefix}policy_summary")
+    result.scan_totals.createOrReplaceTempView(f"{prefix}scan_totals")
+
+
 def scan(files: DataFrame, cfg: ScanConfig | None = None, listing: DataFrame | None = None) -> ScanResult:
     """``files``: repo, branch, path and ``text`` (or ``content`` + ``read_error``).
     ``listing``: optional repository/file listing (repo, branch, path; path may
