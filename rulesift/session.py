@@ -1,14 +1,14 @@
-"""Session settings for local runs (tests, bench, CLI).
+"""Session settings for local runs (tests, bench, CLI) and the shared scratch folder.
 
 Library functions never create a session: they take the caller's one.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -43,10 +43,17 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; only when none is set (local runs,
-    tests) set a fresh one under the temp directory."""
+    """Use the session's checkpoint folder.
+
+    Where none is set, a ``local[...]`` master gets a fresh folder under the temp
+    directory (driver and executors are one process there); on any other master
+    this raises, because a folder of the driver's machine is not shared.
+    """
     d = checkpoint_dir(spark)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="rulesift-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)
@@ -56,16 +63,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for intermediate tables under the shared checkpoint folder."""
+    """A path of its own for an intermediate table under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{next(_counter)}"
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a table in the shared checkpoint folder and read it
+    back: cuts the lineage with files that survive lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``materialize``, with the files bucketed by ``key`` into
+    ``spark.sql.shuffle.partitions`` buckets: later joins and groupings on ``key``
+    read it in place, without another shuffle of its rows."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"{name}_{path[-32:]}".replace("-", "_")
+    (df.write.option("compression", "zstd").option("path", path).format("parquet")
+       .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table))
+    return spark.table(table)
