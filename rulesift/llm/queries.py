@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulesift.llm import bpe
+from rulesift.llm import bpe, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +26,27 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(n: int):
+    """crc32 of the doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored by a model of the labels outside the held-out fifth."""
+    docs = _table(spark, sf_dir, "documents")
+    taught = docs.where(remainder(5) != 0)
+    model = toxicity.train(toxicity.with_labels(taught, _table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
 }
 
 LLM_ORACLE: dict[str, str] = {}
