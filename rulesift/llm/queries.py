@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulesift.llm import bpe, toxicity
+from rulesift.llm import bpe, line_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +44,45 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those that stay, and the digest of the text they make."""
+    out = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n")
+    return out.select("doc_id", F.col("n.lines").cast("long").alias("n_lines"), F.col("n.kept").cast("long").alias("n_kept"),
+                      F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH l AS (
+  SELECT doc_id, i AS position, line, length(line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+), c AS (
+  SELECT line, n, min(struct_pack(doc_id := doc_id, position := position)) AS place FROM l WHERE trim(line) <> '' GROUP BY line, n
+), v AS (
+  SELECT line, n, place, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS cut
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM c WHERE n >= 16)
+), substituted AS (
+  SELECT DISTINCT v.place FROM v JOIN (SELECT n, i, cut, min(place) AS place FROM v GROUP BY ALL) e USING (n, i, cut) WHERE e.place < v.place
+), longer AS (
+  SELECT DISTINCT v.place AS long_place, c.place AS short_place FROM v JOIN c ON c.n >= 16 AND c.n = v.n - 1 AND hash(c.line) = v.cut
+), gone AS (
+  SELECT place FROM substituted
+  UNION SELECT greatest(long_place, short_place) FROM longer
+), marked AS (
+  SELECT l.*, trim(l.line) = '' AS blank, k.place IS NOT NULL AS kept
+  FROM l LEFT JOIN (SELECT place FROM c WHERE place NOT IN (SELECT place FROM gone)) k ON k.place = struct_pack(doc_id := l.doc_id, position := l.position)
+)
+SELECT doc_id, count(*) FILTER (NOT blank) AS n_lines, count(*) FILTER (kept) AS n_kept,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (blank OR kept), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op6_line_dedup": op6_line_dedup,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
+}
