@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulesift.llm import bpe, line_dedup, toxicity
+from rulesift.llm import bpe, line_dedup, ngram_join, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and link component of every document."""
+    return ngram_join.link(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those that stay, and the digest of the text they make."""
     out = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n")
@@ -80,6 +85,7 @@ FROM marked GROUP BY doc_id
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_ngram_join": op4_ngram_join,
     "op6_line_dedup": op6_line_dedup,
 }
 
