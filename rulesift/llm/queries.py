@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulesift.llm import bpe, line_dedup, ngram_join, toxicity
+from rulesift.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,34 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, up to replaced words."""
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _op5_sql() -> str:
+    def leads(mask, key):
+        parts = ", ".join(f"lead(w, {k}) OVER (PARTITION BY {key} ORDER BY p)" for k, x in enumerate(mask) if x == "1")
+        return f"[{parts}] AS seed, lead(w, {len(mask) - 1}) OVER (PARTITION BY {key} ORDER BY p) AS last"
+
+    hits = " UNION ".join(
+        f"""SELECT DISTINCT doc_id, item_id, d.p - b.p AS diagonal
+  FROM (SELECT doc_id, p, {leads(m, "doc_id")} FROM dw) d JOIN (SELECT item_id, p, {leads(m, "item_id")} FROM bw) b USING (seed)
+  WHERE d.last IS NOT NULL AND b.last IS NOT NULL""" for m in decontaminate.MASKS)
+
+    def words(key, table):
+        split = "list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+        return f"SELECT {key}, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM (SELECT {key}, {split} AS ws FROM {table}) WHERE len(ws) >= {decontaminate.LEAST_WORDS}"
+
+    return f"""
+WITH dw AS ({words("doc_id", "documents")}), bw AS ({words("item_id", "benchmark")}), hits AS ({hits})
+SELECT doc_id, item_id, count(DISTINCT b.p) AS matched, max(b.n) AS n_words
+FROM hits JOIN bw b USING (item_id) JOIN dw d USING (doc_id)
+WHERE d.p = b.p + hits.diagonal AND d.w = b.w
+GROUP BY doc_id, item_id HAVING 100 * count(DISTINCT b.p) >= {decontaminate.PERCENT} * max(b.n)
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those that stay, and the digest of the text they make."""
     out = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n")
@@ -86,9 +114,11 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
+    "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
 }
 
 LLM_ORACLE: dict[str, str] = {
+    "op5_decontaminate": _op5_sql(),
     "op6_line_dedup": OP6_SQL,
 }
