@@ -41,7 +41,7 @@ from rulesift.session import materialize_bucketed
 BLOCK_BYTES = 32 << 20
 MAX_VOCABULARY = 1 << 20
 #: Words whose ids a task gathers before it sends them to their blocks.
-SEND_WORDS = 1 << 19
+SEND_WORDS = 1 << 18
 
 
 class Vocabulary:
@@ -168,11 +168,15 @@ def _word_ids(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs values[start:start + size], one after another."""
-    ends = np.cumsum(sizes)
-    if not len(ends) or not ends[-1]:
-        return values[:0]
-    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+    """The runs values[start:start + size], one after another (some runs at a time: indices are wide)."""
+    out, at = np.empty(int(sizes.sum(dtype=np.int64)), values.dtype), 0
+    for k in range(0, len(sizes), 1 << 17):
+        start, size = starts[k:k + (1 << 17)].astype(np.int64), sizes[k:k + (1 << 17)].astype(np.int64)
+        ends = np.cumsum(size)
+        if n := int(ends[-1]):
+            out[at:at + n] = values[np.repeat(start - (ends - size), size) + np.arange(n)]
+            at += n
+    return out
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,12 +189,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     def reassemble(block: pa.Table, sent: pa.Table) -> pa.Table:
         own = lambda name: np.concatenate([np.zeros(0, np.uint32), *(_unpack(x.as_py()) for x in sent.column(name))])
-        numbers, sizes, ids = own("numbers"), own("sizes").astype(np.int64), own("ids").astype(np.int32)
-        start_of, size_of = np.zeros((2, len(numbers)), np.int64)
-        start_of[numbers], size_of[numbers] = np.cumsum(sizes) - sizes, sizes
+        numbers, sizes, ids = own("numbers"), own("sizes").astype(np.int32), own("ids").astype(np.int32)
+        start_of, size_of = np.zeros((2, len(numbers)), np.int32)
+        start_of[numbers], size_of[numbers] = np.cumsum(sizes, dtype=np.int32) - sizes, sizes
         wanted = _unpack(block.column("numbers")[0].as_py())
         flat = _gather(ids, start_of[wanted], size_of[wanted])
-        ends = np.r_[0, np.cumsum(size_of[wanted])]
+        ends = np.r_[0, np.cumsum(size_of[wanted], dtype=np.int64)]
         lengths = block.column("lengths").combine_chunks().flatten().to_numpy()
         offsets = ends[np.r_[0, np.cumsum(lengths)]].astype(np.int32)
         return pa.table({id_col: block.column("doc_ids").combine_chunks().flatten(),
@@ -212,16 +216,16 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: s
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = np.frombuffer(b"".join(shared.value), np.uint8)
-        sizes = np.fromiter(map(len, shared.value), np.int64, len(shared.value))
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, shared.value), np.int32, len(shared.value))
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         for batch in batches:
             ids = batch.column(position)
             flat = ids.flatten().to_numpy()
             counts = np.fromiter((0 if x is None else x for x in pc.list_value_length(ids).to_pylist()), np.int64, len(ids))
-            ends = np.r_[0, np.cumsum(sizes[flat])]
+            ends = np.r_[0, np.cumsum(sizes[flat], dtype=np.int64)]
             text = _gather(values, starts[flat], sizes[flat])
             offsets = ends[np.r_[0, np.cumsum(counts)]].astype(np.int32)
-            decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text.tobytes())])
+            decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), decoded], names=schema.fieldNames())
 
     return coded.mapInArrow(join, schema)

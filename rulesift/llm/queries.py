@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rulesift.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
 
 
@@ -111,6 +112,7 @@ FROM marked GROUP BY doc_id
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,

@@ -28,10 +28,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -171,13 +171,17 @@ def with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return docs.select(id_col, text_col).join(labels, id_col)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``score``) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model):
+    """A column function: the score of a text column."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [shared.value.score(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
+    @F.pandas_udf("double")
+    def score_texts(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(x) for x in texts], dtype="float64")
+
+    return score_texts
 
-    return docs.select(id_col, text_col).mapInArrow(judge, T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())]))
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ``score``) of every row."""
+    return docs.select(id_col, scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
