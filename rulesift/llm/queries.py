@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rulesift.llm import bpe, chat, decontaminate, line_dedup, ngram_join, toxicity
+from rulesift.llm import bpe, chat, decontaminate, line_dedup, ngram_join, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("text", 256).alias("kept_sha256"))
 
 
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 OP6_SQL = """
 WITH l AS (
   SELECT doc_id, i AS position, line, length(line) AS n
@@ -127,6 +135,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
+    "op9_url_filter": op9_url_filter,
 }
 
 LLM_ORACLE: dict[str, str] = {
