@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rulesift.llm import bpe, chat, decontaminate, line_dedup, ngram_join, ppm, toxicity, url_filter
+from rulesift.llm import bpe, chat, decontaminate, line_dedup, ngram_join, ppm, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of 50 words or more that an earlier document holds."""
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every whole text, learnt outside the held-out seventh."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(7) != 2, F.lit(True)).alias("taught"))
@@ -142,6 +147,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_ppm": op10_ppm,
 }
