@@ -1,0 +1,84 @@
+import hashlib
+import random
+import re
+import struct
+
+import pytest
+import xxhash
+
+from rulesift.llm import fingerprint as P
+from rulesift.llm import queries
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def chain(values):
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return signed(h)
+
+
+def anchors(text):
+    w = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x]
+    m = [chain(w[i:i + P.S]) for i in range(len(w) - P.S + 1)]
+    found = [chain(w[i:i + P.K]) for i in range(len(w) - P.K + 1) if min(m[i:i + P.K - P.S + 1]) in (m[i], m[i + P.K - P.S])]
+    found = found or ([chain(w)] if w else [])
+    return list(dict.fromkeys(f"{h & ((1 << 64) - 1):X}"[:8].lower().rjust(8, "0") for h in found))
+
+
+def likeness(a, b):
+    one, other = [x for x in a if x in set(b)], [x for x in b if x in set(a)]
+    if not a and not b:
+        return 1.0
+    return 2 * (1 + len(set(zip(one, one[1:])) & set(zip(other, other[1:])))) / (len(a) + len(b)) if one else 0.0
+
+
+def brute(rows):
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: r[1])
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = []
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(text) // 2
+        edited = text[:len(text) - half] + after[:half]
+        a, e = anchors(text), anchors(edited)
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(e), likeness(a, e), likeness(a, anchors(after))))
+    return out
+
+
+def same(got, want):
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:5])
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]])
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.op7_fingerprint(spark, sf).collect()
+    same(got, brute(rows))
+    assert 0.4 < sum(r.near_edited for r in got) / len(got) < 0.7 and sum(r.near_next for r in got) / len(got) < 0.1
+
+
+def test_edges(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(n))
+    rows = [(i, words(rng.randrange(0, 60))) for i in range(40)] + [(50, None), (51, ""), (52, " \n\t"), (7, "again é🙂"), (7, "again é🙂"), (None, "no id"), (None, words(30)), (60, words(12)), (61, words(11)), (99, words(30000))]
+    table = spark.createDataFrame([(i, t, 3, "x") for i, t in rows], "doc_id long, text string, range int, anchors string").repartition(4)
+    got = P.compare_edited(table).collect()
+    same([(*r[:2], hashlib.sha256(r.edited.encode()).hexdigest(), *r[3:]) for r in got], brute(rows))
+    one = P.compare_edited(table.where("doc_id = 60")).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+    assert P.compare_edited(table.where("false")).collect() == []
+    assert {r.doc_id: r.fingerprint for r in P.fingerprints(table).collect()}[99] == "".join(anchors(rows[-1][1]))
+
+
+def test_edits_keep_other_anchors():
+    text = " ".join(random.Random(2).choices([f"w{i}" for i in range(500)], k=1000)).split()
+    changed = text[:500] + ["new"] + text[500:]
+    a, b = anchors(" ".join(text)), anchors(" ".join(changed))
+    assert len(set(a) - set(b)) <= P.K and likeness(a, b) > 0.9
