@@ -42,6 +42,8 @@ BLOCK_BYTES = 32 << 20
 MAX_VOCABULARY = 1 << 20
 #: Words whose ids a task gathers before it sends them to their blocks.
 SEND_WORDS = 1 << 18
+#: Rows decoded at once.
+DECODE_ROWS = 512
 
 
 class Vocabulary:
@@ -179,6 +181,13 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return out
 
 
+def _ends(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Offsets of runs of ``counts`` items whose items have these sizes."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    upto = np.cumsum(counts)
+    return np.concatenate([[0], np.where(upto > 0, ends[upto - 1], 0) if len(ends) else np.zeros(len(counts))]).astype(np.int32)
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``ids`` array<int>) of every row: the token ids of its whole text."""
     blocks = materialize_bucketed(_blocks(docs, vocabulary.pattern, id_col, text_col), "bpe_blocks", "block")
@@ -193,10 +202,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         start_of, size_of = np.zeros((2, len(numbers)), np.int32)
         start_of[numbers], size_of[numbers] = np.cumsum(sizes, dtype=np.int32) - sizes, sizes
         wanted = _unpack(block.column("numbers")[0].as_py())
-        flat = _gather(ids, start_of[wanted], size_of[wanted])
-        ends = np.r_[0, np.cumsum(size_of[wanted], dtype=np.int64)]
-        lengths = block.column("lengths").combine_chunks().flatten().to_numpy()
-        offsets = ends[np.r_[0, np.cumsum(lengths)]].astype(np.int32)
+        sizes = size_of[wanted]
+        flat = _gather(ids, start_of[wanted], sizes)
+        offsets = _ends(sizes, block.column("lengths").combine_chunks().flatten().to_numpy())
         return pa.table({id_col: block.column("doc_ids").combine_chunks().flatten(),
                          "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
 
@@ -218,14 +226,15 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: s
         values = np.frombuffer(b"".join(shared.value), np.uint8)
         sizes = np.fromiter(map(len, shared.value), np.int32, len(shared.value))
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
-        for batch in batches:
-            ids = batch.column(position)
-            flat = ids.flatten().to_numpy()
-            counts = np.fromiter((0 if x is None else x for x in pc.list_value_length(ids).to_pylist()), np.int64, len(ids))
-            ends = np.r_[0, np.cumsum(sizes[flat], dtype=np.int64)]
-            text = _gather(values, starts[flat], sizes[flat])
-            offsets = ends[np.r_[0, np.cumsum(counts)]].astype(np.int32)
-            decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), decoded], names=schema.fieldNames())
+        for whole in batches:
+            for first in range(0, whole.num_rows, DECODE_ROWS):
+                batch = whole.slice(first, DECODE_ROWS)
+                ids = batch.column(position)
+                flat = ids.flatten().to_numpy()
+                counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+                size = sizes[flat]
+                text, offsets = _gather(values, starts[flat], size), _ends(size, counts)
+                decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), decoded], names=schema.fieldNames())
 
     return coded.mapInArrow(join, schema)
