@@ -11,9 +11,10 @@ earlier line of the table matches it, kept or not.
 2. *Which classes can have a neighbour.*  One edit leaves the left or the right
    half of a line as it is.  Each class gives the hashes of its halves, cut for
    its own length and for a partner that is one shorter; halves held by one class
-   only end here.  No neighbour is lost, and no pair is made.
+   only end here.  The other half is cut again into ``PIECES``, all but one of which
+   must be shared.  No neighbour is lost, and no pair is made.
 3. *Deletion neighbourhood.*  For the other classes every one-character deletion
-   within the other half becomes a hashed key.  Two lines of one length match
+   within that piece becomes a hashed key.  Two lines of one length match
    exactly if they share a deletion at the same place; a line matches one that
    is longer by one exactly if it equals one of that line's deletions.  So
    within a key the earliest class is a partner of all the others: a minimum
@@ -37,6 +38,8 @@ from rulesift.session import materialize
 MIN_NEAR = 16
 #: Classes with possible neighbours are broadcast up to this count, else joined by a shuffle.
 BROADCAST_CLASSES = 200_000
+#: Pieces that the half with the edit is cut into before its deletions are made.
+PIECES = 16
 
 
 def _half(length: Column) -> Column:
@@ -73,12 +76,26 @@ def _classes(documents: DataFrame) -> DataFrame:
     return lines.groupBy("a", "b").agg(F.min(F.struct("id", "row", "position")).alias("first"), F.first("length").alias("length"), F.first("halves").alias("halves"))
 
 
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key several classes hold."""
+    several = rows.groupBy(key).agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select(key)
+    return rows.join(several, key, "left_semi")
+
+
+def _refine(rows: DataFrame) -> DataFrame:
+    """Rows (half, longer, a, b, first, part) with the part cut again: the edit lies in one of ``PIECES`` pieces."""
+    at = "cast(floor(q * shorter / {0}) AS int), cast(floor((q + 1) * shorter / {0}) AS int)".format(PIECES).split("), ")
+    rows = rows.withColumn("shorter", F.length("part") - F.col("longer")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    rows = rows.withColumns({"before": F.expr(at[0] + ")"), "after": F.expr(f"shorter - {at[1]}")})
+    rows = rows.select(F.expr("xxhash64(half, q, substr(part, 1, before), right(part, after))").alias("half"), "longer", "a", "b", "first",
+                       F.expr("substr(part, before + 1, length(part) - before - after)").alias("part"))
+    return _shared(rows, "half")
+
+
 def _near(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) of the classes that an earlier class matches by one edit."""
-    halves = classes.where("halves IS NOT NULL").select("a", "b", "first", F.posexplode("halves").alias("kind", "half"))
-    halves = halves.select("a", "b", "first", "half", F.expr("kind % 2 AS side"), F.expr("kind DIV 2 AS longer"))
-    several = halves.groupBy("half").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("half")
-    open_ = materialize(halves.join(several, "half", "left_semi"), "line_halves")
+    halves = classes.where("halves IS NOT NULL").select("a", F.posexplode("halves").alias("kind", "half"))
+    open_ = materialize(_shared(halves, "half").join(classes.select("a", "b", "first"), "a"), "line_halves")
     wanted = open_.select("first.*", "a", "b").distinct()
     if wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
@@ -87,15 +104,18 @@ def _near(documents: DataFrame, classes: DataFrame) -> DataFrame:
     texts = materialize(lines.join(wanted.alias("w"), on).select("a", "b", "line").dropDuplicates(["a", "b"]), "line_texts")
 
     # the half that may differ, of a member of the shorter length and of the longer partner
-    rows = open_.join(texts, ["a", "b"]).withColumn("shorter", F.length("line") - F.col("longer"))
-    kept_half = F.when(F.col("side") == 0, _half(F.col("shorter"))).otherwise(F.col("shorter") - _half(F.col("shorter")))
-    rows = rows.withColumn("part", F.when(F.col("side") == 0, F.expr("substr(line, 1 + cast(floor(shorter / 2) AS int))")).otherwise(F.substr("line", F.lit(1), F.length("line") - kept_half)))
-    deletions = F.expr("transform(sequence(1, length(part)), i -> named_struct('at', if(longer = 0, i, 0), 'key', xxhash64(half, substr(part, 1, i - 1), substr(part, i + 1))))")
-    whole = F.expr("array(named_struct('at', 0, 'key', xxhash64(half, part, '')))")
-    # a deletion is hashed as two pieces; at 0 the cut differs between the two sides, so there the pieces are joined
-    deletions = F.when(F.col("longer") == 1, F.expr("transform(sequence(1, length(part)), i -> named_struct('at', 0, 'key', xxhash64(half, concat(substr(part, 1, i - 1), substr(part, i + 1)), '')))")).otherwise(F.concat(deletions, whole))
-    variants = (rows.select("a", "b", "first", "longer", F.explode(deletions).alias("v"))
-                .select("a", "b", "first", "longer", "v.at", "v.key").distinct())
+    rows = open_.join(texts, ["a", "b"]).withColumns({"side": F.expr("kind % 2"), "longer": F.expr("cast(kind DIV 2 AS int)")})
+    rows = rows.withColumn("shorter", F.length("line") - F.col("longer"))
+    left = _half(F.col("shorter"))
+    part = F.when(F.col("side") == 0, F.substr("line", left + 1)).otherwise(F.substr("line", F.lit(1), left + F.col("longer")))
+    rows = materialize(_refine(rows.select("half", "longer", "a", "b", "first", part.alias("part"))), "line_pieces")
+    # a deletion at its place, for partners of equal length; at place 0, what one deletion leaves, for partners that differ by one
+    deletions = F.expr("""if(longer = 0,
+        concat(transform(sequence(1, length(part), 1), i -> named_struct('at', i, 'key', xxhash64(half, substr(part, 1, i - 1), substr(part, i + 1)))),
+               array(named_struct('at', 0, 'key', xxhash64(half, part)))),
+        transform(sequence(1, length(part), 1), i -> named_struct('at', 0, 'key', xxhash64(half, concat(substr(part, 1, i - 1), substr(part, i + 1))))))""")
+    variants = (rows.where("longer = 1 OR length(part) > 0").select("a", "b", "first", "longer", F.explode(deletions).alias("v")).select("a", "b", "first", "longer", "v.at", "v.key")
+                .union(rows.where("longer = 0 AND length(part) = 0").select("a", "b", "first", "longer", F.lit(0), F.expr("xxhash64(half, part)"))).distinct())
     own = F.struct("first", "a", "b")
     earliest = variants.groupBy("key", "at").agg(F.min(F.when(F.col("longer") == 0, own)).alias("short"), F.min(F.when(F.col("longer") == 1, own)).alias("long"))
     partner = F.when((F.col("at") > 0) | (F.col("longer") == 1), F.col("short")).otherwise(F.col("long"))
