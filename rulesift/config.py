@@ -7,7 +7,10 @@ a table of patterns.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import Column
 
 from rulesift import fixed
 
@@ -20,14 +23,19 @@ SCOPES = ("line", "code_part")
 
 @dataclass(frozen=True)
 class RuleSet:
-    """Ordered rules of one policy: the first matching rule gives the finding."""
+    """Ordered rules of one policy: the first matching rule gives the finding.
+
+    ``function`` is the other form of a policy: it takes the text (the line or its
+    code part) and the stripped line as columns and gives the description column,
+    null where there is no finding; it comes after the rules."""
     policy_id: int
-    rules: tuple[tuple[str, str], ...]
+    rules: tuple[tuple[str, str], ...] = ()
     scope: str = "line"
     severity: str = "error"
     # Lower-case literals of which at least one occurs (case-folded) in every
     # line some rule matches: a cheap exact pre-check before the regexes.
     requires: tuple[str, ...] = ()
+    function: Callable[[Column, Column], Column] | None = None
 
     def __post_init__(self):
         if self.scope not in SCOPES:
@@ -67,11 +75,23 @@ class ScanConfig:
     comment_density: bool = True       # policy 3
     file_names: bool = True            # policy 6
 
-    def with_policy(self, policy_id: int, name: str, rules, scope: str = "line",
-                    severity: str = "error", requires: tuple[str, ...] = ()) -> "ScanConfig":
-        """Add (or replace) a line-rule policy."""
-        sets = tuple(r for r in self.rule_sets if r.policy_id != policy_id)
-        sets += (RuleSet(policy_id, tuple(tuple(r) for r in rules), scope, severity, tuple(requires)),)
-        return ScanConfig(self.skip_dirs, self.exempt_names, self.min_code_lines, self.max_ratio,
-                          {**self.policies, policy_id: name}, sets, self.multiline_session,
-                          self.comment_density, self.file_names)
+    def with_policy(self, policy_id: int, name: str, rules=(), scope: str = "line", severity: str = "error",
+                    requires: tuple[str, ...] = (), function: Callable[[Column, Column], Column] | None = None) -> "ScanConfig":
+        """Add a policy, or replace one with all its detectors.  Without rules and
+        function the policy is listed and never has findings."""
+        kept = self.without(policy_id)
+        sets = kept.rule_sets
+        if rules or function:
+            sets += (RuleSet(policy_id, tuple(tuple(r) for r in rules), scope, severity, tuple(requires), function),)
+        return replace(kept, policies={**self.policies, policy_id: name}, rule_sets=sets)
+
+    def without(self, *policy_ids: int) -> "ScanConfig":
+        """The same scan with no detector of these policies (they stay listed)."""
+        return replace(self, rule_sets=tuple(r for r in self.rule_sets if r.policy_id not in policy_ids),
+                       multiline_session=self.multiline_session and 1 not in policy_ids,
+                       comment_density=self.comment_density and 3 not in policy_ids,
+                       file_names=self.file_names and 6 not in policy_ids)
+
+    def only(self, *policy_ids: int) -> "ScanConfig":
+        """The same scan with the detectors of these policies alone."""
+        return self.without(*(p for p in {*self.policies, 1, 3, 6} if p not in policy_ids))

@@ -6,6 +6,8 @@ codegen (or, for the array forms, inside one projection) and never call Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,17 @@ TQ_SINGLE = "'''"
 
 
 def rx(pattern: str) -> str:
-    """Pattern with the fixed Java flags (case-insensitive, Unicode, '.' stops at \\n)."""
-    return fixed.RX_FLAGS + pattern
+    """Pattern with the fixed Java flags (case-insensitive, Unicode, '.' stops at \\n);
+    ``\\s`` also takes the four separators U+001C to U+001F, as in Python."""
+    blank = r"\s\x1c-\x1f"
+    out, inside = [], False
+    for piece in re.split(r"(\\.|\[|\])", pattern):
+        if piece == r"\s":
+            piece = blank if inside else f"[{blank}]"
+        elif piece in "[]":
+            inside = piece == "[" if piece else inside
+        out.append(piece)
+    return fixed.RX_FLAGS + "".join(out)
 
 
 def matches(col: Column, pattern: str) -> Column:
@@ -46,6 +57,8 @@ def has_fold_escape(col: Column) -> Column:
 def may_contain_any(original: Column, folded: Column, literals) -> Column:
     """Exact necessary condition for a case-insensitive (Unicode) regex that
     contains one of ``literals`` (lower case) as a plain run to match."""
+    if all(lit.lower() == lit.upper() for lit in literals):
+        return contains_any(original, literals)
     return contains_any(folded, literals) | has_fold_escape(original)
 
 

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from rulesift import fixed
 from rulesift.functions import catalog as FC
 
-BROADCAST_ROWS = 100_000
-
-
 def model_catalog(records: DataFrame) -> DataFrame:
     """F8–F12 + J4: one row per model id.  Records without a paid multiplier
     (or with "Not applicable") are dropped; a later record with the same id
@@ -30,12 +27,8 @@ def model_catalog(records: DataFrame) -> DataFrame:
 
 def resolve_models(requests: DataFrame, catalog: DataFrame, model_col: str = "model") -> DataFrame:
     """The requested model if the catalog knows it, else the default id;
-    then its catalog row (null fields when the default is not listed).
-    The catalog side is broadcast only when its row count is within a bound."""
-    ids = catalog.select(F.col("id").alias("_known"))
-    small = catalog.count() <= BROADCAST_ROWS
-    known = F.broadcast(ids) if small else ids
+    then its catalog row (null fields when the default is not listed)."""
+    known = catalog.select(F.col("id").alias("_known"))
     r = requests.join(known, requests[model_col] == known["_known"], "left")
     r = r.withColumn("model_id", F.coalesce(F.col("_known"), F.lit(fixed.DEFAULT_MODEL_ID))).drop("_known")
-    info = F.broadcast(catalog) if small else catalog
-    return r.join(info.withColumnRenamed("id", "model_id"), "model_id", "left")
+    return r.join(catalog.withColumnRenamed("id", "model_id"), "model_id", "left")

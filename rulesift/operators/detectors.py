@@ -81,7 +81,10 @@ def rule_set_description(rs: RuleSet, line: Column, stripped: Column, in_docstri
         cond = not_comment & ~T.has_triple_quote(stripped) & (in_docstring == 0)
         if rs.requires:
             cond = cond & T.may_contain_any(target, T.fold(target), rs.requires)
-    return F.when(cond, first_rule(target, rs.rules))
+    found = [F.when(T.matches(target, pat), F.lit(desc)) for pat, desc in rs.rules]
+    if rs.function:
+        found.append(rs.function(target, stripped))
+    return F.when(cond, F.coalesce(*found))
 
 
 def line_descriptions(line: Column, stripped: Column, in_docstring: Column, cfg: ScanConfig) -> list[Column]:
@@ -102,8 +105,9 @@ def line_findings(line_number: Column, stripped: Column, cfg: ScanConfig) -> Col
 
 # -- whole-file detectors -------------------------------------------------------
 
-def _newlines(s: Column) -> Column:
-    return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+# Private-use characters: the mark put before each match, and what stands for
+# that mark where a text holds it already (the session pattern treats both alike).
+_MARK, _MARK_STANDIN = "\ue000", "\ue001"
 
 
 def with_multiline_session(files: DataFrame) -> DataFrame:
@@ -111,30 +115,24 @@ def with_multiline_session(files: DataFrame) -> DataFrame:
     the lines joined by ``\\n`` (``\\s*`` may cross lines, ``.`` may not),
     minus lines the one-line pass reports (J2, inside the row).
 
-    Match ``k`` starts after gaps ``0..k`` and matches ``0..k-1`` of
-    ``split``/``regexp_extract_all``; its line is 1 + the newlines in them.
-    A literal search on the raw text skips the join for files that cannot match."""
+    One replacement puts a mark before each match; the numbers of the lines that
+    hold a mark are the start lines, so the cost is linear in the file.  A literal
+    search on the raw text skips the join for files that cannot match."""
     pat = T.rx(fixed.P1_PATTERN)
     maybe = T.matches(F.col("text"), "SparkSession")
-    full = F.col("_full")
-    zero = F.lit(0)
+    full = F.translate(F.array_join("lines", "\n"), _MARK, _MARK_STANDIN)
+    marked = F.regexp_replace(full, F.lit(f"({pat})"), F.lit(_MARK + "$1"))
 
     def found_by_line_pass(n: Column) -> Column:
         return ~F.element_at(F.col("stripped"), n).startswith("#") & F.element_at(F.col("lines"), n).rlike(pat)
 
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size("_hits")),
-        lambda k: 1 + F.aggregate(F.slice(F.col("_gap_nl"), 1, k), zero, lambda a, x: a + x)
-                    + F.aggregate(F.slice(F.col("_hit_nl"), 1, k - 1), zero, lambda a, x: a + x))
+    starts = F.transform(F.split(F.col("_marked"), "\n", -1), lambda line, i: F.when(F.instr(line, _MARK) > 0, i + 1))
     return (files
-            .withColumn("_full", F.when(maybe, F.array_join("lines", "\n")))
-            .withColumn("_hits", F.when(full.rlike(pat), F.regexp_extract_all(full, F.lit(pat), 0)))
-            .withColumn("_gap_nl", F.when(F.col("_hits").isNotNull(), F.transform(F.split(full, pat, -1), _newlines)))
-            .withColumn("_hit_nl", F.transform("_hits", _newlines))
-            .withColumn("p1b", F.when(F.col("_hits").isNotNull(),
-                                      F.filter(F.array_distinct(starts), lambda n: ~found_by_line_pass(n)))
+            .withColumn("_marked", F.when(maybe, marked))
+            .withColumn("_starts", F.when(F.instr("_marked", _MARK) > 0, F.array_compact(starts)))
+            .withColumn("p1b", F.when(F.col("_starts").isNotNull(), F.filter("_starts", lambda n: ~found_by_line_pass(n)))
                         .otherwise(F.array().cast("array<int>")))
-            .drop("_full", "_hits", "_gap_nl", "_hit_nl"))
+            .drop("_marked", "_starts"))
 
 
 def multiline_session_findings(p1b: Column, stripped: Column) -> Column:
@@ -187,9 +185,17 @@ def _multiline_on(cfg: ScanConfig) -> bool:
     return cfg.multiline_session and any(rs.policy_id == 1 for rs in cfg.rule_sets)
 
 
+def _reads_content(cfg: ScanConfig) -> bool:
+    return bool(cfg.rule_sets) or cfg.comment_density or _multiline_on(cfg)
+
+
 def prepared_files(files: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """Pruned, decoded files with line arrays, docstring parity and comment counts."""
-    f = L.decode(L.prune(files, cfg.skip_dirs))
+    """Pruned, decoded files with line arrays, docstring parity and comment counts;
+    only pruned if no detector of ``cfg`` reads contents."""
+    f = L.prune(files, cfg.skip_dirs)
+    if not _reads_content(cfg):
+        return f
+    f = L.decode(f)
     f = L.with_line_arrays(f)
     if cfg.comment_density:
         f = L.with_comment_counts(f)
@@ -203,7 +209,12 @@ def find(files: DataFrame, cfg: ScanConfig | None = None, prepared: bool = False
     either ``text`` or ``content``/``read_error``."""
     cfg = cfg or ScanConfig()
     f = files if prepared else prepared_files(files, cfg)
+    if not _reads_content(cfg):
+        return _named_findings(f, cfg)
     f = f.withColumn("file_findings", file_findings(cfg))
+    if not cfg.rule_sets:
+        whole = f.select("repo", "branch", "path", F.explode(F.arrays_zip("file_findings")).alias("z"))
+        return _findings_columns(whole.select("repo", "branch", "path", F.col("z.file_findings").alias("f")), cfg)
     # exploding a zip (not a bare column built by higher-order functions)
     # keeps the generator on the fast path
     exploded = f.select("repo", "branch", "path", "file_findings",
@@ -217,8 +228,21 @@ def find(files: DataFrame, cfg: ScanConfig | None = None, prepared: bool = False
     head = F.coalesce(F.col("pos"), F.lit(0)) == 0
     every = F.concat(line_findings((F.col("pos") + 1).cast("int"), F.col("st"), cfg),
                      F.when(head, F.col("file_findings")).otherwise(empty_findings()))
-    out = described.select("repo", "branch", "path", F.explode(every).alias("f"))
-    return out.select(
+    return _findings_columns(described.select("repo", "branch", "path", F.explode(every).alias("f")), cfg)
+
+
+def _named_findings(files: DataFrame, cfg: ScanConfig) -> DataFrame:
+    """Findings of policy 6 alone: paths, and whether a file could be read if the
+    files say so, but no contents."""
+    if not cfg.file_names:
+        files = files.where(F.lit(False))
+    if "read_error" in files.columns:
+        files = files.where(F.col("read_error").isNull())
+    return _findings_columns(files.select("repo", "branch", "path", F.explode(file_name_finding(F.col("path"), cfg)).alias("f")), cfg)
+
+
+def _findings_columns(exploded: DataFrame, cfg: ScanConfig) -> DataFrame:
+    return exploded.select(
         "repo", "branch",
         F.col("f.policy_id").alias("policy_id"),
         policy_name(F.col("f.policy_id"), cfg).alias("policy_name"),

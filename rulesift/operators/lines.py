@@ -60,7 +60,7 @@ def _states_with_tail(flags: Column, flip: str) -> Column:
 
 def w1_flags(lines: Column) -> Column:
     """One character per line: ``1`` if the line has an odd number of triple quotes."""
-    return F.array_join(F.transform(lines, lambda l: F.when(T.triple_quotes(l) % 2 == 1, "1").otherwise("0")), "")
+    return F.array_join(F.transform(lines, lambda l: F.when(T.has_triple_quote(l) & (T.triple_quotes(l) % 2 == 1), "1").otherwise("0")), "")
 
 
 def w1_parity(flags: Column) -> Column:
@@ -106,6 +106,10 @@ def count_chars(s: Column, chars: str) -> Column:
     return (F.length(s) - F.length(F.regexp_replace(s, f"[{chars}]", ""))).cast("long")
 
 
+def _zeros(array: str) -> Column:
+    return F.array_repeat(F.lit(0), F.size(array))
+
+
 def with_line_arrays(files: DataFrame) -> DataFrame:
     """Adds ``lines``, ``stripped`` (arrays) and ``w1`` parity (array) per file.
     Each array is its own column so that no expression is evaluated twice."""
@@ -117,16 +121,16 @@ def with_line_arrays(files: DataFrame) -> DataFrame:
                 F.array().cast("array<string>")))
             .drop("_parts")
             .withColumn("stripped", F.transform("lines", T.py_strip))
-            .withColumn("_f1", w1_flags(F.col("lines")))
-            .withColumn("w1", w1_parity(F.col("_f1")))
+            .withColumn("_f1", F.when(T.has_triple_quote(F.col("text")), w1_flags(F.col("lines"))))
+            .withColumn("w1", F.when(F.col("_f1").isNotNull(), w1_parity(F.col("_f1"))).otherwise(_zeros("lines")))
             .drop("_f1"))
 
 
 def with_comment_counts(files: DataFrame) -> DataFrame:
     """A1: ``code_lines`` and ``comment_lines`` per file (needs ``stripped``)."""
     return (files
-            .withColumn("_f2", w2_flags(F.col("stripped")))
-            .withColumn("w2", w2_state(F.col("_f2")))
+            .withColumn("_f2", F.when(T.has_triple_quote(F.col("text")), w2_flags(F.col("stripped"))))
+            .withColumn("w2", F.when(F.col("_f2").isNotNull(), w2_state(F.col("_f2"))).otherwise(_zeros("lines")))
             .withColumn("_cls", line_classes(F.col("stripped"), F.col("w2")))
             .withColumn("code_lines", count_chars(F.col("_cls"), "ic"))
             .withColumn("comment_lines", count_chars(F.col("_cls"), "xmhi"))

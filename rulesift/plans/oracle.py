@@ -49,8 +49,8 @@ NL = "chr(10)"
 CORPUS = f"""
 o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS c FROM orders),
 all_files AS (
-  SELECT 'org/repo' || CAST(c % {C.N_REPOS} AS VARCHAR) AS repo, {q(C.BRANCH)} AS branch,
-         {lst(C.DIRS)}[c % 7 + 1] || '/m' || CAST(k AS VARCHAR) || '/' || {lst(C.STEMS)}[k % 10 + 1] || '.py' AS path,
+  SELECT CASE WHEN c % {C.SKIPPED_EVERY} = 0 THEN {q(C.SKIPPED_REPO)} ELSE 'org/repo' || CAST(c % {C.N_REPOS} AS VARCHAR) END AS repo, {q(C.BRANCH)} AS branch,
+         {lst(C.DIRS)}[CASE WHEN c % {C.SKIPPED_EVERY} = 0 THEN 1 ELSE c % 7 END + 1] || '/m' || CAST(k AS VARCHAR) || '/' || {lst(C.STEMS)}[k % 10 + 1] || '.py' AS path,
          k
   FROM o),
 files AS (SELECT * FROM all_files WHERE NOT list_has_any(string_split(path, '/'), {SKIP})),
@@ -59,6 +59,7 @@ lines AS (
   SELECT repo, branch, path, CAST(n AS INTEGER) AS line_number,
          CASE WHEN i < 20 THEN {lst(C.TEMPLATES)}[i + 1]
               WHEN i < 60 THEN 'v' || CAST(i - 20 AS VARCHAR) || ' = f(v)'
+              WHEN i < {60 + len(C.RULE_LINES)} THEN {lst(C.RULE_LINES)}[i - 60 + 1]
               ELSE 'w = g(w)' END AS line
   FROM (SELECT *, ((k * 7919 + n * 104729 + (k % 101) * n * n) % 1000003)
                   % (CASE WHEN k % 3 = 0 THEN 400 ELSE 60 END) AS i FROM gen)),
@@ -276,14 +277,16 @@ bgen AS (SELECT repo, branch, path, k, unnest(generate_series(1, 4 + k % 61)) AS
 blines AS (
   SELECT repo, branch, path, n,
          CASE WHEN i < 20 THEN {lst(C.TEMPLATES)}[i + 1]
-              WHEN i < 60 THEN 'v' || CAST(i - 20 AS VARCHAR) || ' = f(v)' ELSE 'w = g(w)' END AS line
+              WHEN i < 60 THEN 'v' || CAST(i - 20 AS VARCHAR) || ' = f(v)'
+              WHEN i < {60 + len(C.RULE_LINES)} THEN {lst(C.RULE_LINES)}[i - 60 + 1] ELSE 'w = g(w)' END AS line
   FROM (SELECT *, ((k * 7919 + n * 104729 + (k % 101) * n * n) % 1000003)
                   % (CASE WHEN k % 3 = 0 THEN 400 ELSE 60 END) AS i FROM bgen)),
 btext AS (SELECT repo, branch, path, string_agg(line, {NL} ORDER BY n) || {NL} AS text
           FROM blines GROUP BY repo, branch, path)
 SELECT repo, branch, '' AS path, CAST(0 AS INTEGER) AS part,
-       'Repository: ' || repo || {NL} || 'Total Python files: ' || CAST(count(*) AS VARCHAR) AS text
-FROM bfiles GROUP BY repo, branch
+       'Repository: ' || repo || {NL} || 'Total Python files: '
+         || CAST(count(*) FILTER (WHERE NOT list_has_any(string_split(path, '/'), {bskip})) AS VARCHAR) AS text
+FROM all_files GROUP BY repo, branch
 UNION ALL SELECT repo, branch, path, CAST(1 AS INTEGER), '--- FILE: ' || path || ' ---' FROM btext
 UNION ALL SELECT repo, branch, path, CAST(2 AS INTEGER), text FROM btext
 UNION ALL SELECT repo, branch, path, CAST(3 AS INTEGER), {q(fixed.BUNDLE_FILE_END)} FROM btext""")
@@ -415,3 +418,63 @@ def _report_markdown() -> str:
 
 
 ORACLE["report_markdown"] = _report_markdown()
+
+
+def _report_json() -> str:
+    from rulesift.plans.report import FIXED_SCAN_TS
+    scan_date = FIXED_SCAN_TS.replace(" ", "T") + "+00:00"
+    multi = f"CAST(CASE WHEN description = {q(fixed.P1_DESC_MULTI)} THEN 1 ELSE 0 END AS INTEGER)"
+
+    def row(source, section, policy, sub, text):
+        return (f"SELECT repo, branch, CAST({section} AS INTEGER) AS section, CAST({policy} AS INTEGER) AS policy_id, CAST({sub} AS INTEGER) AS sub, "
+                f"'' AS file_path, CAST(0 AS INTEGER) AS pass_no, CAST(0 AS INTEGER) AS line_number, {text} AS text FROM {source}")
+
+    head = (f"'{{\"scan_date\":\"{scan_date}\",\"files_scanned\":' || files_scanned || ',\"overall_status\":\"' || overall_status || "
+            f"'\",\"total_errors\":' || total_errors || ',\"total_warnings\":' || total_warnings || ', \"policies\": {{'")
+    opened = ("CASE WHEN policy_id > 1 THEN ',' ELSE '' END || '\"' || policy_id || '\": {\"name\": ' || to_json(policy_name) || "
+              "', \"status\": \"' || status || '\", \"violations\": ['")
+    violations = f"""
+SELECT repo, branch, CAST(1 AS INTEGER), policy_id, CAST(1 AS INTEGER), file_path, {multi}, line_number,
+       CASE WHEN row_number() OVER (PARTITION BY repo, branch, policy_id ORDER BY string_split(file_path, '/'), {multi}, line_number) > 1 THEN ',' ELSE '' END
+       || to_json({{'file': file_path, 'line': line_number, 'severity': severity, 'description': description, 'content': line_content}})
+FROM findings"""
+    return with_corpus(" UNION ALL ".join([row("scan_totals", 0, "0", 0, head), row("policy_summary", 1, "policy_id", 0, opened),
+                                           row("policy_summary", 1, "policy_id", 2, "']}'"), row("scan_totals", 2, "0", 0, "'}}'"), violations]))
+
+
+ORACLE["report_json"] = _report_json()
+ORACLE["incremental_totals"] = with_corpus("""
+SELECT repo, 'me@' || branch AS branch, 'c1' AS commit, files_scanned, overall_status, total_errors, total_warnings FROM scan_totals""")
+ORACLE["incremental_findings"] = with_corpus("""
+SELECT repo, 'me@' || branch AS branch, 'c1' AS commit, policy_id, file_path, line_number, description FROM findings""")
+ORACLE["repo_name"] = """
+SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, 'https?://github\\.com/', ''), '\\.git$', ''), '/$', '') AS repo_name
+FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://github.com/org/r' || page_id || '.git'
+             WHEN 1 THEN 'http://github.com/org/r' || page_id || '/' WHEN 2 THEN url || '.git' ELSE url END AS url FROM pages)"""
+
+MODELS = f"""
+lines AS (
+  SELECT 'list' || (p_partkey % 4) AS source, p_partkey AS k, 'GPT ' || (p_partkey % 97) || ' (v' || (p_partkey % 5) || ')' AS name,
+         'gpt-' || (p_partkey % 97) || '-v' || (p_partkey % 5) AS id,
+         [0, 0.33, 1, 5, 10, NULL][p_partkey % 6 + 1]::DOUBLE AS m, CASE WHEN p_partkey % 3 = 0 THEN 1.0::DOUBLE END AS free
+  FROM part),
+catalog AS (
+  SELECT id, arg_max(name, (source, k)) AS name, arg_max(m, (source, k)) AS m, max((source, k, coalesce(free, -1))) AS last
+  FROM lines WHERE m IS NOT NULL GROUP BY id),
+priced AS (
+  SELECT id, name, m, CASE WHEN last[3] >= 0 THEN last[3] END AS free,
+         CASE WHEN m = floor(m) THEN CAST(CAST(m AS BIGINT) AS VARCHAR) ELSE CAST(m AS VARCHAR) END AS t FROM catalog)
+"""
+ORACLE["model_slug"] = f"WITH {MODELS} SELECT id, name FROM priced"
+ORACLE["model_tier"] = f"""WITH {MODELS} SELECT id, m AS multiplier,
+  CASE WHEN m = 0 THEN 'base' WHEN m < 1 THEN 'low' WHEN m <= 1 THEN 'standard' WHEN m <= 5 THEN 'premium' ELSE 'expensive' END AS tier FROM priced"""
+ORACLE["model_cost"] = f"""WITH {MODELS} SELECT id,
+  CASE WHEN m = 0 THEN 'Included' ELSE t || '× premium' END AS cost,
+  CASE WHEN m = 0 THEN '$0.00' ELSE '$' || printf('%.2f', m * {fixed.OVERAGE_PER_REQUEST}) END AS overage,
+  CASE WHEN m = 0 THEN 'Included with paid plans' ELSE t || '× premium request' || CASE WHEN m <> 1 THEN 's' ELSE '' END || ' per use' END AS ui_label,
+  CASE WHEN m = 0 THEN 'No premium requests used' WHEN free = 1 THEN '1× on Free plan' ELSE '' END AS ui_badge,
+  name || '    ·    ' || CASE WHEN m = 0 THEN 'Included' ELSE t || '× premium' END AS option_text FROM priced"""
+ORACLE["model_resolve"] = f"""WITH {MODELS},
+asked AS (SELECT o_orderkey, 'gpt-' || (o_orderkey % 120) || '-v' || (o_orderkey % 5) AS model FROM orders),
+known AS (SELECT o_orderkey, coalesce(p.id, {q(fixed.DEFAULT_MODEL_ID)}) AS model_id FROM asked LEFT JOIN priced p ON p.id = asked.model)
+SELECT o_orderkey, model_id, m AS multiplier, name FROM known LEFT JOIN priced ON priced.id = known.model_id"""

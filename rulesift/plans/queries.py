@@ -9,6 +9,7 @@ types match the DuckDB statements in ``rulesift.plans.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from rulesift import fixed
 from rulesift.config import ScanConfig
 from rulesift.functions import text as T
+from rulesift.operators import catalog as CAT
 from rulesift.operators import detectors as D
 from rulesift.operators import lines as L
 from rulesift.operators import summary as S
@@ -23,7 +25,9 @@ from rulesift.plans import report as R
 from rulesift.plans.scan import scan
 from rulesift.sources import corpus as C
 from rulesift.sources import tables as TB
-from rulesift.streaming import scanlog
+from rulesift.sources.price_list import parse_price_lines
+from rulesift.session import scratch_path
+from rulesift.streaming import incremental, scanlog
 
 SCAN_TS = R.FIXED_SCAN_TS
 CFG = ScanConfig()
@@ -33,17 +37,13 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
     return C.load_corpus(spark, sf)
 
 
-def _scan(spark: SparkSession, sf: str):
-    return scan(_corpus(spark, sf), CFG)
+def _scan(spark: SparkSession, sf: str, cfg: ScanConfig = CFG):
+    return scan(_corpus(spark, sf), cfg)
 
 
-def _findings(spark, sf, policy_id=None, description=None):
-    f = _scan(spark, sf).findings
-    if policy_id is not None:
-        f = f.where(F.col("policy_id") == policy_id)
-    if description is not None:
-        f = f.where(F.col("description") == description)
-    return f
+def _findings(spark, sf, *policy_ids):
+    """Findings of these policies, by a scan that builds their detectors alone."""
+    return _scan(spark, sf, CFG.only(*policy_ids) if policy_ids else CFG).findings
 
 
 def _corpus_lines(spark, sf):
@@ -85,18 +85,21 @@ def code_part(spark, sf):
 
 
 def repo_name(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    """Clone URLs computed from the pages' ids, and the pages' own URLs."""
+    url = F.expr("""CASE page_id % 4 WHEN 0 THEN concat('https://github.com/org/r', page_id, '.git')
+        WHEN 1 THEN concat('http://github.com/org/r', page_id, '/') WHEN 2 THEN concat(url, '.git') ELSE url END""")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", url.alias("url"))
     return pages.select("page_id", "url", T.repo_name_from_url(F.col("url")).alias("repo_name"))
 
 
 # -- detectors ------------------------------------------------------------------
 
 def policy1_session_line(spark, sf):
-    return _findings(spark, sf, 1, fixed.P1_DESC_LINE)
+    return scan(_corpus(spark, sf), replace(CFG.only(1), multiline_session=False)).findings
 
 
 def policy1_session_multiline(spark, sf):
-    return _findings(spark, sf, 1, fixed.P1_DESC_MULTI)
+    return _findings(spark, sf, 1).where(F.col("description") == fixed.P1_DESC_MULTI)
 
 
 def policy1_session(spark, sf):
@@ -109,9 +112,7 @@ def policy2_secrets(spark, sf):
 
 def policy2_documents(spark, sf):
     docs = TB.documents_as_files(TB.load_documents(spark, sf))
-    cfg = ScanConfig(rule_sets=tuple(r for r in CFG.rule_sets if r.policy_id == 2),
-                     multiline_session=False, comment_density=False, file_names=False)
-    return scan(docs, cfg).findings
+    return scan(docs, CFG.only(2)).findings
 
 
 def policy3_comment_density(spark, sf):
@@ -211,6 +212,61 @@ def report_markdown(spark, sf):
     return R.markdown_rows(_scan(spark, sf).materialize(), scan_ts=SCAN_TS)
 
 
+def report_json(spark, sf):
+    rows = R.json_rows(_scan(spark, sf).materialize(), scan_ts=SCAN_TS)
+    return rows.withColumn("file_path", F.array_join("parts", "/")).drop("parts")
+
+
+def _incremental(spark, sf):
+    """The corpus landed as one commit in several files, scanned batch by batch; the kept output."""
+    base = scratch_path(spark, "incremental")
+    files = _corpus(spark, sf).select("repo", F.concat(F.lit("me@"), F.col("branch")).alias("branch"), F.lit("c1").alias("commit"), "path", "text")
+    files.coalesce(2).write.parquet(f"{base}/landing")
+    incremental.start_incremental_scan(spark, f"{base}/landing", f"{base}/out", f"{base}/stream", files_per_batch=1).awaitTermination()
+    return f"{base}/out"
+
+
+def incremental_totals(spark, sf):
+    return incremental.read_kept(spark, _incremental(spark, sf), "scan_totals").select(
+        "repo", "branch", "commit", "files_scanned", "overall_status", "total_errors", "total_warnings")
+
+
+def incremental_findings(spark, sf):
+    return incremental.read_kept(spark, _incremental(spark, sf), "findings").select(
+        "repo", "branch", "commit", "policy_id", "file_path", "line_number", "description")
+
+
+# -- price catalog: list lines computed from part ---------------------------------------
+
+def _models(spark, sf):
+    paid = ["0", "0.33", "1", "5", "10", fixed.PRICE_NOT_APPLICABLE]
+    k = F.col("p_partkey")
+    lines = F.array(
+        F.concat(F.lit(f"{fixed.PRICE_NAME_KEY} GPT "), k % 97, F.lit(" (v"), k % 5, F.lit(")")),
+        F.concat(F.lit(f"  {fixed.PRICE_PAID_KEY} "), F.element_at(F.array(*map(F.lit, paid)), (k % 6 + 1).cast("int"))),
+        F.when(k % 3 == 0, F.lit(f"  {fixed.PRICE_FREE_KEY} 1")).when(k % 3 == 1, F.lit(f"  {fixed.PRICE_FREE_KEY} {fixed.PRICE_NOT_APPLICABLE}")).otherwise(""))
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("list"), k % 4).alias("source"), k, F.posexplode(lines).alias("j", "line"))
+    return CAT.model_catalog(parse_price_lines(parts.select("source", (k * 10 + F.col("j")).alias("line_number"), "line")))
+
+
+def model_slug(spark, sf):
+    return _models(spark, sf).select("id", "name")
+
+
+def model_tier(spark, sf):
+    return _models(spark, sf).select("id", "multiplier", "tier")
+
+
+def model_cost(spark, sf):
+    return _models(spark, sf).select("id", "cost", "overage", "ui_label", "ui_badge", "option_text")
+
+
+def model_resolve(spark, sf):
+    o = F.col("o_orderkey")
+    asked = spark.read.parquet(f"{sf}/orders.parquet").select(o, F.concat(F.lit("gpt-"), o % 120, F.lit("-v"), o % 5).alias("model"))
+    return CAT.resolve_models(asked, _models(spark, sf)).select("o_orderkey", "model_id", "multiplier", "name")
+
+
 def scan_log(spark, sf):
     return scanlog.daily_scan_log(scanlog.scan_events(spark.read.parquet(f"{sf}/events.parquet")))
 
@@ -248,5 +304,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "review_bundle": review_bundle,
     "file_order": file_order,
     "report_markdown": report_markdown,
+    "report_json": report_json,
+    "incremental_totals": incremental_totals,
+    "incremental_findings": incremental_findings,
+    "model_slug": model_slug,
+    "model_tier": model_tier,
+    "model_cost": model_cost,
+    "model_resolve": model_resolve,
     "scan_log": scan_log,
 }

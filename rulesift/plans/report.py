@@ -1,24 +1,24 @@
 """Reports: Markdown (K1) and JSON (K2) per repository, review bundle.
 
-A report is a *set of rows* with a sort key, not one string built in one
-task: ``markdown_rows`` gives (repo, branch, section, policy_id, sub,
-file_path, line_number, seq, text); ordering by the key columns gives the
-document.  ``write_markdown`` range-partitions on that key and writes text
-files per repository, so a repository with a third of all findings is spread
-over many tasks.  Single-string forms (``markdown_text``, ``json_report``,
-``bundle_text``) exist for small repositories and refuse to run when a
-repository exceeds a stated number of rows.
+A report is a *set of rows* with a sort key, not one string built in one task:
+``markdown_rows`` and ``json_rows`` give (repo, branch, section, policy_id, sub,
+…, text); the texts in the order of the key columns are the document.
+``write_report`` range-partitions on that key and writes text files per
+repository, so a repository with a third of all findings is spread over many
+tasks and no repository holds up the others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rulesift import fixed
 from rulesift.functions import text as T
 from rulesift.operators import summary as S
-from rulesift.session import ensure_checkpoint_dir
+from rulesift.operators.detectors import fmt
+from rulesift.session import materialize
 
 FIXED_SCAN_TS = "2024-01-01 00:00:00"
 DEFAULT_GENERATOR = "rulesift"
@@ -53,20 +53,17 @@ def overall_lines(totals: DataFrame) -> DataFrame:
         "repo", "branch", "files_scanned", "overall_status",
         _case(F.col("overall_status"), fixed.REPORT_OVERALL).alias("headline"),
         F.when(F.col("files_scanned") == 0,
-               F.concat(F.lit("> No Python files found in `"), F.col("repo"), F.lit("`. Nothing to review.")))
+               fmt(fixed.REPORT_NO_FILES, repo=F.col("repo")))
         .alias("note"))
 
 
 def markdown_rows(result, scan_ts: str = FIXED_SCAN_TS, generator: str = DEFAULT_GENERATOR) -> DataFrame:
     """K1 as ordered rows.  ``scan_ts`` is a parameter so reports repeat."""
     now = F.lit(f"{scan_ts} UTC")
-    # the per-repository tables are small (at most 7 rows per repository) and
-    # feed several sections: checkpoint them once instead of re-aggregating
-    ensure_checkpoint_dir(result.findings.sparkSession)
-    totals = result.scan_totals.checkpoint()
-    summary = result.policy_summary.checkpoint()
-    counts = S.policy_file_counts(result.findings).select("repo", "branch", "policy_id",
-                                                           F.col("files").alias("n_files")).checkpoint()
+    # counts per repository and policy feed several sections: written once
+    counts = S.policy_file_counts(result.findings).select("repo", "branch", "policy_id", F.col("files").alias("n_files"))
+    table = materialize(result.policy_table.join(counts, ["repo", "branch", "policy_id"], "left"), "policy_table")
+    totals, summary = S.scan_totals_from(table), S.policy_summary_from(table, result.cfg)
     n = F.col("files_scanned").cast("string")
     header = _rows(totals, 0, [
         F.lit(fixed.REPORT_TITLE), F.lit(""), F.lit(fixed.REPORT_READ_ONLY), F.lit(""),
@@ -90,7 +87,7 @@ def markdown_rows(result, scan_ts: str = FIXED_SCAN_TS, generator: str = DEFAULT
                  F.col("errors").cast("string"), F.lit(" | "), F.col("warnings").cast("string"), F.lit(" |"))],
         policy_id=F.col("policy_id"))
     findings_title = _rows(totals, 3, [F.lit(""), F.lit("---"), F.lit(""), F.lit("## Detailed Findings")])
-    per_policy = summary.join(counts, ["repo", "branch", "policy_id"], "left")
+    per_policy = summary.join(table.select("repo", "branch", "policy_id", "n_files"), ["repo", "branch", "policy_id"])
     violations = F.col("errors") + F.col("warnings")
     has = violations > 0
     policy_head = _rows(per_policy, 4, [
@@ -128,96 +125,67 @@ def markdown_rows(result, scan_ts: str = FIXED_SCAN_TS, generator: str = DEFAULT
     return out.select(*ROW_COLUMNS)
 
 
-def _check_group_size(rows: DataFrame, keys: list[str], max_rows: int, what: str):
-    """Refuse to build one value per group when a group exceeds ``max_rows``."""
-    worst = rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if worst is not None and worst > max_rows:
-        raise ValueError(f"{what}: a group has {worst} rows (limit {max_rows}); "
-                         f"use the row form and write it with write_markdown")
+def write_report(rows: DataFrame, path: str, key: list[str] = ORDER_KEY, partitions: int | None = None):
+    """K3: write each repository's report as text under ``path/repo=…/branch=…``.
+    Files of one repository concatenated in part order give the document
+    (of ``markdown_rows``, or of ``json_rows`` with its key)."""
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (rows.repartitionByRange(n, "repo", "branch", *key)
+     .sortWithinPartitions("repo", "branch", *key)
+     .select("repo", "branch", "text")
+     .write.mode("overwrite").partitionBy("repo", "branch").text(path))
 
 
-def markdown_text(rows: DataFrame, max_lines: int = 200_000) -> DataFrame:
-    """One Markdown string per repository (small repositories only)."""
-    _check_group_size(rows, ["repo", "branch"], max_lines, "markdown_text")
-    ordered = F.sort_array(F.collect_list(F.struct(*[F.col(k) for k in ORDER_KEY], F.col("text"))))
-    return rows.groupBy("repo", "branch").agg(
-        F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("report"))
+JSON_KEY = ["section", "policy_id", "sub", "parts", "pass_no", "line_number"]
 
 
-def write_markdown(rows: DataFrame, path: str, partitions: int | None = None):
-    """K3: write each repository's report as text under ``path/repo=…/branch=…``.
-    Files of one repository concatenated in part order give the document."""
-    spark = rows.sparkSession
-    n = partitions or max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    (rows.repartitionByRange(n, "repo", "branch", *ORDER_KEY)
-     .sortWithinPartitions("repo", "branch", *ORDER_KEY)
-     .select("repo", "branch", "text")
-     .write.mode("overwrite").partitionBy("repo", "branch").text(path))
+def json_rows(result, scan_ts: str = FIXED_SCAN_TS) -> DataFrame:
+    """K2 as ordered rows (repo, branch, section, policy_id, sub, parts, pass_no, line_number, text):
+    scan_date, files_scanned, overall_status, totals, and ``policies`` by number, each with its
+    violations in file order (path parts), the one-line pass before the cross-line pass of policy 1,
+    then line number.  Every text but a policy's first violation begins with its comma."""
+    keys = ["repo", "branch", "policy_id"]
+    table = materialize(result.policy_table, "policy_table")
+    totals, summary = S.scan_totals_from(table), S.policy_summary_from(table, result.cfg)
+    nowhere = [F.array().cast("array<string>").alias("parts"), F.lit(0).alias("pass_no"), F.lit(0).alias("line_number")]
 
+    def row(df: DataFrame, section: int, sub: int, text: Column, policy_id: Column | None = None) -> DataFrame:
+        return df.select("repo", "branch", F.lit(section).alias("section"), (policy_id if policy_id is not None else F.lit(0)).cast("int").alias("policy_id"),
+                         F.lit(sub).alias("sub"), *nowhere, text.alias("text"))
 
-def json_report(result, scan_ts: str = FIXED_SCAN_TS, max_findings: int = 200_000) -> DataFrame:
-    """K2: one JSON document per repository: scan_date, files_scanned,
-    overall_status, totals and ``policies`` keyed by the policy id string, the
-    violations in file order (path parts), one-line pass before the cross-line
-    pass of policy 1, then line number."""
-    f = result.findings
-    _check_group_size(f, ["repo", "branch"], max_findings, "json_report")
-    order_key = F.struct(T.path_parts(F.col("file_path")).alias("parts"),
-                         (F.col("description") == fixed.P1_DESC_MULTI).cast("int").alias("pass_no"),
-                         F.col("line_number").alias("line"))
-    viol = (f.groupBy("repo", "branch", "policy_id")
-            .agg(F.sort_array(F.collect_list(F.struct(
-                order_key.alias("k"),
-                F.struct(F.col("file_path").alias("file"), F.col("line_number").alias("line"),
-                         F.col("severity").alias("severity"), F.col("description").alias("description"),
-                         F.col("line_content").alias("content")).alias("v")))).alias("vs")))
-    per_policy = (result.policy_summary.join(viol, ["repo", "branch", "policy_id"], "left")
-                  .select("repo", "branch", "policy_id", F.struct(
-                      F.col("policy_name").alias("name"), F.col("status").alias("status"),
-                      F.coalesce(F.transform("vs", lambda x: x["v"]),
-                                 F.array().cast("array<struct<file:string,line:int,severity:string,"
-                                                "description:string,content:string>>")).alias("violations"))
-                      .alias("p")))
-    policies = per_policy.groupBy("repo", "branch").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(
-            F.struct(F.col("policy_id").cast("string").alias("key"), F.col("p").alias("value"))))).alias("policies"))
-    iso = scan_ts.replace(" ", "T") + "+00:00"
-    return (result.scan_totals.join(policies, ["repo", "branch"], "left")
-            .select("repo", "branch", F.to_json(F.struct(
-                F.lit(iso).alias("scan_date"), "files_scanned", "overall_status", "total_errors",
-                "total_warnings", "policies")).alias("report")))
+    text = F.to_json(F.struct(F.lit(scan_ts.replace(" ", "T") + "+00:00").alias("scan_date"), "files_scanned", "overall_status", "total_errors", "total_warnings"))
+    head = row(totals.withColumn("j", text), 0, 0, F.concat(F.expr("substr(j, 1, length(j) - 1)"), F.lit(', "policies": {')))
+    first = F.min("policy_id").over(Window.partitionBy("repo", "branch"))  # as many rows as there are policies
+    opened = F.concat(F.when(F.col("policy_id") > F.col("first"), ",").otherwise(""), F.lit('"'), F.col("policy_id").cast("string"), F.lit('": {"name": '),
+                      F.expr("substr(j, 6, length(j) - 6)"), F.lit(', "status": "'), F.col("status"), F.lit('", "violations": ['))
+    named = summary.withColumns({"j": F.to_json(F.struct(F.col("policy_name").alias("n"))), "first": first})
+    policies = row(named, 1, 0, opened, F.col("policy_id")).union(row(summary, 1, 2, F.lit("]}"), F.col("policy_id")))
+
+    found = result.findings.select(
+        *keys, T.path_parts(F.col("file_path")).alias("parts"), (F.col("description") == fixed.P1_DESC_MULTI).cast("int").alias("pass_no"), "line_number",
+        F.to_json(F.struct(F.col("file_path").alias("file"), F.col("line_number").alias("line"), "severity", "description", F.col("line_content").alias("content"))).alias("j"))
+    place = F.struct("parts", "pass_no", "line_number")
+    firsts = found.groupBy(*keys).agg(F.min(place).alias("least"))
+    violations = found.join(firsts, keys).select(
+        "repo", "branch", F.lit(1), F.col("policy_id").cast("int"), F.lit(1), "parts", "pass_no", "line_number",
+        F.concat(F.when(place > F.col("least"), ",").otherwise(""), F.col("j")))
+    return head.union(policies).union(violations).union(row(totals, 2, 0, F.lit("}}")))
 
 
 def review_bundle_rows(files: DataFrame) -> DataFrame:
     """Per repository the review bundle as ordered rows: a header
     (part 0), then per file its begin mark (1), text (2) and end mark (3).
-    Entries under the intake's skipped names are left out."""
-    kept = files.where(~T.in_skipped_dir(F.col("path"), fixed.BUNDLE_SKIP_NAMES))
-    header = (kept.groupBy("repo", "branch").agg(F.count("*").alias("n"))
+    Entries under the intake's skipped names, and files that could not be read,
+    are left out and not counted; a repository without files has its header."""
+    kept = ~T.in_skipped_dir(F.col("path"), fixed.BUNDLE_SKIP_NAMES) & F.col("text").isNotNull()
+    kept = F.coalesce(kept, F.lit(False))
+    header = (files.groupBy("repo", "branch").agg(F.count_if(kept).alias("n"))
               .select("repo", "branch", F.lit("").alias("path"), F.lit(0).alias("part"),
                       F.concat(F.lit("Repository: "), F.col("repo"), F.lit("\nTotal Python files: "),
                                F.col("n").cast("string")).alias("text")))
-    body = kept.select("repo", "branch", "path", F.posexplode(F.array(
-        F.concat(F.lit("--- FILE: "), F.col("path"), F.lit(" ---")),
+    body = files.where(kept).select("repo", "branch", "path", F.posexplode(F.array(
+        fmt(fixed.BUNDLE_FILE_BEGIN, path=F.col("path")),
         F.col("text"),
         F.lit(fixed.BUNDLE_FILE_END))).alias("pos", "text")) \
         .select("repo", "branch", "path", (F.col("pos") + 1).cast("int").alias("part"), "text")
     return header.unionByName(body)
-
-
-def bundle_text(bundle_rows: DataFrame, max_bytes: int = 512 * 1024 * 1024) -> DataFrame:
-    """A9 as one string per repository, in the intake's layout (header, then
-    per file its begin mark, text and end mark).  Refuses repositories whose
-    bundle exceeds ``max_bytes`` (a row must stay far below 2 GB)."""
-    sizes = bundle_rows.groupBy("repo", "branch").agg(F.sum(F.octet_length("text")).alias("b"))
-    worst = sizes.agg(F.max("b")).first()[0]
-    if worst is not None and worst > max_bytes:
-        raise ValueError(f"bundle_text: a repository has {worst} bytes (limit {max_bytes}); use the rows")
-    piece = F.when(F.col("part") == 0, F.concat(F.lit("\n"), F.col("text"), F.lit("\n\n"))) \
-        .when(F.col("part") == 1, F.concat(F.col("text"), F.lit("\n"))) \
-        .when(F.col("part") == 2, F.col("text")) \
-        .otherwise(F.concat(F.lit("\n"), F.col("text"), F.lit("\n\n")))
-    parts = F.sort_array(F.collect_list(F.struct(T.path_parts(F.col("path")).alias("k"), F.col("part"),
-                                                 piece.alias("t"))))
-    return bundle_rows.groupBy("repo", "branch").agg(
-        F.array_join(F.transform(parts, lambda r: r["t"]), "").alias("bundle"))

@@ -5,7 +5,7 @@
     result.findings / .policy_summary / .scan_totals / .gate / ...
 
 Physical shape: one map-only stage from the file scan to the findings (no
-shuffle of lines), one small shuffle for the summary cube (partial aggregates),
+shuffle of lines), one small shuffle for the counts per policy (partial aggregates),
 one for the per-repository file counts (reads only repo/branch/path).
 """
 
@@ -14,7 +14,8 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rulesift.config import ScanConfig
 from rulesift.operators import summary as S
@@ -30,18 +31,18 @@ class ScanResult:
     cfg: ScanConfig
 
     @cached_property
-    def cube(self) -> DataFrame:
-        """Summary aggregate (at most 8 rows per repository); call ``materialize``
-        first when several outputs are needed from one scan."""
-        return S.summary_cube(self.file_counts, self.findings, self.cfg)
+    def policy_table(self) -> DataFrame:
+        """Counts per repository and policy; call ``materialize`` first when
+        several outputs are needed from one scan."""
+        return S.policy_table(self.file_counts, self.findings, self.cfg)
 
     @property
     def policy_summary(self) -> DataFrame:
-        return S.policy_summary_from(self.cube, self.cfg)
+        return S.policy_summary_from(self.policy_table, self.cfg)
 
     @property
     def scan_totals(self) -> DataFrame:
-        return S.scan_totals_from(self.cube)
+        return S.scan_totals_from(self.policy_table)
 
     @property
     def gate(self) -> DataFrame:
@@ -72,10 +73,22 @@ class ScanResult:
                        file_counts=spark.read.parquet(f"{base}/file_counts"))
 
 
-def write_findings(findings: DataFrame, path: str, mode: str = "overwrite"):
-    """K5: keep the findings of a scan, partitioned by repository (the key of a
-    finding is repo, branch, policy_id, file_path, line_number)."""
-    findings.write.mode(mode).partitionBy("repo").parquet(path)
+def write_findings(result: ScanResult, path: str):
+    """K5: keep the findings of a scan, partitioned by repository and branch (the
+    key of a finding is repo, branch, policy_id, file_path, line_number).
+
+    The (repo, branch) partitions of this scan replace what was kept for them; other
+    repositories stay.  One that has no findings now is cleared: every scanned
+    branch writes a marker row, which ``read_findings`` leaves out."""
+    columns = result.findings.columns
+    marker = result.file_counts.select("repo", "branch", *(F.lit(None).cast(result.findings.schema[c].dataType).alias(c) for c in columns if c not in ("repo", "branch")))
+    (result.findings.unionByName(marker).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("repo", "branch").parquet(path))
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """The findings kept by ``write_findings``."""
+    return spark.read.parquet(path).where("policy_id IS NOT NULL")
 
 
 def register_views(result: ScanResult, prefix: str = ""):

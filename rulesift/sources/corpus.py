@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Corpus constants of our own fixture (not of the scanned tool).
-DIRS = ("src/jobs", "src/venv", "site-packages", "lib", ".github", "pipelines", "src")
+DIRS = ("src/jobs", "src/venv", "site-packages", "lib", "node_modules", "pipelines", "src")
 STEMS = ("load_orders", "etl", "1", "temp", "__init__", "conftest", "Script",
          "customer_dim", "abcd", "my_file")
 TEMPLATES = (
@@ -37,7 +37,39 @@ TEMPLATES = (
     "s = SparkSession",
     "    .builder.getOrCreate()",
 )
+# One line that each other rule of policies 2, 4, 5 and 7 finds, each followed by one
+# that it just misses (a later rule may find that), and a line over 150 characters.
+RULE_LINES = (
+    r'p = "D:\data\x.csv"', 'p = "D:data"',
+    'u = "s3a://bucket/key"', 'u = "s3:/bucket"',
+    'u = "abfss://c@a.dfs/x"', 'u = "abfs:/c"',
+    'u = "gs://bucket/k"', 'u = "gs:/bucket"',
+    'u = "wasbs://c@a/x"', 'u = "wasb:/c"',
+    'password = "abc"', 'password = "ab"',
+    'mail = "a.b@example.com"', 'mail = "a.b@example"',
+    'c = "redis://host:1"', 'c = "redis:/host"',
+    'h = "10.0.0.1"', 'h = "10.0.0"',
+    'q = "CREATE TABLE t USING csv"', 'q = "CREATE TABLE t USING delta"',
+    'q = "STORED AS ORC"', 'q = "STORED AS DELTA"',
+    'df.read.format( \'orc\' )', 'df.read.format("delta")',
+    'q = "create  database d"', 'q = "CREATE VIEW d"',
+    'spark.catalog.createDatabase ("d")', 'spark.catalog.createdatabases("d")',
+    'urllib.request.urlopen(u)', 'urllib.request.Request(u)',
+    'r = requests.get(u, stream=True)', 'r = requests.get(u)',
+    'wget (u)', 'wget = 1',
+    'subprocess.run(["curl", u])', 'subprocess.run(["ls", u])',
+    'os.system("wget -q " + u)', 'os.system("ls")',
+    'shutil.copyfileobj(a, b)', 'shutil.copyfile(a, b)',
+    'dbutils.fs.cp(a, "file:/x")', 'dbutils.fs.cp(a, b)',
+    'gdown.download(u)', 'gdown.cached(u)',
+    'tf.keras.utils.get_file(u)', 'tf.keras.utils.get_files',
+    'torch.hub.download_url_to_file(u)', 'torch.hub.load(u)',
+    'token = "' + "abcdefghij" * 16 + '"',
+)
 N_REPOS = 20
+#: Orders of customers that this divides land in a repository whose files are all skipped.
+SKIPPED_EVERY = 97
+SKIPPED_REPO = "org/skipped"
 BRANCH = "main"
 
 
@@ -51,9 +83,19 @@ def corpus_line(k: Column, n: Column) -> Column:
     i = ((k * 7919 + n * 104729 + (k % 101) * n * n) % 1000003) % modulus
     return (F.when(i < 20, _pick(TEMPLATES, i))
             .when(i < 60, F.concat(F.lit("v"), (i - 20).cast("string"), F.lit(" = f(v)")))
+            .when(i < 60 + len(RULE_LINES), _pick(RULE_LINES, i - 60))
             .otherwise(F.lit("w = g(w)")))
 
 
+def _repo(c: Column) -> Column:
+    return F.when(c % SKIPPED_EVERY == 0, SKIPPED_REPO).otherwise(F.concat(F.lit("org/repo"), (c % N_REPOS).cast("string")))
+
+
+def _path(k: Column, c: Column) -> Column:
+    folder = F.when(c % SKIPPED_EVERY == 0, 1).otherwise(c % 7)
+    return F.concat(_pick(DIRS, folder), F.lit("/m"), k.cast("string"), F.lit("/"), _pick(STEMS, k % 10), F.lit(".py"))
+
+
 def corpus_files(orders: DataFrame) -> DataFrame:
     """code_files(repo, branch, path, text) of the synthetic corpus.
 
@@ -64,10 +106,9 @@ def corpus_files(orders: DataFrame) -> DataFrame:
     n_lines = F.lit(4) + k % 61
     lines = F.transform(F.sequence(F.lit(1).cast("long"), n_lines), lambda n: corpus_line(k, n))
     return orders.select(
-        F.concat(F.lit("org/repo"), (c % N_REPOS).cast("string")).alias("repo"),
+        _repo(c).alias("repo"),
         F.lit(BRANCH).alias("branch"),
-        F.concat(_pick(DIRS, c % 7), F.lit("/m"), k.cast("string"), F.lit("/"),
-                 _pick(STEMS, k % 10), F.lit(".py")).alias("path"),
+        _path(k, c).alias("path"),
         F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"),
     )
 
@@ -79,30 +120,21 @@ def corpus_lines(orders: DataFrame) -> DataFrame:
     return (orders
             .select(k.alias("k"), c.alias("c"),
                     F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4) + k % 61)).alias("n"))
-            .select(F.concat(F.lit("org/repo"), (F.col("c") % N_REPOS).cast("string")).alias("repo"),
+            .select(_repo(F.col("c")).alias("repo"),
                     F.lit(BRANCH).alias("branch"),
-                    F.concat(_pick(DIRS, F.col("c") % 7), F.lit("/m"), F.col("k").cast("string"),
-                             F.lit("/"), _pick(STEMS, F.col("k") % 10), F.lit(".py")).alias("path"),
+                    _path(F.col("k"), F.col("c")).alias("path"),
                     F.col("n").cast("int").alias("line_number"),
                     corpus_line(F.col("k"), F.col("n")).alias("line")))
 
 
-def spread(df: DataFrame, key: str, per_core: int = 2) -> DataFrame:
-    """Hash-spread small, highly expanding input over the cluster.
-
-    One order becomes a file of up to 64 lines, so a few input splits would
-    leave most cores idle.  The partition count is explicit (at least the
-    input's, at least ``per_core`` per core) so that AQE does not coalesce the
-    tiny shuffle back into one task; hashing on the key keeps retries
-    deterministic."""
-    spark = df.sparkSession
-    n = max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism * per_core)
-    return df.repartition(n, key)
-
-
 def load_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two key columns that the corpus is computed from, hash-spread: one order
+    becomes a file of up to 64 lines, so a few input splits would leave most
+    cores idle.  Only keys move (16 bytes a file); the texts are built after it.
+    The count is explicit, so that AQE does not merge the tiny partitions again."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    return spread(orders, "o_orderkey")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return orders.repartition(n, "o_orderkey")
 
 
 def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

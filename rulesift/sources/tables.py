@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulesift.functions import text as T
-from rulesift.sources.corpus import spread
 
 
 def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return spread(docs, "doc_id")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:

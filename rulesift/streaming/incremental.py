@@ -1,48 +1,99 @@
 """Incremental scan of landed code snapshots with Structured Streaming.
 
 Snapshots of ``code_files`` rows (repo, branch, commit, path, text) land as
-Parquet files in a folder.  Each micro-batch is scanned with the batch plan
-inside ``foreachBatch`` (the docstring state lives inside each file row, so
-no row-based window is needed at all) and written idempotently: the findings
-and summaries of every (repo, branch, commit) in the batch replace earlier
-output for that key (dynamic partition overwrite), so a replayed batch after a
-failure writes the same result.  ``availableNow`` processes what has landed
-and stops; the checkpoint makes the query restartable.
+Parquet files in a folder; the files of one commit may arrive in any number of
+micro-batches.  Each batch is scanned with the batch plan inside ``foreachBatch``.
+Findings and the list of scanned files are kept per (repo, branch, commit, path):
+a batch replaces what was kept for the paths it brings, keeps the commit's other
+paths, and rebuilds the summaries of the commits it touches from all that is
+kept.  So a replayed batch writes the same result, a file that lands again
+without findings loses its old ones, and the order of arrival does not matter.
+
+Kept tables are partitioned by (repo, branch, commit); only touched partitions
+are rewritten, through the shared scratch folder, by the option of the write
+(nothing of the session changes).
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulesift.config import ScanConfig
+from rulesift.operators import summary as S
 from rulesift.plans.scan import scan
+from rulesift.session import materialize
 
 SNAPSHOT_SCHEMA = "repo string, branch string, commit string, path string, text string"
+KEY = ["repo", "branch", "commit"]
+_PAIR = "branch string, commit string"
+_FINDINGS = ("policy_id int, policy_name string, file_path string, line_number int, line_content string, "
+             "description string, severity string, repo string, branch string, commit string")
+_FILES = "path string, repo string, branch string, commit string"
+
+
+def _with_commit(df: DataFrame) -> DataFrame:
+    """Branch and commit from the pair that the scan carries as its branch."""
+    pair = F.from_json("branch", _PAIR)
+    return df.withColumn("_pair", pair).withColumn("branch", F.col("_pair.branch")).withColumn("commit", F.col("_pair.commit")).drop("_pair")
+
+
+def _as_pair(df: DataFrame) -> DataFrame:
+    return df.withColumn("branch", F.to_json(F.struct("branch", "commit"))).drop("commit")
+
+
+def _kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # nothing was kept yet
+        return spark.createDataFrame([], schema)
+
+
+def _replace(df: DataFrame, path: str) -> None:
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY).parquet(path))
+
+
+def read_kept(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
+    """findings, files, policy_summary or scan_totals as they are kept."""
+    df = spark.read.parquet(f"{out_dir}/{table}")
+    return df.where("policy_id IS NOT NULL") if table == "findings" else df
 
 
 def scan_batch(batch: DataFrame, out_dir: str, cfg: ScanConfig | None = None):
-    """Scan one micro-batch and overwrite the output of its commits."""
-    cfg = cfg or ScanConfig()
-    files = batch.select(F.concat_ws("@", "branch", "commit").alias("branch"), "repo", "path", "text")
-    res = scan(files, cfg).materialize(f"{out_dir}/_batch_tmp")
-    spark = batch.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    """Scan one micro-batch and replace what is kept of its files and commits."""
+    cfg, spark = cfg or ScanConfig(), batch.sparkSession
+    files = materialize(batch.dropDuplicates([*KEY, "path"]), "batch")
+    if files.isEmpty():
+        return
+    landed = files.select("path", *KEY)
+    touched = landed.select(*KEY).distinct()
+    new = _with_commit(scan(_as_pair(files), cfg).findings)
+
+    def merged(table: str, schema: str, path_col: str, add: DataFrame) -> DataFrame:
+        old = _kept(spark, f"{out_dir}/{table}", schema).join(touched, KEY, "left_semi")
+        old = old.join(landed.withColumnRenamed("path", path_col), [*KEY, path_col], "left_anti")
+        return old.select(add.columns).union(add)
 
-    def split_branch(df):
-        return (df.withColumn("commit", F.split("branch", "@").getItem(1))
-                .withColumn("branch", F.split("branch", "@").getItem(0)))
+    findings = merged("findings", _FINDINGS, "file_path", new).where("policy_id IS NOT NULL")
+    marker = touched.select(*(F.col(c) if c in KEY else F.lit(None).cast(t).alias(c) for c, t in new.dtypes))
+    findings = materialize(findings.union(marker), "findings")  # a marker row per commit: also a commit without findings is rewritten
+    listing = materialize(merged("files", _FILES, "path", landed), "files")
 
-    for name, df in (("findings", res.findings), ("policy_summary", res.policy_summary),
-                     ("scan_totals", res.scan_totals)):
-        (split_branch(df).write.mode("overwrite").partitionBy("repo", "branch", "commit")
-         .parquet(f"{out_dir}/{name}"))
+    found = _as_pair(findings.where("policy_id IS NOT NULL"))
+    table = S.policy_table(S.repo_file_counts(_as_pair(listing), cfg), found, cfg)
+    _replace(findings, f"{out_dir}/findings")
+    _replace(listing, f"{out_dir}/files")
+    _replace(_with_commit(S.policy_summary_from(table, cfg)), f"{out_dir}/policy_summary")
+    _replace(_with_commit(S.scan_totals_from(table)), f"{out_dir}/scan_totals")
 
 
 def start_incremental_scan(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint: str,
-                           cfg: ScanConfig | None = None):
-    stream = spark.readStream.schema(SNAPSHOT_SCHEMA).parquet(landing_dir)
-    return (stream.writeStream
+                           cfg: ScanConfig | None = None, files_per_batch: int | None = None):
+    stream = spark.readStream.schema(SNAPSHOT_SCHEMA)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    return (stream.parquet(landing_dir).writeStream
             .foreachBatch(lambda df, _epoch: scan_batch(df, out_dir, cfg))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)

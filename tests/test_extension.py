@@ -1,7 +1,9 @@
 """User extension surface: added policy, thresholds, SQL views, findings table."""
 
+from pyspark.sql import functions as F
+
 from rulesift.config import ScanConfig
-from rulesift.plans.scan import register_views, scan, write_findings
+from rulesift.plans.scan import read_findings, register_views, scan, write_findings
 
 
 def test_added_policy_and_thresholds(files_df):
@@ -22,5 +24,28 @@ def test_sql_views_and_findings_table(spark, files_df, tmp_path):
                   "ON f.file_path = l.path AND f.line_number = l.line_number").first().n
     assert n == 1
     out = str(tmp_path / "findings")
-    write_findings(res.findings, out)
-    assert spark.read.parquet(out).where("repo = 'org/r'").count() == 2
+    write_findings(res, out)
+    assert read_findings(spark, out).where("repo = 'org/r'").count() == 2
+    write_findings(scan(files_df([("a/etl.py", "x = 1\n")], repo="org/b")), out)
+    kept = lambda: sorted((r.repo, r.file_path) for r in read_findings(spark, out).collect())
+    assert kept() == [("org/b", "a/etl.py"), ("org/r", "a/etl.py"), ("org/r", "a/loader_job.py")]
+    write_findings(scan(files_df([("a/loader_job.py", "x = 1\n")])), out)  # clean now
+    assert kept() == [("org/b", "a/etl.py")]
+
+
+def test_replaced_policies_leave_no_detector(files_df):
+    files = files_df([("a/etl.py", "s = SparkSession\n .builder.getOrCreate()\n" + "x = 1\n" * 12)])
+    cfg = ScanConfig()
+    for pid in (1, 3, 6):
+        cfg = cfg.with_policy(pid, f"Own {pid}", [(r"x = 1", "own")] if pid == 1 else [])
+    got = {(r.policy_id, r.policy_name, r.description) for r in scan(files, cfg).findings.collect()}
+    assert got == {(1, "Own 1", "own")}
+    assert scan(files, cfg).policy_summary.count() == 7
+
+
+def test_function_policy_and_selection(files_df):
+    files = files_df([("a/etl.py", "x = 1\nlong_name_of_a_variable = 2\ny = 3\n")])
+    cfg = ScanConfig().with_policy(9, "Short lines", function=lambda text, stripped: F.when(F.length(text) > 10, F.concat(F.lit("length "), F.length(text))))
+    assert [(r.line_number, r.description) for r in scan(files, cfg.only(9)).findings.collect()] == [(2, "length 27")]
+    assert [r.policy_id for r in scan(files, cfg.only(6)).findings.collect()] == [6]
+    assert scan(files, cfg.only()).findings.collect() == []

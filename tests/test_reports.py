@@ -3,6 +3,7 @@
 import json
 import os
 
+from rulesift.config import ScanConfig
 from rulesift.plans import report as R
 from rulesift.plans.scan import scan
 
@@ -11,9 +12,19 @@ FILES = [("a/etl.py", 'spark.sql("CREATE SCHEMA s")\n'),
          ("a/b|c/data_job.py", "y = 2\n")]
 
 
+def document(rows, key):
+    """One repository's report from its rows."""
+    return "\n".join(r.text for r in rows.orderBy(*key).collect())
+
+
+def written(out):
+    folder = os.path.join(out, "repo=org%2Fr", "branch=main")
+    return "".join(open(os.path.join(folder, p)).read() for p in sorted(os.listdir(folder)) if p.startswith("part-")).rstrip("\n")
+
+
 def test_markdown_text_layout(files_df):
     res = scan(files_df(FILES))
-    text = R.markdown_text(R.markdown_rows(res)).first().report
+    text = document(R.markdown_rows(res), R.ORDER_KEY)
     lines = text.split("\n")
     assert lines[0] == "# 📋 Policy Review Report"
     assert "| **Repository** | `org/r` |" in lines and "| **Files Scanned** | 3 Python file(s) |" in lines
@@ -30,19 +41,33 @@ def test_markdown_text_layout(files_df):
     assert lines[-1] == "*Report generated by rulesift • 2024-01-01 00:00:00 UTC*"
 
 
-def test_write_markdown(files_df, tmp_path):
+def test_write_report(files_df, tmp_path):
     res = scan(files_df(FILES))
-    out = str(tmp_path / "reports")
-    R.write_markdown(R.markdown_rows(res), out, partitions=3)
-    folder = os.path.join(out, "repo=org%2Fr", "branch=main")
-    parts = sorted(p for p in os.listdir(folder) if p.startswith("part-"))
-    text = "".join(open(os.path.join(folder, p)).read() for p in parts)
-    assert text.rstrip("\n") == R.markdown_text(R.markdown_rows(res)).first().report
+    R.write_report(R.markdown_rows(res), str(tmp_path / "md"), partitions=3)
+    assert written(str(tmp_path / "md")) == document(R.markdown_rows(res), R.ORDER_KEY)
+    R.write_report(R.json_rows(res), str(tmp_path / "json"), key=R.JSON_KEY, partitions=3)
+    assert json.loads(written(str(tmp_path / "json"))) == json.loads(document(R.json_rows(res), R.JSON_KEY))
+
+
+def test_json_of_large_and_small_repositories(spark):
+    big = [("org/big", "main", f"a/etl{i}.py", 'password = "abc"\n' * 200) for i in range(50)]
+    files = spark.createDataFrame([*big, ("org/r", "main", "a/loader_job.py", "x = 1\n")], "repo string, branch string, path string, text string")
+    rows = R.json_rows(scan(files))
+    docs = {repo: json.loads(document(rows.where(f"repo = '{repo}'"), R.JSON_KEY)) for repo in ("org/big", "org/r")}
+    assert docs["org/big"]["total_errors"] == 10_050 and len(docs["org/big"]["policies"]["2"]["violations"]) == 10_000
+    assert docs["org/r"]["overall_status"] == "pass"
+
+
+def test_json_policies_by_number(files_df):
+    cfg = ScanConfig().with_policy(10, "Ten", [(r"x = 1", "x")]).with_policy(8, "None", [])
+    doc = json.loads(document(R.json_rows(scan(files_df(FILES), cfg)), R.JSON_KEY))
+    assert list(doc["policies"]) == ["1", "2", "3", "4", "5", "6", "7", "8", "10"]
+    assert [v["line"] for v in doc["policies"]["10"]["violations"]] == [1]
 
 
 def test_json_report(files_df):
     res = scan(files_df(FILES))
-    doc = json.loads(R.json_report(res).first().report)
+    doc = json.loads(document(R.json_rows(res), R.JSON_KEY))
     assert doc["scan_date"] == "2024-01-01T00:00:00+00:00"
     assert (doc["files_scanned"], doc["overall_status"], doc["total_errors"]) == (3, "fail", 3)
     assert list(doc["policies"]) == [str(i) for i in range(1, 8)]
@@ -52,8 +77,12 @@ def test_json_report(files_df):
     assert doc["policies"]["2"] == {"name": "No Hardcoded Secrets/Paths", "status": "pass", "violations": []}
 
 
-def test_review_bundle_text(files_df):
-    rows = R.review_bundle_rows(files_df(FILES))
-    text = R.bundle_text(rows).first().bundle
-    assert text.startswith("\nRepository: org/r\nTotal Python files: 3\n\n--- FILE: a/b|c/data_job.py ---\ny = 2\n")
-    assert text.count("--- END FILE ---") == 3
+def test_review_bundle(spark):
+    rows = [("org/r", "main", p, t) for p, t in FILES] + [("org/r", "main", "a/broken.py", None), ("org/none", "main", "venv/x.py", "x")]
+    files = spark.createDataFrame(rows, "repo string, branch string, path string, text string")
+    got = {}
+    for r in R.review_bundle_rows(files).orderBy("repo", "path", "part").collect():
+        got.setdefault(r.repo, []).append(r.text)
+    assert got["org/none"] == ["Repository: org/none\nTotal Python files: 0"]
+    assert got["org/r"][:4] == ["Repository: org/r\nTotal Python files: 3", "--- FILE: a/b|c/data_job.py ---", "y = 2\n", "--- END FILE ---"]
+    assert len(got["org/r"]) == 10 and None not in got["org/r"]

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from rulesift.streaming.incremental import SNAPSHOT_SCHEMA, start_incremental_scan
+from rulesift.streaming.incremental import SNAPSHOT_SCHEMA, read_kept, scan_batch, start_incremental_scan
 from rulesift.streaming.scanlog import start_scan_log
 
 
@@ -14,7 +14,7 @@ def test_incremental_scan_replaces_per_commit(spark, tmp_path):
              ("org/a", "main", "c1", "src/loader_job.py", "x = 1\n")]
     spark.createDataFrame(snap1, SNAPSHOT_SCHEMA).write.mode("append").parquet(landing)
     start_incremental_scan(spark, landing, out, ck).awaitTermination()
-    f1 = spark.read.parquet(f"{out}/findings")
+    f1 = read_kept(spark, out, "findings")
     assert sorted((r.commit, r.policy_id) for r in f1.collect()) == [("c1", 5), ("c1", 6)]
     snap2 = [("org/a", "main", "c2", "src/loader_job.py", "x = 1\n")]
     spark.createDataFrame(snap2, SNAPSHOT_SCHEMA).write.mode("append").parquet(landing)
@@ -24,6 +24,30 @@ def test_incremental_scan_replaces_per_commit(spark, tmp_path):
     assert got == [("c1", "fail", 2), ("c2", "pass", 1)]
 
 
+def kept(spark, out):
+    found = sorted((r.repo, r.branch, r.commit, r.file_path, r.policy_id) for r in read_kept(spark, out, "findings").collect())
+    totals = sorted((r.repo, r.branch, r.commit, r.files_scanned, r.overall_status, r.total_errors) for r in read_kept(spark, out, "scan_totals").collect())
+    return found, totals
+
+
+def test_batches_of_one_commit_replays_and_clean_commits(spark, tmp_path):
+    out = str(tmp_path / "out")
+    batch = lambda *rows: scan_batch(spark.createDataFrame(rows, SNAPSHOT_SCHEMA), out)
+    bad, fine = ("org/a", "me@feature", "c9", "src/etl.py", 'spark.sql("CREATE SCHEMA s")\n'), ("org/a", "me@feature", "c9", "src/loader_job.py", "x = 1\n")
+    other = ("org/b", "main", "c9", "src/etl.py", "x = 1\n")
+    batch(bad)
+    batch(fine, other)  # the same commit goes on, another repository begins
+    want = ([("org/a", "me@feature", "c9", "src/etl.py", 5), ("org/a", "me@feature", "c9", "src/etl.py", 6), ("org/b", "main", "c9", "src/etl.py", 6)],
+            [("org/a", "me@feature", "c9", 2, "fail", 2), ("org/b", "main", "c9", 1, "fail", 1)])
+    assert kept(spark, out) == want
+    batch(fine, other)
+    batch(bad)  # replays
+    assert kept(spark, out) == want
+    batch(("org/a", "me@feature", "c9", "src/etl.py", "x = 1\n"), ("org/c", "main", "c1", "src/loader_job.py", "x = 1\n"))
+    assert kept(spark, out) == (want[0][1:], [("org/a", "me@feature", "c9", 2, "fail", 1), want[1][1], ("org/c", "main", "c1", 1, "pass", 0)])
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static").lower() == "static"
+
+
 def test_scan_log_stream_appends_closed_days(spark, tmp_path):
     src, sink, ck = str(tmp_path / "ev"), str(tmp_path / "log"), str(tmp_path / "ck2")
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
