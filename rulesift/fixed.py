@@ -144,7 +144,7 @@ POLICY_REFERENCE_ROWS = (
     "| 6 | Meaningful File Names | No single-char, numeric, or generic filenames |",
     "| 7 | No Local File Downloads | Must not download files to local VM |",
 )
-# The footer names the generating tool; ours is a parameter (ReportConfig).
+# The footer names the generating tool; ours is a parameter of the report.
 REPORT_NO_FILES = "> No Python files found in `{repo}`. Nothing to review."
 
 # --------------------------------------------------------------------------

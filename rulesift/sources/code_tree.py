@@ -11,16 +11,23 @@ Rows: ``(repo, branch, path, content BINARY, length BIGINT, read_error STRING)``
 * Every ``*.py`` file below the root is listed, hidden ones, names starting
   with ``_`` and empty files included (the built-in ``binaryFile`` source
   drops those).  Directories named like a skipped directory are not entered.
-* The driver only lists paths and sizes; files are packed into partitions of
-  at most ``max_partition_bytes`` / ``max_partition_files``, so a repository
-  with a third of all files is spread over many tasks.  Executors read.
+* The driver lists repositories and their top folders only; tasks walk and read
+  them.  A partition is a batch of at most ``max_partition_folders`` top folders
+  (a repository's own files count as one), so a large repository is spread over
+  its top folders; ``split`` deals each folder's files over that many parts, each
+  of which lists the folder and reads its share.
 * A file that cannot be read gives a row with ``read_error`` set and no
-  content; it still counts as scanned.  A repository without any Python file
-  gives one row with a null ``path``, so it stays in the repository dimension.
+  content; it still counts as scanned.  A folder that cannot be listed gives a
+  row with ``read_error`` and a null ``path``.  A repository without a Python file
+  of its own gives a row with a null ``path``, so that it stays in the dimension.
 * An archive is one partition; archives above the intake limit are refused
-  (one row with ``read_error``).  The project name is the ``project`` option
-  or the archive name without its extension.
+  (one row with ``read_error``), and so are entries that unpack beyond it.  Of
+  entries of one name the last counts.  Entries below a name that the intake skips
+  are left out (``skip_dirs`` replaces that list).  The project name is the
+  ``project`` option or the archive name without its extension.
 * ``content=false`` lists without reading (file names and counts only).
+
+Paths are those of a file system that driver and executors mount alike.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ import fnmatch
 import glob
 import os
 import zipfile
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -39,9 +47,9 @@ SCHEMA = "repo string, branch string, path string, content binary, length bigint
 
 
 @dataclass
-class FileBatch(InputPartition):
-    # (repo, branch, absolute path or None, relative path or None)
-    files: list
+class FolderBatch(InputPartition):
+    # (repo, repository folder, top folder below it or None for the repository's own files, share)
+    folders: list
 
 
 @dataclass
@@ -77,13 +85,22 @@ class CodeTreeReader(DataSourceReader):
         self.repo = options.get("repo")
         self.repo_depth = int(options.get("repo_depth", "0"))
         self.skip = set(_opt_list(options.get("skip_dirs"), fixed.SKIP_DIRS))
+        self.archive_skip = set(_opt_list(options.get("skip_dirs"), fixed.BUNDLE_SKIP_NAMES))
         self.read_content = options.get("content", "true").lower() != "false"
-        self.max_bytes = int(options.get("max_partition_bytes", str(64 * 1024 * 1024)))
-        self.max_files = int(options.get("max_partition_files", "2000"))
+        self.split = int(options.get("split", "1"))
+        self.max_folders = int(options.get("max_partition_folders", "16"))
         self.max_archive = int(options.get("max_archive_bytes", str(fixed.MAX_ARCHIVE_BYTES)))
         self.project = options.get("project")
 
-    # -- driver: listing ---------------------------------------------------------
+    # -- driver: repositories and their top folders --------------------------------
+    def _folders(self, path):
+        """Names of the folders in ``path`` that are not skipped; none if it cannot be listed."""
+        try:
+            with os.scandir(path) as entries:
+                return sorted(e.name for e in entries if e.is_dir(follow_symlinks=False) and e.name not in self.skip)
+        except OSError:
+            return []  # the task that lists it again reports the error
+
     def _repos(self):
         root = os.path.abspath(self.root)
         if self.repo_depth <= 0:
@@ -91,35 +108,9 @@ class CodeTreeReader(DataSourceReader):
             return
         level = [("", root)]
         for _ in range(self.repo_depth):
-            nxt = []
-            for rel, d in level:
-                try:
-                    entries = sorted(os.scandir(d), key=lambda e: e.name)
-                except OSError:
-                    continue
-                for e in entries:
-                    if e.is_dir(follow_symlinks=False) and e.name not in self.skip:
-                        nxt.append((f"{rel}/{e.name}" if rel else e.name, e.path))
-            level = nxt
+            level = [(f"{rel}/{name}" if rel else name, os.path.join(d, name)) for rel, d in level for name in self._folders(d)]
         yield from level
 
-    def _list_repo(self, repo, top):
-        found = False
-        for d, dirs, files in os.walk(top):
-            dirs[:] = sorted(x for x in dirs if x not in self.skip)
-            for f in sorted(files):
-                if not fnmatch.fnmatchcase(f, "*.py"):
-                    continue
-                full = os.path.join(d, f)
-                try:
-                    size = os.path.getsize(full)
-                except OSError:
-                    size = 0
-                found = True
-                yield repo, full, os.path.relpath(full, top).replace(os.sep, "/"), size
-        if not found:
-            yield repo, None, None, 0
-
     def partitions(self):
         parts = []
         if self.archives:
@@ -127,36 +118,40 @@ class CodeTreeReader(DataSourceReader):
                 project = self.project or os.path.splitext(os.path.basename(a))[0]
                 parts.append(ArchivePart(a, project, self.branch))
         if self.root:
-            batch, size = [], 0
-            for repo, top in self._repos():
-                for repo_name, full, rel, n in self._list_repo(repo, top):
-                    if batch and (size + n > self.max_bytes or len(batch) >= self.max_files):
-                        parts.append(FileBatch(batch))
-                        batch, size = [], 0
-                    batch.append((repo_name, self.branch, full, rel))
-                    size += n
-            if batch:
-                parts.append(FileBatch(batch))
-        return parts or [FileBatch([])]
-
-    # -- executors: reading -------------------------------------------------------
+            folders = [(repo, top, name, share) for repo, top in self._repos() for name in (None, *self._folders(top)) for share in range(self.split)]
+            parts += [FolderBatch(folders[k:k + self.max_folders]) for k in range(0, len(folders), self.max_folders)]
+        return parts or [FolderBatch([])]
+
+    # -- executors: walking and reading ----------------------------------------------
     def read(self, partition):
         if isinstance(partition, ArchivePart):
             yield from self._read_archive(partition)
             return
-        for repo, branch, full, rel in partition.files:
-            if full is None:
-                yield (repo, branch, None, None, None, None)
-                continue
-            if not self.read_content:
-                yield (repo, branch, rel, None, None, None)
-                continue
-            try:
-                with open(full, "rb") as fh:
-                    data = fh.read()
-                yield (repo, branch, rel, data, len(data), None)
-            except OSError as exc:
-                yield (repo, branch, rel, None, None, f"{type(exc).__name__}: {exc}")
+        for repo, top, name, share in partition.folders:
+            errors, found = [], False
+            for d, dirs, files in os.walk(top if name is None else os.path.join(top, name), onerror=errors.append):
+                dirs[:] = [] if name is None else sorted(x for x in dirs if x not in self.skip)
+                for f in sorted(files):
+                    if fnmatch.fnmatchcase(f, "*.py"):
+                        found = True
+                        full = os.path.join(d, f)
+                        if zlib.crc32(os.path.relpath(full, top).encode("utf-8", "surrogateescape")) % self.split == share:
+                            yield self._read_file(repo, top, full)
+            for exc in errors if share == 0 else ():
+                yield (repo, self.branch, None, None, None, f"{type(exc).__name__}: {exc}")
+            if name is None and share == 0 and not found and not errors:
+                yield (repo, self.branch, None, None, None, None)
+
+    def _read_file(self, repo, top, full):
+        rel = os.path.relpath(full, top).replace(os.sep, "/")
+        if not self.read_content:
+            return (repo, self.branch, rel, None, None, None)
+        try:
+            with open(full, "rb") as fh:
+                data = fh.read()
+            return (repo, self.branch, rel, data, len(data), None)
+        except OSError as exc:
+            return (repo, self.branch, rel, None, None, f"{type(exc).__name__}: {exc}")
 
     def _read_archive(self, part: ArchivePart):
         try:
@@ -170,18 +165,21 @@ class CodeTreeReader(DataSourceReader):
         found = False
         try:
             with zipfile.ZipFile(part.archive) as z:
-                for info in z.infolist():
-                    name = info.filename.replace("\\", "/")
+                entries = {info.filename.replace("\\", "/"): info for info in z.infolist()}
+                for name, info in entries.items():
                     if info.is_dir() or not fnmatch.fnmatchcase(name.rsplit("/", 1)[-1], "*.py"):
                         continue
-                    if any(p in self.skip for p in name.split("/")[:-1]):
+                    if any(p in self.archive_skip for p in name.split("/")[:-1]):
                         continue
                     found = True
                     if not self.read_content:
                         yield (part.project, part.branch, name, None, None, None)
                         continue
                     try:
-                        data = z.read(info)
+                        with z.open(info) as entry:
+                            data = entry.read(self.max_archive + 1)
+                        if len(data) > self.max_archive:
+                            raise ValueError("entry unpacks beyond the intake limit")
                         yield (part.project, part.branch, name, data, len(data), None)
                     except Exception as exc:  # noqa: BLE001 - bad entry: report, go on
                         yield (part.project, part.branch, name, None, None, f"{type(exc).__name__}: {exc}")

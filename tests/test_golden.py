@@ -105,7 +105,7 @@ def test_file_names(files_df):
 
 
 def test_pruned_directories(files_df):
-    res = scan(files_df([(".github/x/load_data.py", "import os\n"), ("src/venv/lib/etl.py", "x\n"),
+    res = scan(files_df([("node_modules/x/load_data.py", "import os\n"), ("src/venv/lib/etl.py", "x\n"),
                          ("src/jobs/etl.py", "x\n")]))
     assert [r.files_scanned for r in res.scan_totals.collect()] == [1]
     assert [r.file_path for r in res.findings.collect()] == ["src/jobs/etl.py"]

@@ -18,7 +18,7 @@ def test_tree_listing_keeps_hidden_empty_and_underscore(spark, tmp_path):
     write(str(root / "alpha/__init__.py"), b"")
     write(str(root / "alpha/.hid.py"), b"x = 1\n")
     write(str(root / "alpha/_x/y.py"), b"x = 1\n")
-    write(str(root / "alpha/.github/w.py"), b"x = 1\n")
+    write(str(root / "alpha/node_modules/w.py"), b"x = 1\n")
     write(str(root / "alpha/venv/v.py"), b"x = 1\n")
     write(str(root / "alpha/notes.txt"), b"x")
     write(str(root / "beta/readme.md"), b"# nothing")
@@ -76,6 +76,40 @@ def test_zip_archive(spark, tmp_path):
     assert sorted((r.policy_id, r.file_path) for r in res) == [(2, "k/y.py"), (6, "k/y.py")]
 
 
+def test_archive_names_and_unpacked_size(spark, tmp_path):
+    z = tmp_path / "p.zip"
+    with zipfile.ZipFile(z, "w", zipfile.ZIP_DEFLATED) as zf:
+        zf.writestr(".tox/kept_module.py", "x = 1\n")
+        zf.writestr("node_modules/gone_module.py", "x = 1\n")
+        zf.writestr("a/same_module.py", "first = 1\n")
+        zf.writestr("a/same_module.py", "last = 1\n")
+        zf.writestr("a/bomb_module.py", "#" * 200_000)
+    files = read_code_tree(spark, archives=str(z), branch="main", max_archive_bytes=100_000)
+    rows = {r.path: (bytes(r.content) if r.content is not None else None, r.read_error) for r in files.collect()}
+    assert set(rows) == {".tox/kept_module.py", "a/same_module.py", "a/bomb_module.py"}
+    assert rows["a/same_module.py"][0] == b"last = 1\n" and "beyond" in rows["a/bomb_module.py"][1]
+
+
+def test_folders_are_walked_by_tasks(spark, tmp_path):
+    for r in range(3):
+        for d in range(20):
+            write(str(tmp_path / f"repos/r{r}/d{d}/deep/module_{d}.py"), b"x = 1\n")
+    files = read_code_tree(spark, str(tmp_path / "repos"), repo_depth=1, max_partition_folders=7)
+    assert files.rdd.getNumPartitions() == 9  # 3 repositories of 20 folders and their own files
+    assert files.where("path IS NOT NULL").count() == 60 and scan(files).file_counts.where("files_scanned = 20").count() == 3
+
+
+def test_folder_that_cannot_be_listed(spark, tmp_path, monkeypatch):
+    from rulesift.sources import code_tree
+
+    write(str(tmp_path / "r/ok/module_one.py"), b"x = 1\n")
+    reader = code_tree.CodeTreeReader({"path": str(tmp_path / "r"), "repo": "org/r"})
+    (part,) = reader.partitions()
+    part.folders.append(("org/r", str(tmp_path / "r"), "missing", 0))
+    rows = list(reader.read(part))
+    assert [(r[2], r[5] is None) for r in rows] == [(None, True), ("ok/module_one.py", True), (None, False)]
+
+
 def test_archive_above_limit_refused(spark, tmp_path):
     z = tmp_path / "big.zip"
     with zipfile.ZipFile(z, "w") as zf:
@@ -89,6 +123,6 @@ def test_many_files_spread_over_partitions(spark, tmp_path):
     root = tmp_path / "big"
     for i in range(50):
         write(str(root / f"mod_{i:03d}.py"), b"x = 1\n")
-    files = read_code_tree(spark, str(root), repo="org/big", max_partition_files=10)
+    files = read_code_tree(spark, str(root), repo="org/big", split=5, max_partition_folders=1)
     assert files.rdd.getNumPartitions() == 5
     assert files.count() == 50
