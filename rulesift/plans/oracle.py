@@ -443,6 +443,10 @@ FROM findings"""
 
 
 ORACLE["report_json"] = _report_json()
+ORACLE["daily_findings"] = with_corpus("""
+SELECT strftime(DATE '2024-01-01' + CAST(CAST(regexp_extract(file_path, '/m([0-9]+)/', 1) AS BIGINT) % 7 AS INTEGER), '%Y-%m-%d') AS day,
+       repo, policy_id, CAST(count(*) AS BIGINT) AS findings
+FROM findings GROUP BY ALL""")
 ORACLE["incremental_totals"] = with_corpus("""
 SELECT repo, 'me@' || branch AS branch, 'c1' AS commit, files_scanned, overall_status, total_errors, total_warnings FROM scan_totals""")
 ORACLE["incremental_findings"] = with_corpus("""

@@ -271,6 +271,13 @@ def scan_log(spark, sf):
     return scanlog.daily_scan_log(scanlog.scan_events(spark.read.parquet(f"{sf}/events.parquet")))
 
 
+def daily_findings(spark, sf):
+    """Findings per repository, policy and day; the day of a scan is computed from the order's key in the path."""
+    key = F.regexp_extract("file_path", "/m([0-9]+)/", 1).cast("long")
+    day = F.timestamp_seconds(F.lit(1704067200) + (key % 7) * 86400 + key % 86400)
+    return scanlog.daily_findings(_findings(spark, sf).withColumn("scan_ts", day))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_prune": scan_prune,
     "scan_size_limit": scan_size_limit,
@@ -312,4 +319,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_cost": model_cost,
     "model_resolve": model_resolve,
     "scan_log": scan_log,
+    "daily_findings": daily_findings,
 }

@@ -62,7 +62,7 @@ RULE_LINES = (
     'shutil.copyfileobj(a, b)', 'shutil.copyfile(a, b)',
     'dbutils.fs.cp(a, "file:/x")', 'dbutils.fs.cp(a, b)',
     'gdown.download(u)', 'gdown.cached(u)',
-    'tf.keras.utils.get_file(u)', 'tf.keras.utils.get_files',
+    'tf.keras.utils.get_file(u)', 'tf.keras.utils.get_source(u)',
     'torch.hub.download_url_to_file(u)', 'torch.hub.load(u)',
     'token = "' + "abcdefghij" * 16 + '"',
 )

@@ -30,6 +30,14 @@ def daily_scan_log(scans: DataFrame, watermark: str = "1 day") -> DataFrame:
                     "repo", "kind", "scans"))
 
 
+def daily_findings(findings: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """(day, repo, policy_id, findings) of kept findings that carry their ``scan_ts``."""
+    return (findings.withWatermark("scan_ts", watermark)
+            .groupBy(F.window("scan_ts", "1 day"), "repo", "policy_id")
+            .agg(F.count("*").cast("long").alias("findings"))
+            .select(F.date_format(F.col("window.start"), "yyyy-MM-dd").alias("day"), "repo", "policy_id", "findings"))
+
+
 def start_scan_log(spark, events_dir: str, schema, sink_path: str, checkpoint: str,
                    watermark: str = "1 day"):
     """Streaming form: parquet files landing in ``events_dir`` → daily counts
