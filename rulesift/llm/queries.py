@@ -109,7 +109,7 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span of 50 words or more that an earlier document holds."""
-    return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents")).toDF("doc_id", "first_doc_id", "start_byte", "end_byte", "n_words")
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

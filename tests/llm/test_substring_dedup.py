@@ -59,7 +59,7 @@ def test_cuts_come_back_after_an_insertion():
 def test_query(spark):
     got = queries.op8_substring_dedup(spark, "/root/testdata/sf0.01").collect()
     docs = {r.doc_id: r.text.encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
-    assert got and all(r.source <= r.doc_id and docs[r.doc_id][r.start:r.end] for r in got)
+    assert got and all(r.first_doc_id <= r.doc_id and docs[r.doc_id][r.start_byte:r.end_byte] for r in got)
     first = {}
     for i in sorted(docs):
         if docs[i] in first and len(docs[i].split()) > 2 * S.MIN_WORDS:
