@@ -14,12 +14,15 @@ the set size and the connected component of each document.
    entries to read on its prefix, and candidates (entries / l) to verify.
 3. *Entries* (shingle, class) are shuffled by shingle; shingles of one class end here.
 4. *Early links.*  Each class is verified against the one class that leads most of
-   its shingles (the least class of a shingle).  A group of thousands of near copies
-   gives one pair per member, never all its pairs.
-5. *Candidates across components.*  For the shingles that several components hold,
-   classes of different components that share at least l prefix shingles, with l the
-   smaller of both choices, and whose sizes allow 0.8, are verified.  Pairs inside a
-   component would change nothing.
+   its shingles.  A shingle's leader is its most central class: the one whose prefix
+   is shared most.  A group of thousands of near copies gives one pair per member,
+   never all its pairs.
+5. *Candidates across parts.*  A part is a leader with the classes that link to it.
+   At place p a set of n shingles can share at most n - p + l - 1 if this is one of
+   its first l matches, so each entry has a largest partner size (``cap``).  Per shingle, parts whose sizes and caps exclude each other
+   are told apart before any classes are paired; then classes of different parts that
+   share at least l prefix shingles within their caps, with l the smaller of both
+   choices, are verified.  Pairs inside a part would change no component.
 6. Verification intersects whole sets.  Links give components by star steps.
 
 Defined cases: words are split at blanks after lower-casing A-Z; a text of fewer
@@ -44,7 +47,7 @@ from rulesift.llm.shingles import Hasher
 from rulesift.session import materialize, materialize_bucketed
 
 PERCENT = 80
-MOST_MATCHES = 4
+MOST_MATCHES = 3
 #: Sketch counters, in slices; fixed, so that the summed sketch can be broadcast.
 COUNTERS, SLICE = 1 << 22, 1 << 16
 #: Cost of verifying a shingle of a candidate, in entries read.
@@ -115,8 +118,8 @@ def least_overlap(n):
     return -(-PERCENT * n // 100)
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, int]:
-    """The set's prefix, rare shingles first, and the matches it asks for."""
+def prefix(shingles: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, int, int]:
+    """The set's prefix, rare shingles first, the matches it asks for, and how much the prefix is shared on average."""
     n = len(shingles)
     found = counts[_slot(shingles)]
     order = np.lexsort((shingles, found))
@@ -124,32 +127,43 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.n
     spare, most = n - least_overlap(n), min(MOST_MATCHES, least_overlap(n))
     cost = [lists[spare + l - 1] * (1 + VERIFY * n / l) for l in range(1, most + 1)]
     matches = 1 + int(np.argmin(cost))
-    return shingles[order[:spare + matches]], matches
+    return shingles[order[:spare + matches]], matches, int(lists[spare + matches - 1] / (spare + matches))
 
 
 def _entries(docs: DataFrame, text_col: str, sketch: np.ndarray) -> DataFrame:
-    """(shingle, a, n, place, matches) of every class's prefix; a task gives each class it meets once."""
+    """(shingle, a, weight, packed n, place and matches) of every class's prefix; a task gives each class it meets once."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts, met = Hasher(), shared.value, set()
         noise = float(counts.mean(dtype=np.float64))
         for batch in batches:
-            shingles, classes, packed = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            shingles, classes, weights, packed = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for found in hasher.sets(batch.column(0).to_pylist()):
                 if len(found) and (name := _name(found)) not in met:
                     met.add(name)
-                    first, matches = prefix(found, counts, noise)
+                    first, matches, weight = prefix(found, counts, noise)
                     shingles.append(first)
+                    weights.append(np.full(len(first), min(weight, 2**31 - 1), np.int32))
                     classes.append(np.full(len(first), name[0]))
                     packed.append((np.int64(len(found)) << 33) | (np.arange(len(first)) << 3) | matches)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(packed))], names=["shingle", "a", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(weights)), pa.array(np.concatenate(packed))], names=["shingle", "a", "weight", "packed"])
 
-    return docs.select(text_col).mapInArrow(emit, "shingle long, a long, packed long")
+    return docs.select(text_col).mapInArrow(emit, "shingle long, a long, weight int, packed long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of classes that link."""
+def _unpacked(packed: str) -> dict:
+    """Set size, place, matches and cap (the largest partner's size) of a packed entry."""
+    n, place, matches = F.shiftrightunsigned(packed, 33), F.shiftright(packed, 3).bitwiseAND((1 << 30) - 1), F.col(packed).bitwiseAND(7)
+    most_shared = (100 + PERCENT) * (n - place + matches - 1)
+    return {"n": n, "place": place, "matches": matches, "cap": F.floor((most_shared - PERCENT * n) / PERCENT).cast("long")}
+
+
+def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) of classes that link; the sets of these classes are read again from their first documents."""
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.col("u").alias("a")).union(pairs.select("v")).distinct()
+    sets = _sets(docs, id_col, text_col, materialize(classes.join(wanted, "a").groupBy("a").agg(F.min("first").alias("id")), "wanted"))
     left, right = sets.select(F.col("a").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("a").alias("v"), F.col("shingles").alias("y"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,34 +203,33 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     entries = _entries(docs.where(F.col(id_col).isNotNull()), text_col, _sketch(read))
     by_shingle = W.partitionBy("shingle")
-    leader = F.min(F.struct("a", "packed")).over(by_shingle)
-    entries = entries.select("*", leader.alias("leader"), F.max("a").over(by_shingle).alias("last")).where("leader.a < last")
-    size = lambda packed: F.shiftrightunsigned(packed, 33)
-    entries = materialize(entries.select("shingle", "a", size("packed").alias("n"), F.shiftright("packed", 3).bitwiseAND((1 << 30) - 1).alias("place"), F.col("packed").bitwiseAND(7).alias("matches"),
-                                         F.col("leader.a").alias("leader"), size("leader.packed").alias("leader_n")).distinct(), "entries")
-    # copies met by several tasks are one entry now; a class that shares no shingle has gone
-    fits = lambda n, m: (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
-    held = classes.join(entries.select("a").distinct(), "a", "left_semi").groupBy("a").agg(F.min("first").alias("id"))
-    sets = _sets(docs, id_col, text_col, held)
-
-    led = entries.where("a <> leader").where(fits(F.col("n"), F.col("leader_n"))).groupBy("a", "leader").count()
+    entries = entries.select("*", F.max(F.struct("weight", "a", "packed")).over(by_shingle).alias("leader"), F.min("a").over(by_shingle).alias("least"), F.max("a").over(by_shingle).alias("most"))
+    of, top = _unpacked("packed"), _unpacked("leader.packed")
+    entries = entries.where("least < most").select("shingle", "a", *(c.alias(name) for name, c in of.items()), F.col("leader.a").alias("leader"), top["n"].alias("leader_n"), top["cap"].alias("leader_cap"))
+    entries = materialize(entries.distinct(), "entries")  # copies met by several tasks are one entry now
+    allowed = lambda n, cap, m, most: F.expr(f"{n} <= {most} AND {m} <= {cap} AND 100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})")
+
+    led = entries.where("a <> leader").where(allowed("n", "cap", "leader_n", "leader_cap")).groupBy("a", "leader").count()
     best = led.groupBy("a").agg(F.max(F.struct("count", "leader")).alias("best")).select(F.col("a").alias("u"), F.col("best.leader").alias("v"))
-    early = materialize(_verified(best, sets), "early_links")
-    roots = components(early)
+    early = materialize(_verified(docs, id_col, text_col, best, classes), "early_links")
+    # a part is a leader with what links to it, or to what links to it: always within one component
+    above = early.select(F.col("u").alias("v"), F.col("v").alias("top"))
+    roots = early.join(above, "v", "left").select(F.col("u").alias("node"), F.coalesce("top", "v").alias("root"))
 
-    parts = entries.select("shingle", "a", "n", "place", "matches").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("part", F.coalesce("root", "a")).drop("root")
+    parts = entries.select("shingle", "a", *of).join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("part", F.coalesce("root", "a")).drop("root")
     several = parts.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
     parts = materialize(parts.join(several, "shingle", "left_semi"), "parts")
-    owners = parts.select("shingle", "part").distinct()
-    across = owners.join(owners.withColumnRenamed("part", "other"), "shingle").where("part < other")
-    x = parts.select("shingle", "part", F.col("a").alias("u"), F.col("n").alias("un"), F.col("place").alias("up"), F.col("matches").alias("um"))
-    y = parts.select("shingle", F.col("part").alias("other"), F.col("a").alias("v"), F.col("n").alias("vn"), F.col("place").alias("vp"), F.col("matches").alias("vm"))
-    shared = across.join(x, ["shingle", "part"]).join(y, ["shingle", "other"]).where(fits(F.col("un"), F.col("vn")))
+    owners = parts.groupBy("shingle", "part").agg(F.min("n").alias("n"), F.max("cap").alias("cap"))
+    across = owners.alias("o").join(owners.toDF("shingle", "other", "m", "most"), "shingle").where("part < other AND m <= cap AND n <= most").select("shingle", "part", "other")
+    x = parts.select("shingle", "part", F.col("a").alias("u"), F.col("n").alias("un"), F.col("cap").alias("ucap"), F.col("place").alias("up"), F.col("matches").alias("um"))
+    y = parts.select("shingle", F.col("part").alias("other"), F.col("a").alias("v"), F.col("n").alias("vn"), F.col("cap").alias("vcap"), F.col("place").alias("vp"), F.col("matches").alias("vm"))
+    shared = across.join(x, ["shingle", "part"]).join(y, ["shingle", "other"]).where(allowed("un", "ucap", "vn", "vcap"))
     matches = F.least("um", "vm")
-    spare = lambda n: F.expr(f"{n} - ({PERCENT} * {n} + 99) DIV 100")
-    shared = shared.where((F.col("up") < spare("un") + matches) & (F.col("vp") < spare("vn") + matches))
+    for n, place in (("un", "up"), ("vn", "vp")):  # the prefix, and what can be shared from here on, with the pair's own l
+        shared = shared.where(F.expr(f"{place} < {n} - ({PERCENT} * {n} + 99) DIV 100 + least(um, vm)")
+                              & F.expr(f"{100 + PERCENT} * ({n} - {place} + least(um, vm) - 1) >= {PERCENT} * (un + vn)"))
     pairs = shared.groupBy("u", "v").agg(F.count("*").alias("k"), F.first(matches).alias("need")).where("k >= need").select("u", "v")
-    links = early.union(_verified(pairs, sets))
+    links = early.union(_verified(docs, id_col, text_col, pairs, classes))
 
     roots = components(links).withColumnRenamed("node", "a")
     named = roots.join(classes.select("a", "first"), "a")

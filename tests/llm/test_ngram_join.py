@@ -78,7 +78,7 @@ def test_prefix_and_hashes():
     counts = np.zeros(ngram_join.COUNTERS, np.uint32)
     s = np.sort(np.random.default_rng(1).integers(0, 2**63, 100, dtype=np.uint64))
     counts[ngram_join._slot(s[:20])] = 100_000
-    first, matches = ngram_join.prefix(s, counts, 0.0)
+    first, matches, _ = ngram_join.prefix(s, counts, 0.0)
     assert len(first) == 20 + matches and not set(first.tolist()) & set(s[:20].tolist())
     frequent = np.full(ngram_join.COUNTERS, 1000, np.uint32)
     assert ngram_join.prefix(s, frequent, 0.0)[1] == ngram_join.MOST_MATCHES
