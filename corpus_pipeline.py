@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next stage's docs.  All but the last return the
 columns of ``documents``:
 
-1. ``toxicity``: documents that the classifier of ``labels`` scores 0.5 or more go.
+1. ``toxicity``: documents that the classifier of ``labels`` scores 0.5 or more go.  A
+   text that holds no feature of the classifier stays; so all rows stay if no document
+   is labelled, all labels are of one class, or too few for any feature.
 2. ``line_dedup``: lines that repeat an earlier line go; a document that loses all its
    lines goes too.  n_chars is counted anew.
 3. ``near_duplicates``: of each group that the n-gram Jaccard join connects, the
@@ -41,7 +43,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.with_labels(docs, labels))
-    return docs.where(toxicity.scorer(spark, model)("text") < 0.5)
+    return docs.where(toxicity.scorer(spark, model, unknown=0.0)("text") < 0.5)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

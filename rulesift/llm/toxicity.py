@@ -66,9 +66,12 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, unknown: float | None = None) -> float:
+        """``unknown``, if given, is the score of a text that holds no feature."""
         found = buckets(text)
         found = np.unique(found[self.weights[found] != 0])
+        if unknown is not None and not len(found):
+            return unknown
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[found].sum(dtype=np.float64), -30, 30))))
 
 
@@ -171,13 +174,13 @@ def with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return docs.select(id_col, text_col).join(labels, id_col)
 
 
-def scorer(spark: SparkSession, model: Model):
-    """A column function: the score of a text column."""
+def scorer(spark: SparkSession, model: Model, unknown: float | None = None):
+    """A column function: the score of a text column (``unknown``: see ``Model.score``)."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score_texts(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(x) for x in texts], dtype="float64")
+        return pd.Series([shared.value.score(x, unknown) for x in texts], dtype="float64")
 
     return score_texts
 

@@ -41,3 +41,19 @@ def test_edges(spark, tmp_path):
     assert got == [(0, True), (1, True), (2, False), (3, False)]
     *_, (_, _, none) = stages(spark, docs.where("false"), tmp_path / "none")
     assert none.collect() == []
+
+
+def test_toxicity_stage_keeps_what_labels_say_nothing_of(spark, tmp_path):
+    texts = [None, "", "ab", *(f"a kind sentence about the garden {i}" for i in range(80)), *(f"some vile insult thrown at you {i}" for i in range(80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    toxic = {i for i, t in enumerate(texts) if t and "vile" in t}
+
+    def gone(name, labels):
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        return set(range(len(texts))) - {r.doc_id for r in P.drop_toxic(spark, docs, str(tmp_path / name)).collect()}
+
+    assert gone("empty", []) == set()
+    assert gone("others", [(1000, 0), (1001, 1)]) == set()
+    assert gone("all toxic", [(i, 1) for i in toxic]) == set()
+    assert gone("all clean", [(i, 0) for i in range(3, 83)]) == set()
+    assert gone("both", [(i, int(i in toxic)) for i in range(3, len(texts))]) == toxic
