@@ -1,4 +1,5 @@
 import random
+import re
 
 from rulesift.llm import queries, substring_dedup as S
 
@@ -65,3 +66,48 @@ def test_query(spark):
         if docs[i] in first and len(docs[i].split()) > 2 * S.MIN_WORDS:
             assert any(r.doc_id == i for r in got)
         first.setdefault(docs[i], i)
+
+
+def windows(text):
+    """(start, end, bytes) of every window of MIN_WORDS words."""
+    at = [m.span() for m in re.finditer(rb"[^ \t\n\v\f\r]+", text)]
+    return [(a, b, text[a:b]) for (a, _), (_, b) in zip(at, at[S.MIN_WORDS - 1:])]
+
+
+def check_against_windows(docs, spans):
+    """Spans are equal in their source, and cover just what windows seen earlier cover."""
+    for r in spans:
+        part = docs[r.doc_id][r.start:r.end]
+        assert len(part.split()) == r.n_words >= S.MIN_WORDS
+        assert part in docs[r.source] if r.source < r.doc_id else r.source == r.doc_id and docs[r.doc_id].find(part) < r.start
+    seen, want = set(), {}
+    for i in sorted(docs):
+        for a, b, w in windows(docs[i]):
+            if w in seen:
+                want.setdefault(i, set()).update(range(a, b))
+            seen.add(w)
+    got = {}
+    for r in spans:
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert got == want
+    return want
+
+
+def test_parts_first_seen_in_other_documents(spark):
+    rng = random.Random(12)
+    docs, whole = [], set()
+    for _ in range(40):
+        p = passage(rng, 84).split(" ")
+        for part in (p[:42], p[42:], p[20:64], p, p):
+            docs.append(" ".join([passage(rng, rng.randrange(5, 90)), *part, passage(rng, rng.randrange(5, 90))]))
+        whole.add(len(docs) - 1)
+    spans = S.repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).collect()
+    assert set(check_against_windows({i: t.encode() for i, t in enumerate(docs)}, spans)) == whole
+
+
+def test_all_windows_seen_earlier(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert len(check_against_windows(texts, S.repeats(docs).collect())) > 20
+    turns = "one two three four five six seven " * 40
+    assert check_against_windows({1: turns.encode()}, S.repeats(spark.createDataFrame([(1, turns)], "doc_id long, text string")).collect())
