@@ -17,8 +17,9 @@ columns of ``documents``:
 
 Defined cases: rows with a null or empty text pass (they have no lines, words or items);
 rows without an id are scored, deduplicated by line and encoded like any other, and pass
-stages 3 and 4; of repeated rows one stays at stage 3; an empty table gives an empty
-table; extra columns pass through the first four stages.
+stages 3 and 4; rows that share an id are judged each by its own text; of repeated rows
+one stays at stage 3; an empty table gives an empty table; extra columns pass through
+the first four stages.
 """
 
 from __future__ import annotations
@@ -33,11 +34,16 @@ from rulesift.session import materialize
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows of these doc_ids (written before; few of them go to the tasks)."""
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti")
+def _key():
+    """A row's doc_id and the hash of its text; null without an id."""
+    return F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("row")))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` less the rows of these keys (written before; few of them go to the tasks)."""
+    if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, _key() == keys["key"], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,17 +60,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = materialize(ngram_join.link(docs).where("n_shingles > 0 AND doc_id IS NOT NULL"), "linked")
-    docs = _without(docs, linked.where("component_id < doc_id").select("doc_id").distinct())
-    repeated = linked.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    linked = ngram_join.link(docs.select(_key().alias("key"), "text"), id_col="key")
+    linked = materialize(linked.where("n_shingles > 0 AND key IS NOT NULL"), "linked")
+    docs = _without(docs, linked.where("component_id < key").select("key").distinct())
+    repeated = linked.groupBy("key").count().where("count > 1").select("key")
     if repeated.isEmpty():
         return docs
-    return _without(docs, repeated).union(docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    return _without(docs, repeated).union(docs.join(repeated, _key() == repeated["key"], "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, materialize(found.where("doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated"))
+    found = decontaminate.overlaps(docs.select(_key().alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    return _without(docs, materialize(found.where("key IS NOT NULL").select("key").distinct(), "contaminated"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

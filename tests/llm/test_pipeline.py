@@ -57,3 +57,17 @@ def test_toxicity_stage_keeps_what_labels_say_nothing_of(spark, tmp_path):
     assert gone("all toxic", [(i, 1) for i in toxic]) == set()
     assert gone("all clean", [(i, 0) for i in range(3, 83)]) == set()
     assert gone("both", [(i, int(i in toxic)) for i in range(3, len(texts))]) == toxic
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    words = [f"word{i}" for i in range(60)]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").first().text
+    other = [f"a quite different text number {i} with words of its own " + " ".join(f"own{i}x{k}" for k in range(30)) for i in range(3)]
+    near, same = " ".join(words), " ".join([*words[:-1], "changed"])
+    rows = [(1, near), (2, same), (2, other[0]), (3, other[1]), (3, other[1]), (4, item), (4, other[2]), (5, near + " more"), (None, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    once = [(1, near), (2, other[0]), (3, other[1]), (4, item), (4, other[2]), (None, item)]
+    assert got(P.drop_near_duplicates(spark, docs, SF)) == sorted(once, key=str)
+    clean = [x for x in rows if x != (4, item)]
+    assert got(P.drop_contaminated(spark, docs, SF)) == sorted(clean, key=str)
