@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rulesift.llm import bpe, chat, decontaminate, fingerprint, line_dedup, ngram_join, ppm, substring_dedup, toxicity, url_filter
+from rulesift.llm import bpe, chat, decontaminate, fingerprint, line_dedup, ngram_join, ppm, repetition, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +119,43 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and verdict of every whole text."""
+    return repetition.judge(_table(spark, sf_dir, "documents"))
+
+
+def _op13_sql() -> str:
+    parts, columns = [], []
+    for n in sorted({*repetition.TOP, *repetition.DUPLICATE}):
+        gram = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER (PARTITION BY doc_id ORDER BY i)" for k in range(1, n))])
+        chars = " + ".join(["c", *(f"lead(c, {k}) OVER (PARTITION BY doc_id ORDER BY i)" for k in range(1, n))])
+        window = f"OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        parts.append(f"""g{n} AS (SELECT doc_id, i, c, g, gc, count(*) OVER (PARTITION BY doc_id, g) AS k, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS r
+  FROM (SELECT doc_id, i, c, {gram} AS g, {chars} AS gc FROM w))""")
+        measures = [f"coalesce(max(k * gc) FILTER (g IS NOT NULL AND k > 1), 0)::BIGINT AS top_chars_{n}"] * (n in repetition.TOP)
+        measures += [f"coalesce(sum(c) FILTER (later), 0)::BIGINT AS dup_chars_{n}"] * (n in repetition.DUPLICATE)
+        measures += ["(count(*) FILTER (twice))::BIGINT AS n_repeat_words"] * (n == 3)
+        parts.append(f"""m{n} AS (SELECT doc_id, {", ".join(measures)} FROM (
+  SELECT *, max(g IS NOT NULL AND k > 1) {window} AS twice, max(g IS NOT NULL AND r > 1) {window} AS later FROM g{n}) GROUP BY doc_id)""")
+        columns += [x.rsplit(" AS ", 1)[1] for x in measures]
+    limits = [f"100 * top_chars_{n} <= {most} * word_chars" for n, most in repetition.TOP.items()] + [f"100 * dup_chars_{n} <= {most} * word_chars" for n, most in repetition.DUPLICATE.items()]
+    limits += [f"100 * n_dup_lines <= {repetition.MOST_LINES} * n_lines", f"100 * dup_line_chars <= {repetition.MOST_LINE_CHARS} * word_chars"]
+    join = " ".join(f"LEFT JOIN m{n} USING (doc_id)" for n in sorted({*repetition.TOP, *repetition.DUPLICATE}))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, w, i, length(w) AS c FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d)),
+l AS (SELECT doc_id, line, i, length(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (r > 1) AS n_dup_lines, coalesce(sum(c) FILTER (r > 1), 0)::BIGINT AS dup_line_chars
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM l WHERE c > 0) GROUP BY doc_id),
+{", ".join(parts)},
+a AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_lines", "n_dup_lines", "dup_line_chars", *columns))}
+  FROM d LEFT JOIN lines USING (doc_id) {join})
+SELECT *, NOT base_failed AND {" AND ".join(limits)} AS kept
+FROM (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.MOST_REPEATED} * n_words AS base_failed FROM a)
+"""
+
+
 OP6_SQL = """
 WITH l AS (
   SELECT doc_id, i AS position, line, length(line) AS n
@@ -157,9 +194,11 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_ppm": op10_ppm,
+    "op13_repetition": op13_repetition,
 }
 
 LLM_ORACLE: dict[str, str] = {
     "op5_decontaminate": _op5_sql(),
     "op6_line_dedup": OP6_SQL,
+    "op13_repetition": _op13_sql(),
 }
