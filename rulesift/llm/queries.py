@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rulesift.llm import bpe, chat, decontaminate, fingerprint, line_dedup, ngram_join, ppm, repetition, substring_dedup, toxicity, url_filter
+from rulesift.llm import bpe, chat, decontaminate, fingerprint, line_dedup, ngram_join, ppm, ranked_search, repetition, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +119,28 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+lengths AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+totals AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nt FROM lengths),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt))))::BIGINT AS score
+  FROM (SELECT item_id, term, count(*) AS times FROM b GROUP BY item_id, term) JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and verdict of every whole text."""
     return repetition.judge(_table(spark, sf_dir, "documents"))
@@ -194,11 +216,13 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_ppm": op10_ppm,
+    "op12_ranked_search": op12_ranked_search,
     "op13_repetition": op13_repetition,
 }
 
 LLM_ORACLE: dict[str, str] = {
     "op5_decontaminate": _op5_sql(),
     "op6_line_dedup": OP6_SQL,
+    "op12_ranked_search": OP12_SQL,
     "op13_repetition": _op13_sql(),
 }
