@@ -443,14 +443,41 @@ FROM findings"""
 
 
 ORACLE["report_json"] = _report_json()
-ORACLE["daily_findings"] = with_corpus("""
-SELECT strftime(DATE '2024-01-01' + CAST(CAST(regexp_extract(file_path, '/m([0-9]+)/', 1) AS BIGINT) % 7 AS INTEGER), '%Y-%m-%d') AS day,
+_KEY = "CAST(regexp_extract({}, '/m([0-9]+)/', 1) AS BIGINT)"
+
+
+def _named(column: str, path: str) -> str:
+    """The branch or commit name of a corpus path."""
+    from rulesift.plans.queries import BRANCH_NAMES, COMMIT_NAMES
+    names = {"branch": BRANCH_NAMES, "commit": COMMIT_NAMES}[column]
+    listed = ", ".join("NULL" if x is None else q(x) for x in names)
+    return f"[{listed}][{_KEY.format(path)} % {len(names)} + 1] AS {column}"
+
+
+_DAILY = f"""
+SELECT strftime(DATE '2024-01-01' + CAST({_KEY.format('file_path')} % 7 AS INTEGER), '%Y-%m-%d') AS day,
        repo, policy_id, CAST(count(*) AS BIGINT) AS findings
-FROM findings GROUP BY ALL""")
-ORACLE["incremental_totals"] = with_corpus("""
-SELECT repo, 'me@' || branch AS branch, 'c1' AS commit, files_scanned, overall_status, total_errors, total_warnings FROM scan_totals""")
-ORACLE["incremental_findings"] = with_corpus("""
-SELECT repo, 'me@' || branch AS branch, 'c1' AS commit, policy_id, file_path, line_number, description FROM findings""")
+FROM findings GROUP BY ALL"""
+ORACLE["daily_findings"] = with_corpus(_DAILY)
+# the last two of the seven days stay open: the watermark is a day behind the last row
+ORACLE["findings_log"] = with_corpus(f"SELECT * FROM ({_DAILY}) WHERE day <= '2024-01-05'")
+ORACLE["incremental_totals"] = with_corpus(f"""
+, f AS (SELECT repo, {_named("branch", "path")}, {_named("commit", "path")}, CAST(count(*) FILTER (WHERE NOT list_has_any(string_split(path, '/'), {SKIP})) AS BIGINT) AS files_scanned
+  FROM all_files GROUP BY ALL),
+v AS (SELECT repo, {_named("branch", "file_path")}, {_named("commit", "file_path")}, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w
+  FROM findings GROUP BY ALL),
+t AS (SELECT f.repo, f.branch, f.commit, files_scanned, CAST(coalesce(e, 0) AS BIGINT) AS total_errors, CAST(coalesce(w, 0) AS BIGINT) AS total_warnings
+  FROM f LEFT JOIN v ON f.repo = v.repo AND f.branch IS NOT DISTINCT FROM v.branch AND f.commit = v.commit)
+SELECT repo, branch, commit, files_scanned, CASE WHEN total_errors > 0 THEN 'fail' WHEN total_warnings > 0 THEN 'warning' ELSE 'pass' END AS overall_status,
+       total_errors, total_warnings FROM t""")
+ORACLE["incremental_findings"] = with_corpus(f"""
+SELECT repo, {_named("branch", "file_path")}, {_named("commit", "file_path")}, policy_id, file_path, line_number, description FROM findings""")
+ORACLE["kept_findings"] = with_corpus(f"""
+, named AS (SELECT * EXCLUDE (branch), {_named("branch", "file_path")} FROM findings)
+SELECT repo, branch, policy_id, file_path, line_number, description, severity,
+       CASE WHEN policy_id = 4 THEN '2024-02-01' ELSE '2024-01-01' END AS first_seen,
+       CASE WHEN branch IS NULL OR branch = '1.1' THEN '2024-02-01' ELSE '2024-01-01' END AS last_seen
+FROM named WHERE policy_id <> CASE WHEN branch IS NULL OR branch = '1.1' THEN 5 ELSE 4 END""")
 ORACLE["repo_name"] = """
 SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, 'https?://github\\.com/', ''), '\\.git$', ''), '/$', '') AS repo_name
 FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://github.com/org/r' || page_id || '.git'

@@ -22,7 +22,7 @@ from rulesift.operators import detectors as D
 from rulesift.operators import lines as L
 from rulesift.operators import summary as S
 from rulesift.plans import report as R
-from rulesift.plans.scan import scan
+from rulesift.plans.scan import read_findings, scan, write_findings
 from rulesift.sources import corpus as C
 from rulesift.sources import tables as TB
 from rulesift.sources.price_list import parse_price_lines
@@ -217,12 +217,36 @@ def report_json(spark, sf):
     return rows.withColumn("file_path", F.array_join("parts", "/")).drop("parts")
 
 
+#: Branch and commit names that look alike, or like numbers, and none at all.
+BRANCH_NAMES = ["", "1.1", "1.10", "0012", None]
+COMMIT_NAMES = ["12e5", "0012", "c1"]
+
+
+def _order_key(path="path"):
+    """The order's key in a corpus path."""
+    return F.regexp_extract(path, "/m([0-9]+)/", 1).cast("long")
+
+
+def _named(files):
+    """The corpus under the names of ``BRANCH_NAMES``, by the order's key."""
+    return files.withColumn("branch", F.element_at(F.array(*map(F.lit, BRANCH_NAMES)), (_order_key() % len(BRANCH_NAMES) + 1).cast("int")))
+
+
+def _landed_at(path="path"):
+    """A time of landing in seven days of January 2024, computed from the order's key."""
+    key = _order_key(path)
+    return F.timestamp_seconds(F.lit(1704067200) + (key % 7) * 86400 + key % 86400)
+
+
 def _incremental(spark, sf):
-    """The corpus landed as one commit in several files, scanned batch by batch; the kept output."""
+    """The corpus landed as commits in many files, scanned in about four batches; the folder of what is kept."""
     base = scratch_path(spark, "incremental")
-    files = _corpus(spark, sf).select("repo", F.concat(F.lit("me@"), F.col("branch")).alias("branch"), F.lit("c1").alias("commit"), "path", "text")
-    files.coalesce(2).write.parquet(f"{base}/landing")
-    incremental.start_incremental_scan(spark, f"{base}/landing", f"{base}/out", f"{base}/stream", files_per_batch=1).awaitTermination()
+    commit = F.element_at(F.array(*map(F.lit, COMMIT_NAMES)), (_order_key() % len(COMMIT_NAMES) + 1).cast("int"))
+    files = _named(_corpus(spark, sf)).select("repo", "branch", commit.alias("commit"), "path", "text", _landed_at().alias("scan_ts"))
+    files.write.parquet(f"{base}/landing")
+    per_batch = -(-len(spark.read.parquet(f"{base}/landing").inputFiles()) // 4)
+    schema = f"{incremental.SNAPSHOT_SCHEMA}, scan_ts timestamp"
+    incremental.start_incremental_scan(spark, f"{base}/landing", f"{base}/out", f"{base}/stream", files_per_batch=per_batch, schema=schema).awaitTermination()
     return f"{base}/out"
 
 
@@ -236,6 +260,24 @@ def incremental_findings(spark, sf):
         "repo", "branch", "commit", "policy_id", "file_path", "line_number", "description")
 
 
+def findings_log(spark, sf):
+    """Closed days of the stream of findings that the incremental scan keeps."""
+    out, log = _incremental(spark, sf), scratch_path(spark, "findings_log")
+    scanlog.start_findings_log(spark, out, f"{log}/days", f"{log}/stream").awaitTermination()
+    return spark.read.schema("day string, repo string, policy_id int, findings long").parquet(f"{log}/days")
+
+
+def kept_findings(spark, sf):
+    """Findings kept from two scans: all branches without policy 4, then two of the branches without policy 5."""
+    path = scratch_path(spark, "kept_findings")
+    files = _named(_corpus(spark, sf))
+    again = files.where("branch IS NULL OR branch = '1.1'")
+    write_findings(scan(files, CFG.without(4)), path, "2024-01-01 00:00:00")
+    write_findings(scan(again, CFG.without(5)), path, "2024-02-01 00:00:00")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return read_findings(spark, path).select("repo", "branch", "policy_id", "file_path", "line_number", "description", "severity", day("first_seen"), day("last_seen"))
+
+
 # -- price catalog: list lines computed from part ---------------------------------------
 
 def _models(spark, sf):
@@ -273,9 +315,7 @@ def scan_log(spark, sf):
 
 def daily_findings(spark, sf):
     """Findings per repository, policy and day; the day of a scan is computed from the order's key in the path."""
-    key = F.regexp_extract("file_path", "/m([0-9]+)/", 1).cast("long")
-    day = F.timestamp_seconds(F.lit(1704067200) + (key % 7) * 86400 + key % 86400)
-    return scanlog.daily_findings(_findings(spark, sf).withColumn("scan_ts", day))
+    return scanlog.daily_findings(_findings(spark, sf).withColumn("scan_ts", _landed_at("file_path")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -314,6 +354,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_json": report_json,
     "incremental_totals": incremental_totals,
     "incremental_findings": incremental_findings,
+    "findings_log": findings_log,
+    "kept_findings": kept_findings,
     "model_slug": model_slug,
     "model_tier": model_tier,
     "model_cost": model_cost,

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from rulesift.config import ScanConfig
 from rulesift.operators import summary as S
 from rulesift.operators.detectors import find, prepared_files
-from rulesift.session import scratch_path
+from rulesift.plans import kept
+from rulesift.session import materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -73,22 +74,48 @@ class ScanResult:
                        file_counts=spark.read.parquet(f"{base}/file_counts"))
 
 
-def write_findings(result: ScanResult, path: str):
-    """K5: keep the findings of a scan, partitioned by repository and branch (the
-    key of a finding is repo, branch, policy_id, file_path, line_number).
-
-    The (repo, branch) partitions of this scan replace what was kept for them; other
-    repositories stay.  One that has no findings now is cleared: every scanned
-    branch writes a marker row, which ``read_findings`` leaves out."""
-    columns = result.findings.columns
-    marker = result.file_counts.select("repo", "branch", *(F.lit(None).cast(result.findings.schema[c].dataType).alias(c) for c in columns if c not in ("repo", "branch")))
-    (result.findings.unionByName(marker).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("repo", "branch").parquet(path))
-
-
-def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    """The findings kept by ``write_findings``."""
-    return spark.read.parquet(path).where("policy_id IS NOT NULL")
+#: The key of a finding; the branch as a whole is what a scan replaces.
+FINDING_KEY = ["repo", "branch", "policy_id", "file_path", "line_number"]
+BRANCH = ["repo", "branch"]
+KEPT_SCHEMA = ("repo string, branch string, policy_id int, policy_name string, file_path string, line_number int, line_content string, "
+               "description string, severity string, first_seen timestamp, last_seen timestamp")
+
+
+def write_findings(result: ScanResult, path: str, scan_ts: str | None = None) -> int:
+    """K5: merges the findings of a scan into the kept ones by their key.
+
+    For the branches of this scan: a finding that was kept and is found again keeps its
+    ``first_seen`` and takes the rest from the scan, a new one begins now, one that is
+    not found any more goes.  Other branches stay, and their folders are not opened; a
+    branch without findings has a marker row.  Empty and null repository and branch names are
+    values of their own; all keys are columns (``rulesift.plans.kept``).  ``scan_ts`` is the time of
+    the scan (now if not given).  Returns the version that it made."""
+    spark = result.findings.sparkSession
+    now = F.to_timestamp(F.lit(scan_ts)) if scan_ts else F.current_timestamp()
+    branches = materialize(result.file_counts.select(*BRANCH).distinct(), "branches")
+    touched = [r[0] for r in branches.select(kept.bucket(BRANCH)).distinct().collect()]  # BUCKETS at most
+    old = kept.latest(kept.read(spark, path, KEPT_SCHEMA, buckets=touched), BRANCH).where("policy_id IS NOT NULL").drop("version")
+    named = branches.select(*(F.col(c).alias(f"_{c}") for c in BRANCH))
+    old = old.join(named, F.col("repo").eqNullSafe(F.col("_repo")) & F.col("branch").eqNullSafe(F.col("_branch")), "left_semi")
+    new = result.findings.withColumns({"first_seen": now, "last_seen": now}).select(*old.columns)
+    rest = [c for c in old.columns if c not in (*FINDING_KEY, "first_seen")]
+    both = old.withColumn("found", F.lit(0)).union(new.withColumn("found", F.lit(1)))
+    merged = both.groupBy(*FINDING_KEY).agg(F.max(F.struct("found", *rest)).alias("last"), F.min("first_seen").alias("first_seen"))
+    merged = merged.where("last.found = 1").select(*(F.col(f"last.{c}").alias(c) if c in rest else F.col(c) for c in old.columns))
+    marker = branches.select(*(F.col(c) if c in BRANCH else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns))
+    return kept.publish(merged.union(marker), path, BRANCH, FINDING_KEY)
+
+
+def read_findings(spark: SparkSession, path: str, branches: list[tuple] | None = None) -> DataFrame:
+    """The findings kept by ``write_findings``, with ``first_seen`` and ``last_seen``; of these (repo,
+    branch) alone if given."""
+    rows = kept.read(spark, path, KEPT_SCHEMA, BRANCH, branches)
+    return kept.latest(rows, BRANCH).where("policy_id IS NOT NULL").drop("version")
+
+
+def compact_findings(spark: SparkSession, path: str) -> list[str]:
+    """Folds the versions kept so far into one; returns the folders that are no longer read."""
+    return kept.compact(spark, path, KEPT_SCHEMA, BRANCH, FINDING_KEY, BRANCH)
 
 
 def register_views(result: ScanResult, prefix: str = ""):

@@ -1,100 +1,105 @@
 """Incremental scan of landed code snapshots with Structured Streaming.
 
-Snapshots of ``code_files`` rows (repo, branch, commit, path, text) land as
-Parquet files in a folder; the files of one commit may arrive in any number of
-micro-batches.  Each batch is scanned with the batch plan inside ``foreachBatch``.
-Findings and the list of scanned files are kept per (repo, branch, commit, path):
-a batch replaces what was kept for the paths it brings, keeps the commit's other
-paths, and rebuilds the summaries of the commits it touches from all that is
-kept.  So a replayed batch writes the same result, a file that lands again
-without findings loses its old ones, and the order of arrival does not matter.
-
-Kept tables are partitioned by (repo, branch, commit); only touched partitions
-are rewritten, through the shared scratch folder, by the option of the write
-(nothing of the session changes).
+Snapshots of ``code_files`` rows (repo, branch, commit, path, text, and optionally scan_ts)
+land as Parquet files in a folder; the files of one commit may arrive in any number of
+micro-batches.  Each batch is scanned with the batch plan inside ``foreachBatch`` and added
+to a kept table (``rulesift.plans.kept``) as one version: a row per scanned file
+and a row per finding, in one write.  So a batch costs what its own files cost, whatever is
+kept already; a batch that is cut off leaves nothing that is read; one that
+is replayed after it was published adds nothing.
+
+Of each (repo, branch, commit, path) the last version counts: a file that lands again without
+findings loses its old ones, and a commit's other files stay.  Findings, files and
+summaries are read from these rows; a read of some commits opens their folders only.
+
+Defined cases: empty and null repository, branch and commit names are values of their own, and
+names like ``0012``, ``1.10`` or ``12e5`` stay texts; of several rows of one path in a batch
+the last by scan_ts, then by text, counts; a null text is a file that could not be read
+(scanned, no findings); an empty batch adds no version.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulesift.config import ScanConfig
 from rulesift.operators import summary as S
+from rulesift.plans import kept
 from rulesift.plans.scan import scan
 from rulesift.session import materialize
 
 SNAPSHOT_SCHEMA = "repo string, branch string, commit string, path string, text string"
 KEY = ["repo", "branch", "commit"]
-_PAIR = "branch string, commit string"
-_FINDINGS = ("policy_id int, policy_name string, file_path string, line_number int, line_content string, "
-             "description string, severity string, repo string, branch string, commit string")
-_FILES = "path string, repo string, branch string, commit string"
+FILE = [*KEY, "path"]
+#: A row without a policy stands for the scanned file itself.
+CHANGE_SCHEMA = ("repo string, branch string, commit string, path string, scan_ts timestamp, policy_id int, policy_name string, "
+                 "line_number int, line_content string, description string, severity string")
+_CARRIED = {"branch": "string", "commit": "string", "scan_ts": "long"}
 
 
-def _with_commit(df: DataFrame) -> DataFrame:
-    """Branch and commit from the pair that the scan carries as its branch."""
-    pair = F.from_json("branch", _PAIR)
-    return df.withColumn("_pair", pair).withColumn("branch", F.col("_pair.branch")).withColumn("commit", F.col("_pair.commit")).drop("_pair")
+def _carry(df: DataFrame, *columns: str) -> DataFrame:
+    """Branch, commit (and scan_ts) as one text in the place of the branch: a scan and its
+    summaries take repository and branch along, whatever the branch says."""
+    values = [F.unix_micros(c).alias(c) if c == "scan_ts" else F.col(c) for c in columns]
+    return df.withColumn("branch", F.to_json(F.struct(*values))).drop(*(c for c in columns if c != "branch"))
 
 
-def _as_pair(df: DataFrame) -> DataFrame:
-    return df.withColumn("branch", F.to_json(F.struct("branch", "commit"))).drop("commit")
+def _carried(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns that ``_carry`` put away."""
+    df = df.withColumn("_own", F.from_json("branch", ", ".join(f"{c} {_CARRIED[c]}" for c in columns)))
+    return df.withColumns({c: F.timestamp_micros(f"_own.{c}") if c == "scan_ts" else F.col(f"_own.{c}") for c in columns}).drop("_own")
 
 
-def _kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing was kept yet
-        return spark.createDataFrame([], schema)
-
-
-def _replace(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY).parquet(path))
-
-
-def read_kept(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
-    """findings, files, policy_summary or scan_totals as they are kept."""
-    df = spark.read.parquet(f"{out_dir}/{table}")
-    return df.where("policy_id IS NOT NULL") if table == "findings" else df
-
-
-def scan_batch(batch: DataFrame, out_dir: str, cfg: ScanConfig | None = None):
-    """Scan one micro-batch and replace what is kept of its files and commits."""
+def scan_batch(batch: DataFrame, out_dir: str, cfg: ScanConfig | None = None, writer: str | None = None, epoch: int | None = None) -> int | None:
+    """Scans one micro-batch and adds it to the kept table; returns its version, or None if it
+    is empty or was published before under this writer and epoch."""
     cfg, spark = cfg or ScanConfig(), batch.sparkSession
-    files = materialize(batch.dropDuplicates([*KEY, "path"]), "batch")
+    if writer is not None and kept.is_published(spark, out_dir, writer, epoch):
+        return None
+    if "scan_ts" not in batch.columns:
+        batch = batch.withColumn("scan_ts", F.current_timestamp())
+    last = batch.groupBy(*FILE).agg(F.max(F.struct("scan_ts", "text")).alias("last"))
+    files = materialize(last.select(*FILE, "last.*"), "batch")
     if files.isEmpty():
-        return
-    landed = files.select("path", *KEY)
-    touched = landed.select(*KEY).distinct()
-    new = _with_commit(scan(_as_pair(files), cfg).findings)
+        return None
+    found = scan(_carry(files, "branch", "commit", "scan_ts"), cfg).findings
+    found = _carried(found, "branch", "commit", "scan_ts").withColumnRenamed("file_path", "path")
+    columns = [c.split(" ")[0] for c in CHANGE_SCHEMA.split(", ")]
+    rows = files.select(*FILE, "scan_ts", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in columns if c not in (*FILE, "scan_ts")))
+    return kept.publish(rows.select(*columns).union(found.select(*columns)), out_dir, KEY, FILE, writer, epoch)
+
 
-    def merged(table: str, schema: str, path_col: str, add: DataFrame) -> DataFrame:
-        old = _kept(spark, f"{out_dir}/{table}", schema).join(touched, KEY, "left_semi")
-        old = old.join(landed.withColumnRenamed("path", path_col), [*KEY, path_col], "left_anti")
-        return old.select(add.columns).union(add)
+def read_kept(spark: SparkSession, out_dir: str, table: str, commits: list[tuple] | None = None, cfg: ScanConfig | None = None) -> DataFrame:
+    """findings, files, policy_summary or scan_totals as they are kept; of the (repo, branch,
+    commit) in ``commits`` alone if given."""
+    cfg = cfg or ScanConfig()
+    rows = kept.latest(kept.read(spark, out_dir, CHANGE_SCHEMA, KEY, commits), FILE).drop("version")
+    found = rows.where("policy_id IS NOT NULL").withColumnRenamed("path", "file_path")
+    files = rows.where("policy_id IS NULL").select(*FILE, "scan_ts")
+    if table in ("findings", "files"):
+        return found if table == "findings" else files
+    pair = ("branch", "commit")
+    counts = S.policy_table(S.repo_file_counts(_carry(files.drop("scan_ts"), *pair), cfg), _carry(found.drop("scan_ts"), *pair), cfg)
+    return _carried({"policy_summary": lambda: S.policy_summary_from(counts, cfg), "scan_totals": lambda: S.scan_totals_from(counts)}[table](), *pair)
 
-    findings = merged("findings", _FINDINGS, "file_path", new).where("policy_id IS NOT NULL")
-    marker = touched.select(*(F.col(c) if c in KEY else F.lit(None).cast(t).alias(c) for c, t in new.dtypes))
-    findings = materialize(findings.union(marker), "findings")  # a marker row per commit: also a commit without findings is rewritten
-    listing = materialize(merged("files", _FILES, "path", landed), "files")
 
-    found = _as_pair(findings.where("policy_id IS NOT NULL"))
-    table = S.policy_table(S.repo_file_counts(_as_pair(listing), cfg), found, cfg)
-    _replace(findings, f"{out_dir}/findings")
-    _replace(listing, f"{out_dir}/files")
-    _replace(_with_commit(S.policy_summary_from(table, cfg)), f"{out_dir}/policy_summary")
-    _replace(_with_commit(S.scan_totals_from(table)), f"{out_dir}/scan_totals")
+def compact(spark: SparkSession, out_dir: str) -> list[str]:
+    """Folds the versions kept so far into one; returns the folders that are no longer read."""
+    return kept.compact(spark, out_dir, CHANGE_SCHEMA, KEY, FILE, FILE)
 
 
 def start_incremental_scan(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint: str,
-                           cfg: ScanConfig | None = None, files_per_batch: int | None = None):
-    stream = spark.readStream.schema(SNAPSHOT_SCHEMA)
+                           cfg: ScanConfig | None = None, files_per_batch: int | None = None, schema: str = SNAPSHOT_SCHEMA):
+    stream = spark.readStream.schema(schema)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        scan_batch(df, out_dir, cfg, df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), epoch)
+
     return (stream.parquet(landing_dir).writeStream
-            .foreachBatch(lambda df, _epoch: scan_batch(df, out_dir, cfg))
+            .foreachBatch(batch)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rulesift.config import ScanConfig
-from rulesift.plans.scan import read_findings, register_views, scan, write_findings
+from rulesift.plans.scan import compact_findings, read_findings, register_views, scan, write_findings
 
 
 def test_added_policy_and_thresholds(files_df):
@@ -33,6 +33,34 @@ def test_sql_views_and_findings_table(spark, files_df, tmp_path):
     assert kept() == [("org/b", "a/etl.py")]
 
 
+def test_findings_are_merged_by_key(spark, files_df, tmp_path):
+    out = str(tmp_path / "findings")
+    names = ["", "1.1", "1.10", "0012", "12", None]
+    two = {b: files_df([("a/load_jobs.py", 'spark.sql("CREATE SCHEMA s")\np = "/mnt/x/y"\n')], repo="1", branch=b) for b in names}
+    every = two[""]
+    for b in names[1:]:
+        every = every.union(two[b])
+    write_findings(scan(every), out, "2024-01-01 00:00:00")
+
+    def kept(**options):
+        rows = read_findings(spark, out, **options).collect()
+        return sorted(((r.repo, r.branch, r.policy_id, r.line_number, r.description[:6], r.first_seen.day, r.last_seen.day) for r in rows), key=str)
+
+    first = kept()
+    assert len(first) == 12 and {(r[1], r[2]) for r in first} == {(b, p) for b in names for p in (2, 5)}
+    # branch 1.1 loses the schema line, has the path one line higher and a new one; the null branch is clean now
+    moved = files_df([("a/load_jobs.py", 'x = 1\np = "/mnt/x/z"\nq = "/mnt/x/y"\n')], repo="1", branch="1.1")
+    clean = files_df([("a/load_jobs.py", "x = 1\n")], repo="1", branch=None)
+    write_findings(scan(moved.union(clean)), out, "2024-01-05 00:00:00")
+    second = kept()
+    assert [x for x in second if x[1] not in ("1.1", None)] == [x for x in first if x[1] not in ("1.1", None)]
+    assert [(x[2], x[3], x[5], x[6]) for x in second if x[1] == "1.1"] == [(2, 2, 1, 5), (2, 3, 5, 5)]
+    assert not [x for x in second if x[1] is None]
+    assert kept(branches=[("1", "1.1"), ("1", None)]) == [x for x in second if x[1] == "1.1"]
+    assert len(compact_findings(spark, out)) == 2 and kept() == second
+    assert read_findings(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_replaced_policies_leave_no_detector(files_df):
     files = files_df([("a/etl.py", "s = SparkSession\n .builder.getOrCreate()\n" + "x = 1\n" * 12)])
     cfg = ScanConfig()
