@@ -224,11 +224,11 @@ def _walked(lists: DataFrame, anchors: Anchors, low: np.ndarray, high: np.ndarra
         return found.withColumn("rank", F.row_number().over(of_window)).where(F.col("rank") <= k)
 
     def over(blocks: DataFrame, low: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((anchors, low, high))
+        shared = spark.sparkContext.broadcast((tuple(vars(anchors).values()), low, high))  # arrays: no class of this package on executors
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, least, most = shared.value
-            walker = Walker(own, least, most, same, k)
+            walker = Walker(Anchors(*own), least, most, same, k)
             for batch in batches:
                 for j in range(batch.num_rows):
                     row, ids, labels, v, orders, bounds = (np.frombuffer(batch.column(c)[j].as_buffer(), kind) for c, kind in enumerate(("<i8", "<i8", "<i8", "<f8", "<u2", "<f4"), 1))

@@ -44,6 +44,7 @@ from pyspark.sql import Window as W
 
 from rulesift.llm.graph import components
 from rulesift.llm.shingles import Hasher
+from rulesift.llm.workers import frugal, values
 from rulesift.session import materialize, materialize_bucketed
 
 PERCENT = 80
@@ -80,7 +81,7 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             kind = batch.column(0).type
             sizes, names = [], []
-            for found in hasher.sets(batch.column(1).to_pylist()):
+            for found in hasher.sets(values(batch.column(1))):
                 np.add.at(sketch, _slot(found), np.uint32(1))
                 sizes.append(len(found))
                 names.append(_name(found) if len(found) else (None, None))
@@ -92,7 +93,7 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             none = [pa.nulls(len(parts), pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), kind), *none, pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=schema.fieldNames())
 
-    return docs.select(id_col, text_col).mapInArrow(read, schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(read), schema)
 
 
 def _sketch(read: DataFrame) -> np.ndarray:
@@ -139,7 +140,7 @@ def _entries(docs: DataFrame, text_col: str, sketch: np.ndarray) -> DataFrame:
         noise = float(counts.mean(dtype=np.float64))
         for batch in batches:
             shingles, classes, weights, packed = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for found in hasher.sets(batch.column(0).to_pylist()):
+            for found in hasher.sets(values(batch.column(0))):
                 if len(found) and (name := _name(found)) not in met:
                     met.add(name)
                     first, matches, weight = prefix(found, counts, noise)
@@ -149,7 +150,7 @@ def _entries(docs: DataFrame, text_col: str, sketch: np.ndarray) -> DataFrame:
                     packed.append((np.int64(len(found)) << 33) | (np.arange(len(first)) << 3) | matches)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(weights)), pa.array(np.concatenate(packed))], names=["shingle", "a", "weight", "packed"])
 
-    return docs.select(text_col).mapInArrow(emit, "shingle long, a long, weight int, packed long")
+    return docs.select(text_col).mapInArrow(frugal(emit), "shingle long, a long, weight int, packed long")
 
 
 def _unpacked(packed: str) -> dict:
@@ -176,7 +177,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, cla
                 keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(frugal(verify), "u long, v long")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -187,12 +188,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, met = Hasher(), set()  # one id may have rows of other texts, or repeated rows
         for batch in batches:
-            found = [(a, x) for a, x in zip(batch.column(0).to_pylist(), hasher.sets(batch.column(1).to_pylist()), strict=True) if a not in met and len(x) and _name(x)[0] == a]
+            found = [(a, x) for a, x in zip(batch.column(0).to_pylist(), hasher.sets(values(batch.column(1))), strict=True) if a not in met and len(x) and _name(x)[0] == a]
             met.update(a for a, _ in found)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["a", "shingles"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("a", "text")
-    return materialize_bucketed(texts.mapInArrow(read, "a long, shingles binary"), "sets", "a")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("a", "text")
+    return materialize_bucketed(own.mapInArrow(frugal(read), "a long, shingles binary"), "sets", "a")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,10 +28,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rulesift.llm.workers import frugal, values
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -98,7 +100,7 @@ def _counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     held, texts = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
     schema = "slice int, counts binary"
-    for row in labelled.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).toLocalIterator():
+    for row in labelled.mapInArrow(frugal(count), schema).groupBy("slice").applyInArrow(add, schema).toLocalIterator():
         if row["slice"] < 0:
             texts = np.frombuffer(bytes(row["counts"]), np.int64)
         else:
@@ -127,7 +129,7 @@ def _sample(labelled: DataFrame, r: np.ndarray, share: float) -> tuple[list[np.n
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["features", "label"])
 
     key = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / (1 << 30)
-    rows = labelled.where(key < share).select("text", "label").mapInArrow(features, "features binary, label int").collect()
+    rows = labelled.where(key < share).select("text", "label").mapInArrow(frugal(features), "features binary, label int").collect()
     return [np.frombuffer(bytes(x.features), "<i4") for x in rows], np.array([x.label for x in rows], np.float64)
 
 
@@ -174,17 +176,21 @@ def with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return docs.select(id_col, text_col).join(labels, id_col)
 
 
-def scorer(spark: SparkSession, model: Model, unknown: float | None = None):
-    """A column function: the score of a text column (``unknown``: see ``Model.score``)."""
-    shared = spark.sparkContext.broadcast(model)
+def with_score(docs: DataFrame, model: Model, unknown: float | None = None, text_col: str = "text", to: str = "score") -> DataFrame:
+    """``docs`` with the score of each row's text in column ``to`` (``unknown``: see ``Model.score``)."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # arrays: no class of this package on executors
+    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())])
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score_texts(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(x, unknown) for x in texts], dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            scores = [own.score(x, unknown) for x in values(batch.column(place))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=schema.fieldNames())
 
-    return score_texts
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``score``) of every row."""
-    return docs.select(id_col, scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
+    return with_score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model).select(F.col("id").alias(id_col), "score")
