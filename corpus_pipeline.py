@@ -19,7 +19,10 @@ Defined cases: rows with a null or empty text pass (they have no lines, words or
 rows without an id are scored, deduplicated by line and encoded like any other, and pass
 stages 3 and 4; rows that share an id are judged each by its own text; of repeated rows
 one stays at stage 3; an empty table gives an empty table; extra columns pass through
-the first four stages.
+the first four stages, whatever their names; texts of megabytes are read whole.
+
+Python workers get ``ARROW_ROWS`` rows at a time where the session sets no number itself: a batch of
+whole documents stands in memory several times, in the executor and in the worker.
 """
 
 from __future__ import annotations
@@ -32,6 +35,13 @@ from rulesift.session import materialize
 
 #: Sets of ids are broadcast up to this count, else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+ARROW_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, ARROW_ROWS)
 
 
 def _key():
@@ -47,9 +57,11 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.with_labels(docs, labels))
-    return docs.where(toxicity.scorer(spark, model, unknown=0.0)("text") < 0.5)
+    score = "score " + "_".join(docs.columns)  # no column has this name
+    return toxicity.with_score(docs, model, unknown=0.0, to=score).where(F.col(f"`{score}`") < 0.5).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +72,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     linked = ngram_join.link(docs.select(_key().alias("key"), "text"), id_col="key")
     linked = materialize(linked.where("n_shingles > 0 AND key IS NOT NULL"), "linked")
     docs = _without(docs, linked.where("component_id < key").select("key").distinct())
@@ -75,6 +88,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     vocabulary = bpe.public_vocabulary()
     whole = F.sha2(F.coalesce("text", F.lit("")), 256)
     docs = docs.select(F.struct("doc_id", "lang", "source", whole.alias("digest")).alias("doc"), "text")
