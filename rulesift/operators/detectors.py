@@ -215,18 +215,25 @@ def find(files: DataFrame, cfg: ScanConfig | None = None, prepared: bool = False
     if not cfg.rule_sets:
         whole = f.select("repo", "branch", "path", F.explode(F.arrays_zip("file_findings")).alias("z"))
         return _findings_columns(whole.select("repo", "branch", "path", F.col("z.file_findings").alias("f")), cfg)
+    return exploded_findings(f, cfg)
+
+
+def exploded_findings(f: DataFrame, cfg: ScanConfig, before: Column | None = None) -> DataFrame:
+    """The findings of the lines of each row, and its ``file_findings``; ``before`` is the number of lines
+    before the row's first."""
     # exploding a zip (not a bare column built by higher-order functions)
     # keeps the generator on the fast path
-    exploded = f.select("repo", "branch", "path", "file_findings",
+    f = f.withColumn("_before", before if before is not None else F.lit(0))
+    exploded = f.select("repo", "branch", "path", "file_findings", "_before",
                         F.posexplode_outer(F.arrays_zip("lines", "stripped", "w1")).alias("pos", "z"))
     per_line = exploded.select(
-        "repo", "branch", "path", "file_findings", "pos",
+        "repo", "branch", "path", "file_findings", "_before", "pos",
         F.col("z.lines").alias("line"), F.col("z.stripped").alias("st"), F.col("z.w1").alias("par"))
     described = per_line.select(
-        "repo", "branch", "path", "file_findings", "pos", "st",
+        "repo", "branch", "path", "file_findings", "_before", "pos", "st",
         *line_descriptions(F.col("line"), F.col("st"), F.col("par"), cfg))
     head = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    every = F.concat(line_findings((F.col("pos") + 1).cast("int"), F.col("st"), cfg),
+    every = F.concat(line_findings((F.col("_before") + F.col("pos") + 1).cast("int"), F.col("st"), cfg),
                      F.when(head, F.col("file_findings")).otherwise(empty_findings()))
     return _findings_columns(described.select("repo", "branch", "path", F.explode(every).alias("f")), cfg)
 

@@ -334,6 +334,7 @@ FROM pages""",
     "policy6_file_names": _findings_where("policy_id = 6"),
     "policy7_downloads": _findings_where("policy_id = 7"),
     "all_findings": _findings_where(),
+    "chunked_findings": _findings_where(),
     "docstring_parity": with_corpus("SELECT repo, branch, path, line_number, in_doc AS in_docstring FROM w1"),
     "docstring_state": with_corpus("SELECT repo, branch, path, line_number, state FROM w2"),
     "first_rule": _first_rule(),

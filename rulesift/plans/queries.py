@@ -18,6 +18,7 @@ from rulesift import fixed
 from rulesift.config import ScanConfig
 from rulesift.functions import text as T
 from rulesift.operators import catalog as CAT
+from rulesift.operators import chunks as CH
 from rulesift.operators import detectors as D
 from rulesift.operators import lines as L
 from rulesift.operators import summary as S
@@ -139,6 +140,11 @@ def all_findings(spark, sf):
     return _findings(spark, sf)
 
 
+def chunked_findings(spark, sf):
+    """All findings by the associative scan, with files in chunks of seven lines."""
+    return CH.find_chunks(CH.cut(_corpus(spark, sf), 7), CFG)
+
+
 # -- windows (state machines) --------------------------------------------------------
 
 def docstring_parity(spark, sf):
@@ -337,6 +343,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "policy6_file_names": policy6_file_names,
     "policy7_downloads": policy7_downloads,
     "all_findings": all_findings,
+    "chunked_findings": chunked_findings,
     "docstring_parity": docstring_parity,
     "docstring_state": docstring_state,
     "first_rule": first_rule,
