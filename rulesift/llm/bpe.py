@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rulesift.llm.workers import frugal
 from rulesift.session import materialize_bucketed
 
 BLOCK_BYTES = 32 << 20
@@ -43,6 +44,8 @@ MAX_VOCABULARY = 1 << 20
 #: Words whose ids a task gathers before it sends them to their blocks.
 SEND_WORDS = 1 << 18
 #: Rows decoded at once.
+#: Rows, and bytes of text, that are decoded at once (a longer text alone).
+DECODE_BYTES = 64 << 20
 DECODE_ROWS = 512
 
 
@@ -83,7 +86,7 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
+def _blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     """One row per block: id values, numbers per document, packed numbers, words."""
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([
@@ -121,14 +124,14 @@ def _blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFr
                 ids.append(doc_id.as_py())
                 lengths.append(len(numbers) - before)
                 size += len(text) + 16
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield block(ids, lengths, numbers, numbering, kind)
                     made += 1
                     ids, lengths, numbers, numbering, size = [], [], array.array("I"), _Numbering(), 0
         if ids:
             yield block(ids, lengths, numbers, numbering, kind)
 
-    return docs.select(id_col, text_col).mapInArrow(cut, schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(cut), schema)
 
 
 def _word_ids(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -166,7 +169,7 @@ def _word_ids(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         if tokens:
             yield send(blocks, numbers, tokens)
 
-    return words.mapInArrow(merge, "block long, numbers binary, sizes binary, ids binary")
+    return words.mapInArrow(frugal(merge), "block long, numbers binary, sizes binary, ids binary")
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -188,9 +191,10 @@ def _ends(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.where(upto > 0, ends[upto - 1], 0) if len(ends) else np.zeros(len(counts))]).astype(np.int32)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``ids`` array<int>) of every row: the token ids of its whole text."""
-    blocks = materialize_bucketed(_blocks(docs, vocabulary.pattern, id_col, text_col), "bpe_blocks", "block")
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, ``ids`` array<int>) of every row: the token ids of its whole text.  Larger blocks
+    shuffle fewer rows, a task holds several times ``block_bytes``."""
+    blocks = materialize_bucketed(_blocks(docs, vocabulary.pattern, id_col, text_col, block_bytes), "bpe_blocks", "block")
     pairs = blocks.select("block", F.posexplode("words").alias("number", "word")).select("word", "block", "number")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = _word_ids(pairs.repartition(n, "word").sortWithinPartitions("word"), vocabulary)
@@ -226,15 +230,22 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: s
         values = np.frombuffer(b"".join(shared.value), np.uint8)
         sizes = np.fromiter(map(len, shared.value), np.int32, len(shared.value))
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        def decoded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ids = batch.column(position)
+            flat = ids.flatten().to_numpy()
+            counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+            size = sizes[flat]
+            if batch.num_rows > 1 and size.sum(dtype=np.int64) > DECODE_BYTES:  # offsets are 32 bits wide
+                half = batch.num_rows // 2
+                yield from decoded(batch.slice(0, half))
+                yield from decoded(batch.slice(half))
+                return
+            text, offsets = _gather(values, starts[flat], size), _ends(size, counts)
+            made = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], names=schema.fieldNames())
+
         for whole in batches:
             for first in range(0, whole.num_rows, DECODE_ROWS):
-                batch = whole.slice(first, DECODE_ROWS)
-                ids = batch.column(position)
-                flat = ids.flatten().to_numpy()
-                counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
-                size = sizes[flat]
-                text, offsets = _gather(values, starts[flat], size), _ends(size, counts)
-                decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), decoded], names=schema.fieldNames())
-
-    return coded.mapInArrow(join, schema)
+                yield from decoded(whole.slice(first, DECODE_ROWS))
+
+    return coded.mapInArrow(frugal(join), schema)
