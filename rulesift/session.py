@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,10 +64,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own for an intermediate table under the shared checkpoint folder."""
+#: Scratch tables (path, catalogue name or None) that this process has made, for each open ``scratch_tables``.
+_watching: list[list[tuple[str, str | None]]] = []
+
+
+@contextmanager
+def scratch_tables(made: list[tuple[str, str | None]] | None = None) -> Iterator[list[tuple[str, str | None]]]:
+    """Adds the scratch tables made inside the block to ``made``, for a later ``drop_scratch``."""
+    made = made if made is not None else []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching[:] = [x for x in _watching if x is not made]
+
+
+def drop_scratch(spark: SparkSession, made: list[tuple[str, str | None]]) -> None:
+    """Removes these scratch tables, and empties the list.  Call it when no DataFrame that
+    reads them is needed any more."""
+    for path, table in made:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    made.clear()
+
+
+def scratch_path(spark: SparkSession, name: str, table: bool = False) -> str:
+    """A path of its own for an intermediate table (``table``: one of the catalogue) under the
+    shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    for made in _watching:
+        made.append((path, f"{name}_{path[-32:]}".replace("-", "_") if table else None))
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -82,7 +114,7 @@ def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     ``spark.sql.shuffle.partitions`` buckets: later joins and groupings on ``key``
     read it in place, without another shuffle of its rows."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, table=True)
     table = f"{name}_{path[-32:]}".replace("-", "_")
     (df.write.option("compression", "zstd").option("path", path).format("parquet")
        .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table))
