@@ -21,7 +21,8 @@ stages 3 and 4; rows that share an id are judged each by its own text; of repeat
 one stays at stage 3; an empty table gives an empty table; extra columns pass through
 the first four stages, whatever their names; texts of megabytes are read whole.
 
-Python workers get ``ARROW_ROWS`` rows at a time where the session sets no number itself: a batch of
+A stage of ``STAGES`` first removes the scratch tables of the stage before it, whose output is
+written by then.  Python workers get ``ARROW_ROWS`` rows at a time where the session sets no number itself: a batch of
 whole documents stands in memory several times, in the executor and in the worker.
 """
 
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulesift.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from rulesift.session import materialize
+from rulesift.session import drop_scratch, materialize, scratch_tables
 
 #: Sets of ids are broadcast up to this count, else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 ARROW_ROWS = 1000
+#: Text of a block of the tokenizer; its tasks start on executors whose memory earlier stages have filled.
+BLOCK_BYTES = 12 << 20
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -92,18 +95,32 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = bpe.public_vocabulary()
     whole = F.sha2(F.coalesce("text", F.lit("")), 256)
     docs = docs.select(F.struct("doc_id", "lang", "source", whole.alias("digest")).alias("doc"), "text")
-    coded = bpe.decode(bpe.encode(docs, vocabulary, id_col="doc"), vocabulary)
+    coded = bpe.decode(bpe.encode(docs, vocabulary, id_col="doc", block_bytes=BLOCK_BYTES), vocabulary)
     lost = F.raise_error(F.concat(F.lit("ids do not decode to the text of document "), F.col("doc.doc_id").cast("string")))
     return coded.select("doc.doc_id", "doc.lang", "doc.source", F.size("ids").cast("long").alias("n_tokens"),
                         F.when(F.sha2("decoded", 256) == F.col("doc.digest"), F.col("ids")).otherwise(lost).alias("ids"))
 
 
+#: Scratch tables of the stage that ran last, by Spark application.
+_left: dict[str, list] = {}
+
+
+def _staged(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        made = _left.setdefault(spark.sparkContext.applicationId, [])
+        drop_scratch(spark, made)
+        with scratch_tables(made):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_repeated_lines),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontaminate", drop_contaminated),
-    ("tokenize", tokenize),
+    ("toxicity", _staged(drop_toxic)),
+    ("line_dedup", _staged(drop_repeated_lines)),
+    ("near_duplicates", _staged(drop_near_duplicates)),
+    ("decontaminate", _staged(drop_contaminated)),
+    ("tokenize", _staged(tokenize)),
 ]
 
 #: The first stage trains a classifier, the last merges byte pairs: SQL does not express them.
