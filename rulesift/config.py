@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 
 from rulesift import fixed
 
@@ -74,23 +74,34 @@ class ScanConfig:
     multiline_session: bool = True     # policy 1 second pass over the joined text
     comment_density: bool = True       # policy 3
     file_names: bool = True            # policy 6
+    # policies that are functions from all lines to findings
+    frames: dict[int, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
     def with_policy(self, policy_id: int, name: str, rules=(), scope: str = "line", severity: str = "error",
-                    requires: tuple[str, ...] = (), function: Callable[[Column, Column], Column] | None = None) -> "ScanConfig":
+                    requires: tuple[str, ...] = (), function: Callable[[Column, Column], Column] | None = None,
+                    frame: Callable[[DataFrame], DataFrame] | None = None) -> "ScanConfig":
         """Add a policy, or replace one with all its detectors.  Without rules and
-        function the policy is listed and never has findings."""
+        function the policy is listed and never has findings.
+
+        ``frame`` is the form for policies that look beyond one line: it takes the lines of all files
+        (repo, branch, path, line_number, line, stripped, in_docstring) and gives findings (repo, branch,
+        path, line_number, description, and line_content and severity if it likes), by any joins,
+        windows or aggregates.  It is planned into the scan beside the other detectors and reads
+        the files once more; findings are unique by file and line."""
         kept = self.without(policy_id)
         sets = kept.rule_sets
         if rules or function:
             sets += (RuleSet(policy_id, tuple(tuple(r) for r in rules), scope, severity, tuple(requires), function),)
-        return replace(kept, policies={**self.policies, policy_id: name}, rule_sets=sets)
+        frames = {**kept.frames, **({policy_id: frame} if frame else {})}
+        return replace(kept, policies={**self.policies, policy_id: name}, rule_sets=sets, frames=frames)
 
     def without(self, *policy_ids: int) -> "ScanConfig":
         """The same scan with no detector of these policies (they stay listed)."""
         return replace(self, rule_sets=tuple(r for r in self.rule_sets if r.policy_id not in policy_ids),
                        multiline_session=self.multiline_session and 1 not in policy_ids,
                        comment_density=self.comment_density and 3 not in policy_ids,
-                       file_names=self.file_names and 6 not in policy_ids)
+                       file_names=self.file_names and 6 not in policy_ids,
+                       frames={p: f for p, f in self.frames.items() if p not in policy_ids})
 
     def only(self, *policy_ids: int) -> "ScanConfig":
         """The same scan with the detectors of these policies alone."""

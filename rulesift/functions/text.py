@@ -31,9 +31,34 @@ def rx(pattern: str) -> str:
     return fixed.RX_FLAGS + "".join(out)
 
 
+# An open run in a pattern: any text between what comes before and what comes after.
+_OPEN_RUN = re.compile(r"(\\s\+)?\.\*\??(\\s\+)?")
+
+
+def in_order(pattern: str) -> tuple[str, str] | None:
+    """Head and tail of a fixed pattern with one open run, such that the pattern occurs in a line if
+    the tail does after the first head; None for other patterns.
+
+    A search that backtracks takes quadratic time (or worse) on a long line with many
+    heads and no tail.  The heads of the fixed rules are words, marks and blanks in a row, which match in
+    one way only, so the first head ends before any other; ``\\s+.*?\\s+`` is a blank, any text, a blank."""
+    if pattern not in _FIXED or len(_OPEN_RUN.findall(pattern)) != 1:
+        return None
+    run = _OPEN_RUN.search(pattern)
+    return pattern[:run.start()] + (r"\s" if run[1] else ""), (r"\s" if run[2] else "") + pattern[run.end():]
+
+
+_FIXED = {fixed.P1_PATTERN, *(pattern for rules in (fixed.P4_RULES, fixed.P5_RULES, fixed.P7_RULES) for pattern, _ in rules)}
+
+
 def matches(col: Column, pattern: str) -> Column:
-    """Search anywhere in ``col`` (Python ``re.search`` semantics)."""
-    return col.rlike(rx(pattern))
+    """Search anywhere in ``col`` (Python ``re.search`` semantics), which is one line; in linear time
+    for the fixed rules."""
+    parts = in_order(pattern)
+    if parts is None:
+        return col.rlike(rx(pattern))
+    head, tail = parts
+    return F.coalesce(F.get(F.split(col, rx(head), 2), F.lit(1)).rlike(rx(tail)), F.lit(False))
 
 
 # Non-ASCII characters that Java's Unicode case-insensitive matching equates

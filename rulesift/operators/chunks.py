@@ -166,14 +166,12 @@ def with_states(chunks: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:
 def _sessions(chunks: DataFrame) -> DataFrame:
     """``sessions``: start lines (n, stripped) of the session matches that end in the chunk and that
     the one-line pass does not report."""
-    pattern = X.rx(fixed.P1_PATTERN)
     texts, nos = F.transform("carry", lambda c: c["text"]), F.transform("carry", lambda c: c["n"])
-    marked = lambda lines: F.split(F.regexp_replace(F.translate(F.array_join(lines, "\n"), D._MARK, D._MARK_STANDIN), F.lit(f"({pattern})"), F.lit(D._MARK + "$1")), "\n", -1)
-    maybe = X.matches(F.col("text"), "SparkSession") | (F.size("carry") > 0)
+    maybe = F.col("text").rlike(X.rx("SparkSession")) | (F.size("carry") > 0)
     both = F.arrays_zip(F.concat(nos, F.transform("lines", lambda _, i: i + 1 + F.col("before"))).alias("n"), F.concat(texts, "lines").alias("line"), F.col("_marked").alias("m"))
     starts = F.filter(both, lambda z, i: (F.instr(z["m"], D._MARK) > 0) & ((i >= F.size("carry")) | ~F.coalesce(F.instr(F.get("_known", i), D._MARK) > 0, F.lit(False))))
-    told = lambda z: ~X.py_strip(z["line"]).startswith("#") & z["line"].rlike(pattern)
-    return (chunks.withColumns({"_marked": F.when(maybe, marked(F.concat(texts, "lines"))), "_known": F.when(F.size("carry") > 0, marked(texts))})
+    told = lambda z: ~X.py_strip(z["line"]).startswith("#") & X.matches(z["line"], fixed.P1_PATTERN)
+    return (chunks.withColumns({"_marked": F.when(maybe, D.marked_sessions(F.concat(texts, "lines"))), "_known": F.when(F.size("carry") > 0, D.marked_sessions(texts))})
             .withColumn("_starts", F.when(F.col("_marked").isNotNull(), starts))
             .withColumn("sessions", F.coalesce(F.transform(F.filter("_starts", lambda z: ~told(z)), lambda z: F.struct(z["n"].alias("n"), X.py_strip(z["line"]).alias("st"))), F.array().cast("array<struct<n:long,st:string>>")))
             .drop("_marked", "_known", "_starts"))
@@ -197,4 +195,13 @@ def find_chunks(chunks: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:
         per_file = counted.where("readable").select(*FILE, F.explode(F.concat(*parts)).alias("f"))
         per_file = D._findings_columns(per_file, cfg)
         found = per_file if found is None else found.union(per_file)
-    return found if found is not None else D._findings_columns(states.select(*FILE, F.explode(D.empty_findings()).alias("f")), cfg)
+    if found is None:
+        found = D._findings_columns(states.select(*FILE, F.explode(D.empty_findings()).alias("f")), cfg)
+    return D.with_frames(found, lambda: _lines(states), cfg)
+
+
+def _lines(states: DataFrame) -> DataFrame:
+    """The line table of the row form."""
+    z = F.arrays_zip("lines", "stripped", "w1")
+    return (states.select(*FILE, "before", F.posexplode(z).alias("pos", "z"))
+            .select(*FILE, (F.col("before") + F.col("pos") + 1).cast("int").alias("line_number"), F.col("z.lines").alias("line"), F.col("z.stripped").alias("stripped"), F.col("z.w1").alias("in_docstring")))

@@ -15,6 +15,7 @@ per file, on line 0.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,31 +106,46 @@ def line_findings(line_number: Column, stripped: Column, cfg: ScanConfig) -> Col
 
 # -- whole-file detectors -------------------------------------------------------
 
-# Private-use characters: the mark put before each match, and what stands for
-# that mark where a text holds it already (the session pattern treats both alike).
-_MARK, _MARK_STANDIN = "\ue000", "\ue001"
+# Private-use characters: the mark put before each match, those after a head and before a tail of
+# the pattern, and what stands for them where a text holds them already (the pattern treats all alike).
+_MARK, _HEAD, _TAIL, _STANDIN = "\ue000", "\ue002", "\ue003", "\ue001"
+_P1_HEAD, _P1_TAIL = T.in_order(fixed.P1_PATTERN)
+
+
+def marked_sessions(lines: Column) -> Column:
+    """The lines, joined and split again, with a mark before each match of the session pattern.
+
+    ``\\s*`` may cross lines, ``.`` may not: head and tail stand on one line.  Heads and tails
+    are marked, the mark of a head that no tail follows on its line is taken away, and a match
+    must begin with a marked head.  So none begins in vain, and the cost is linear in the file."""
+    full = F.translate(F.array_join(lines, "\n"), _MARK + _HEAD + _TAIL, _STANDIN * 3)
+    full = F.regexp_replace(full, F.lit(f"({T.rx(_P1_HEAD)})"), F.lit("$1" + _HEAD))
+    full = F.regexp_replace(full, F.lit(f"({T.rx(_P1_TAIL)})"), F.lit(_TAIL + "$1"))
+
+    def useful(line: Column) -> Column:
+        rest = F.substring_index(line, _TAIL, -1)  # all of it where there is no tail
+        return F.concat(F.left(line, F.length(line) - F.length(rest)), F.replace(rest, F.lit(_HEAD), F.lit("")))
+
+    full = F.array_join(F.transform(F.split(full, "\n", -1), useful), "\n")
+    pattern = f"{_P1_HEAD}{_HEAD}.*{_TAIL}{_P1_TAIL}"
+    return F.split(F.regexp_replace(full, F.lit(f"({T.rx(pattern)})"), F.lit(_MARK + "$1")), "\n", -1)
 
 
 def with_multiline_session(files: DataFrame) -> DataFrame:
     """Adds ``p1b``, the start lines of matches of the session pattern on
-    the lines joined by ``\\n`` (``\\s*`` may cross lines, ``.`` may not),
-    minus lines the one-line pass reports (J2, inside the row).
+    the lines joined by ``\\n``, minus lines the one-line pass reports (J2, inside the row).
 
-    One replacement puts a mark before each match; the numbers of the lines that
-    hold a mark are the start lines, so the cost is linear in the file.  A literal
-    search on the raw text skips the join for files that cannot match."""
-    pat = T.rx(fixed.P1_PATTERN)
-    maybe = T.matches(F.col("text"), "SparkSession")
-    full = F.translate(F.array_join("lines", "\n"), _MARK, _MARK_STANDIN)
-    marked = F.regexp_replace(full, F.lit(f"({pat})"), F.lit(_MARK + "$1"))
+    The numbers of the lines that hold a mark are the start lines.  A literal search on the
+    raw text skips the join for files that cannot match."""
+    maybe = F.col("text").rlike(T.rx("SparkSession"))
 
     def found_by_line_pass(n: Column) -> Column:
-        return ~F.element_at(F.col("stripped"), n).startswith("#") & F.element_at(F.col("lines"), n).rlike(pat)
+        return ~F.element_at(F.col("stripped"), n).startswith("#") & T.matches(F.element_at(F.col("lines"), n), fixed.P1_PATTERN)
 
-    starts = F.transform(F.split(F.col("_marked"), "\n", -1), lambda line, i: F.when(F.instr(line, _MARK) > 0, i + 1))
+    starts = F.transform("_marked", lambda line, i: F.when(F.instr(line, _MARK) > 0, i + 1))
     return (files
-            .withColumn("_marked", F.when(maybe, marked))
-            .withColumn("_starts", F.when(F.instr("_marked", _MARK) > 0, F.array_compact(starts)))
+            .withColumn("_marked", F.when(maybe, marked_sessions(F.col("lines"))))
+            .withColumn("_starts", F.when(F.exists("_marked", lambda line: F.instr(line, _MARK) > 0), F.array_compact(starts)))
             .withColumn("p1b", F.when(F.col("_starts").isNotNull(), F.filter("_starts", lambda n: ~found_by_line_pass(n)))
                         .otherwise(F.array().cast("array<int>")))
             .drop("_marked", "_starts"))
@@ -186,7 +202,7 @@ def _multiline_on(cfg: ScanConfig) -> bool:
 
 
 def _reads_content(cfg: ScanConfig) -> bool:
-    return bool(cfg.rule_sets) or cfg.comment_density or _multiline_on(cfg)
+    return bool(cfg.rule_sets) or cfg.comment_density or _multiline_on(cfg) or bool(cfg.frames)
 
 
 def prepared_files(files: DataFrame, cfg: ScanConfig) -> DataFrame:
@@ -211,6 +227,23 @@ def find(files: DataFrame, cfg: ScanConfig | None = None, prepared: bool = False
     f = files if prepared else prepared_files(files, cfg)
     if not _reads_content(cfg):
         return _named_findings(f, cfg)
+    return with_frames(_row_findings(f, cfg), lambda: L.explode_lines(f), cfg)
+
+
+def with_frames(found: DataFrame, lines: Callable[[], DataFrame], cfg: ScanConfig) -> DataFrame:
+    """``found`` with the findings of the policies that are functions over all lines."""
+    for pid, function in sorted(cfg.frames.items()):
+        own = function(lines())
+        content = F.col("line_content") if "line_content" in own.columns else F.lit(None).cast("string")
+        severity = F.col("severity") if "severity" in own.columns else F.lit("error")
+        own = own.select("repo", "branch", F.lit(pid).alias("policy_id"), policy_name(F.lit(pid), cfg).alias("policy_name"), F.col("path").alias("file_path"),
+                         F.col("line_number").cast("int").alias("line_number"), T.truncate_content(F.coalesce(content, F.lit(""))).alias("line_content"), "description", severity.alias("severity"))
+        found = found.unionByName(own)
+    return found
+
+
+def _row_findings(f: DataFrame, cfg: ScanConfig) -> DataFrame:
+    """Findings of the detectors that need one file row at a time."""
     f = f.withColumn("file_findings", file_findings(cfg))
     if not cfg.rule_sets:
         whole = f.select("repo", "branch", "path", F.explode(F.arrays_zip("file_findings")).alias("z"))

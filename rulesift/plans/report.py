@@ -10,7 +10,9 @@ tasks and no repository holds up the others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +20,7 @@ from rulesift import fixed
 from rulesift.functions import text as T
 from rulesift.operators import summary as S
 from rulesift.operators.detectors import fmt
+from rulesift.plans import kept
 from rulesift.session import materialize
 
 FIXED_SCAN_TS = "2024-01-01 00:00:00"
@@ -125,15 +128,37 @@ def markdown_rows(result, scan_ts: str = FIXED_SCAN_TS, generator: str = DEFAULT
     return out.select(*ROW_COLUMNS)
 
 
-def write_report(rows: DataFrame, path: str, key: list[str] = ORDER_KEY, partitions: int | None = None):
-    """K3: write each repository's report as text under ``path/repo=…/branch=…``.
-    Files of one repository concatenated in part order give the document
-    (of ``markdown_rows``, or of ``json_rows`` with its key)."""
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (rows.repartitionByRange(n, "repo", "branch", *key)
-     .sortWithinPartitions("repo", "branch", *key)
-     .select("repo", "branch", "text")
-     .write.mode("overwrite").partitionBy("repo", "branch").text(path))
+PARTS_SCHEMA = "repo string, branch string, part int, file string"
+BRANCH = ["repo", "branch"]
+
+
+def write_report(rows: DataFrame, path: str, key: list[str] = ORDER_KEY, partitions: int | None = None) -> int:
+    """K3: write each repository's report as text, in as many parts as its size asks for, and publish
+    the ordered list of its parts (``report_parts``).
+
+    The reports of the repositories and branches in ``rows`` replace those written before; all others
+    stay.  The list is published last and at once (``rulesift.plans.kept``): until then readers have
+    the old reports, and what a lost job leaves behind is in no list.  Returns the version."""
+    spark = rows.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = f"{path}/text/{uuid.uuid4().hex}"
+    # names of any kind (empty, null, like numbers, with slashes) do not go into folder names
+    report = F.left(F.sha2(F.to_json(F.struct(*BRANCH)), 256), F.lit(32)).alias("report")
+    (rows.select("*", report).repartitionByRange(n, "report", *key)
+     .sortWithinPartitions("report", *key)
+     .select("report", "text")
+     .write.partitionBy("report").text(folder))
+    names = rows.select(*BRANCH, report).distinct()
+    written = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(F.col("path").alias("file"), F.col("report").cast("string"))
+    place = F.row_number().over(Window.partitionBy("report").orderBy("file"))  # a report has at most ``n`` parts
+    parts = written.withColumn("part", place).join(names, "report").select(*BRANCH, "part", "file")
+    return kept.publish(parts, path, BRANCH, [*BRANCH, "part"])
+
+
+def report_parts(spark: SparkSession, path: str, branches: list[tuple] | None = None) -> DataFrame:
+    """(repo, branch, part, file): the text files of each report; in the order of ``part`` they are the
+    document.  Of these (repo, branch) alone if given."""
+    return kept.latest(kept.read(spark, path, PARTS_SCHEMA, BRANCH, branches), BRANCH).drop("version")
 
 
 JSON_KEY = ["section", "policy_id", "sub", "parts", "pass_no", "line_number"]

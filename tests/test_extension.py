@@ -77,3 +77,41 @@ def test_function_policy_and_selection(files_df):
     assert [(r.line_number, r.description) for r in scan(files, cfg.only(9)).findings.collect()] == [(2, "length 27")]
     assert [r.policy_id for r in scan(files, cfg.only(6)).findings.collect()] == [6]
     assert scan(files, cfg.only()).findings.collect() == []
+
+
+def copied_lines(lines):
+    """Lines that another file of the repository holds earlier in path order."""
+    code = lines.where(F.length("stripped") > 12)
+    first = code.groupBy("repo", "branch", "stripped").agg(F.min("path").alias("first"))
+    return code.join(first, ["repo", "branch", "stripped"]).where("path > first").select("repo", "branch", "path", "line_number", F.col("line").alias("line_content"), F.concat(F.lit("copied from "), "first").alias("description"), F.lit("warning").alias("severity"))
+
+
+def test_policy_over_all_lines(files_df):
+    from rulesift.operators import chunks
+
+    line = "value = compute_the_value(1)"
+    files = files_df([("a/load_jobs.py", f"x = 1\n{line}\n"), ("b/save_jobs.py", f"# c\n\n  {line}\n"), ("c/etl.py", f"{line}\n{line}" + "y" * 200 + "\n"), ("venv/x.py", line)])
+    cfg = ScanConfig().with_policy(9, "No Copies", frame=copied_lines)
+    got = scan(files, cfg)
+    want = [("b/save_jobs.py", 3, f"  {line}", "copied from a/load_jobs.py", "warning"), ("c/etl.py", 1, line, "copied from a/load_jobs.py", "warning")]
+    own = lambda df: sorted((r.file_path, r.line_number, r.line_content, r.description, r.severity) for r in df.collect() if r.policy_id == 9)
+    assert own(got.findings) == want and {r.policy_name for r in got.findings.where("policy_id = 9").collect()} == {"No Copies"}
+    assert {r.policy_id: r.status for r in got.policy_summary.collect()}[9] == "warning"
+    assert own(scan(files, cfg.only(9)).findings) == want and scan(files, cfg.only(9)).findings.count() == 2
+    assert sorted(r.policy_id for r in scan(files, cfg.without(9)).findings.collect()) == sorted(r.policy_id for r in scan(files).findings.collect())
+    assert own(scan(files, cfg.with_policy(9, "None", [])).findings) == []
+    assert own(chunks.find_chunks(chunks.cut(files, 1), cfg)) == want
+
+
+def test_lists_are_parameters(files_df):
+    files = files_df([("build/load_jobs.py", 'p = "/mnt/x/y"\n'), ("venv/load_jobs.py", 'p = "/mnt/x/y"\n'), ("a/etl.py", "x = 1\n"), ("a/setup.py", "x = 1\n"), ("a/Setup.py", "x = 1\n"), ("a/nb.py", "x = 1\n")])
+    plain = scan(files)
+    assert plain.scan_totals.first().files_scanned == 5
+    assert sorted((r.policy_id, r.file_path) for r in plain.findings.collect()) == [(2, "build/load_jobs.py"), (6, "a/etl.py"), (6, "a/nb.py")]
+    own = scan(files, ScanConfig(skip_dirs=("build",), exempt_names=("etl", "nb")))
+    assert own.scan_totals.first().files_scanned == 5
+    assert sorted((r.policy_id, r.file_path) for r in own.findings.collect()) == [(2, "venv/load_jobs.py")]
+    names = scan(files, ScanConfig(exempt_names=()))
+    assert sorted(r.file_path for r in names.findings.collect() if r.policy_id == 6) == ["a/etl.py", "a/nb.py"]
+    none = scan(files, ScanConfig(skip_dirs=("a", "build", "venv")))
+    assert none.findings.collect() == [] and none.scan_totals.first().files_scanned == 0

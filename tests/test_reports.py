@@ -1,7 +1,8 @@
 """Markdown text, report writer, JSON report, review bundle."""
 
 import json
-import os
+
+import pytest
 
 from rulesift.config import ScanConfig
 from rulesift.plans import report as R
@@ -17,9 +18,10 @@ def document(rows, key):
     return "\n".join(r.text for r in rows.orderBy(*key).collect())
 
 
-def written(out):
-    folder = os.path.join(out, "repo=org%2Fr", "branch=main")
-    return "".join(open(os.path.join(folder, p)).read() for p in sorted(os.listdir(folder)) if p.startswith("part-")).rstrip("\n")
+def written(spark, out, repo="org/r", branch="main"):
+    parts = R.report_parts(spark, out, [(repo, branch)]).orderBy("part").collect()
+    assert [p.part for p in parts] == list(range(1, len(parts) + 1))
+    return "".join(open(p.file.removeprefix("file:")).read() for p in parts).rstrip("\n")
 
 
 def test_markdown_text_layout(files_df):
@@ -41,12 +43,39 @@ def test_markdown_text_layout(files_df):
     assert lines[-1] == "*Report generated by rulesift • 2024-01-01 00:00:00 UTC*"
 
 
-def test_write_report(files_df, tmp_path):
+def test_write_report(spark, files_df, tmp_path):
     res = scan(files_df(FILES))
     R.write_report(R.markdown_rows(res), str(tmp_path / "md"), partitions=3)
-    assert written(str(tmp_path / "md")) == document(R.markdown_rows(res), R.ORDER_KEY)
+    assert written(spark, str(tmp_path / "md")) == document(R.markdown_rows(res), R.ORDER_KEY)
+    assert R.report_parts(spark, str(tmp_path / "md")).count() > 1
     R.write_report(R.json_rows(res), str(tmp_path / "json"), key=R.JSON_KEY, partitions=3)
-    assert json.loads(written(str(tmp_path / "json"))) == json.loads(document(R.json_rows(res), R.JSON_KEY))
+    assert json.loads(written(spark, str(tmp_path / "json"))) == json.loads(document(R.json_rows(res), R.JSON_KEY))
+
+
+def test_reports_are_replaced_by_repository_and_branch(spark, files_df, tmp_path, monkeypatch):
+    out, names = str(tmp_path / "md"), [("org/r", "main"), ("org/r", "1.10"), ("org/r", "1.1"), ("org/r", ""), ("0012", None), ("12", None)]
+    rows = {n: R.markdown_rows(scan(files_df(FILES[k % 3:], repo=n[0], branch=n[1]))) for k, n in enumerate(names)}
+    texts = {n: document(r, R.ORDER_KEY) for n, r in rows.items()}
+    every = rows[names[0]]
+    for n in names[1:]:
+        every = every.union(rows[n])
+    R.write_report(every, out)
+    assert {n: written(spark, out, *n) for n in names} == texts
+    again = R.markdown_rows(scan(files_df([("a/load_jobs.py", "x = 1\n")], branch="1.1")))
+    monkeypatch.setattr(R.kept, "publish", lambda *_: (_ for _ in ()).throw(OSError("the driver is lost")))
+    with pytest.raises(OSError):
+        R.write_report(again, out)
+    monkeypatch.undo()
+    assert {n: written(spark, out, *n) for n in names} == texts  # a torn write is not seen
+    R.write_report(again, out)
+    texts["org/r", "1.1"] = document(again, R.ORDER_KEY)
+    assert {n: written(spark, out, *n) for n in names} == texts
+
+
+def test_pipes_in_descriptions_are_escaped(files_df):
+    cfg = ScanConfig().only().with_policy(8, "No Or", [(r"a \| b", "a | b || c: use or")])
+    rows = R.markdown_rows(scan(files_df([("x|y/load_jobs.py", "t = a | b\n")]), cfg))
+    assert "| 🔴 | `x|y/load_jobs.py` | 1 | a \\| b \\|\\| c: use or |" in document(rows, R.ORDER_KEY).split("\n")
 
 
 def test_json_of_large_and_small_repositories(spark):

@@ -48,3 +48,46 @@ def test_each_rule(files_df):
 def test_long_line_is_cut_to_150_characters(files_df):
     (found,) = scan(files_df([("jobs/load_data.py", 'token = "' + "é" * 200 + '"\n')]), ScanConfig().only(2)).findings.collect()
     assert found.line_content == 'token = "' + "é" * 141
+
+
+LONG = 1_000_000
+#: Lines on which a search that backtracks takes hours: many heads and no tail.
+HARD = ["CREATE TABLE" + " " * LONG, "CREATE TABLE " * (LONG // 13), "CREATE EXTERNAL TABLE " * (LONG // 22), "subprocess " * (LONG // 11), "curl " + "subprocess " * (LONG // 11), "requests.get(" * (LONG // 13),
+        "os.system( " * (LONG // 11), "dbutils.fs.cp(" * (LONG // 14), "SparkSession.builder " * (LONG // 21), "getOrCreate; " + "SparkSession.builder " * (LONG // 21), "SparkSession.builder " * (LONG // 21) + ".getOrCreate",
+        "spark.sql('" * (LONG // 11), "SparkSession" + " " * LONG + ".", "STORED" + " " * LONG, "create" + " " * LONG + "schem", "token" + " " * LONG, '"' * LONG, "x@y." * (LONG // 4)]
+
+
+def test_long_lines_end_within_seconds(files_df):
+    import time
+
+    endings = {0: ("x USING csv", 4), 3: ("wget", 7), 5: ("stream", 7), 6: ("curl", 7), 7: ('"file:/x"', 7), 8: (".getOrCreate()", 1), 14: ("a", 5)}
+    lines = HARD + [HARD[k] + end for k, (end, _) in endings.items()]
+    start = time.time()
+    got = scan(files_df([("jobs/load_data.py", "\n".join(f"{line}\nx = 1" for line in lines) + "\n")]), ScanConfig().only(1, 2, 4, 5, 7)).findings.collect()
+    assert sorted((r.line_number, r.policy_id) for r in got) == [(2 * (len(HARD) + k) + 1, p) for k, (_, p) in enumerate(endings.values())]
+    assert time.time() - start < 60
+
+
+def test_rules_in_order_equal_the_whole_pattern(files_df):
+    """Heads, tails and pieces of them in any order: the same rows as the pattern as it stands."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from rulesift import fixed
+    from rulesift.functions import text as T
+
+    ordered = [p for rules in (fixed.P4_RULES, fixed.P5_RULES, fixed.P7_RULES, [(fixed.P1_PATTERN, "")]) for p, _ in rules if T.in_order(p)]
+    assert len(ordered) == 7
+    rng = random.Random(1)
+    pieces = ["CREATE", "EXTERNAL", "TABLE", " ", "  ", "\t", "USING", "csv", "t", "subprocess", "curl", "wget", "os.system", "(", "'", '"', "file:/", "dbutils.fs.cp", "requests.get", "stream", "content",
+              "SparkSession", ".", "builder", "getOrCreate", "spark.sql", "schema", "\x1c", "create", "x", " USING csv", ".getOrCreate (", "CREATE schema", "'file:/"]
+    lines = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    for head in ("CREATE TABLE", "create external table", "subprocess", "os.system(", "dbutils.fs.cp (", "requests.get(", "SparkSession.builder", "spark.sql( '"):
+        lines += [head + "".join(rng.choice(pieces) for _ in range(rng.randrange(9))) for _ in range(300)]
+    table = files_df([("p", line) for line in lines]).select("text", *(T.matches(F.col("text"), p).alias(f"m{k}") for k, p in enumerate(ordered)), *(F.col("text").rlike(T.rx(p)).alias(f"w{k}") for k, p in enumerate(ordered)))
+    rows = table.collect()
+    for k, p in enumerate(ordered):
+        assert [r[f"m{k}"] for r in rows] == [r[f"w{k}"] for r in rows], p
+        assert any(r[f"m{k}"] for r in rows) and [r[f"m{k}"] for r in rows] == [bool(re.search(p, r.text, re.I)) for r in rows]
