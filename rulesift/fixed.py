@@ -144,7 +144,25 @@ POLICY_REFERENCE_ROWS = (
     "| 6 | Meaningful File Names | No single-char, numeric, or generic filenames |",
     "| 7 | No Local File Downloads | Must not download files to local VM |",
 )
+REPORT_FIELDS = ("| Field | Value |", "|-------|-------|")
+REPORT_REPOSITORY = "| **Repository** | `{repo}` |"
+REPORT_BRANCH = "| **Branch** | `{branch}` |"
+REPORT_SCAN_DATE = "| **Scan Date** | {now} |"
+REPORT_FILES = "| **Files Scanned** | {n} Python file(s) |"
+REPORT_COUNTS = "> {errors} error(s), {warnings} warning(s) across {n} file(s)"
+REPORT_RULER = "---"
+REPORT_SUMMARY_TITLE = "## Policy Summary"
+REPORT_SUMMARY_HEAD = ("| # | Policy | Status | Errors | Warnings |", "|:-:|--------|:------:|:------:|:--------:|")
+REPORT_SUMMARY_ROW = "| {id} | {name} | {status} | {errors} | {warnings} |"
+REPORT_FINDINGS_TITLE = "## Detailed Findings"
+REPORT_POLICY_TITLE = "### Policy {id}: {name} {icon}"
+REPORT_VIOLATIONS = "> **{violations} violation(s)** in **{files} file(s)**"
+REPORT_FINDING_HEAD = ("| Sev | File | Line | Finding |", "|:---:|------|:----:|---------|")
+REPORT_FINDING_ROW = "| {icon} | `{file}` | {line} | {description} |"
+REPORT_REFERENCE_TITLE = "## 📖 Policy Definitions Reference"
+REPORT_REFERENCE_HEAD = ("| # | Policy | Rule |", "|:-:|--------|------|")
 # The footer names the generating tool; ours is a parameter of the report.
+REPORT_FOOTER = "*Report generated by {generator} • {now}*"
 REPORT_NO_FILES = "> No Python files found in `{repo}`. Nothing to review."
 
 # --------------------------------------------------------------------------
@@ -158,5 +176,6 @@ PRICE_NOT_APPLICABLE = "Not applicable"
 OVERAGE_PER_REQUEST = 0.04
 DEFAULT_MODEL_ID = "gpt-4.1"
 
+BUNDLE_HEADER = "Repository: {repo}\nTotal Python files: {n}"
 BUNDLE_FILE_BEGIN = "--- FILE: {path} ---"
 BUNDLE_FILE_END = "--- END FILE ---"

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rulesift import fixed
 from rulesift.functions import catalog as FC
+from rulesift.session import materialize
+
 
 def model_catalog(records: DataFrame) -> DataFrame:
     """F8–F12 + J4: one row per model id.  Records without a paid multiplier
@@ -27,8 +29,12 @@ def model_catalog(records: DataFrame) -> DataFrame:
 
 def resolve_models(requests: DataFrame, catalog: DataFrame, model_col: str = "model") -> DataFrame:
     """The requested model if the catalog knows it, else the default id;
-    then its catalog row (null fields when the default is not listed)."""
-    known = catalog.select(F.col("id").alias("_known"))
-    r = requests.join(known, requests[model_col] == known["_known"], "left")
-    r = r.withColumn("model_id", F.coalesce(F.col("_known"), F.lit(fixed.DEFAULT_MODEL_ID))).drop("_known")
-    return r.join(catalog.withColumnRenamed("id", "model_id"), "model_id", "left")
+    then its catalog row (null fields when the default is not listed).  One join brings the
+    row; the default's, one row at most, is a scalar subquery.  The catalog is written once."""
+    catalog = materialize(catalog, "catalog")
+    info = catalog.select(F.col("id").alias("_id"), F.struct(*(c for c in catalog.columns if c != "id")).alias("_info"))
+    r = requests.join(info, requests[model_col] == info["_id"], "left")
+    fallback = info.where(F.col("_id") == fixed.DEFAULT_MODEL_ID).select("_info").scalar()
+    known = F.col("_id").isNotNull()
+    r = r.withColumns({"model_id": F.coalesce("_id", F.lit(fixed.DEFAULT_MODEL_ID)), "_info": F.when(known, F.col("_info")).otherwise(fallback)})
+    return r.select("model_id", *requests.columns, "_info.*")

@@ -40,6 +40,11 @@ def prune(files: DataFrame, skip_dirs) -> DataFrame:
     return files.where(~T.in_skipped_dir(F.col("path"), skip_dirs))
 
 
+def within_limit(files: DataFrame, limit: int = fixed.MAX_ARCHIVE_BYTES) -> DataFrame:
+    """Files of at most ``limit`` bytes of text, with their ``length``."""
+    return files.withColumn("length", F.octet_length("text").cast("long")).where(F.col("length") <= limit)
+
+
 def decode(files: DataFrame) -> DataFrame:
     """S6 (decode): ``content`` bytes → ``text``; rows with a read error keep a null text."""
     if "text" in files.columns:

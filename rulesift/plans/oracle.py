@@ -311,7 +311,7 @@ ORACLE: dict[str, str] = {
     "scan_prune": with_corpus("SELECT repo, branch, path FROM files"),
     "scan_size_limit": with_corpus(f"""
 SELECT repo, branch, path, CAST(sum(strlen(line) + 1) AS BIGINT) AS length FROM lines
-GROUP BY repo, branch, path HAVING sum(strlen(line) + 1) <= {fixed.MAX_ARCHIVE_BYTES}"""),
+GROUP BY repo, branch, path HAVING sum(strlen(line) + 1) <= 600"""),
     "line_split": f"WITH {DOC_LINES} SELECT doc_id, line_number, line FROM dl",
     "strip_lines": f"WITH {DOC_LINES} SELECT doc_id, line_number, trim(line, {q(fixed.PY_WHITESPACE)}) AS stripped FROM dl",
     "comment_filter": with_corpus("SELECT repo, branch, path, line_number FROM ln WHERE NOT starts_with(st, '#')"),
@@ -479,6 +479,15 @@ SELECT repo, branch, policy_id, file_path, line_number, description, severity,
        CASE WHEN policy_id = 4 THEN '2024-02-01' ELSE '2024-01-01' END AS first_seen,
        CASE WHEN branch IS NULL OR branch = '1.1' THEN '2024-02-01' ELSE '2024-01-01' END AS last_seen
 FROM named WHERE policy_id <> CASE WHEN branch IS NULL OR branch = '1.1' THEN 5 ELSE 4 END""")
+ORACLE["report_pipes"] = with_corpus("""
+SELECT repo, branch, path AS file_path, line_number, '| 🔴 | `' || path || '` | ' || line_number || ' | f(v) \\| g(v) \\|\\| h(v) |' AS text
+FROM ln WHERE line LIKE '% = f(v)' AND NOT starts_with(st, '#')""")
+ORACLE["frame_policy"] = with_corpus("""
+, held AS (SELECT repo, branch, path, line_number, st FROM w1 WHERE in_doc = 0 AND starts_with(st, 'token = "')),
+firsts AS (SELECT repo, branch, st, min(path) AS p FROM held GROUP BY ALL)
+SELECT repo, branch, CAST(8 AS INTEGER) AS policy_id, 'No Shared Secrets' AS policy_name, path AS file_path, line_number, left(st, 150) AS line_content,
+       'Secret shared with ' || p AS description, 'error' AS severity
+FROM held JOIN firsts USING (repo, branch, st) WHERE path > p""")
 ORACLE["repo_name"] = """
 SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, 'https?://github\\.com/', ''), '\\.git$', ''), '/$', '') AS repo_name
 FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://github.com/org/r' || page_id || '.git'

@@ -59,10 +59,13 @@ def scan_prune(spark, sf):
     return L.prune(_corpus(spark, sf), CFG.skip_dirs).select("repo", "branch", "path")
 
 
+#: A limit that the files of the corpus (60 to 1,400 bytes) lie on both sides of.
+SIZE_LIMIT = 600
+
+
 def scan_size_limit(spark, sf):
-    files = L.prune(_corpus(spark, sf), CFG.skip_dirs).select("repo", "branch", "path",
-                                      F.octet_length("text").cast("long").alias("length"))
-    return files.where(F.col("length") <= fixed.MAX_ARCHIVE_BYTES)
+    files = L.within_limit(L.prune(_corpus(spark, sf), CFG.skip_dirs), SIZE_LIMIT)
+    return files.select("repo", "branch", "path", "length")
 
 
 def line_split(spark, sf):
@@ -207,7 +210,8 @@ def org_policy_summary(spark, sf):
 
 
 def review_bundle(spark, sf):
-    return R.review_bundle_rows(_corpus(spark, sf))
+    files = _corpus(spark, sf)
+    return R.review_bundle_rows(files, listing=files.select("repo", "branch", "path"))
 
 
 def file_order(spark, sf):
@@ -218,6 +222,31 @@ def report_markdown(spark, sf):
     return R.markdown_rows(_scan(spark, sf).materialize(), scan_ts=SCAN_TS)
 
 
+#: An added policy whose description holds pipes.
+PIPE_POLICY = (8, "No f | g", r"= f\(v\)$", "f(v) | g(v) || h(v)")
+
+
+def report_pipes(spark, sf):
+    """The report's findings of a policy whose description has to be escaped."""
+    pid, name, pattern, description = PIPE_POLICY
+    cfg = CFG.only().with_policy(pid, name, [(pattern, description)])
+    rows = R.markdown_rows(_scan(spark, sf, cfg).materialize(), scan_ts=SCAN_TS)
+    return rows.where((F.col("policy_id") == pid) & (F.col("section") == 4) & (F.col("sub") == 1)).select("repo", "branch", "file_path", "line_number", "text")
+
+
+def shared_secrets(lines):
+    """Lines that assign a secret which a file earlier in path order assigns too (a policy over all lines)."""
+    held = lines.where((F.col("in_docstring") == 0) & F.col("stripped").rlike('^token = "'))
+    first = held.groupBy("repo", "branch", "stripped").agg(F.min("path").alias("first"))
+    again = held.join(first, ["repo", "branch", "stripped"]).where("path > first")
+    return again.select("repo", "branch", "path", "line_number", F.col("stripped").alias("line_content"), F.concat(F.lit("Secret shared with "), "first").alias("description"))
+
+
+def frame_policy(spark, sf):
+    """A policy that joins the lines of all files."""
+    return _scan(spark, sf, CFG.only().with_policy(8, "No Shared Secrets", frame=shared_secrets)).findings
+
+
 def report_json(spark, sf):
     rows = R.json_rows(_scan(spark, sf).materialize(), scan_ts=SCAN_TS)
     return rows.withColumn("file_path", F.array_join("parts", "/")).drop("parts")
@@ -359,6 +388,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_order": file_order,
     "report_markdown": report_markdown,
     "report_json": report_json,
+    "report_pipes": report_pipes,
+    "frame_policy": frame_policy,
     "incremental_totals": incremental_totals,
     "incremental_findings": incremental_findings,
     "findings_log": findings_log,

@@ -70,40 +70,34 @@ def markdown_rows(result, scan_ts: str = FIXED_SCAN_TS, generator: str = DEFAULT
     n = F.col("files_scanned").cast("string")
     header = _rows(totals, 0, [
         F.lit(fixed.REPORT_TITLE), F.lit(""), F.lit(fixed.REPORT_READ_ONLY), F.lit(""),
-        F.lit("| Field | Value |"), F.lit("|-------|-------|"),
-        F.when(F.col("repo") != "", F.concat(F.lit("| **Repository** | `"), F.col("repo"), F.lit("` |"))),
-        F.when(F.col("branch") != "", F.concat(F.lit("| **Branch** | `"), F.col("branch"), F.lit("` |"))),
-        F.concat(F.lit("| **Scan Date** | "), now, F.lit(" |")),
-        F.concat(F.lit("| **Files Scanned** | "), n, F.lit(" Python file(s) |")),
+        *map(F.lit, fixed.REPORT_FIELDS),
+        F.when(F.col("repo") != "", fmt(fixed.REPORT_REPOSITORY, repo=F.col("repo"))),
+        F.when(F.col("branch") != "", fmt(fixed.REPORT_BRANCH, branch=F.col("branch"))),
+        fmt(fixed.REPORT_SCAN_DATE, now=now),
+        fmt(fixed.REPORT_FILES, n=n),
         F.lit("")])
     overall = _rows(totals, 1, [
         _case(F.col("overall_status"), fixed.REPORT_OVERALL), F.lit(""),
-        F.concat(F.lit("> "), F.col("total_errors").cast("string"), F.lit(" error(s), "),
-                 F.col("total_warnings").cast("string"), F.lit(" warning(s) across "), n, F.lit(" file(s)")),
-        F.lit(""), F.lit("---"), F.lit(""), F.lit("## Policy Summary"), F.lit(""),
-        F.lit("| # | Policy | Status | Errors | Warnings |"),
-        F.lit("|:-:|--------|:------:|:------:|:--------:|")])
+        fmt(fixed.REPORT_COUNTS, errors=F.col("total_errors"), warnings=F.col("total_warnings"), n=n),
+        F.lit(""), F.lit(fixed.REPORT_RULER), F.lit(""), F.lit(fixed.REPORT_SUMMARY_TITLE), F.lit(""),
+        *map(F.lit, fixed.REPORT_SUMMARY_HEAD)])
     pid = F.col("policy_id").cast("string")
     summary_rows = _rows(summary, 2, [
-        F.concat(F.lit("| "), pid, F.lit(" | "), F.col("policy_name"), F.lit(" | "),
-                 _case(F.col("status"), fixed.STATUS_CELL), F.lit(" | "),
-                 F.col("errors").cast("string"), F.lit(" | "), F.col("warnings").cast("string"), F.lit(" |"))],
+        fmt(fixed.REPORT_SUMMARY_ROW, id=pid, name=F.col("policy_name"), status=_case(F.col("status"), fixed.STATUS_CELL),
+            errors=F.col("errors"), warnings=F.col("warnings"))],
         policy_id=F.col("policy_id"))
-    findings_title = _rows(totals, 3, [F.lit(""), F.lit("---"), F.lit(""), F.lit("## Detailed Findings")])
+    findings_title = _rows(totals, 3, [F.lit(""), F.lit(fixed.REPORT_RULER), F.lit(""), F.lit(fixed.REPORT_FINDINGS_TITLE)])
     per_policy = summary.join(table.select("repo", "branch", "policy_id", "n_files"), ["repo", "branch", "policy_id"])
     violations = F.col("errors") + F.col("warnings")
     has = violations > 0
     policy_head = _rows(per_policy, 4, [
         F.lit(""),
-        F.concat(F.lit("### Policy "), pid, F.lit(": "), F.col("policy_name"), F.lit(" "),
-                 _case(F.col("status"), fixed.STATUS_ICON)),
+        fmt(fixed.REPORT_POLICY_TITLE, id=pid, name=F.col("policy_name"), icon=_case(F.col("status"), fixed.STATUS_ICON)),
         F.lit(""),
-        F.when(has, F.concat(F.lit("> **"), violations.cast("string"), F.lit(" violation(s)** in **"),
-                             F.col("n_files").cast("string"), F.lit(" file(s)**")))
+        F.when(has, fmt(fixed.REPORT_VIOLATIONS, violations=violations, files=F.col("n_files")))
         .otherwise(F.lit(fixed.NO_VIOLATIONS)),
         F.lit(""),
-        F.when(has, F.lit("| Sev | File | Line | Finding |")),
-        F.when(has, F.lit("|:---:|------|:----:|---------|"))],
+        *(F.when(has, F.lit(x)) for x in fixed.REPORT_FINDING_HEAD)],
         policy_id=F.col("policy_id"))
     policy_tail = _rows(per_policy.where(has), 4, [F.lit("")], policy_id=F.col("policy_id"), sub=2)
     f = result.findings
@@ -112,15 +106,14 @@ def markdown_rows(result, scan_ts: str = FIXED_SCAN_TS, generator: str = DEFAULT
     finding_rows = f.select(
         "repo", "branch", F.lit(4).alias("section"), F.col("policy_id").cast("int"), F.lit(1).alias("sub"),
         "file_path", F.col("line_number").cast("int"), F.lit(0).alias("seq"),
-        F.concat(F.lit("| "), _case(F.col("severity"), fixed.SEVERITY_ICON), F.lit(" | `"), F.col("file_path"),
-                 F.lit("` | "), line_cell, F.lit(" | "), T.escape_pipes(F.col("description")), F.lit(" |"))
-        .alias("text"))
+        fmt(fixed.REPORT_FINDING_ROW, icon=_case(F.col("severity"), fixed.SEVERITY_ICON), file=F.col("file_path"), line=line_cell,
+            description=T.escape_pipes(F.col("description"))).alias("text"))
     footer = _rows(totals, 5, [
-        F.lit("---"), F.lit(""), F.lit("## 📖 Policy Definitions Reference"), F.lit(""),
-        F.lit("| # | Policy | Rule |"), F.lit("|:-:|--------|------|"),
+        F.lit(fixed.REPORT_RULER), F.lit(""), F.lit(fixed.REPORT_REFERENCE_TITLE), F.lit(""),
+        *map(F.lit, fixed.REPORT_REFERENCE_HEAD),
         *[F.lit(r) for r in fixed.POLICY_REFERENCE_ROWS],
-        F.lit(""), F.lit("---"),
-        F.concat(F.lit(f"*Report generated by {generator} • "), now, F.lit("*"))])
+        F.lit(""), F.lit(fixed.REPORT_RULER),
+        fmt(fixed.REPORT_FOOTER, generator=F.lit(generator), now=now)])
     parts = [header, overall, summary_rows, findings_title, policy_head, policy_tail, finding_rows, footer]
     out = parts[0]
     for p in parts[1:]:
@@ -197,20 +190,25 @@ def json_rows(result, scan_ts: str = FIXED_SCAN_TS) -> DataFrame:
     return head.union(policies).union(violations).union(row(totals, 2, 0, F.lit("}}")))
 
 
-def review_bundle_rows(files: DataFrame) -> DataFrame:
+def review_bundle_rows(files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     """Per repository the review bundle as ordered rows: a header
     (part 0), then per file its begin mark (1), text (2) and end mark (3).
     Entries under the intake's skipped names, and files that could not be read,
-    are left out and not counted; a repository without files has its header."""
-    kept = ~T.in_skipped_dir(F.col("path"), fixed.BUNDLE_SKIP_NAMES) & F.col("text").isNotNull()
-    kept = F.coalesce(kept, F.lit(False))
-    header = (files.groupBy("repo", "branch").agg(F.count_if(kept).alias("n"))
+    are left out and not counted; a repository without files has its header.
+    ``listing`` (repo, branch, path, and read_error if some files could not be read) counts
+    the files without building any text; without it a null text is a file that was not read."""
+    wanted = F.coalesce(~T.in_skipped_dir(F.col("path"), fixed.BUNDLE_SKIP_NAMES), F.lit(False))
+    source = listing if listing is not None else files
+    unread = F.col("read_error").isNotNull() if "read_error" in source.columns else F.col("text").isNull() if listing is None else F.lit(False)
+    header = (source.groupBy("repo", "branch").agg(F.count_if(wanted & ~unread).alias("n"))
               .select("repo", "branch", F.lit("").alias("path"), F.lit(0).alias("part"),
-                      F.concat(F.lit("Repository: "), F.col("repo"), F.lit("\nTotal Python files: "),
-                               F.col("n").cast("string")).alias("text")))
-    body = files.where(kept).select("repo", "branch", "path", F.posexplode(F.array(
-        fmt(fixed.BUNDLE_FILE_BEGIN, path=F.col("path")),
+                      fmt(fixed.BUNDLE_HEADER, repo=F.col("repo"), n=F.col("n")).alias("text")))
+    # the marks of an unread file are null as its text is, and go with it after the generator:
+    # a filter on the text below it would build every text once more
+    mark = lambda text: F.when(F.col("text").isNotNull(), text)
+    body = files.where(wanted).select("repo", "branch", "path", F.posexplode(F.array(
+        mark(fmt(fixed.BUNDLE_FILE_BEGIN, path=F.col("path"))),
         F.col("text"),
-        F.lit(fixed.BUNDLE_FILE_END))).alias("pos", "text")) \
-        .select("repo", "branch", "path", (F.col("pos") + 1).cast("int").alias("part"), "text")
+        mark(F.lit(fixed.BUNDLE_FILE_END)))).alias("pos", "text")) \
+        .where("text IS NOT NULL").select("repo", "branch", "path", (F.col("pos") + 1).cast("int").alias("part"), "text")
     return header.unionByName(body)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from rulesift import fixed
 from rulesift.functions.catalog import js_trim
 
+SLICE = 10_000
 NUMBER_PREFIX = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
 
@@ -23,11 +24,16 @@ def parse_price_lines(lines: DataFrame) -> DataFrame:
     """``lines``: (source, line_number, line).  A ``- name:`` line opens a
     record; ``multiplier_paid:``/``multiplier_free:`` lines of that record set
     its numbers (the last one wins); "Not applicable" is null; text before the
-    first record is ignored.  Records are numbered in file order (``seq``)."""
-    t = lines.withColumn("_t", js_trim(F.col("line")))
+    first record is ignored.  Records are numbered in file order (``seq``): names are counted per
+    slice of ``SLICE`` line numbers, the slices' counts are added up per list, and lines are
+    numbered inside their slice, so no task needs a whole list."""
+    t = lines.withColumns({"_t": js_trim(F.col("line")), "_slice": F.floor(F.col("line_number") / SLICE)})
     is_name = F.col("_t").startswith(fixed.PRICE_NAME_KEY)
-    w = Window.partitionBy("source").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("seq", F.sum(is_name.cast("int")).over(w)).where(F.col("seq") > 0)
+    earlier = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = t.groupBy("source", "_slice").agg(F.count_if(is_name).alias("_names")).withColumn("_before", F.coalesce(F.sum("_names").over(earlier), F.lit(0)))
+    inside = Window.partitionBy("source", "_slice").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("seq", F.sum(is_name.cast("int")).over(inside)).join(slices.drop("_names"), ["source", "_slice"])
+    t = t.withColumn("seq", F.col("seq") + F.col("_before")).where(F.col("seq") > 0)
     paid = F.when(F.col("_t").startswith(fixed.PRICE_PAID_KEY), F.struct("line_number", _value("_t", fixed.PRICE_PAID_KEY).alias("v")))
     free = F.when(F.col("_t").startswith(fixed.PRICE_FREE_KEY), F.struct("line_number", _value("_t", fixed.PRICE_FREE_KEY).alias("v")))
     name = F.when(is_name, js_trim(F.expr(f"substring(_t, {len(fixed.PRICE_NAME_KEY) + 1})")))
