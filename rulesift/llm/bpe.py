@@ -36,14 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulesift.llm.workers import frugal
+from rulesift.llm.workers import frugal, give_back
 from rulesift.session import materialize_bucketed
 
 BLOCK_BYTES = 32 << 20
 MAX_VOCABULARY = 1 << 20
 #: Words whose ids a task gathers before it sends them to their blocks.
 SEND_WORDS = 1 << 18
-#: Rows decoded at once.
 #: Rows, and bytes of text, that are decoded at once (a longer text alone).
 DECODE_BYTES = 64 << 20
 DECODE_ROWS = 512
@@ -201,6 +200,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def reassemble(block: pa.Table, sent: pa.Table) -> pa.Table:
+        give_back()  # of the block before
         own = lambda name: np.concatenate([np.zeros(0, np.uint32), *(_unpack(x.as_py()) for x in sent.column(name))])
         numbers, sizes, ids = own("numbers"), own("sizes").astype(np.int32), own("ids").astype(np.int32)
         start_of, size_of = np.zeros((2, len(numbers)), np.int32)

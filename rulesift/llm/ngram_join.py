@@ -12,7 +12,8 @@ the set size and the connected component of each document.
    link share at least l shingles within their first n - ceil(0.8 n) + l, for each
    l.  Every set takes the l from 1 to ``MOST_MATCHES`` of least estimated cost:
    entries to read on its prefix, and candidates (entries / l) to verify.
-3. *Entries* (shingle, class) are shuffled by shingle; shingles of one class end here.
+3. *Entries* (shingle, class) are shuffled by shingle; shingles of one class end here.  A shingle that
+   the sketch counts often has its entries dealt over parts, which are put together per shingle.
 4. *Early links.*  Each class is verified against the one class that leads most of
    its shingles.  A shingle's leader is its most central class: the one whose prefix
    is shared most.  A group of thousands of near copies gives one pair per member,
@@ -23,7 +24,8 @@ the set size and the connected component of each document.
    are told apart before any classes are paired; then classes of different parts that
    share at least l prefix shingles within their caps, with l the smaller of both
    choices, are verified.  Pairs inside a part would change no component.
-6. Verification intersects whole sets.  Links give components by star steps.
+6. Verification intersects whole sets; a class in many pairs has its set sent to several
+   tasks, each with a share of the pairs.  Links give components by star steps.
 
 Defined cases: words are split at blanks after lower-casing A-Z; a text of fewer
 words is one shingle of all of them; a text without words, or null, has no set and
@@ -45,7 +47,7 @@ from pyspark.sql import Window as W
 from rulesift.llm.graph import components
 from rulesift.llm.shingles import Hasher
 from rulesift.llm.workers import frugal, values
-from rulesift.session import materialize, materialize_bucketed
+from rulesift.session import materialize
 
 PERCENT = 80
 MOST_MATCHES = 3
@@ -53,6 +55,8 @@ MOST_MATCHES = 3
 COUNTERS, SLICE = 1 << 22, 1 << 16
 #: Cost of verifying a shingle of a candidate, in entries read.
 VERIFY = 0.05
+#: Entries of one shingle, and pairs of one class, beyond which they are dealt over several tasks.
+HOT, SPLIT = 4096, 128
 #: Classes to verify are broadcast up to this count, else joined by a shuffle.
 BROADCAST_CLASSES = 500_000
 
@@ -119,8 +123,9 @@ def least_overlap(n):
     return -(-PERCENT * n // 100)
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, int, int]:
-    """The set's prefix, rare shingles first, the matches it asks for, and how much the prefix is shared on average."""
+def prefix(shingles: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, int, int, np.ndarray]:
+    """The set's prefix, rare shingles first, the matches it asks for, how much the prefix is shared on
+    average, and the sketch's count of each of its shingles."""
     n = len(shingles)
     found = counts[_slot(shingles)]
     order = np.lexsort((shingles, found))
@@ -128,29 +133,32 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.n
     spare, most = n - least_overlap(n), min(MOST_MATCHES, least_overlap(n))
     cost = [lists[spare + l - 1] * (1 + VERIFY * n / l) for l in range(1, most + 1)]
     matches = 1 + int(np.argmin(cost))
-    return shingles[order[:spare + matches]], matches, int(lists[spare + matches - 1] / (spare + matches))
+    first = order[:spare + matches]
+    return shingles[first], matches, int(lists[spare + matches - 1] / (spare + matches)), found[first]
 
 
 def _entries(docs: DataFrame, text_col: str, sketch: np.ndarray) -> DataFrame:
-    """(shingle, a, weight, packed n, place and matches) of every class's prefix; a task gives each class it meets once."""
+    """(shingle, a, weight, packed n, place and matches, part) of every class's prefix; a task gives each class it
+    meets once.  The entries of a shingle that the sketch counts more than ``HOT`` times are dealt over parts."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts, met = Hasher(), shared.value, set()
         noise = float(counts.mean(dtype=np.float64))
         for batch in batches:
-            shingles, classes, weights, packed = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            shingles, classes, weights, packed, parts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for found in hasher.sets(values(batch.column(0))):
                 if len(found) and (name := _name(found)) not in met:
                     met.add(name)
-                    first, matches, weight = prefix(found, counts, noise)
+                    first, matches, weight, held = prefix(found, counts, noise)
+                    parts.append(np.where(held > HOT, name[0] % (held.astype(np.int64) // HOT + 1), -1).astype(np.int32))
                     shingles.append(first)
                     weights.append(np.full(len(first), min(weight, 2**31 - 1), np.int32))
                     classes.append(np.full(len(first), name[0]))
                     packed.append((np.int64(len(found)) << 33) | (np.arange(len(first)) << 3) | matches)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(weights)), pa.array(np.concatenate(packed))], names=["shingle", "a", "weight", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(weights)), pa.array(np.concatenate(packed)), pa.array(np.concatenate(parts))], names=["shingle", "a", "weight", "packed", "part"])
 
-    return docs.select(text_col).mapInArrow(frugal(emit), "shingle long, a long, weight int, packed long")
+    return docs.select(text_col).mapInArrow(frugal(emit), "shingle long, a long, weight int, packed long, part int")
 
 
 def _unpacked(packed: str) -> dict:
@@ -165,7 +173,15 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, cla
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.col("u").alias("a")).union(pairs.select("v")).distinct()
     sets = _sets(docs, id_col, text_col, materialize(classes.join(wanted, "a").groupBy("a").agg(F.min("first").alias("id")), "wanted"))
-    left, right = sets.select(F.col("a").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("a").alias("v"), F.col("shingles").alias("y"))
+
+    def beside(rows: DataFrame, key: str, name: str) -> DataFrame:
+        """``rows`` of pairs with the set of the class in ``key``; a class in many pairs goes to several tasks."""
+        many = pairs.groupBy(key).count().where(F.col("count") > SPLIT).select(key, F.ceil(F.col("count") / SPLIT).cast("int").alias("splits"))
+        many = _to_tasks(materialize(many, "many"))
+        splits = F.coalesce("splits", F.lit(1))
+        dealt = rows.join(many, key, "left").withColumn("part", F.pmod(F.xxhash64("u", "v"), splits).cast("int")).drop("splits")
+        own = sets.select(F.col("a").alias(key), F.col("shingles").alias(name)).join(many, key, "left").select(key, name, F.explode(F.sequence(F.lit(0), splits - 1)).alias("part"))
+        return dealt.join(own, [key, "part"]).drop("part")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,13 +193,17 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, cla
                 keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(frugal(verify), "u long, v long")
+    return beside(beside(pairs, "u", "x"), "v", "y").select("u", "v", "x", "y").mapInArrow(frugal(verify), "u long, v long")
+
+
+def _to_tasks(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``BROADCAST_CLASSES`` rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else table
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(a, shingles) of the wanted classes; ``wanted`` has one document id per class."""
-    if wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
-        wanted = F.broadcast(wanted)
+    wanted = _to_tasks(wanted)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, met = Hasher(), set()  # one id may have rows of other texts, or repeated rows
@@ -193,7 +213,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["a", "shingles"])
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("a", "text")
-    return materialize_bucketed(own.mapInArrow(frugal(read), "a long, shingles binary"), "sets", "a")
+    return materialize(own.mapInArrow(frugal(read), "a long, shingles binary"), "sets")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,8 +223,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = names.where("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(F.min("id").alias("first"))
 
     entries = _entries(docs.where(F.col(id_col).isNotNull()), text_col, _sketch(read))
-    by_shingle = W.partitionBy("shingle")
-    entries = entries.select("*", F.max(F.struct("weight", "a", "packed")).over(by_shingle).alias("leader"), F.min("a").over(by_shingle).alias("least"), F.max("a").over(by_shingle).alias("most"))
+    in_part, best = W.partitionBy("shingle", "part"), F.struct("weight", "a", "packed")
+    entries = entries.select("*", F.max(best).over(in_part).alias("leader"), F.min("a").over(in_part).alias("least"), F.max("a").over(in_part).alias("most"))
+    entries = materialize(entries.where("part >= 0 OR least < most"), "entries_by_part")
+    hot = entries.where("part >= 0").drop("leader", "least", "most")  # their parts are put together
+    heads = entries.where("part >= 0").groupBy("shingle").agg(F.max("leader").alias("leader"), F.min("least").alias("least"), F.max("most").alias("most"))
+    entries = entries.where("part < 0").unionByName(hot.join(_to_tasks(materialize(heads, "hot_shingles")), "shingle"))
     of, top = _unpacked("packed"), _unpacked("leader.packed")
     entries = entries.where("least < most").select("shingle", "a", *(c.alias(name) for name, c in of.items()), F.col("leader.a").alias("leader"), top["n"].alias("leader_n"), top["cap"].alias("leader_cap"))
     entries = materialize(entries.distinct(), "entries")  # copies met by several tasks are one entry now

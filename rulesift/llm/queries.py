@@ -68,14 +68,19 @@ def _op5_sql() -> str:
         parts = ", ".join(f"lead(w, {k}) OVER (PARTITION BY {key} ORDER BY p)" for k, x in enumerate(mask) if x == "1")
         return f"[{parts}] AS seed, lead(w, {len(mask) - 1}) OVER (PARTITION BY {key} ORDER BY p) AS last"
 
+    lengths = {m: [n for n in range(1, decontaminate.LONG) if m in decontaminate.masks_of(n)] for n in range(1, decontaminate.LONG + 1) for m in decontaminate.masks_of(n)}
+
+    def fits(mask):
+        return f"(n IN ({', '.join(map(str, lengths[mask]))})" * bool(lengths[mask]) + " OR " * bool(lengths[mask] and mask in decontaminate.MASKS) + f"n >= {decontaminate.LONG}" * (mask in decontaminate.MASKS) + ")" * bool(lengths[mask])
+
     hits = " UNION ".join(
         f"""SELECT DISTINCT doc_id, item_id, d.p - b.p AS diagonal
-  FROM (SELECT doc_id, p, {leads(m, "doc_id")} FROM dw) d JOIN (SELECT item_id, p, {leads(m, "item_id")} FROM bw) b USING (seed)
-  WHERE d.last IS NOT NULL AND b.last IS NOT NULL""" for m in decontaminate.MASKS)
+  FROM (SELECT doc_id, p, {leads(m, "doc_id")} FROM dw WHERE EXISTS (FROM bw WHERE {fits(m)})) d JOIN (SELECT item_id, p, {leads(m, "item_id")} FROM bw WHERE {fits(m)}) b USING (seed)
+  WHERE d.last IS NOT NULL AND b.last IS NOT NULL""" for m in lengths)
 
     def words(key, table):
         split = "list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
-        return f"SELECT {key}, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM (SELECT {key}, {split} AS ws FROM {table}) WHERE len(ws) >= {decontaminate.LEAST_WORDS}"
+        return f"SELECT {key}, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM (SELECT {key}, {split} AS ws FROM {table})"
 
     return f"""
 WITH dw AS ({words("doc_id", "documents")}), bw AS ({words("item_id", "benchmark")}), hits AS ({hits})

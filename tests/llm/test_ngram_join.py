@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from rulesift.llm import graph, ngram_join, queries
 from rulesift.llm.shingles import Hasher
@@ -49,7 +50,10 @@ def test_table_equals_brute_force(spark):
         assert result(queries.op4_ngram_join(spark, sf)) == brute(rows)
 
 
-def test_chains_hot_groups_and_edges(spark):
+@pytest.mark.parametrize("hot, split", [(ngram_join.HOT, ngram_join.SPLIT), (5, 3)])
+def test_chains_hot_groups_and_edges(spark, monkeypatch, hot, split):
+    monkeypatch.setattr(ngram_join, "HOT", hot)  # shingles and classes dealt over parts
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     rows, base = [], [rng.choice(words) for _ in range(80)]
@@ -78,7 +82,8 @@ def test_prefix_and_hashes():
     counts = np.zeros(ngram_join.COUNTERS, np.uint32)
     s = np.sort(np.random.default_rng(1).integers(0, 2**63, 100, dtype=np.uint64))
     counts[ngram_join._slot(s[:20])] = 100_000
-    first, matches, _ = ngram_join.prefix(s, counts, 0.0)
+    first, matches, _, held = ngram_join.prefix(s, counts, 0.0)
+    assert len(held) == len(first) and held.max() < 100_000
     assert len(first) == 20 + matches and not set(first.tolist()) & set(s[:20].tolist())
     frequent = np.full(ngram_join.COUNTERS, 1000, np.uint32)
     assert ngram_join.prefix(s, frequent, 0.0)[1] == ngram_join.MOST_MATCHES
