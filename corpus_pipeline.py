@@ -38,7 +38,7 @@ from rulesift.session import drop_scratch, materialize, scratch_tables
 BROADCAST_IDS = 1_000_000
 ARROW_ROWS = 1000
 #: Text of a block of the tokenizer; its tasks start on executors whose memory earlier stages have filled.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def _small_batches(spark: SparkSession) -> None:
