@@ -6,10 +6,11 @@ span; if it does not begin with the shorter one, the template rewrote history
 (``kept`` tells how much stayed).  Where a turn's own text lies inside its span
 is found by rendering a probe in its place.
 
-A template that says on how many earlier turns a turn's rendering depends
-(``memory``) is rendered over such windows only, so the work grows with the
-turns; without it whole prefixes are rendered, which grows with the square of a
-conversation's turns.
+Whole prefixes are rendered, which grows with the square of a conversation's turns.  A
+template that says on how many earlier turns a turn's rendering depends (``memory``)
+is rendered over whole prefixes for a conversation's first ``WHOLE`` turns and over such windows after them.
+Within the first ones each turn is rendered both ways, and a template whose windows
+do not give what its prefixes give raises: its ``memory`` is wrong.
 
 Rows are shuffled by conversation, sorted by turn and streamed: a task holds one
 batch and the window, whatever the length of a conversation.
@@ -34,6 +35,8 @@ from pyspark.sql import types as T
 Turn = tuple[str, str]
 #: Stands for a turn's text when its place is looked for; private-use characters.
 PROBE = "\ue000\ue001"
+#: Turns of a conversation that are rendered as whole prefixes whatever a template says.
+WHOLE = 32
 
 
 @dataclass(frozen=True)
@@ -46,8 +49,8 @@ class Template:
     loss_roles: tuple[str, ...] = ("assistant",)
 
 
-#: Strings that formats use as control marks; inside texts they are escaped.
-CONTROL = ("<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+#: Strings that formats use as control marks (or that these begin with); inside texts they are escaped.
+CONTROL = ("<|im_", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
 
 def escape(text: str) -> str:
@@ -85,25 +88,42 @@ class Renderer:
 
     def __init__(self, template: Template):
         self.template, self.turns, self.size = template, [], 0
+        self.before: str | None = ""  # the output so far, while whole prefixes are rendered
 
     def add(self, role: str, text: str) -> tuple[str, int, int | None, int | None]:
-        render = self.template.render
-        before = render(self.turns) if self.turns else ""
-        after = render([*self.turns, (role, text)])
-        same = len(before) if after.startswith(before) else len(commonprefix([before, after]))
-        piece, start, end = after[same:], None, None
-        if role in self.template.loss_roles:
-            probed = render([*self.turns, (role, PROBE)])[same:]
+        template, turn = self.template, (role, text)
+        window = self.turns if template.memory is None else self.turns[len(self.turns) - min(len(self.turns), max(1, template.memory)):]
+        if self.before is not None:
+            piece, lost, probed, after = self._difference(self.turns, turn, self.before)
+            if template.memory is not None and (piece, lost) != self._difference(window, turn)[:2]:
+                raise ValueError(f"a turn's rendering depends on more than {template.memory} earlier turns")
+            self.before = after
+        else:
+            piece, lost, probed, _ = self._difference(window, turn)
+        start = end = None
+        if probed is not None:
             head, found, tail = probed.partition(PROBE)
             if found and PROBE not in tail and piece.startswith(head) and piece.endswith(tail) and len(piece) >= len(head) + len(tail):
                 start, end = len(head), len(piece) - len(tail)
-        kept = self.size - (len(before) - same)
+        kept = self.size - lost
         self.size = kept + len(piece)
-        self.turns.append((role, text))
-        if self.template.memory is not None:
-            del self.turns[:max(0, len(self.turns) - max(1, self.template.memory))]
+        self.turns.append(turn)
+        if template.memory is not None and len(self.turns) >= WHOLE:
+            self.before = None
+            del self.turns[:len(self.turns) - max(1, template.memory)]
         return piece, kept, start, end
 
+    def _difference(self, turns: list[Turn], turn: Turn, before: str | None = None) -> tuple[str, int, str | None, str]:
+        """What the turn adds, how much of the output before it goes, the same with a probe as its text
+        (None: no loss on it), and the output after it."""
+        render = self.template.render
+        if before is None:
+            before = render(turns) if turns else ""
+        after = render([*turns, turn])
+        same = len(before) if after.startswith(before) else len(commonprefix([before, after]))
+        probed = render([*turns, (turn[0], PROBE)])[same:] if turn[0] in self.template.loss_roles else None
+        return after[same:], len(before) - same, probed, after
+
 
 def spans(conversations: DataFrame, template: Template = MARKED, conv_col: str = "conv_id", turn_col: str = "turn",
           role_col: str = "role", text_col: str = "text") -> DataFrame:

@@ -23,6 +23,24 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.spans(turns))
 
 
+def _op1_sql() -> str:
+    def escaped(text):
+        out = f"replace({text}, chr(92), chr(92) || chr(92))"
+        for mark in chat.CONTROL:
+            out = f"replace({out}, '{mark}', '{mark[0]}' || chr(92) || '{mark[1:]}')"
+        return out
+
+    header = f"replace({escaped('role')}, chr(10), chr(92) || 'n')"
+    return f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+d AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(length('<|im_start|>' || {header} || chr(10) || {escaped('text')} || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, 0::BIGINT AS rewrites FROM d
+"""
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as token ids and back: digests of both per document."""
     vocabulary = bpe.public_vocabulary()
@@ -250,6 +268,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 LLM_ORACLE: dict[str, str] = {
+    "op1_chat": _op1_sql(),
     "op5_decontaminate": _op5_sql(),
     "op6_line_dedup": OP6_SQL,
     "op11_hard_negatives": OP11_SQL,
