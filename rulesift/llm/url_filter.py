@@ -11,24 +11,38 @@ each weighted by its share of pages.  Trust is a personalised PageRank along lin
 from trusted seeds, distrust one along reversed links from blocked seeds, so a host
 that links to blocked ones is distrusted.  Links are the ``href``s of pages to other
 hosts, and both ways between a host and the nearest parent domain that is a host
-here.  Both ranks sum to 1 at most; a host is blocked if its distrust exceeds
+here.  Both ranks sum to 1; a host is blocked if its distrust exceeds
 ``threshold`` times its trust.
 
+A rank is what walks from the seeds leave at each host, if they go on along a link with
+probability ``FOLLOW``, as a share of all that they leave (so walks that end at hosts without links return
+to the seeds).  Each round passes what moves one link on; what moves falls by ``FOLLOW`` a round
+at least, and rounds end when it is below ``TOLERANCE`` of the seeds: 86 rounds at most, whatever
+the graph, so a host at the end of a long chain of links has a rank too.  Links of a host are dealt
+over rows of about ``TARGETS``, and tables by host go to the tasks whole if they have at most
+``BROADCAST_HOSTS`` rows, so a host with a third of all pages or links is no one task's.
+
 Defined cases: a url that is null or has no ``://`` has the empty host and path and
 fits no rule; the empty host is no node and is allowed; hosts that no seed reaches
 are allowed; null html has no links; repeated rows are judged each (and count as
-pages); an empty table gives no rows; other columns are not read.
+pages); very long urls and pages are read whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from rulesift.session import materialize
 
 FOLLOW = 0.85
-ROUNDS = 12
+#: What may still move when the rounds end, as a share of the seeds.
+TOLERANCE = 1e-6
+#: Rounds between two written tables.
+ROUNDS = 6
+TARGETS = 1000
+BROADCAST_HOSTS = 500_000
 Rules = list[tuple[str, str, str]]
 
 #: Links of a page's HTML, as text after href= in a tag.
@@ -61,22 +75,31 @@ def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
             .groupBy("host").agg(F.collect_list(F.struct((-F.length(F.concat("domain", "path"))).alias("length"), F.concat("domain", "path").alias("rule"), "path", "verdict")).alias("rules")))
 
 
+def _to_tasks(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``BROADCAST_HOSTS`` rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else table
+
+
 def ranks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(kind, host, rank) after ``ROUNDS`` rounds: personalised PageRank of each kind over its edges
-    (kind, src, dst, weight) from its seeds (kind, host, seed); rank of hosts without links returns to the seeds."""
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
-    shares = materialize(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("all")).alias("share")), "shares")
+    """(kind, host, rank): personalised PageRank of each kind over its edges (kind, src, dst, weight) from its
+    seeds (kind, host, seed); the ranks of a kind sum to 1."""
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("all"), F.ceil(F.count("*") / TARGETS).alias("rows"))
+    shares = edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), F.pmod(F.xxhash64("dst"), F.col("rows")).alias("row"), F.struct("dst", (F.col("weight") / F.col("all")).alias("share")).alias("to"))
+    targets = shares.groupBy("kind", "host", "row").agg(F.collect_list("to").alias("targets"))
+    first = F.row_number().over(W.partitionBy("kind", "host").orderBy("row")) == 1
+    targets = _to_tasks(materialize(targets.withColumn("first", first).drop("row"), "targets"))
     total = seeds.groupBy("kind").agg(F.sum("seed").alias("total"))
-    seeds = materialize(seeds.join(total, "kind").select("kind", "host", (F.col("seed") / F.col("total")).alias("seed")), "seeds")
-    rank = seeds.withColumnRenamed("seed", "rank")
-    for _ in range(ROUNDS):
-        passed = (rank.join(shares.withColumnRenamed("src", "host"), ["kind", "host"])
-                  .groupBy("kind", F.col("dst").alias("host")).agg((FOLLOW * F.sum(F.col("rank") * F.col("share"))).alias("passed")))
-        passed = materialize(passed, "passed")
-        back = seeds.select("kind").distinct().join(passed.groupBy("kind").agg(F.sum("passed").alias("gone")), "kind", "left")
-        restart = seeds.join(back, "kind").select("kind", "host", (F.col("seed") * (1 - F.coalesce("gone", F.lit(0.0)))).alias("passed"))
-        rank = materialize(passed.union(restart).groupBy("kind", "host").agg(F.sum("passed").alias("rank")), "rank")
-    return rank
+    state = materialize(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("seed") / F.col("total")).alias("moves"), F.lit(0.0).alias("stays")), "ranks")
+    # what a host holds stays; what moves goes on to its targets
+    own = F.when(F.coalesce("first", F.lit(True)), F.array(F.struct(F.col("host"), F.lit(0.0).alias("moves"), (F.col("moves") + F.col("stays")).alias("stays")))).otherwise(F.array())
+    passed = F.transform(F.coalesce("targets", F.array()), lambda t: F.struct(t["dst"].alias("host"), (FOLLOW * F.col("moves") * t["share"]).alias("moves"), F.lit(0.0).alias("stays")))
+    while (state.groupBy("kind").agg(F.sum("moves").alias("m")).agg(F.max("m")).first()[0] or 0) > TOLERANCE:
+        for _ in range(ROUNDS):
+            state = state.join(targets, ["kind", "host"], "left").select("kind", F.explode(F.concat(own, passed)).alias("x")).select("kind", "x.*")
+            state = state.groupBy("kind", "host").agg(F.sum("moves").alias("moves"), F.sum("stays").alias("stays"))
+        state = materialize(state, "ranks")
+    all_ = state.groupBy("kind").agg(F.sum(F.col("moves") + F.col("stays")).alias("all"))  # a row per kind
+    return state.join(F.broadcast(all_), "kind").select("kind", "host", ((F.col("moves") + F.col("stays")) / F.col("all")).alias("rank"))
 
 
 def _domain_edges(hosts: DataFrame) -> DataFrame:
@@ -95,6 +118,7 @@ def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str
     hosts = materialize(urls.where("host <> ''").groupBy("host").count(), "hosts")
     fitting = rules_of_hosts(hosts, rule_table)
     best = F.array_min(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))
+    fitting = _to_tasks(materialize(fitting, "host_rules"))
     judged = urls.select("id", "host", "path").join(fitting, "host", "left").withColumn("best", best).select("id", "host", "path", "best.rule", "best.verdict")
     judged = materialize(judged, "judged")
 
@@ -107,6 +131,7 @@ def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), "dst", "src", "weight"))
     rank = ranks(materialize(both, "links"), seeds)
     of_host = rank.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
+    of_host = _to_tasks(materialize(of_host, "host_ranks"))
 
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     verdict = F.coalesce("verdict", F.when(distrust > threshold * trust, "block").otherwise("allow"))

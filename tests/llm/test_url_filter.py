@@ -53,10 +53,25 @@ def test_ranks_equal_power_iteration(spark):
     got = {r.host: r["rank"] for r in url_filter.ranks(spark.createDataFrame(edges, "kind string, src string, dst string, weight double"), spark.createDataFrame(seeds, "kind string, host string, seed double")).collect()}
     start = {"a": 2 / 3, "b": 1 / 3}
     rank = dict(start)
-    for _ in range(url_filter.ROUNDS):
+    for _ in range(300):
         new = {}
         for _, s, d, w in edges:
             new[d] = new.get(d, 0) + url_filter.FOLLOW * rank.get(s, 0) * w / sum(x[3] for x in edges if x[1] == s)
         back = 1 - sum(new.values())
         rank = {h: new.get(h, 0) + back * start.get(h, 0) for h in {*new, *start}}
-    assert got == pytest.approx(rank) and sum(got.values()) == pytest.approx(1)
+    assert got == pytest.approx(rank, abs=1e-5) and sum(got.values()) == pytest.approx(1)
+
+
+def test_long_chains_and_hot_hosts(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "TARGETS", 7)
+    monkeypatch.setattr(url_filter, "BROADCAST_HOSTS", 0)
+    a = lambda *hosts: "".join(f'<a href="http://{h}/">t</a>' for h in hosts)
+    pages = [(0, "http://good.net/x", a("c1.io"))] + [(k, f"http://c{k}.io/", a(f"c{k + 1}.io")) for k in range(1, 60)]
+    pages += [(100, "http://bad.net/", a()), *((200 + k, "http://hub.org/", a(*(f"h{k}x{j}.com" for j in range(30)), "bad.net")) for k in range(20))]
+    pages += [(300, "http://long.com/" + "p" * 3_000_000, a("c1.io") + " " * 3_000_000), (301, "http://none.com/", a())]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r for r in url_filter.judge(table, [("good.net", "/", "allow"), ("bad.net", "/", "block")]).collect()}
+    assert len(got) == len(pages) and len(got[300].path) == 3_000_001
+    trust = [got[k].trust for k in range(1, 60)]
+    assert all(y == pytest.approx(url_filter.FOLLOW * x) and y > 0 for x, y in zip(trust, trust[1:]))  # a chain of 59 hosts
+    assert {got[200 + k].verdict for k in range(20)} == {"block"} and got[301].verdict == "allow" and got[301].trust == 0
