@@ -135,6 +135,31 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_table(spark, sf_dir, "documents")).toDF("doc_id", "first_doc_id", "start_byte", "end_byte", "n_words")
 
 
+OP8_SQL = """
+WITH t AS (
+  SELECT doc_id, i, tok, sum(strlen(tok)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(tok) AS pos
+  FROM (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+') AS toks FROM documents WHERE doc_id IS NOT NULL))
+), w AS (
+  SELECT doc_id, pos::BIGINT AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS word, i, tok FROM t WHERE NOT regexp_matches(tok, '^[ \\t\\n\\x0B\\f\\r]')
+), v AS (
+  SELECT doc_id, word, pos, lead(pos, 49) OVER o + lead(strlen(tok), 49) OVER o AS stop FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY word)
+), x AS (
+  SELECT doc_id, word, pos, stop, encode(text)[pos + 1:stop] AS part FROM v JOIN documents USING (doc_id) WHERE stop IS NOT NULL
+), f AS (
+  SELECT doc_id, word, pos, stop, first_value(struct_pack(d := doc_id, pos := pos)) OVER (PARTITION BY part ORDER BY doc_id, pos) AS first FROM x
+), again AS (
+  SELECT doc_id, first.d AS source, pos - first.pos AS shift, word, pos, stop FROM f WHERE doc_id <> first.d OR pos <> first.pos
+), marked AS (
+  SELECT *, CASE WHEN pos < max(stop) OVER (PARTITION BY doc_id, source, shift ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM again
+), spans AS (
+  SELECT doc_id, source, min(pos) AS a, max(stop) AS b, max(word) - min(word) + 50 AS n_words
+  FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id, source, shift ORDER BY pos) AS island FROM marked) GROUP BY doc_id, source, shift, island
+)
+SELECT doc_id, source AS first_doc_id, a::BIGINT AS start_byte, b::BIGINT AS end_byte, n_words::BIGINT AS n_words
+FROM (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM spans) WHERE reached IS NULL OR b > reached
+"""
+
+
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every whole text, learnt outside the held-out seventh."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(7) != 2, F.lit(True)).alias("taught"))
@@ -271,6 +296,7 @@ LLM_ORACLE: dict[str, str] = {
     "op1_chat": _op1_sql(),
     "op5_decontaminate": _op5_sql(),
     "op6_line_dedup": OP6_SQL,
+    "op8_substring_dedup": OP8_SQL,
     "op11_hard_negatives": OP11_SQL,
     "op12_ranked_search": OP12_SQL,
     "op13_repetition": _op13_sql(),

@@ -1,28 +1,30 @@
-"""Substring dedup by digests of word windows.
+"""Substring dedup by content-defined chunks.
 
 A repeat is a run of ``MIN_WORDS`` words or more, blanks between them included, that
 stands byte for byte at an earlier place (by document id and byte).  Every such run
 is found; it is enough that each of its windows of ``MIN_WORDS`` words has some
 earlier place.
 
-1. Of every window the run of ``GRAM`` words with the least digest is chosen, so a
-   window chooses alike wherever it stands.  Chosen runs are shuffled by digest; those
-   of one place only go, and with them the windows that chose them.
-2. The windows left are shuffled by their own digest; each but the first knows the
-   first place.
-3. Per document, in order, overlapping windows of one source in one distance are
+1. *Chunks.*  A gear rolling hash over the 16 bytes from each word on cuts the text: of any
+   ``MOST`` words in a row the one with the least hash begins a chunk.  So cuts depend on
+   nearby bytes only and come back after an insertion, a chunk has ``MOST`` words at most, and
+   a window of ``MIN_WORDS`` words holds a cut with ``NAMED`` words after it, wherever it stands.
+   A chunk is named by the digest of the ``NAMED`` words from its cut.
+2. *Dedup by digest.*  Chunks are shuffled by name; those of one place only go, and
+   with them the windows that hold them first.
+3. *Windows* of the chunks left are shuffled by their own digest; each but the first knows the
+   first place.  That is one shuffle and a sort; the windows of a chunk that has more than ``HOT``
+   places are told apart by then, and take a minimum that is combined on the map side and a join instead,
+   so a passage that a third of all documents hold is no one task's.
+4. Per document, in order, overlapping windows of one source in one distance are
    joined to spans; spans inside another one go.
 
 Spans of one document can overlap (one source holds the first part, another the rest).
 
 Defined cases: null and empty texts have no repeats; rows of one id are one document
 (a repeated row is not a repeat of itself); a passage that recurs within a document
-is a repeat there too; rows without an id are not searched; an empty table gives no
-rows; other columns are not read.
-
-``cuts`` gives content-defined chunks of a text: a gear rolling hash over the last 16
-bytes proposes cuts about every ``SPACING`` bytes; a chunk has at least ``LEAST`` and at
-most ``MOST`` bytes.  ``repeats`` does not use them: cuts lose the edges of a passage.
+is a repeat there too; rows without an id are not searched; a text of megabytes is cut whole; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,13 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
+from rulesift.llm.workers import frugal
 from rulesift.session import materialize
 
-SPACING, LEAST, MOST = 24, 16, 1024
 WINDOW = 16
 MIN_WORDS = 50
-GRAM = 25
+#: Words that name a chunk, and the most words of a chunk.
+NAMED, MOST = 25, 26
+#: Places of a chunk from which on its windows are not sorted together.
+HOT = 4096
 #: Words that are hashed at a time, and rows of a batch that leaves a task.
 BLOCK, ROWS = 1 << 16, 1 << 18
 
@@ -56,29 +62,6 @@ def gear_table() -> np.ndarray:
 _GEAR = gear_table()
 
 
-def cuts(text: bytes) -> list[int]:
-    """Ends of the text's chunks; the hash starts from ``WINDOW`` zero bytes."""
-    if not text:
-        return []
-    h = _GEAR[np.frombuffer(bytes(WINDOW) + text, np.uint8)]
-    for k in (1, 2, 4, 8):  # h[i] becomes the sum of gear[byte[i - j]] << j over the last 2 k bytes
-        h[k:] = h[k:] + (h[:-k] << np.uint16(k))
-    out, last = [], 0
-    for end in (np.flatnonzero(h[WINDOW:] < 65536 // SPACING) + 1).tolist():
-        while end - last > MOST:
-            last += MOST
-            out.append(last)
-        if end - last >= LEAST:
-            out.append(end)
-            last = end
-    while len(text) - last > MOST:
-        last += MOST
-        out.append(last)
-    if last < len(text):
-        out.append(len(text))
-    return out
-
-
 def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words between ASCII blanks."""
     x = np.frombuffer(text, np.uint8)
@@ -103,34 +86,53 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _BYTES = _byte_table()
 
 
-def grams(text: bytes, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """Digest of the text from each word to the end of the n-th word from there."""
-    out = [np.zeros(0, np.uint64)]
+def gear(text: bytes, starts: np.ndarray) -> np.ndarray:
+    """The gear hash of the ``WINDOW`` bytes from each start (zero bytes follow the text)."""
+    if not len(starts):
+        return np.zeros(0, np.uint16)
+    h = _GEAR[np.frombuffer(text + bytes(WINDOW), np.uint8)]
+    for k in (1, 2, 4, 8):  # h[i] becomes the sum of gear[byte[i + j]] << j over the next 2 k bytes
+        h[:-k] = h[:-k] + (h[k:] << np.uint16(k))
+    return h[starts]
+
+
+def chosen(text: bytes, starts: np.ndarray) -> np.ndarray:
+    """The cut (the word with the least gear hash, the first of equal ones) of each window of ``MIN_WORDS`` words."""
+    count = len(starts) - MIN_WORDS + 1
+    if count <= 0:
+        return np.zeros(0, np.int64)
+    inside = np.lib.stride_tricks.sliding_window_view(gear(text, starts)[:len(starts) - NAMED + 1], MOST)
+    return np.arange(count) + np.concatenate([inside[k:k + BLOCK].argmin(1) for k in range(0, count, BLOCK)])
+
+
+def cuts(text: bytes) -> np.ndarray:
+    """Bytes at which the chunks of a text begin."""
+    starts, _ = word_bounds(text)
+    return starts[np.unique(chosen(text, starts))]
+
+
+def grams(text: bytes, starts: np.ndarray, ends: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """Digest of the text from each of these words to the end of the n-th word from there."""
     data, mult = np.frombuffer(text, np.uint8), np.uint64(0xD6E8FEB86659FD93)
-    for at in range(0, len(starts) - n + 1, BLOCK):
-        first, last = starts[at:at + BLOCK + n - 1], ends[at:at + BLOCK + n - 1]
-        bounds = np.stack([first, last], 1).ravel() - first[0]  # words and the blanks between them take turns
+    parts = [np.zeros(0, np.uint64)]  # of words and the blanks after them, in turn
+    for k in range(0, len(starts), BLOCK):
+        first, last = starts[k:k + BLOCK], ends[k:k + BLOCK]
+        after = starts[k + BLOCK] if k + BLOCK < len(starts) else last[-1] + 1
+        bounds = np.append(np.stack([first, last], 1).ravel(), after) - first[0]
         sizes, runs = np.diff(bounds), bounds[:-1]
         powers = np.cumprod(np.full(sizes.max(), mult))
         place = np.arange(bounds[-1]) - np.repeat(runs, sizes)
-        parts = _mixed(np.add.reduceat(_BYTES[data[first[0]:last[-1]]] * powers[place], runs))
-        words, count = parts[::2], len(first) - n + 1
-        units = words[:-1] * mult + parts[1::2]
-        h = np.zeros(count, np.uint64)
-        for k in range(n - 1):
-            h = h * mult + units[k:k + count]
-        out.append(_mixed(h * mult + words[n - 1:]))
-    return np.concatenate(out)
-
-
-def chosen(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the runs of ``GRAM`` words, and the run (the first of equal ones) that each window of ``MIN_WORDS`` words chooses."""
-    count = len(starts) - MIN_WORDS + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    digests = grams(text, starts, ends, GRAM)
-    inside = np.lib.stride_tricks.sliding_window_view(digests, MIN_WORDS - GRAM + 1)
-    return digests, np.arange(count) + np.concatenate([inside[k:k + BLOCK].argmin(1) for k in range(0, count, BLOCK)])
+        values = _BYTES[data[first[0]:after]]
+        if len(values) < bounds[-1]:  # nothing follows the last word
+            values = np.append(values, np.uint64(0))
+        parts.append(_mixed(np.add.reduceat(values * powers[place], runs)))
+    whole = np.concatenate(parts)
+    words = whole[::2]
+    units = words * mult + whole[1::2]
+    h = np.zeros(len(at), np.uint64)
+    for k in range(n - 1):
+        h = h * mult + units[at + k]
+    return _mixed(h * mult + words[at + n - 1]) if len(at) else h
 
 
 def _rows(docs: DataFrame, names: list[str], per_text) -> DataFrame:
@@ -159,32 +161,35 @@ def _rows(docs: DataFrame, names: list[str], per_text) -> DataFrame:
             if place:
                 yield flush()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """(id, digest, at) of every chosen run."""
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(id, digest, at) of every chunk."""
 
     def per_text(text: bytes):
         starts, ends = word_bounds(text)
-        digests, choice = chosen(text, starts, ends)
-        kept = np.unique(choice)
-        return digests[kept], starts[kept]
+        cut = np.unique(chosen(text, starts))
+        return grams(text, starts, ends, NAMED, cut), starts[cut]
 
     return _rows(docs, ["digest", "at"], per_text)
 
 
 def _windows(marked: DataFrame) -> DataFrame:
-    """(id, digest, at, size, word) of the windows that chose one of the ``marks`` (bytes where chosen runs start)."""
+    """(id, digest, at, size, word, hot) of the windows cut by one of the ``marks`` (bytes where chunks begin, and
+    whether these have many places)."""
 
-    def per_text(text: bytes, marks: pa.Scalar):
+    def per_text(text: bytes, marks: pa.Scalar, hot: pa.Scalar):
         starts, ends = word_bounds(text)
-        choice = chosen(text, starts, ends)[1]
-        word = np.flatnonzero(np.isin(starts[choice], marks.values.to_numpy()))
+        marks, hot = marks.values.to_numpy(), hot.values.to_numpy(zero_copy_only=False)
+        order = np.argsort(marks)
+        cut = starts[chosen(text, starts)]
+        place = np.minimum(np.searchsorted(marks, cut, sorter=order), len(marks) - 1)
+        word = np.flatnonzero(marks[order][place] == cut)
         at = starts[word]
-        return grams(text, starts, ends, MIN_WORDS)[word], at, ends[word + MIN_WORDS - 1] - at, word
+        return grams(text, starts, ends, MIN_WORDS, word), at, ends[word + MIN_WORDS - 1] - at, word, hot[order][place[word]].astype(np.int64)
 
-    return _rows(marked, ["digest", "at", "size", "word"], per_text)
+    return _rows(marked, ["digest", "at", "size", "word", "hot"], per_text)
 
 
 def _spans(windows: DataFrame) -> DataFrame:
@@ -233,13 +238,17 @@ def _spans(windows: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, source, start, end, n_words): spans, in bytes, of at least ``MIN_WORDS`` words seen earlier in ``source``."""
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    anchors = materialize(_anchors(docs), "anchors")
-    several = materialize(anchors.groupBy("digest").count().where("count > 1").select("digest"), "anchor_digests")
-    marks = anchors.join(several, "digest", "left_semi").groupBy("id").agg(F.collect_list("at").alias("marks"))
-    windows = materialize(_windows(docs.join(marks, "id").select("id", "text", "marks")), "windows")
-    first = windows.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    chunks = materialize(_chunks(docs), "chunks")
+    several = chunks.groupBy("digest").count().where("count > 1").select("digest", (F.col("count") > HOT).alias("hot"))
+    marks = chunks.join(materialize(several, "chunk_digests"), "digest").groupBy("id").agg(F.collect_list(F.struct("at", "hot")).alias("m")).select("id", "m.at", "m.hot")
+    windows = materialize(_windows(docs.join(marks, "id").select("id", "text", F.col("at").alias("marks"), "hot")), "windows")
+    place = F.struct("id", "at")
+    cold = windows.where("hot = 0").withColumn("first", F.min(place).over(W.partitionBy("digest")))
+    hot = windows.where("hot = 1")
+    first = hot.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     # written first: the join is then one of two plain shuffles, in which Spark splits a hot digest
-    again = windows.join(materialize(first, "first_places"), "digest").where("id <> first.id OR at <> first.at")
+    hot = hot.join(materialize(first, "first_places"), "digest").select(*cold.columns)
+    again = cold.union(hot).where("id <> first.id OR at <> first.at")
     again = again.select("id", "at", "size", "word", F.col("first.id").alias("source"), F.col("first.at").alias("source_at"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = _spans(again.repartition(n, "id").sortWithinPartitions("id", "at"))

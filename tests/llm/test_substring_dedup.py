@@ -1,6 +1,9 @@
 import random
 import re
 
+import duckdb
+import pytest
+
 from rulesift.llm import queries, substring_dedup as S
 
 VOCABULARY = [a + b + c for a in ("th", "on", "é", "re", "in", "zu") for b in ("an", "er", "ti", "ou") for c in ("", "ing", "s", "en", "heit")]
@@ -51,10 +54,33 @@ def test_edges(spark):
 def test_cuts_come_back_after_an_insertion():
     rng = random.Random(1)
     text = passage(rng, 3000).encode()
-    moved = S.cuts(text[:5000] + b"shifted" + text[5000:])
+    cuts = S.cuts(text).tolist()
+    moved = S.cuts(text[:5000] + b"shifted" + text[5000:]).tolist()
     back = {c if c < 5000 else c - 7 for c in moved}
-    assert len(back & set(S.cuts(text))) > 0.98 * len(moved) and S.cuts(b"") == [] and S.cuts(b"z" * 5000)[-1] == 5000
-    assert all(S.LEAST <= y - x <= S.MOST for x, y in zip(S.cuts(text), S.cuts(text)[1:-1]))
+    assert len(back & set(cuts)) > 0.98 * len(moved) and S.cuts(b"").tolist() == [] == S.cuts(b"one two").tolist()
+    chunks = [text[x:y].split() for x, y in zip(cuts, cuts[1:])]
+    assert max(map(len, chunks)) <= S.MOST and sum(map(len, chunks)) / len(chunks) > 8
+    # any window holds a cut with the words after it that name the chunk, wherever it stands
+    for k in range(0, 200, 7):
+        part = b" ".join(text.split()[k:k + S.MIN_WORDS])
+        starts, _ = S.word_bounds(part)
+        (cut,) = S.cuts(part).tolist()
+        assert cut + text.find(part) in cuts and len(part[cut:].split()) >= S.NAMED
+
+
+def test_digests_at_some_words_equal_digests_of_their_bytes(monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choice(["a", "bc", "é", "x" * 40, "0"]) + rng.choice([" ", "  ", "\n", "\t "]) for _ in range(900)).strip().encode()
+    for block in (7, 1 << 16):
+        monkeypatch.setattr(S, "BLOCK", block)
+        starts, ends = S.word_bounds(text)
+        for n in (1, 2, 25, 50):
+            at = [rng.randrange(len(starts) - n + 1) for _ in range(200)] + [len(starts) - n]
+            got = S.grams(text, starts, ends, n, S.np.array(at))
+            by = {}
+            for k, d in zip(at, got.tolist()):
+                by.setdefault(text[starts[k]:ends[k + n - 1]], set()).add(d)
+            assert all(len(x) == 1 for x in by.values()) and len({d for x in by.values() for d in x}) == len(by)
 
 
 def test_query(spark):
@@ -93,7 +119,9 @@ def check_against_windows(docs, spans):
     return want
 
 
-def test_parts_first_seen_in_other_documents(spark):
+@pytest.mark.parametrize("hot", [S.HOT, 2])
+def test_parts_first_seen_in_other_documents(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)  # windows that are sorted together, or joined
     rng = random.Random(12)
     docs, whole = [], set()
     for _ in range(40):
@@ -111,3 +139,11 @@ def test_all_windows_seen_earlier(spark):
     assert len(check_against_windows(texts, S.repeats(docs).collect())) > 20
     turns = "one two three four five six seven " * 40
     assert check_against_windows({1: turns.encode()}, S.repeats(spark.createDataFrame([(1, turns)], "doc_id long, text string")).collect())
+
+
+def test_query_equals_sql(spark):
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+        want = con.sql(queries.LLM_ORACLE["op8_substring_dedup"])
+        assert sorted(map(tuple, queries.op8_substring_dedup(spark, sf).select(*want.columns).collect())) == sorted(want.fetchall())
