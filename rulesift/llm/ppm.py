@@ -14,9 +14,9 @@ Pretrained lengths of all distinct (context, symbol) pairs, computed by Spark:
    words (hashed to 63 bits) over its training rows: a map-side combine.  Blocks,
    with their texts, are written once, bucketed by block.
 2. (item, block) rows are summed by item.  Counts of orders 0 and 1 are bounded
-   tables (at most 258 x 257) that tasks receive whole; higher orders are summed
-   within groups of pairs that share the last two symbols, where log10 P of each
-   pair follows.
+   tables (at most 258 x 257) that tasks receive whole, those of order 2 a table that is
+   joined; higher orders are summed within groups of pairs that share the last three
+   symbols, where log10 P of each pair follows.
 3. Values return to the blocks that hold the item, and each block adds them up per
    text.  Nothing of the corpus' size is held by the driver or by one task.
 
@@ -44,7 +44,7 @@ from rulesift.llm.bpe import _unpack as unpack
 from rulesift.llm.shingles import Hasher
 from rulesift.session import materialize, materialize_bucketed
 
-ORDER = 4
+ORDER = 5
 END, START = 256, 257
 SYMBOLS = 257
 BITS = 9
@@ -160,15 +160,16 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, taught_col: str) -> Dat
     return docs.select(id_col, text_col, taught_col).mapInArrow(cut, schema)
 
 
-def pair_lengths(coded: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """log10 P of pairs that share their last two context symbols; n: training counts of these pairs,
-    which hold all seen pairs of that context; low[x, s]: counts of order 1 (order 0 is their sum)."""
+def pair_lengths(coded: np.ndarray, n: np.ndarray, low: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """log10 P of pairs that share their last three context symbols; n: training counts of these pairs,
+    which hold all seen pairs of that context; low[x, s]: counts of order 1 (order 0 is their sum); n2[s]: counts of
+    their order-2 context."""
     symbol = coded & ((1 << BITS) - 1)
     last = int(coded[0]) >> (BITS * ORDER)
     n0, n1 = low.sum(0), low[last]
     # per order: the pair's count, and of its context: total, distinct, and what the longer context excludes from it
     count, total, distinct, lower_of_seen = {}, {}, {}, {}
-    for k in range(ORDER, 1, -1):
+    for k in range(ORDER, 2, -1):
         context, of = np.unique(coded >> (BITS * (1 + ORDER - k)), return_inverse=True)
         key, pair = np.unique(of * (1 << BITS) + symbol, return_inverse=True)
         held = np.bincount(pair, n, len(key))
@@ -178,43 +179,54 @@ def pair_lengths(coded: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.ndarra
         first = np.zeros(len(key), np.int64)
         first[pair] = np.arange(len(pair))
         lower_of_seen[k] = (first, at, held > 0, of, len(context))
-    count[1], total[1], distinct[1] = n1[symbol], np.full(len(coded), n1.sum()), np.full(len(coded), (n1 > 0).sum())
-    count[0], total[0], distinct[0] = n0[symbol], np.full(len(coded), n0.sum()), np.full(len(coded), (n0 > 0).sum())
+    known = {2: n2, 1: n1, 0: n0}
+    for k, counts in known.items():
+        count[k], total[k], distinct[k] = counts[symbol], np.full(len(coded), counts.sum()), np.full(len(coded), (counts > 0).sum())
 
     def excluded(k):
         """Total of order k over the symbols that the context of order k + 1 has seen."""
-        if k == 0:
-            return np.full(len(coded), n0[n1 > 0].sum())
+        if k < 2:
+            return np.full(len(coded), known[k][known[k + 1] > 0].sum())
         first, at, seen, of, contexts = lower_of_seen[k + 1]
         return np.bincount(at, count[k][first] * seen, contexts)[of]
 
     out, open_, top = np.zeros(len(coded)), np.ones(len(coded), bool), np.ones(len(coded), bool)
     for k in range(ORDER, -1, -1):
-        known = open_ & (total[k] > 0)
+        known_ = open_ & (total[k] > 0)
         mass, new = total[k].astype(np.float64), distinct[k].astype(np.float64)
         if k < ORDER:
             mass, new = np.where(top, mass, mass - excluded(k)), np.where(top, new, new - distinct[k + 1])
         escape = np.where(distinct[k] < SYMBOLS, new, 0)
         all_ = 2 * mass - new + escape  # in halves
-        here = known & (count[k] > 0)
+        here = known_ & (count[k] > 0)
         out[here] += np.log10((2 * count[k][here] - 1) / all_[here])
-        on = known & ~here & (new > 0)
+        on = known_ & ~here & (new > 0)
         out[on] += np.log10(escape[on] / all_[on])
         open_ &= ~here
-        top &= ~known
+        top &= ~known_
     out[open_] -= np.log10(SYMBOLS - distinct[0][open_])
     return out
 
 
 def _lengths(totals: DataFrame, low: np.ndarray) -> DataFrame:
-    """(item, value): log10 P of every pair."""
-
-    def group(table: pa.Table) -> pa.Table:
-        coded, n = table.column("item").to_numpy(), table.column("n").to_numpy()
-        return pa.table({"item": pa.array(coded), "value": pa.array(pair_lengths(coded, n, low))})
-
-    last_two = F.shiftright("item", BITS * (ORDER - 1))
-    return totals.where("item >= 0").groupBy(last_two.alias("last")).applyInArrow(group, "item long, value double")
+    """(item, value): log10 P of every pair.  Pairs meet by their last three context symbols; the counts of
+    the order-2 context, a row of at most ``SYMBOLS`` counts, come to each of these groups."""
+
+    def group(three: pa.Table, two: pa.Table) -> pa.Table:
+        coded, n = three.column("item").to_numpy(), three.column("n").to_numpy()
+        n2 = np.zeros(SYMBOLS, np.int64)
+        for counts in two.column("counts"):
+            for x in counts.as_py():
+                n2[x["s"]] = x["n"]
+        return pa.table({"item": pa.array(coded), "value": pa.array(pair_lengths(coded, n, low, n2) if len(coded) else np.zeros(0))})
+
+    symbols = lambda k: F.shiftright("item", BITS * (ORDER + 1 - k))  # noqa: E731  the last k of the context
+    pairs = totals.where("item >= 0").select("item", "n", symbols(3).alias("three"))
+    by_symbol = totals.where("item >= 0 AND n > 0").groupBy(symbols(2).alias("two"), F.col("item").bitwiseAND((1 << BITS) - 1).alias("s")).agg(F.sum("n").alias("n"))
+    order2 = by_symbol.groupBy("two").agg(F.collect_list(F.struct("s", "n")).alias("counts"))
+    wanted = pairs.select("three", F.shiftright("three", BITS).alias("two")).distinct()
+    beside = wanted.join(order2, "two").select(F.col("three").alias("of"), "counts")
+    return pairs.groupBy("three").cogroup(beside.groupBy("of")).applyInArrow(group, "item long, value double")
 
 
 def _send(values: DataFrame) -> DataFrame:
@@ -272,10 +284,8 @@ def score(docs: DataFrame, taught_col: str, id_col: str = "doc_id", text_col: st
         for first, some in _chunks(texts):
             own = slice(first, first + len(some))
             coded, of = pairs(some)
-            keys = np.sort((coded << 18) | of)
-            starts = np.flatnonzero(np.r_[True, np.diff(keys >> 18) != 0])
-            length = values[np.searchsorted(items, keys[starts] >> 18)]
-            model[own] = np.bincount(keys & ((1 << 18) - 1), np.repeat(length, np.diff(np.r_[starts, len(keys)])), len(some))
+            distinct, place = np.unique(coded, return_inverse=True)
+            model[own] = np.bincount(of, values[np.searchsorted(items, distinct)][place], len(some))
             found, of = words(some, hasher)
             distinct, place = np.unique(found, return_inverse=True)
             counts = values[np.searchsorted(items, distinct)]
