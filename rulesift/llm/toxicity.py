@@ -179,16 +179,18 @@ def with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def with_score(docs: DataFrame, model: Model, unknown: float | None = None, text_col: str = "text", to: str = "score") -> DataFrame:
     """``docs`` with the score of each row's text in column ``to`` (``unknown``: see ``Model.score``)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # arrays: no class of this package on executors
-    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())])
+    rows = docs.select(F.struct("*").alias("doc"))  # names of any kind pass through
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            scores = [own.score(x, unknown) for x in values(batch.column(place))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=schema.fieldNames())
+            scores = [own.score(x, unknown) for x in values(batch.column(0).field(place))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=schema.fieldNames())
 
-    return docs.mapInArrow(frugal(run), schema)
+    scored = rows.mapInArrow(frugal(run), schema)
+    return scored.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns), F.col("score").alias(to))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,3 +71,19 @@ def test_rows_that_share_an_id_are_judged_each(spark):
     assert got(P.drop_near_duplicates(spark, docs, SF)) == sorted(once, key=str)
     clean = [x for x in rows if x != (4, item)]
     assert got(P.drop_contaminated(spark, docs, SF)) == sorted(clean, key=str)
+
+
+def test_clashing_columns_and_long_texts(spark, tmp_path):
+    """Extra columns named like those that the stages make, and a text of megabytes, go through all stages."""
+    names = ["score", "key", "row", "id", "words", "n", "lines", "kept", "line", "position", "component_id", "n_shingles", "seed", "item", "ids", "decoded", "doc", "digest", "a", "u", "v", "first.x", "part"]
+    long = " ".join(f"word{i}" for i in range(300_000))
+    texts = [f"{long} ending one", f"{long} ending two", "a short clean text with some words of its own\nand a second line", None, ""]
+    rows = [(i, t, "en", "s", len(t or ""), *([f"x{i}"] * len(names))) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    *kept, (_, last, out) = stages(spark, docs, tmp_path)
+    assert all(after.columns == docs.columns for *_, after in kept)
+    got = {r.doc_id: r for r in last.collect()}
+    assert sorted(got) == [0, 2, 3, 4] and all(r[n] == f"x{i}" for i, r in got.items() for n in names)
+    assert got[0].text == texts[0] and got[0].n_chars == len(texts[0])
+    tokens = {r.doc_id: r.n_tokens for r in out.collect()}
+    assert sorted(tokens) == [0, 2, 3, 4] and tokens[0] > 300_000 and tokens[3] == tokens[4] == 0
