@@ -47,7 +47,7 @@ from pyspark.sql import Window as W
 from rulesift.llm.graph import components
 from rulesift.llm.shingles import Hasher
 from rulesift.llm.workers import frugal, values
-from rulesift.session import materialize
+from rulesift.session import materialize, materialize_bucketed
 
 PERCENT = 80
 MOST_MATCHES = 3
@@ -171,17 +171,33 @@ def _unpacked(packed: str) -> dict:
 def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (u, v) of classes that link; the sets of these classes are read again from their first documents."""
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("u").alias("a")).union(pairs.select("v")).distinct()
-    sets = _sets(docs, id_col, text_col, materialize(classes.join(wanted, "a").groupBy("a").agg(F.min("first").alias("id")), "wanted"))
+    both = pairs.select(F.col("u").alias("a")).union(pairs.select("v"))
+    sets = _sets(docs, id_col, text_col, materialize(classes.join(both.distinct(), "a").groupBy("a").agg(F.min("first").alias("id")), "wanted"))
+    many = both.groupBy("a").count().where(F.col("count") > SPLIT).select("a", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts"))
+    many = _to_tasks(materialize(many, "many"))
 
     def beside(rows: DataFrame, key: str, name: str) -> DataFrame:
-        """``rows`` of pairs with the set of the class in ``key``; a class in many pairs goes to several tasks."""
-        many = pairs.groupBy(key).count().where(F.col("count") > SPLIT).select(key, F.ceil(F.col("count") / SPLIT).cast("int").alias("splits"))
-        many = _to_tasks(materialize(many, "many"))
-        splits = F.coalesce("splits", F.lit(1))
-        dealt = rows.join(many, key, "left").withColumn("part", F.pmod(F.xxhash64("u", "v"), splits).cast("int")).drop("splits")
-        own = sets.select(F.col("a").alias(key), F.col("shingles").alias(name)).join(many, key, "left").select(key, name, F.explode(F.sequence(F.lit(0), splits - 1)).alias("part"))
-        return dealt.join(own, [key, "part"]).drop("part")
+        """``rows`` with the set of the class in ``key``; the sets lie in buckets and do not move."""
+        return rows.join(sets.select(F.col("a").alias(key), F.col("shingles").alias(name)), key)
+
+    def dealt(rows: DataFrame, key: str, name: str) -> DataFrame:
+        """``beside`` for classes in many pairs: the set goes to several tasks, each with a share of the pairs."""
+        own = sets.join(many, "a").select(F.col("a").alias(key), F.col("shingles").alias(name), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        return rows.withColumn("part", F.pmod(F.xxhash64("u", "v"), F.col(f"{key}_parts")).cast("int")).join(own, [key, "part"]).drop("part")
+
+    # p and q are u and v, q the one in many pairs if only one is
+    parts = [many.select(F.col("a").alias(c), F.col("parts").alias(f"{c}_parts")) for c in ("u", "v")]
+    sides = pairs.join(parts[0], "u", "left").join(parts[1], "v", "left")
+    swap = F.col("u_parts").isNotNull() & F.col("v_parts").isNull()
+    sides = sides.select("u", "v", *(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(to) for to, x, y in (("p", "u", "v"), ("q", "v", "u"), ("p_parts", "u_parts", "v_parts"), ("q_parts", "v_parts", "u_parts"))))
+    if many.isEmpty():
+        whole = beside(beside(pairs.withColumns({"p": F.col("u"), "q": F.col("v")}), "p", "x"), "q", "y").select("u", "v", "x", "y")
+    else:
+        sides = materialize(sides, "sides")
+        few = beside(beside(sides.where("q_parts IS NULL"), "p", "x"), "q", "y")
+        one = dealt(beside(sides.where("p_parts IS NULL AND q_parts IS NOT NULL"), "p", "x"), "q", "y")
+        two = dealt(dealt(sides.where("p_parts IS NOT NULL"), "p", "x"), "q", "y")
+        whole = few.select("u", "v", "x", "y").union(one.select("u", "v", "x", "y")).union(two.select("u", "v", "x", "y"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +209,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, cla
                 keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return beside(beside(pairs, "u", "x"), "v", "y").select("u", "v", "x", "y").mapInArrow(frugal(verify), "u long, v long")
+    return whole.mapInArrow(frugal(verify), "u long, v long")
 
 
 def _to_tasks(table: DataFrame) -> DataFrame:
@@ -213,7 +229,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["a", "shingles"])
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("a", "text")
-    return materialize(own.mapInArrow(frugal(read), "a long, shingles binary"), "sets")
+    return materialize_bucketed(own.mapInArrow(frugal(read), "a long, shingles binary"), "sets", "a")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
