@@ -13,12 +13,15 @@ earlier place.
 2. *Dedup by digest.*  Chunks are shuffled by name; those of one place only go, and
    with them the windows that hold them first.
 3. *Windows* of the chunks left are shuffled by their own digest; each but the first knows the
-   first place.  That is one shuffle and a sort; the windows of a chunk that has more than ``HOT``
-   places are told apart by then, and take a minimum that is combined on the map side and a join instead,
-   so a passage that a third of all documents hold is no one task's.
+   first place.  That is one shuffle and a sort; if a chunk has more than ``HOT`` places, the windows
+   of such chunks take a minimum that is combined on the map side and a join instead, so a
+   passage that a third of all documents hold is no one task's.
 4. Per document, in order, overlapping windows of one source in one distance are
    joined to spans; spans inside another one go.
 
+Documents with the same text are one to steps 1 to 4: the first of them has its windows made, all of
+them, and its copies get the spans of these windows' first places.
+
 Spans of one document can overlap (one source holds the first part, another the rest).
 
 Defined cases: null and empty texts have no repeats; rows of one id are one document
@@ -48,6 +51,11 @@ MIN_WORDS = 50
 NAMED, MOST = 25, 26
 #: Places of a chunk from which on its windows are not sorted together.
 HOT = 4096
+#: Copies of texts are broadcast up to this count, else joined by a shuffle.
+BROADCAST_COPIES = 500_000
+#: A window's place: its first byte, and the low bits of its size; beside them its word, the
+#: high bits of its size, whether its chunk has many places, and whether its text has copies.
+SIZE_BITS, HIGH_BITS = 24, 20
 #: Words that are hashed at a time, and rows of a batch that leaves a task.
 BLOCK, ROWS = 1 << 16, 1 << 18
 
@@ -176,26 +184,33 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
 
 def _windows(marked: DataFrame) -> DataFrame:
-    """(id, digest, at, size, word, hot) of the windows cut by one of the ``marks`` (bytes where chunks begin, and
-    whether these have many places)."""
+    """(id, digest, place, beside) of the windows cut by one of the ``marks`` (bytes where chunks begin, and
+    whether these have many places); of all windows of texts with copies."""
 
-    def per_text(text: bytes, marks: pa.Scalar, hot: pa.Scalar):
+    def per_text(text: bytes, marks: pa.Scalar, hot: pa.Scalar, twin: pa.Scalar):
         starts, ends = word_bounds(text)
-        marks, hot = marks.values.to_numpy(), hot.values.to_numpy(zero_copy_only=False)
+        choice = chosen(text, starts)
+        marks, hot = (x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64) for x in (marks, hot))
         order = np.argsort(marks)
-        cut = starts[chosen(text, starts)]
-        place = np.minimum(np.searchsorted(marks, cut, sorter=order), len(marks) - 1)
-        word = np.flatnonzero(marks[order][place] == cut)
+        marks, hot = np.append(marks[order], -1), np.append(hot[order], 0)  # nothing is at -1
+        cut = starts[choice]
+        at_mark = np.minimum(np.searchsorted(marks[:-1], cut), max(len(marks) - 2, 0))
+        known = marks[at_mark] == cut
+        word = np.flatnonzero(known | twin.as_py())
         at = starts[word]
-        return grams(text, starts, ends, MIN_WORDS, word), at, ends[word + MIN_WORDS - 1] - at, word, hot[order][place[word]].astype(np.int64)
+        size = ends[word + MIN_WORDS - 1] - at
+        many = np.where(known, hot[at_mark], 0)[word].astype(np.int64)
+        place = (at << SIZE_BITS) | (size & ((1 << SIZE_BITS) - 1))
+        return grams(text, starts, ends, MIN_WORDS, word), place, (word << (HIGH_BITS + 2)) | ((size >> SIZE_BITS) << 2) | (many << 1) | int(twin.as_py())
 
-    return _rows(marked, ["digest", "at", "size", "word", "hot"], per_text)
+    return _rows(marked, ["digest", "place", "beside"], per_text)
 
 
 def _spans(windows: DataFrame) -> DataFrame:
-    """(id, source, start, end, words): joined windows, from rows sorted by id and place."""
+    """(id, role, source, start, end, words): joined windows, from rows sorted by id, role and place."""
     kind = windows.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("source", kind), *(T.StructField(n, T.LongType()) for n in ("start", "end", "words"))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("role", T.IntegerType()), T.StructField("source", kind), *(T.StructField(n, T.LongType()) for n in ("start", "end", "words"))])
+    low, high = (1 << SIZE_BITS) - 1, (1 << HIGH_BITS) - 1
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, spans, open_, now, id_type = [], [], {}, None, None  # open_: the last span of each source and distance
@@ -204,22 +219,24 @@ def _spans(windows: DataFrame) -> DataFrame:
             reached = -1
             for start, end, first, last, source in sorted(spans, key=lambda x: (x[0], -x[1])):
                 if end > reached:
-                    rows.append((now, source, start, end, last - first + MIN_WORDS))
+                    rows.append((*now, source, start, end, last - first + MIN_WORDS))
                     reached = end
             spans.clear()
             open_.clear()
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [id_type, id_type, *[pa.int64()] * 3], strict=True)], names=schema.fieldNames())
+            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [id_type, pa.int32(), id_type, *[pa.int64()] * 3], strict=True)], names=schema.fieldNames())
             rows.clear()
             return out
 
         for batch in batches:
             id_type = batch.column(0).type
-            for id_, at, size, word, source, source_at in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if id_ != now:
+            for id_, role, place, beside, source, source_place in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                at, size, word = place >> SIZE_BITS, (place & low) | ((beside >> 2) & high) << SIZE_BITS, beside >> (HIGH_BITS + 2)
+                if (id_, role) != now:
                     close()
-                    now = id_
+                    now = (id_, role)
+                source_at = source_place >> SIZE_BITS
                 span = open_.get((source, at - source_at))
                 if span and at < span[1]:
                     span[1], span[3] = max(span[1], at + size), max(span[3], word)
@@ -232,27 +249,57 @@ def _spans(windows: DataFrame) -> DataFrame:
         if rows:
             yield flush()
 
-    return windows.mapInArrow(join, schema)
+    return windows.mapInArrow(frugal(join), schema)
+
+
+def _to_tasks(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``BROADCAST_COPIES`` rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES else table
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(id, a, b, original) of every document whose text (named by two hashes) several ids have."""
+    named = docs.select("id", "a", "b").distinct()
+    several = named.groupBy("a", "b").agg(F.min("id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return named.join(several, ["a", "b"]).select("id", "a", "b", "original")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, source, start, end, n_words): spans, in bytes, of at least ``MIN_WORDS`` words seen earlier in ``source``."""
-    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chunks = materialize(_chunks(docs), "chunks")
-    several = chunks.groupBy("digest").count().where("count > 1").select("digest", (F.col("count") > HOT).alias("hot"))
-    marks = chunks.join(materialize(several, "chunk_digests"), "digest").groupBy("id").agg(F.collect_list(F.struct("at", "hot")).alias("m")).select("id", "m.at", "m.hot")
-    windows = materialize(_windows(docs.join(marks, "id").select("id", "text", F.col("at").alias("marks"), "hot")), "windows")
-    place = F.struct("id", "at")
-    cold = windows.where("hot = 0").withColumn("first", F.min(place).over(W.partitionBy("digest")))
-    hot = windows.where("hot = 1")
-    first = hot.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # written first: the join is then one of two plain shuffles, in which Spark splits a hot digest
-    hot = hot.join(materialize(first, "first_places"), "digest").select(*cold.columns)
-    again = cold.union(hot).where("id <> first.id OR at <> first.at")
-    again = again.select("id", "at", "size", "word", F.col("first.id").alias("source"), F.col("first.at").alias("source_at"))
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs = docs.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit("second"), "text")})
+    copies = materialize(_copies(docs), "copies")
+    docs = docs.join(_to_tasks(copies), ["id", "a", "b"], "left").where("original IS NULL OR original = id")
+    docs = docs.select("id", "text", F.col("original").isNotNull().alias("twin"))
+
+    chunks = materialize(_chunks(docs.select("id", "text")), "chunks")
+    several = materialize(chunks.groupBy("digest").count().where("count > 1").select("digest", (F.col("count") > HOT).alias("hot")), "chunk_digests")
+    marks = chunks.join(several, "digest").groupBy("id").agg(F.collect_list(F.struct("at", "hot")).alias("m")).select("id", "m.at", "m.hot")
+    marked = docs.join(materialize(marks, "marks"), "id", "left").where("at IS NOT NULL OR twin")
+    windows = _windows(marked.select("id", "text", F.col("at").alias("marks"), "hot", "twin"))
+    place = F.struct("id", "place")
+
+    def sorted_together(windows: DataFrame) -> DataFrame:
+        return windows.withColumn("first", F.min(place).over(W.partitionBy("digest")))
+
+    if several.where("hot").isEmpty():
+        placed = sorted_together(windows)
+    else:
+        windows = materialize(windows, "windows")
+        is_hot = F.col("beside").bitwiseAND(2) == 2  # the same for all places of a window: it holds its chunk
+        hot = windows.where(is_hot)
+        first = hot.groupBy("digest").agg(F.min(place).alias("first"))
+        # written first: the join is then one of two plain shuffles, in which Spark splits a hot digest
+        placed = sorted_together(windows.where(~is_hot)).unionByName(hot.join(materialize(first, "first_places"), "digest"))
+    # role 0: the document's own repeats; role 1: what its copies repeat, all of its windows
+    own = F.when(F.struct("id", "place") != F.col("first"), F.lit(0))
+    twin = F.when(F.col("beside").bitwiseAND(1) == 1, F.lit(1))
+    again = placed.select("id", F.explode(F.array_compact(F.array(own, twin))).alias("role"), "place", "beside", F.col("first.id").alias("source"), F.col("first.place").alias("source_place"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = _spans(again.repartition(n, "id").sortWithinPartitions("id", "at"))
-    return spans.select(F.col("id").alias(id_col), "source", "start", "end", F.col("words").alias("n_words"))
+    spans = materialize(_spans(again.repartition(n, "id").sortWithinPartitions("id", "role", "place")), "spans")
+    others = copies.where("id <> original").select(F.col("id").alias("copy"), F.col("original").alias("id")).distinct()
+    of_copies = spans.where("role = 1").join(others, "id").select(F.col("copy").alias("id"), "source", "start", "end", "words")
+    return spans.where("role = 0").select("id", "source", "start", "end", "words").union(of_copies).select(F.col("id").alias(id_col), "source", "start", "end", F.col("words").alias("n_words"))
 
 
 def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
