@@ -19,7 +19,8 @@ entry (checked, ``MAX_VOCABULARY``), so tasks receive it whole and gather the
 bytes of a batch of ids by position.
 
 Defined cases: null text is the empty text and gives no ids; repeated rows give
-repeated results; an empty table gives no rows; other columns are not read.
+repeated results, rows without an id too; a text of megabytes is a block of its own; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -30,7 +30,8 @@ the set size and the connected component of each document.
 Defined cases: words are split at blanks after lower-casing A-Z; a text of fewer
 words is one shingle of all of them; a text without words, or null, has no set and
 links with nothing; a row without an id links nothing and has no component; repeated
-rows are returned each; an empty table gives no rows; other columns are not read.
+rows are returned each; a text of megabytes is one set, of eight bytes a shingle; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations

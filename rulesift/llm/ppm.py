@@ -23,8 +23,9 @@ Pretrained lengths of all distinct (context, symbol) pairs, computed by Spark:
 The same pass gives a unigram word model with add-one smoothing as the baseline.
 
 Defined cases: null text is the empty text (its end is still coded); without training
-rows every symbol costs log10 257; repeated rows are scored (and learnt) each; an
-empty table gives no rows; other columns are not read.
+rows every symbol costs log10 257; repeated rows are scored (and learnt) each, rows without an id
+too; a text of megabytes is scored whole, in a block of its own, with some 50 bytes of arrays per
+byte; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
