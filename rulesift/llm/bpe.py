@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from rulesift.llm.workers import frugal, give_back
 from rulesift.session import materialize_bucketed
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 MAX_VOCABULARY = 1 << 20
 #: Words whose ids a task gathers before it sends them to their blocks.
 SEND_WORDS = 1 << 18
