@@ -76,6 +76,31 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(_table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d
+), c AS (
+  SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS h, count(*) AS n FROM s GROUP BY doc_id
+), firsts AS (
+  SELECT h, min(doc_id) AS doc_id, max(n) AS n FROM c GROUP BY h
+), held AS (
+  SELECT doc_id, g FROM s JOIN firsts USING (doc_id)
+), links AS (
+  SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM held a JOIN held b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL)
+  JOIN firsts x ON x.doc_id = u JOIN firsts y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)
+), near AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reached(x, y) AS (
+  SELECT doc_id, doc_id FROM firsts UNION SELECT x, v FROM reached JOIN near ON y = u
+), named AS (
+  SELECT h, min(y) AS component_id FROM firsts JOIN reached ON x = doc_id GROUP BY h
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN c USING (doc_id) LEFT JOIN named USING (h)
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds, up to replaced words."""
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -294,6 +319,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 LLM_ORACLE: dict[str, str] = {
     "op1_chat": _op1_sql(),
+    "op4_ngram_join": OP4_SQL,
     "op5_decontaminate": _op5_sql(),
     "op6_line_dedup": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,

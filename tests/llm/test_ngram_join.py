@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -50,6 +51,14 @@ def test_table_equals_brute_force(spark):
         assert result(queries.op4_ngram_join(spark, sf)) == brute(rows)
 
 
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(queries.LLM_ORACLE["op4_ngram_join"])
+    assert sorted(map(tuple, queries.op4_ngram_join(spark, sf).select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 @pytest.mark.parametrize("hot, split", [(ngram_join.HOT, ngram_join.SPLIT), (5, 3)])
 def test_chains_hot_groups_and_edges(spark, monkeypatch, hot, split):
     monkeypatch.setattr(ngram_join, "HOT", hot)  # shingles and classes dealt over parts
