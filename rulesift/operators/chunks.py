@@ -14,7 +14,8 @@ and session chains cross chunks; each chunk is summed up by what it does to them
 
 These sums are composed in file order by windows over chunks (a row per chunk, no text but
 open lines), and each chunk then gets the state it starts with.  Texts do not
-move: the sums are broadcast if they are at most ``BROADCAST_CHUNKS``, else joined by a shuffle.
+move: the sums are broadcast if they are at most ``BROADCAST_CHUNKS``, else joined by a shuffle
+(never by the size of their files, which are packed many times smaller than rows in memory).
 Comment counts are added up per file.
 
 ``read_chunks`` cuts files with Spark's text source, which deals byte ranges of one file to
@@ -40,7 +41,7 @@ from rulesift.operators import lines as L
 from rulesift.session import materialize
 
 CHUNK_BYTES = 4 << 20
-BROADCAST_CHUNKS = 1_000_000
+BROADCAST_CHUNKS = 20_000
 FILE = ["repo", "branch", "path"]
 #: Place of a chunk in its file.
 PLACE = ["start", "seq"]
@@ -106,6 +107,8 @@ def _joined(chunks: DataFrame, sums: DataFrame, key: list[str]) -> DataFrame:
     sums = materialize(sums, "chunk_sums")
     if sums.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS:
         sums = F.broadcast(sums)
+    else:
+        sums = sums.hint("merge")
     right = sums.select(*(F.col(k).alias(f"_{k}") for k in key), *(c for c in sums.columns if c not in key))
     same = F.lit(True)
     for k in key:
