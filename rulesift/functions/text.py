@@ -57,8 +57,8 @@ def matches(col: Column, pattern: str) -> Column:
     parts = in_order(pattern)
     if parts is None:
         return col.rlike(rx(pattern))
-    head, tail = parts
-    return F.coalesce(F.get(F.split(col, rx(head), 2), F.lit(1)).rlike(rx(tail)), F.lit(False))
+    head, tail = parts  # a split compiles its pattern anew for each line, a search does not
+    return F.coalesce(F.when(col.rlike(rx(head)), F.get(F.split(col, rx(head), 2), F.lit(1)).rlike(rx(tail))), F.lit(False))
 
 
 # Non-ASCII characters that Java's Unicode case-insensitive matching equates
@@ -75,22 +75,22 @@ def fold(col: Column) -> Column:
 
 
 def has_fold_escape(col: Column) -> Column:
-    return (F.instr(col, _FOLD_ESCAPES[0]) > 0) | (F.instr(col, _FOLD_ESCAPES[1]) > 0) | \
-        (F.instr(col, _FOLD_ESCAPES[2]) > 0)
+    return contains_any(col, _FOLD_ESCAPES)
 
 
-def may_contain_any(original: Column, folded: Column, literals) -> Column:
+def may_contain_any(original: Column, folded: Column, literals, escaped: Column | None = None) -> Column:
     """Exact necessary condition for a case-insensitive (Unicode) regex that
-    contains one of ``literals`` (lower case) as a plain run to match."""
+    contains one of ``literals`` (lower case) as a plain run to match.  ``escaped``: whether
+    ``original`` may hold one of the escapes, where that is known."""
     if all(lit.lower() == lit.upper() for lit in literals):
         return contains_any(original, literals)
-    return contains_any(folded, literals) | has_fold_escape(original)
+    return contains_any(folded, literals) | (escaped if escaped is not None else has_fold_escape(original))
 
 
 def contains_any(col: Column, literals) -> Column:
     out = None
     for lit in literals:
-        c = F.instr(col, lit) > 0
+        c = col.contains(lit)
         out = c if out is None else (out | c)
     return out
 
@@ -105,9 +105,27 @@ def decode_utf8(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+# A character other than visible ASCII, space, tab and \n: without one, lines end with \n alone and
+# the only blanks are spaces and tabs (a small class is tested much faster than all of Unicode's).
+_UNUSUAL_RX = r"[^\n\t -~]"
+#: Blanks at both ends of each line; a run of blanks is looked at once, from its begin.
+_EDGES_RX = r"(?md)^[ \t]++|[ \t](?<![ \t]{2})[ \t]*+$"
+
+
+def split_at_breaks(text: Column) -> Column:
+    """The parts between line breaks."""
+    return F.when(text.rlike(_UNUSUAL_RX), F.split(text, fixed.LINE_BREAK_RX, -1)).otherwise(F.split(text, "\n", -1))
+
+
+def strip_lines(text: Column, lines: Column) -> Column:
+    """``py_strip`` of each of the text's ``lines``."""
+    return F.when(text.rlike(_UNUSUAL_RX), F.transform(lines, py_strip)).otherwise(
+        F.slice(F.split(F.regexp_replace(text, _EDGES_RX, ""), "\n", -1), 1, F.size(lines)))
+
+
 def split_lines(text: Column) -> Column:
     """Python ``str.splitlines()``: array of lines, no trailing empty element."""
-    parts = F.split(text, fixed.LINE_BREAK_RX, -1)
+    parts = split_at_breaks(text)
     return F.when(F.element_at(parts, -1) == F.lit(""), F.slice(parts, 1, F.size(parts) - 1)) \
         .otherwise(parts)
 
@@ -123,7 +141,7 @@ def triple_quotes(col: Column) -> Column:
 
 
 def has_triple_quote(col: Column) -> Column:
-    return (F.instr(col, TQ_DOUBLE) > 0) | (F.instr(col, TQ_SINGLE) > 0)
+    return contains_any(col, (TQ_DOUBLE, TQ_SINGLE))
 
 
 def is_comment_line(stripped: Column) -> Column:

@@ -70,28 +70,28 @@ def first_rule_index(target: Column, rules) -> Column:
 
 
 def rule_set_description(rs: RuleSet, line: Column, stripped: Column, in_docstring: Column,
-                         folded: Column | None = None) -> Column:
+                         folded: Column | None = None, escaped: Column | None = None) -> Column:
     """Scope filter of the rule set, its literal pre-check, then the first matching rule."""
     not_comment = ~T.is_comment_line(stripped)
     if rs.scope == "line":
         target, cond = line, not_comment
         if rs.requires:
-            cond = cond & T.may_contain_any(line, folded if folded is not None else T.fold(line), rs.requires)
+            cond = cond & T.may_contain_any(line, folded if folded is not None else T.fold(line), rs.requires, escaped)
     else:
         target = T.code_part(line)
         cond = not_comment & ~T.has_triple_quote(stripped) & (in_docstring == 0)
         if rs.requires:
-            cond = cond & T.may_contain_any(target, T.fold(target), rs.requires)
+            cond = cond & T.may_contain_any(target, T.fold(target), rs.requires, escaped)
     found = [F.when(T.matches(target, pat), F.lit(desc)) for pat, desc in rs.rules]
     if rs.function:
         found.append(rs.function(target, stripped))
     return F.when(cond, F.coalesce(*found))
 
 
-def line_descriptions(line: Column, stripped: Column, in_docstring: Column, cfg: ScanConfig) -> list[Column]:
+def line_descriptions(line: Column, stripped: Column, in_docstring: Column, cfg: ScanConfig, folded: Column | None = None, escaped: Column | None = None) -> list[Column]:
     """One description column per line rule set (null where no rule hit)."""
-    folded = T.fold(line)
-    return [rule_set_description(rs, line, stripped, in_docstring, folded).alias(f"_d{i}")
+    folded = folded if folded is not None else T.fold(line)
+    return [rule_set_description(rs, line, stripped, in_docstring, folded, escaped).alias(f"_d{i}")
             for i, rs in enumerate(cfg.rule_sets)]
 
 
@@ -118,13 +118,14 @@ def marked_sessions(lines: Column) -> Column:
     ``\\s*`` may cross lines, ``.`` may not: head and tail stand on one line.  Heads and tails
     are marked, the mark of a head that no tail follows on its line is taken away, and a match
     must begin with a marked head.  So none begins in vain, and the cost is linear in the file."""
-    full = F.translate(F.array_join(lines, "\n"), _MARK + _HEAD + _TAIL, _STANDIN * 3)
+    full = F.array_join(lines, "\n")
+    full = F.when(T.contains_any(full, (_MARK, _HEAD, _TAIL)), F.translate(full, _MARK + _HEAD + _TAIL, _STANDIN * 3)).otherwise(full)
     full = F.regexp_replace(full, F.lit(f"({T.rx(_P1_HEAD)})"), F.lit("$1" + _HEAD))
     full = F.regexp_replace(full, F.lit(f"({T.rx(_P1_TAIL)})"), F.lit(_TAIL + "$1"))
 
     def useful(line: Column) -> Column:
         rest = F.substring_index(line, _TAIL, -1)  # all of it where there is no tail
-        return F.concat(F.left(line, F.length(line) - F.length(rest)), F.replace(rest, F.lit(_HEAD), F.lit("")))
+        return F.when(~line.contains(_HEAD), line).otherwise(F.concat(F.left(line, F.length(line) - F.length(rest)), F.replace(rest, F.lit(_HEAD), F.lit(""))))
 
     full = F.array_join(F.transform(F.split(full, "\n", -1), useful), "\n")
     pattern = f"{_P1_HEAD}{_HEAD}.*{_TAIL}{_P1_TAIL}"
@@ -137,15 +138,15 @@ def with_multiline_session(files: DataFrame) -> DataFrame:
 
     The numbers of the lines that hold a mark are the start lines.  A literal search on the
     raw text skips the join for files that cannot match."""
-    maybe = F.col("text").rlike(T.rx("SparkSession"))
+    maybe = T.may_contain_any(F.col("text"), T.fold(F.col("text")), ("sparksession",)) & T.may_contain_any(F.col("text"), T.fold(F.col("text")), ("getorcreate",))
 
     def found_by_line_pass(n: Column) -> Column:
         return ~F.element_at(F.col("stripped"), n).startswith("#") & T.matches(F.element_at(F.col("lines"), n), fixed.P1_PATTERN)
 
-    starts = F.transform("_marked", lambda line, i: F.when(F.instr(line, _MARK) > 0, i + 1))
+    starts = F.transform("_marked", lambda line, i: F.when(line.contains(_MARK), i + 1))
     return (files
             .withColumn("_marked", F.when(maybe, marked_sessions(F.col("lines"))))
-            .withColumn("_starts", F.when(F.exists("_marked", lambda line: F.instr(line, _MARK) > 0), F.array_compact(starts)))
+            .withColumn("_starts", F.when(F.exists("_marked", lambda line: line.contains(_MARK)), F.array_compact(starts)))
             .withColumn("p1b", F.when(F.col("_starts").isNotNull(), F.filter("_starts", lambda n: ~found_by_line_pass(n)))
                         .otherwise(F.array().cast("array<int>")))
             .drop("_marked", "_starts"))
@@ -256,19 +257,21 @@ def exploded_findings(f: DataFrame, cfg: ScanConfig, before: Column | None = Non
     before the row's first."""
     # exploding a zip (not a bare column built by higher-order functions)
     # keeps the generator on the fast path
-    f = f.withColumn("_before", before if before is not None else F.lit(0))
-    exploded = f.select("repo", "branch", "path", "file_findings", "_before",
+    f = f.withColumn("_before", before if before is not None else F.lit(0)).withColumn("_escaped", F.coalesce(T.has_fold_escape(F.col("text")), F.lit(False)))
+    exploded = f.select("repo", "branch", "path", "file_findings", "_before", "_escaped",
                         F.posexplode_outer(F.arrays_zip("lines", "stripped", "w1")).alias("pos", "z"))
     per_line = exploded.select(
-        "repo", "branch", "path", "file_findings", "_before", "pos",
-        F.col("z.lines").alias("line"), F.col("z.stripped").alias("st"), F.col("z.w1").alias("par"))
+        "repo", "branch", "path", "file_findings", "_before", "_escaped", "pos",
+        F.col("z.lines").alias("line"), F.col("z.stripped").alias("st"), F.col("z.w1").alias("par"), T.fold(F.col("z.lines")).alias("folded"))
     described = per_line.select(
         "repo", "branch", "path", "file_findings", "_before", "pos", "st",
-        *line_descriptions(F.col("line"), F.col("st"), F.col("par"), cfg))
+        *line_descriptions(F.col("line"), F.col("st"), F.col("par"), cfg, F.col("folded"), F.col("_escaped")))
     head = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    # no filter: it would be pushed below the descriptions and compute them twice
+    some = F.coalesce(*(F.col(f"_d{i}") for i in range(len(cfg.rule_sets)))).isNotNull() | (head & (F.size("file_findings") > 0))
     every = F.concat(line_findings((F.col("_before") + F.col("pos") + 1).cast("int"), F.col("st"), cfg),
                      F.when(head, F.col("file_findings")).otherwise(empty_findings()))
-    return _findings_columns(described.select("repo", "branch", "path", F.explode(every).alias("f")), cfg)
+    return _findings_columns(described.select("repo", "branch", "path", F.explode(F.when(some, every)).alias("f")), cfg)
 
 
 def _named_findings(files: DataFrame, cfg: ScanConfig) -> DataFrame:

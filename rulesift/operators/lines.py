@@ -80,7 +80,7 @@ def w2_flags(stripped: Column) -> Column:
         starts_sq = s.startswith(T.TQ_SINGLE)
         opener = (starts_dq & (T.count_substr(s, T.TQ_DOUBLE) < 2)) | \
                  (~starts_dq & starts_sq & (T.count_substr(s, T.TQ_SINGLE) < 2))
-        return F.when(opener, "T").when(T.has_triple_quote(s), "R").otherwise("0")
+        return F.when(~T.has_triple_quote(s), "0").when(opener, "T").otherwise("R")
     return F.array_join(F.transform(stripped, flag), "")
 
 
@@ -120,12 +120,12 @@ def with_line_arrays(files: DataFrame) -> DataFrame:
     Each array is its own column so that no expression is evaluated twice."""
     parts = F.col("_parts")
     return (files
-            .withColumn("_parts", F.split(F.col("text"), fixed.LINE_BREAK_RX, -1))
+            .withColumn("_parts", T.split_at_breaks(F.col("text")))
             .withColumn("lines", F.coalesce(
                 F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
                 F.array().cast("array<string>")))
             .drop("_parts")
-            .withColumn("stripped", F.transform("lines", T.py_strip))
+            .withColumn("stripped", F.coalesce(T.strip_lines(F.col("text"), F.col("lines")), F.array().cast("array<string>")))
             .withColumn("_f1", F.when(T.has_triple_quote(F.col("text")), w1_flags(F.col("lines"))))
             .withColumn("w1", F.when(F.col("_f1").isNotNull(), w1_parity(F.col("_f1"))).otherwise(_zeros("lines")))
             .drop("_f1"))

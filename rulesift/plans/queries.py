@@ -159,12 +159,14 @@ def docstring_state(spark, sf):
 
 
 def first_rule(spark, sf):
-    lines = _corpus_lines(spark, sf)
-    sets = [(2, fixed.P2_RULES), (4, fixed.P4_RULES), (5, fixed.P5_RULES), (7, fixed.P7_RULES)]
-    per = lines.select("repo", "branch", "path", "line_number",
-                       F.explode(F.array(*[F.struct(F.lit(pid).alias("policy_id"),
-                                                    D.first_rule_index(F.col("line"), rules).alias("rule_no"))
-                                           for pid, rules in sets])).alias("r"))
+    lines = _corpus_lines(spark, sf).withColumn("folded", T.fold(F.col("line")))
+    sets = [(rs.policy_id, rs.rules, rs.requires) for rs in CFG.rule_sets if rs.policy_id in (2, 4, 5, 7)]
+    numbered = lines.select("repo", "branch", "path", "line_number", *(
+        F.when(T.may_contain_any(F.col("line"), F.col("folded"), requires), D.first_rule_index(F.col("line"), rules)).alias(f"_r{pid}") for pid, rules, requires in sets))
+    some = F.coalesce(*(F.col(f"_r{pid}") for pid, _, _ in sets)).isNotNull()
+    per = numbered.select("repo", "branch", "path", "line_number",
+                          F.explode(F.when(some, F.array(*[F.struct(F.lit(pid).alias("policy_id"), F.col(f"_r{pid}").alias("rule_no"))
+                                                           for pid, _, _ in sets]))).alias("r"))
     return (per.where(F.col("r.rule_no").isNotNull())
             .select("repo", "branch", "path", "line_number",
                     F.col("r.policy_id").cast("int").alias("policy_id"),

@@ -77,14 +77,14 @@ def _pick(values, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
+#: Every line there is, by its number.
+LINES = (*TEMPLATES, *(f"v{j} = f(v)" for j in range(40)), *RULE_LINES, *["w = g(w)"] * (340 - len(RULE_LINES)))
+
+
 def corpus_line(k: Column, n: Column) -> Column:
     """Line ``n`` (from 1) of file ``k`` (an order key)."""
     modulus = F.when(k % 3 == 0, F.lit(400)).otherwise(F.lit(60))
-    i = ((k * 7919 + n * 104729 + (k % 101) * n * n) % 1000003) % modulus
-    return (F.when(i < 20, _pick(TEMPLATES, i))
-            .when(i < 60, F.concat(F.lit("v"), (i - 20).cast("string"), F.lit(" = f(v)")))
-            .when(i < 60 + len(RULE_LINES), _pick(RULE_LINES, i - 60))
-            .otherwise(F.lit("w = g(w)")))
+    return _pick(LINES, ((k * 7919 + n * 104729 + (k % 101) * n * n) % 1000003) % modulus)
 
 
 def _repo(c: Column) -> Column:
