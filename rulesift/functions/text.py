@@ -7,6 +7,7 @@ codegen (or, for the array forms, inside one projection) and never call Python.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,9 +18,10 @@ TQ_DOUBLE = '"""'
 TQ_SINGLE = "'''"
 
 
-def rx(pattern: str) -> str:
+def rx(pattern: str, folded: bool = False) -> str:
     """Pattern with the fixed Java flags (case-insensitive, Unicode, '.' stops at \\n);
-    ``\\s`` also takes the four separators U+001C to U+001F, as in Python."""
+    ``\\s`` also takes the four separators U+001C to U+001F, as in Python.  ``folded``: for
+    lower-cased text without escapes (``has_fold_escape``), where plain words are searched much faster."""
     blank = r"\s\x1c-\x1f"
     out, inside = [], False
     for piece in re.split(r"(\\.|\[|\])", pattern):
@@ -28,7 +30,8 @@ def rx(pattern: str) -> str:
         elif piece in "[]":
             inside = piece == "[" if piece else inside
         out.append(piece)
-    return fixed.RX_FLAGS + "".join(out)
+    flags = fixed.RX_FLAGS.replace("i", "") if folded else fixed.RX_FLAGS
+    return flags + "".join(p.lower() if folded and not p.startswith("\\") else p for p in out)
 
 
 # An open run in a pattern: any text between what comes before and what comes after.
@@ -51,9 +54,20 @@ def in_order(pattern: str) -> tuple[str, str] | None:
 _FIXED = {fixed.P1_PATTERN, *(pattern for rules in (fixed.P4_RULES, fixed.P5_RULES, fixed.P7_RULES) for pattern, _ in rules)}
 
 
+#: Marks without case that any text holds in which a fixed rule matches.
+_MARKS = {pattern: mark for rules, marks in (
+    (fixed.P2_RULES, ("/", ":\\", "://", "://", "://", "://", "=", "@", "://", ".")),
+    (fixed.P4_RULES[:1], ("(",)), (fixed.P5_RULES[1:], ("(", "("))) for (pattern, _), mark in zip(rules, marks, strict=True)}
+
+
 def matches(col: Column, pattern: str) -> Column:
     """Search anywhere in ``col`` (Python ``re.search`` semantics), which is one line; in linear time
     for the fixed rules."""
+    found = _matches(col, pattern)
+    return col.contains(_MARKS[pattern]) & found if pattern in _MARKS else found
+
+
+def _matches(col: Column, pattern: str) -> Column:
     parts = in_order(pattern)
     if parts is None:
         return col.rlike(rx(pattern))
@@ -87,6 +101,30 @@ def may_contain_any(original: Column, folded: Column, literals, escaped: Column
     return contains_any(folded, literals) | (escaped if escaped is not None else has_fold_escape(original))
 
 
+#: Sets of literals that one number tells of.
+MOST_HELD = 60
+
+
+def _told(sets) -> dict[tuple[str, ...], int]:
+    """Only ASCII: what ``lower`` makes of other letters may depend on what stands beside them."""
+    told = [s for s in dict.fromkeys(map(tuple, sets)) if s and all(lit.isascii() for lit in s)]
+    return {s: 1 << i for i, s in enumerate(told[:MOST_HELD])}
+
+
+def held_literals(text: Column, folded: Column, sets) -> Column:
+    """For each of these sets of literals whether a line of the text may hold one of them, as one number:
+    where none may, the lines need no search."""
+    escaped, zero = has_fold_escape(text), F.lit(0).cast("long")
+    bits = [F.when(contains_any(folded, s) | escaped, F.lit(bit).cast("long")).otherwise(zero) for s, bit in _told(sets).items()]
+    return reduce(Column.bitwiseOR, bits, zero)
+
+
+def held(number: Column, literals, sets) -> Column:
+    """Whether ``held_literals`` says so of this set."""
+    bit = _told(sets).get(tuple(literals))
+    return number.bitwiseAND(F.lit(bit).cast("long")) != 0 if bit else F.lit(True)
+
+
 def contains_any(col: Column, literals) -> Column:
     out = None
     for lit in literals:
@@ -108,19 +146,26 @@ def decode_utf8(content: Column) -> Column:
 # A character other than visible ASCII, space, tab and \n: without one, lines end with \n alone and
 # the only blanks are spaces and tabs (a small class is tested much faster than all of Unicode's).
 _UNUSUAL_RX = r"[^\n\t -~]"
-#: Blanks at both ends of each line; a run of blanks is looked at once, from its begin.
-_EDGES_RX = r"(?md)^[ \t]++|[ \t](?<![ \t]{2})[ \t]*+$"
+#: Blanks that end a line; a run of blanks is looked at once, from its begin.
+_TAIL_RX = r"[ \t](?<![ \t]{2})[ \t]*+(?=\n|\z)"
+
+
+def is_plain(text: Column) -> Column:
+    """Whether lines end with \\n alone and all blanks are spaces and tabs, for certain."""
+    return ~text.rlike(_UNUSUAL_RX)
 
 
-def split_at_breaks(text: Column) -> Column:
+def split_at_breaks(text: Column, plain: Column | None = None) -> Column:
     """The parts between line breaks."""
-    return F.when(text.rlike(_UNUSUAL_RX), F.split(text, fixed.LINE_BREAK_RX, -1)).otherwise(F.split(text, "\n", -1))
+    return F.when(plain if plain is not None else is_plain(text), F.split(text, "\n", -1)).otherwise(F.split(text, fixed.LINE_BREAK_RX, -1))
 
 
-def strip_lines(text: Column, lines: Column) -> Column:
-    """``py_strip`` of each of the text's ``lines``."""
-    return F.when(text.rlike(_UNUSUAL_RX), F.transform(lines, py_strip)).otherwise(
-        F.slice(F.split(F.regexp_replace(text, _EDGES_RX, ""), "\n", -1), 1, F.size(lines)))
+def stripped_text(text: Column, lines: Column, plain: Column) -> Column:
+    """``py_strip`` of each of the text's ``lines``, a \\n before each (and perhaps one at the end)."""
+    led = F.concat(F.lit("\n"), text)
+    led = F.when(contains_any(led, ("\n ", "\n\t")), F.regexp_replace(led, r"\n[ \t]++", "\n")).otherwise(led)
+    ended = contains_any(text, (" \n", "\t\n")) | text.endswith(" ") | text.endswith("\t")
+    return F.when(~plain, F.concat(F.lit("\n"), F.array_join(F.transform(lines, py_strip), "\n"))).when(ended, F.regexp_replace(led, _TAIL_RX, "")).otherwise(led)
 
 
 def split_lines(text: Column) -> Column:
@@ -150,7 +195,7 @@ def is_comment_line(stripped: Column) -> Column:
 
 def code_part(line: Column) -> Column:
     """Text before the first ``#`` (also cuts at a ``#`` inside a string literal)."""
-    return F.substring_index(line, "#", 1)
+    return F.when(line.contains("#"), F.substring_index(line, "#", 1)).otherwise(line)
 
 
 def truncate_content(col: Column) -> Column:

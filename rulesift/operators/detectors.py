@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,36 +70,41 @@ def first_rule_index(target: Column, rules) -> Column:
     return F.coalesce(*[F.when(T.matches(target, pat), F.lit(i + 1)) for i, (pat, _) in enumerate(rules)])
 
 
-def rule_set_description(rs: RuleSet, line: Column, stripped: Column, in_docstring: Column,
-                         folded: Column | None = None, escaped: Column | None = None) -> Column:
-    """Scope filter of the rule set, its literal pre-check, then the first matching rule."""
-    not_comment = ~T.is_comment_line(stripped)
-    if rs.scope == "line":
-        target, cond = line, not_comment
-        if rs.requires:
-            cond = cond & T.may_contain_any(line, folded if folded is not None else T.fold(line), rs.requires, escaped)
-    else:
-        target = T.code_part(line)
-        cond = not_comment & ~T.has_triple_quote(stripped) & (in_docstring == 0)
-        if rs.requires:
-            cond = cond & T.may_contain_any(target, T.fold(target), rs.requires, escaped)
+def rule_set_description(rs: RuleSet, line: dict[str, Column], held: Column) -> Column:
+    """Scope filter of the rule set, its literal pre-checks, then the first matching rule."""
+    target = line["line"] if rs.scope == "line" else line["code"]
+    cond = ~line["comment"]
+    if rs.scope == "code_part":
+        cond = cond & (line["par"] == 0)
+    if rs.requires:
+        cond = cond & held & T.may_contain_any(target, line["folded"] if rs.scope == "line" else T.fold(target), rs.requires, line["_escaped"])
+    if rs.scope == "code_part":
+        cond = cond & ~T.has_triple_quote(line["st"])
     found = [F.when(T.matches(target, pat), F.lit(desc)) for pat, desc in rs.rules]
     if rs.function:
         found.append(rs.function(target, stripped))
     return F.when(cond, F.coalesce(*found))
 
 
-def line_descriptions(line: Column, stripped: Column, in_docstring: Column, cfg: ScanConfig, folded: Column | None = None, escaped: Column | None = None) -> list[Column]:
-    """One description column per line rule set (null where no rule hit)."""
-    folded = folded if folded is not None else T.fold(line)
-    return [rule_set_description(rs, line, stripped, in_docstring, folded, escaped).alias(f"_d{i}")
-            for i, rs in enumerate(cfg.rule_sets)]
+def line_descriptions(cfg: ScanConfig) -> list[Column]:
+    """One description column per line rule set (null where no rule hit), of the columns of a line."""
+    sets = [rs.requires for rs in cfg.rule_sets]
+    line = {c: F.col(c) for c in ("line", "st", "par", "folded", "code", "comment", "_escaped")}
+    return [rule_set_description(rs, line, T.held(F.col("_held"), rs.requires, sets)).alias(f"_d{i}") for i, rs in enumerate(cfg.rule_sets)]
 
 
-def line_findings(line_number: Column, stripped: Column, cfg: ScanConfig) -> Column:
-    """Array of the line's findings, built from the description columns ``_d{i}``."""
+def with_held(files: DataFrame, sets) -> DataFrame:
+    """Adds what a file's text tells of all its lines: ``_escaped`` (may hold case escapes) and ``_held``
+    (``text.held_literals`` of these sets)."""
+    files = files.withColumns({"_escaped": F.coalesce(T.has_fold_escape(F.col("text")), F.lit(False)), "_lower": T.fold(F.col("text"))})
+    return files.withColumn("_held", T.held_literals(F.col("text"), F.col("_lower"), sets)).drop("_lower")
+
+
+def line_findings(cfg: ScanConfig) -> Column:
+    """Array of the line's findings, built from the description columns ``_d{i}``; their place and content, the
+    same for all, are null."""
     parts = [F.when(F.col(f"_d{i}").isNotNull(),
-                    F.array(finding(rs.policy_id, line_number, stripped, F.col(f"_d{i}"), rs.severity)))
+                    F.array(finding(rs.policy_id, F.lit(None), F.lit(None).cast("string"), F.col(f"_d{i}"), rs.severity)))
              .otherwise(empty_findings())
              for i, rs in enumerate(cfg.rule_sets)]
     return F.concat(*parts)
@@ -112,16 +118,24 @@ _MARK, _HEAD, _TAIL, _STANDIN = "\ue000", "\ue002", "\ue003", "\ue001"
 _P1_HEAD, _P1_TAIL = T.in_order(fixed.P1_PATTERN)
 
 
-def marked_sessions(lines: Column) -> Column:
+# Of a lower-cased stripped text (a \n before each line): a session match that crosses a line end after
+# the session, its dot or its last word, or a comment line that may hold one.
+_CROSS_RX = (r"(?dU)sparksession(?=\n|[\s\x1c-\x1f]*+\.\n)[\s\x1c-\x1f]*+\.[\s\x1c-\x1f]*+builder", r"(?dU)getorcreate\n[\s\x1c-\x1f]*+\(",
+             r"\n#(?=[^\n]*getorcreate)[^\n]*sparksession")
+
+
+def marked_sessions(lines: Column, folded: Column | None = None) -> Column:
     """The lines, joined and split again, with a mark before each match of the session pattern.
+    ``folded``: the lines joined and lower-cased, if they hold no case escapes; may be stripped.
 
     ``\\s*`` may cross lines, ``.`` may not: head and tail stand on one line.  Heads and tails
     are marked, the mark of a head that no tail follows on its line is taken away, and a match
     must begin with a marked head.  So none begins in vain, and the cost is linear in the file."""
-    full = F.array_join(lines, "\n")
+    full = F.array_join(lines, "\n") if folded is None else folded
+    rx = lambda pattern: F.lit(f"({T.rx(pattern, folded is not None)})")
     full = F.when(T.contains_any(full, (_MARK, _HEAD, _TAIL)), F.translate(full, _MARK + _HEAD + _TAIL, _STANDIN * 3)).otherwise(full)
-    full = F.regexp_replace(full, F.lit(f"({T.rx(_P1_HEAD)})"), F.lit("$1" + _HEAD))
-    full = F.regexp_replace(full, F.lit(f"({T.rx(_P1_TAIL)})"), F.lit(_TAIL + "$1"))
+    full = F.regexp_replace(full, rx(_P1_HEAD), F.lit("$1" + _HEAD))
+    full = F.regexp_replace(full, rx(_P1_TAIL), F.lit(_TAIL + "$1"))
 
     def useful(line: Column) -> Column:
         rest = F.substring_index(line, _TAIL, -1)  # all of it where there is no tail
@@ -129,27 +143,33 @@ def marked_sessions(lines: Column) -> Column:
 
     full = F.array_join(F.transform(F.split(full, "\n", -1), useful), "\n")
     pattern = f"{_P1_HEAD}{_HEAD}.*{_TAIL}{_P1_TAIL}"
-    return F.split(F.regexp_replace(full, F.lit(f"({T.rx(pattern)})"), F.lit(_MARK + "$1")), "\n", -1)
+    return F.split(F.regexp_replace(full, rx(pattern), F.lit(_MARK + "$1")), "\n", -1)
 
 
 def with_multiline_session(files: DataFrame) -> DataFrame:
     """Adds ``p1b``, the start lines of matches of the session pattern on
     the lines joined by ``\\n``, minus lines the one-line pass reports (J2, inside the row).
 
-    The numbers of the lines that hold a mark are the start lines.  A literal search on the
-    raw text skips the join for files that cannot match."""
-    maybe = T.may_contain_any(F.col("text"), T.fold(F.col("text")), ("sparksession",)) & T.may_contain_any(F.col("text"), T.fold(F.col("text")), ("getorcreate",))
+    The numbers of the lines that hold a mark are the start lines.  A match that the one-line pass
+    does not report crosses a line end or begins on a comment line: files without a sign of either
+    are not marked."""
+    escaped, folded = T.has_fold_escape(F.col("text")), F.col("_folded")
+    words = folded.contains("sparksession") & folded.contains("getorcreate")
+    maybe = words & reduce(Column.__or__, (folded.rlike(rx) for rx in _CROSS_RX))
+    body = F.substring(folded, F.lit(2), F.length(folded))
+    marked = F.when(escaped, marked_sessions(F.col("lines"))).when(maybe, marked_sessions(F.col("lines"), body))
 
     def found_by_line_pass(n: Column) -> Column:
         return ~F.element_at(F.col("stripped"), n).startswith("#") & T.matches(F.element_at(F.col("lines"), n), fixed.P1_PATTERN)
 
     starts = F.transform("_marked", lambda line, i: F.when(line.contains(_MARK), i + 1))
     return (files
-            .withColumn("_marked", F.when(maybe, marked_sessions(F.col("lines"))))
+            .withColumn("_folded", T.fold(F.col("stripped_text")))
+            .withColumn("_marked", marked)
             .withColumn("_starts", F.when(F.exists("_marked", lambda line: line.contains(_MARK)), F.array_compact(starts)))
             .withColumn("p1b", F.when(F.col("_starts").isNotNull(), F.filter("_starts", lambda n: ~found_by_line_pass(n)))
                         .otherwise(F.array().cast("array<int>")))
-            .drop("_marked", "_starts"))
+            .drop("_marked", "_starts", "_folded"))
 
 
 def multiline_session_findings(p1b: Column, stripped: Column) -> Column:
@@ -257,21 +277,24 @@ def exploded_findings(f: DataFrame, cfg: ScanConfig, before: Column | None = Non
     before the row's first."""
     # exploding a zip (not a bare column built by higher-order functions)
     # keeps the generator on the fast path
-    f = f.withColumn("_before", before if before is not None else F.lit(0)).withColumn("_escaped", F.coalesce(T.has_fold_escape(F.col("text")), F.lit(False)))
-    exploded = f.select("repo", "branch", "path", "file_findings", "_before", "_escaped",
+    # the JVM leaves a method of over 8,000 bytes uncompiled (and many times slower): what all rule sets
+    # share is a column, and what all findings of a line share is added after the explode
+    f = with_held(f.withColumn("_before", before if before is not None else F.lit(0)), [rs.requires for rs in cfg.rule_sets])
+    exploded = f.select("repo", "branch", "path", "file_findings", "_before", "_escaped", "_held",
                         F.posexplode_outer(F.arrays_zip("lines", "stripped", "w1")).alias("pos", "z"))
     per_line = exploded.select(
-        "repo", "branch", "path", "file_findings", "_before", "_escaped", "pos",
-        F.col("z.lines").alias("line"), F.col("z.stripped").alias("st"), F.col("z.w1").alias("par"), T.fold(F.col("z.lines")).alias("folded"))
+        "repo", "branch", "path", "file_findings", "_before", "_escaped", "_held", "pos",
+        F.col("z.lines").alias("line"), F.col("z.stripped").alias("st"), F.col("z.w1").alias("par"), T.fold(F.col("z.lines")).alias("folded"), T.code_part(F.col("z.lines")).alias("code"),
+        T.is_comment_line(F.col("z.stripped")).alias("comment"))
     described = per_line.select(
         "repo", "branch", "path", "file_findings", "_before", "pos", "st",
-        *line_descriptions(F.col("line"), F.col("st"), F.col("par"), cfg, F.col("folded"), F.col("_escaped")))
+        *line_descriptions(cfg))
     head = F.coalesce(F.col("pos"), F.lit(0)) == 0
     # no filter: it would be pushed below the descriptions and compute them twice
     some = F.coalesce(*(F.col(f"_d{i}") for i in range(len(cfg.rule_sets)))).isNotNull() | (head & (F.size("file_findings") > 0))
-    every = F.concat(line_findings((F.col("_before") + F.col("pos") + 1).cast("int"), F.col("st"), cfg),
-                     F.when(head, F.col("file_findings")).otherwise(empty_findings()))
-    return _findings_columns(described.select("repo", "branch", "path", F.explode(F.when(some, every)).alias("f")), cfg)
+    every = F.concat(line_findings(cfg), F.when(head, F.col("file_findings")).otherwise(empty_findings()))
+    found = described.select("repo", "branch", "path", "_before", "pos", "st", F.explode(F.when(some, every)).alias("f"))
+    return _findings_columns(found, cfg, F.coalesce("f.line_number", (F.col("_before") + F.col("pos") + 1).cast("int")), F.coalesce("f.line_content", T.truncate_content(F.col("st"))))
 
 
 def _named_findings(files: DataFrame, cfg: ScanConfig) -> DataFrame:
@@ -284,13 +307,13 @@ def _named_findings(files: DataFrame, cfg: ScanConfig) -> DataFrame:
     return _findings_columns(files.select("repo", "branch", "path", F.explode(file_name_finding(F.col("path"), cfg)).alias("f")), cfg)
 
 
-def _findings_columns(exploded: DataFrame, cfg: ScanConfig) -> DataFrame:
+def _findings_columns(exploded: DataFrame, cfg: ScanConfig, line_number: Column | None = None, content: Column | None = None) -> DataFrame:
     return exploded.select(
         "repo", "branch",
         F.col("f.policy_id").alias("policy_id"),
         policy_name(F.col("f.policy_id"), cfg).alias("policy_name"),
         F.col("path").alias("file_path"),
-        F.col("f.line_number").alias("line_number"),
-        F.col("f.line_content").alias("line_content"),
+        (F.col("f.line_number") if line_number is None else line_number).alias("line_number"),
+        (F.col("f.line_content") if content is None else content).alias("line_content"),
         F.col("f.description").alias("description"),
         F.col("f.severity").alias("severity"))

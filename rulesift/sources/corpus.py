@@ -81,10 +81,11 @@ def _pick(values, idx: Column) -> Column:
 LINES = (*TEMPLATES, *(f"v{j} = f(v)" for j in range(40)), *RULE_LINES, *["w = g(w)"] * (340 - len(RULE_LINES)))
 
 
-def corpus_line(k: Column, n: Column) -> Column:
+def corpus_line(k: Column, n: Column, modulus: Column | None = None) -> Column:
     """Line ``n`` (from 1) of file ``k`` (an order key)."""
-    modulus = F.when(k % 3 == 0, F.lit(400)).otherwise(F.lit(60))
-    return _pick(LINES, ((k * 7919 + n * 104729 + (k % 101) * n * n) % 1000003) % modulus)
+    modulus = modulus if modulus is not None else F.when(k % 3 == 0, F.lit(400)).otherwise(F.lit(60))
+    number = ((k * 7919 + ((k % 101) * n + 104729) * n) % 1000003) % modulus
+    return F.get(F.array(*map(F.lit, LINES)), number.cast("int"))
 
 
 def _repo(c: Column) -> Column:
@@ -104,7 +105,9 @@ def corpus_files(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey").cast("long")
     c = F.col("o_custkey").cast("long")
     n_lines = F.lit(4) + k % 61
-    lines = F.transform(F.sequence(F.lit(1).cast("long"), n_lines), lambda n: corpus_line(k, n))
+    numbers = F.sequence(F.lit(1).cast("long"), n_lines)
+    # a case for all lines of a file, not one for each
+    lines = F.when(k % 3 == 0, F.transform(numbers, lambda n: corpus_line(k, n, F.lit(400)))).otherwise(F.transform(numbers, lambda n: corpus_line(k, n, F.lit(60))))
     return orders.select(
         _repo(c).alias("repo"),
         F.lit(BRANCH).alias("branch"),
