@@ -204,16 +204,14 @@ def truncate_content(col: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def file_stem(name: Column) -> Column:
     """``pathlib`` stem: the name without its last suffix (``a.b.py`` → ``a.b``).
-    A dot at position 0 or at the end does not start a suffix (``.py`` stays)."""
-    rev_pos = F.locate(".", F.reverse(name))              # 1-based from the end, 0 = none
-    last_dot = F.length(name) - rev_pos + 1                # 1-based from the start
-    has_suffix = (rev_pos > 0) & (last_dot > 1) & (last_dot < F.length(name))
-    return F.when(has_suffix, F.left(name, last_dot - 1)).otherwise(name)
+    A dot at position 0 or at the end does not start a suffix (``.py`` stays).  One search, that
+    looks at ``name`` once: it is an expression, built anew wherever it stands."""
+    return F.regexp_replace(name, r"(?s)\A(.+)\.[^.]+\z", "$1")
 
 
 def path_parts(path: Column) -> Column:
