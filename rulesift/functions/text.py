@@ -54,20 +54,9 @@ def in_order(pattern: str) -> tuple[str, str] | None:
 _FIXED = {fixed.P1_PATTERN, *(pattern for rules in (fixed.P4_RULES, fixed.P5_RULES, fixed.P7_RULES) for pattern, _ in rules)}
 
 
-#: Marks without case that any text holds in which a fixed rule matches.
-_MARKS = {pattern: mark for rules, marks in (
-    (fixed.P2_RULES, ("/", ":\\", "://", "://", "://", "://", "=", "@", "://", ".")),
-    (fixed.P4_RULES[:1], ("(",)), (fixed.P5_RULES[1:], ("(", "("))) for (pattern, _), mark in zip(rules, marks, strict=True)}
-
-
 def matches(col: Column, pattern: str) -> Column:
     """Search anywhere in ``col`` (Python ``re.search`` semantics), which is one line; in linear time
     for the fixed rules."""
-    found = _matches(col, pattern)
-    return col.contains(_MARKS[pattern]) & found if pattern in _MARKS else found
-
-
-def _matches(col: Column, pattern: str) -> Column:
     parts = in_order(pattern)
     if parts is None:
         return col.rlike(rx(pattern))

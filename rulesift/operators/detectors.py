@@ -82,7 +82,7 @@ def rule_set_description(rs: RuleSet, line: dict[str, Column], held: Column) ->
         cond = cond & ~T.has_triple_quote(line["st"])
     found = [F.when(T.matches(target, pat), F.lit(desc)) for pat, desc in rs.rules]
     if rs.function:
-        found.append(rs.function(target, stripped))
+        found.append(rs.function(target, line["st"]))
     return F.when(cond, F.coalesce(*found))
 
 
