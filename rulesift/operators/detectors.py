@@ -124,16 +124,19 @@ _CROSS_RX = (r"(?dU)sparksession(?=\n|[\s\x1c-\x1f]*+\.\n)[\s\x1c-\x1f]*+\.[\s\x
              r"\n#(?=[^\n]*getorcreate)[^\n]*sparksession")
 
 
-def marked_sessions(lines: Column, folded: Column | None = None) -> Column:
-    """The lines, joined and split again, with a mark before each match of the session pattern.
+def marked_text(lines: Column, folded: Column | None = None) -> Column:
+    """The lines, joined, with a mark before each match of the session pattern.
     ``folded``: the lines joined and lower-cased, if they hold no case escapes; may be stripped.
 
-    ``\\s*`` may cross lines, ``.`` may not: head and tail stand on one line.  Heads and tails
-    are marked, the mark of a head that no tail follows on its line is taken away, and a match
+    ``\\s*`` may cross lines, ``.`` may not: head and tail stand on one line.  Where no line has two
+    heads, each line is searched for a tail once, so one search of the text is linear.  Elsewhere heads
+    and tails are marked, the mark of a head that no tail follows on its line is taken away, and a match
     must begin with a marked head.  So none begins in vain, and the cost is linear in the file."""
     full = F.array_join(lines, "\n") if folded is None else folded
     rx = lambda pattern: F.lit(f"({T.rx(pattern, folded is not None)})")
     full = F.when(T.contains_any(full, (_MARK, _HEAD, _TAIL)), F.translate(full, _MARK + _HEAD + _TAIL, _STANDIN * 3)).otherwise(full)
+    many = full.rlike(T.rx(f"{_P1_HEAD}.*{_P1_HEAD}", folded is not None))
+    once = F.regexp_replace(full, rx(f"{_P1_HEAD}.*{_P1_TAIL}"), F.lit(_MARK + "$1"))
     full = F.regexp_replace(full, rx(_P1_HEAD), F.lit("$1" + _HEAD))
     full = F.regexp_replace(full, rx(_P1_TAIL), F.lit(_TAIL + "$1"))
 
@@ -143,7 +146,12 @@ def marked_sessions(lines: Column, folded: Column | None = None) -> Column:
 
     full = F.array_join(F.transform(F.split(full, "\n", -1), useful), "\n")
     pattern = f"{_P1_HEAD}{_HEAD}.*{_TAIL}{_P1_TAIL}"
-    return F.split(F.regexp_replace(full, rx(pattern), F.lit(_MARK + "$1")), "\n", -1)
+    return F.when(many, F.regexp_replace(full, rx(pattern), F.lit(_MARK + "$1"))).otherwise(once)
+
+
+def marked_sessions(lines: Column, folded: Column | None = None) -> Column:
+    """``marked_text``, split into lines again."""
+    return F.split(marked_text(lines, folded), "\n", -1)
 
 
 def with_multiline_session(files: DataFrame) -> DataFrame:
@@ -157,16 +165,16 @@ def with_multiline_session(files: DataFrame) -> DataFrame:
     words = folded.contains("sparksession") & folded.contains("getorcreate")
     maybe = words & reduce(Column.__or__, (folded.rlike(rx) for rx in _CROSS_RX))
     body = F.substring(folded, F.lit(2), F.length(folded))
-    marked = F.when(escaped, marked_sessions(F.col("lines"))).when(maybe, marked_sessions(F.col("lines"), body))
+    marked = F.when(escaped, marked_text(F.col("lines"))).when(maybe, marked_text(F.col("lines"), body))
 
     def found_by_line_pass(n: Column) -> Column:
         return ~F.element_at(F.col("stripped"), n).startswith("#") & T.matches(F.element_at(F.col("lines"), n), fixed.P1_PATTERN)
 
-    starts = F.transform("_marked", lambda line, i: F.when(line.contains(_MARK), i + 1))
+    starts = F.transform(F.split("_marked", "\n", -1), lambda line, i: F.when(line.contains(_MARK), i + 1))
     return (files
             .withColumn("_folded", T.fold(F.col("stripped_text")))
             .withColumn("_marked", marked)
-            .withColumn("_starts", F.when(F.exists("_marked", lambda line: line.contains(_MARK)), F.array_compact(starts)))
+            .withColumn("_starts", F.when(F.col("_marked").contains(_MARK), F.array_compact(starts)))
             .withColumn("p1b", F.when(F.col("_starts").isNotNull(), F.filter("_starts", lambda n: ~found_by_line_pass(n)))
                         .otherwise(F.array().cast("array<int>")))
             .drop("_marked", "_starts", "_folded"))
