@@ -37,6 +37,11 @@ class RuleSet:
     requires: tuple[str, ...] = ()
     function: Callable[[Column, Column], Column] | None = None
 
+    @property
+    def literals(self) -> list[tuple[str, ...]]:
+        """All sets of literals that a file's text is searched for: that of the rules together, those of single rules."""
+        return [self.requires, *(RULE_REQUIRES.get(pattern, ()) for pattern, _ in self.rules)]
+
     def __post_init__(self):
         if self.scope not in SCOPES:
             raise ValueError(f"scope must be one of {SCOPES}")
@@ -52,6 +57,13 @@ P7_REQUIRES = ("urllib.request.url", "requests.get", "wget", "subprocess", "os.s
                "shutil.copyfileobj", "dbutils.fs.cp", "gdown.download",
                "tf.keras.utils.get_file", "torch.hub.download")
 
+# The same for single rules, by pattern, as far as one has such literals: where a file's text has
+# none of them, the rule is not searched for on its lines.
+RULE_REQUIRES = {pattern: literals for (pattern, _), literals in zip(fixed.P2_RULES, (
+    ("'/", '"/'), (":\\",), ("s3://", "s3a://"), ("abfs",), ("gs://",), ("wasb",),
+    ("password", "passwd", "pwd", "secret", "api_key", "apikey", "access_key", "private_key", "token"),
+    ("@",), ("://",), ()), strict=True)}
+
 
 def default_rule_sets() -> tuple[RuleSet, ...]:
     return (

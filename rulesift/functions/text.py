@@ -100,11 +100,11 @@ def _told(sets) -> dict[tuple[str, ...], int]:
     return {s: 1 << i for i, s in enumerate(told[:MOST_HELD])}
 
 
-def held_literals(text: Column, folded: Column, sets) -> Column:
-    """For each of these sets of literals whether a line of the text may hold one of them, as one number:
-    where none may, the lines need no search."""
-    escaped, zero = has_fold_escape(text), F.lit(0).cast("long")
-    bits = [F.when(contains_any(folded, s) | escaped, F.lit(bit).cast("long")).otherwise(zero) for s, bit in _told(sets).items()]
+def held_literals(folded: Column, escaped: Column, sets) -> Column:
+    """For each of these sets of literals whether a line of the lower-cased text may hold one of them, as one number:
+    where none may, the lines need no search.  ``escaped``: whether the text may hold case escapes."""
+    zero = F.lit(0).cast("long")
+    bits = [F.when(holds_any(folded, s) | escaped, F.lit(bit).cast("long")).otherwise(zero) for s, bit in _told(sets).items()]
     return reduce(Column.bitwiseOR, bits, zero)
 
 
@@ -122,6 +122,18 @@ def contains_any(col: Column, literals) -> Column:
     return out
 
 
+def holds_any(text: Column, literals) -> Column:
+    """``contains_any`` for long texts: the search of a plain pattern of four letters or more skips
+    ahead by its length, where ``contains`` looks at each byte."""
+    found = [text.rlike(re.sub(r"([^0-9A-Za-z])", r"\\\1", lit)) if lit.isascii() and len(lit) > 3 else text.contains(lit) for lit in literals]
+    return reduce(Column.__or__, found)
+
+
+def count_breaks(col: Column) -> Column:
+    """Number of ``\\n``."""
+    return F.octet_length(col) - F.octet_length(F.replace(col, F.lit("\n"), F.lit("")))
+
+
 def py_strip(col: Column) -> Column:
     """Python ``str.strip()``: trims the full Unicode white-space set at both ends."""
     return F.btrim(col, F.lit(fixed.PY_WHITESPACE))
@@ -144,6 +156,12 @@ def is_plain(text: Column) -> Column:
     return ~text.rlike(_UNUSUAL_RX)
 
 
+def strip_line(line: Column, plain: Column) -> Column:
+    """``py_strip`` of a line; ``plain``: whether all blanks are spaces and tabs, for certain."""
+    blank = reduce(Column.__or__, (test(line, b) for test in (Column.startswith, Column.endswith) for b in (" ", "\t")))
+    return F.when(plain & ~blank, line).otherwise(py_strip(line))
+
+
 def split_at_breaks(text: Column, plain: Column | None = None) -> Column:
     """The parts between line breaks."""
     return F.when(plain if plain is not None else is_plain(text), F.split(text, "\n", -1)).otherwise(F.split(text, fixed.LINE_BREAK_RX, -1))

@@ -81,10 +81,11 @@ def _pick(values, idx: Column) -> Column:
 LINES = (*TEMPLATES, *(f"v{j} = f(v)" for j in range(40)), *RULE_LINES, *["w = g(w)"] * (340 - len(RULE_LINES)))
 
 
-def corpus_line(k: Column, n: Column, modulus: Column | None = None) -> Column:
-    """Line ``n`` (from 1) of file ``k`` (an order key)."""
+def corpus_line(k: Column, n: Column, modulus: Column | None = None, first: Column | None = None, step: Column | None = None) -> Column:
+    """Line ``n`` (from 1) of file ``k`` (an order key); ``first`` and ``step`` are the terms without ``n``,
+    if they are columns already."""
     modulus = modulus if modulus is not None else F.when(k % 3 == 0, F.lit(400)).otherwise(F.lit(60))
-    number = ((k * 7919 + ((k % 101) * n + 104729) * n) % 1000003) % modulus
+    number = (((k * 7919 if first is None else first) + ((k % 101 if step is None else step) * n + 104729) * n) % 1000003) % modulus
     return F.get(F.array(*map(F.lit, LINES)), number.cast("int"))
 
 
@@ -107,8 +108,10 @@ def corpus_files(orders: DataFrame) -> DataFrame:
     n_lines = F.lit(4) + k % 61
     numbers = F.sequence(F.lit(1).cast("long"), n_lines)
     # a case for all lines of a file, not one for each
-    lines = F.when(k % 3 == 0, F.transform(numbers, lambda n: corpus_line(k, n, F.lit(400)))).otherwise(F.transform(numbers, lambda n: corpus_line(k, n, F.lit(60))))
-    return orders.select(
+    first, step = F.col("_first"), F.col("_step")
+    line = lambda modulus: F.transform(numbers, lambda n: corpus_line(k, n, F.lit(modulus), first, step))
+    lines = F.when(k % 3 == 0, line(400)).otherwise(line(60))
+    return orders.withColumns({"_first": k * 7919, "_step": k % 101}).select(
         _repo(c).alias("repo"),
         F.lit(BRANCH).alias("branch"),
         _path(k, c).alias("path"),
