@@ -159,12 +159,14 @@ def docstring_state(spark, sf):
 
 
 def first_rule(spark, sf):
-    sets = [(rs.policy_id, rs.rules, rs.requires) for rs in CFG.rule_sets if rs.policy_id in (2, 4, 5, 7)]
-    needed = [requires for _, _, requires in sets]
+    rule_sets = [rs for rs in CFG.rule_sets if rs.policy_id in (2, 4, 5, 7)]
+    sets = [(rs.policy_id, rs.rules, rs.requires) for rs in rule_sets]
+    needed = D.literal_sets(rule_sets)
     files = D.with_held(L.with_line_arrays(L.prune(_corpus(spark, sf), CFG.skip_dirs)), needed)
-    lines = L.explode_lines(files, ("repo", "branch", "path", "_escaped", "_held")).withColumn("folded", T.fold(F.col("line")))
+    lines = (files.select("repo", "branch", "path", "_escaped", "_held", F.posexplode(F.arrays_zip("lines")).alias("pos", "z"))
+             .select("repo", "branch", "path", "_escaped", "_held", (F.col("pos") + 1).cast("int").alias("line_number"), F.col("z.lines").alias("line"), T.fold(F.col("z.lines")).alias("folded")))
     numbered = lines.select("repo", "branch", "path", "line_number", *(
-        F.when(T.held(F.col("_held"), requires, needed) & T.may_contain_any(F.col("line"), F.col("folded"), requires, F.col("_escaped")), D.first_rule_index(F.col("line"), rules)).alias(f"_r{pid}") for pid, rules, requires in sets))
+        F.when(T.held(F.col("_held"), requires, needed) & T.may_contain_any(F.col("line"), F.col("folded"), requires, F.col("_escaped")), D.first_rule_index(F.col("line"), rules, needed)).alias(f"_r{pid}") for pid, rules, requires in sets))
     some = F.coalesce(*(F.col(f"_r{pid}") for pid, _, _ in sets)).isNotNull()
     per = numbered.select("repo", "branch", "path", "line_number",
                           F.explode(F.when(some, F.array(*[F.struct(F.lit(pid).alias("policy_id"), F.col(f"_r{pid}").alias("rule_no"))
