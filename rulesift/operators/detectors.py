@@ -65,10 +65,13 @@ def first_rule(target: Column, rules) -> Column:
     return F.coalesce(*[F.when(T.matches(target, pat), F.lit(desc)) for pat, desc in rules])
 
 
-def rule_matches(target: Column, pattern: str, sets) -> Column:
-    """``text.matches``, where the file's text holds what the rule requires (``_held`` of these sets)."""
+def rule_matches(target: Column, pattern: str, sets, folded: Column | None = None) -> Column:
+    """``text.matches``, where the file's text holds what the rule requires (``_held`` of these sets), or, with
+    ``folded`` (the target's lower-cased text), where the target does."""
     literals = RULE_REQUIRES.get(pattern, ())
     found = T.matches(target, pattern)
+    if folded is not None:
+        return T.may_contain_any(target, folded, literals, F.col("_escaped")) & found if literals else found
     return T.held(F.col("_held"), literals, sets) & found if literals and literals in sets else found
 
 
@@ -98,23 +101,28 @@ def rule_set_condition(rs: RuleSet, line: dict[str, Column], held: Column) -> Co
 def rule_set_description(rs: RuleSet, line: dict[str, Column], cond: Column, sets=()) -> Column:
     """The first matching rule, where the line meets ``cond``."""
     target = line["line"] if rs.scope == "line" else line["code"]
-    found = [F.when(rule_matches(target, pat, sets), F.lit(desc)) for pat, desc in rs.rules]
+    folded = line.get("folded" if rs.scope == "line" else "folded_code")
+    found = [F.when(rule_matches(target, pat, sets, folded), F.lit(desc)) for pat, desc in rs.rules]
     if rs.function:
         found.append(rs.function(target, line["st"]))
     return F.when(cond, F.coalesce(*found))
 
 
-def line_conditions(cfg: ScanConfig) -> list[Column]:
-    """One column per line rule set: whether its rules are searched for on the line."""
+def line_conditions(cfg: ScanConfig, any_state: bool = False) -> list[Column]:
+    """One column per line rule set: whether its rules are searched for on the line (``any_state``: whatever its
+    docstring state)."""
     sets = literal_sets(cfg.rule_sets)
     line = {c: F.col(c) for c in ("line", "st", "par", "folded", "code", "comment", "_escaped")}
+    if any_state:
+        line["par"], sets = F.lit(0), []
     return [F.coalesce(rule_set_condition(rs, line, T.held(F.col("_held"), rs.requires, sets)), F.lit(False)).alias(f"_c{i}") for i, rs in enumerate(cfg.rule_sets)]
 
 
-def line_descriptions(cfg: ScanConfig) -> list[Column]:
-    """One description column per line rule set (null where no rule hit), of the columns of a line."""
+def line_descriptions(cfg: ScanConfig, own_text: bool = False) -> list[Column]:
+    """One description column per line rule set (null where no rule hit), of the columns of a line; ``own_text``: what
+    a rule requires is looked for in the line, not in ``_held``."""
     sets = literal_sets(cfg.rule_sets)
-    line = {c: F.col(c) for c in ("line", "st", "code")}
+    line = {c: F.col(c) for c in ("line", "st", "code", *(["folded", "folded_code"] if own_text else []))}
     return [rule_set_description(rs, line, F.col(f"c._c{i}"), sets).alias(f"_d{i}") for i, rs in enumerate(cfg.rule_sets)]
 
 
@@ -320,36 +328,54 @@ def _row_findings(f: DataFrame, cfg: ScanConfig) -> DataFrame:
     return exploded_findings(f, cfg)
 
 
-def exploded_findings(f: DataFrame, cfg: ScanConfig, before: Column | None = None) -> DataFrame:
-    """The findings of the lines of each row, and its ``file_findings``; ``before`` is the number of lines
-    before the row's first."""
+def described_lines(f: DataFrame, cfg: ScanConfig, carried: list[str], first: Column, any_state: bool = False) -> DataFrame:
+    """The lines that a rule set finds, with ``carried``, ``pos``, ``st`` and a description column ``_d{i}`` per line
+    rule set, and each row's first line (``pos`` 0, or null if it has none) where ``first`` holds.  ``any_state`` is the form
+    for rows of few lines or of parts of files: no line is left out for its docstring state (column ``par``, of
+    a row that starts outside), and literals are looked for in each line, not in the row's text before."""
     # exploding a zip (not a bare column built by higher-order functions)
     # keeps the generator on the fast path
     # the JVM leaves a method of over 8,000 bytes uncompiled (and many times slower): what all rule sets
     # share is a column, and what all findings of a line share is added after the explode; lines that a rule
     # set may find go through an explode of their own, which begins a new method
-    f = with_held(f.withColumn("_before", before if before is not None else F.lit(0)), literal_sets(cfg.rule_sets))
-    exploded = f.select("repo", "branch", "path", "file_findings", "_before", "_escaped", "_held", "_plain",
+    f = with_held(f, [] if any_state else literal_sets(cfg.rule_sets))
+    exploded = f.select(*carried, "_escaped", "_held", "_plain",
                         F.posexplode_outer(F.arrays_zip("lines", "w1")).alias("pos", "z"))
     exploded = exploded.withColumns({"line": F.col("z.lines"), "st": T.strip_line(F.col("z.lines"), F.col("_plain"))})
+    kept = ["_escaped", "pos", "par", "folded"] if any_state else ["_held", "pos"]
     per_line = exploded.select(
-        "repo", "branch", "path", "file_findings", "_before", "_escaped", "_held", "pos",
+        *carried, "_escaped", "_held", "pos",
         "line", "st", F.col("z.w1").alias("par"), T.fold(F.col("line")).alias("folded"), T.code_part(F.col("line")).alias("code"),
         T.is_comment_line(F.col("st")).alias("comment"))
-    conditions = per_line.select("repo", "branch", "path", "file_findings", "_before", "_held", "pos", "line", "st", "code", *line_conditions(cfg))
+    conditions = per_line.select(*carried, *kept, "line", "st", "code", *line_conditions(cfg, any_state))
     flags = [F.col(f"_c{i}") for i in range(len(cfg.rule_sets))]
-    head = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    searched = reduce(Column.__or__, flags) | (head & (F.size("file_findings") > 0))
-    described = conditions.select(
-        "repo", "branch", "path", "file_findings", "_before", "_held", "pos", "line", "st", "code",
-        F.explode(F.when(searched, F.array(F.struct(*flags)))).alias("c")).select(
-        "repo", "branch", "path", "file_findings", "_before", "pos", "st",
-        *line_descriptions(cfg))
+    searched = reduce(Column.__or__, flags) | (is_head() & first)
+    lines = conditions.select(
+        *carried, *kept, "line", "st", "code",
+        F.explode(F.when(searched, F.array(F.struct(*flags)))).alias("c"))
+    if any_state:
+        lines = lines.withColumn("folded_code", T.code_part(F.col("folded")))
+    return lines.select(*carried, *(["par"] if any_state else []), "pos", "st", *line_descriptions(cfg, any_state))
+
+
+def is_head() -> Column:
+    """Whether this is the first line of its row, or stands for a row without lines."""
+    return F.coalesce(F.col("pos"), F.lit(0)) == 0
+
+
+def some_description(cfg: ScanConfig) -> Column:
+    return F.coalesce(*(F.col(f"_d{i}") for i in range(len(cfg.rule_sets)))).isNotNull()
+
+
+def exploded_findings(f: DataFrame, cfg: ScanConfig) -> DataFrame:
+    """The findings of the lines of each row, and its ``file_findings``."""
+    own = F.size("file_findings") > 0
+    described = described_lines(f, cfg, ["repo", "branch", "path", "file_findings"], own)
     # no filter: it would be pushed below the descriptions and compute them twice
-    some = F.coalesce(*(F.col(f"_d{i}") for i in range(len(cfg.rule_sets)))).isNotNull() | (head & (F.size("file_findings") > 0))
-    every = F.concat(line_findings(cfg), F.when(head, F.col("file_findings")).otherwise(empty_findings()))
-    found = described.select("repo", "branch", "path", "_before", "pos", "st", F.explode(F.when(some, every)).alias("f"))
-    return _findings_columns(found, cfg, F.coalesce("f.line_number", (F.col("_before") + F.col("pos") + 1).cast("int")), F.coalesce("f.line_content", T.truncate_content(F.col("st"))))
+    some = some_description(cfg) | (is_head() & own)
+    every = F.concat(line_findings(cfg), F.when(is_head(), F.col("file_findings")).otherwise(empty_findings()))
+    found = described.select("repo", "branch", "path", "pos", "st", F.explode(F.when(some, every)).alias("f"))
+    return _findings_columns(found, cfg, F.coalesce("f.line_number", (F.col("pos") + 1).cast("int")), F.coalesce("f.line_content", T.truncate_content(F.col("st"))))
 
 
 def _named_findings(files: DataFrame, cfg: ScanConfig) -> DataFrame:
