@@ -199,6 +199,17 @@ def marked_sessions(lines: Column) -> Column:
     return F.split(marked_text(lines), "\n", -1)
 
 
+def may_hold_sessions(folded: Column, text: Column, plain: Column) -> Column:
+    """Whether the text may hold a match that the one-line pass does not report (``folded``: its stripped text, lower-cased)."""
+    words = T.holds_any(folded, ("sparksession",)) & T.holds_any(folded, ("getorcreate",))
+    return (~plain & T.has_fold_escape(text)) | (words & reduce(Column.__or__, (folded.rlike(rx) for rx in _CROSS_RX)))
+
+
+def told_by_line(line: Column) -> Column:
+    """Whether the one-line pass reports the line."""
+    return ~T.py_strip(line).startswith("#") & T.matches(line, fixed.P1_PATTERN)
+
+
 def with_multiline_session(files: DataFrame) -> DataFrame:
     """Adds ``p1b``, the start lines of matches of the session pattern on
     the lines joined by ``\\n``, minus lines the one-line pass reports (J2, inside the row).
@@ -212,10 +223,6 @@ def with_multiline_session(files: DataFrame) -> DataFrame:
     maybe = words & reduce(Column.__or__, (folded.rlike(rx) for rx in _CROSS_RX))
     whole = F.when(escaped, without_marks(F.concat(F.lit("\n"), F.array_join("lines", "\n")))).when(maybe, F.when(F.col("_plain"), folded).otherwise(without_marks(folded)))
 
-    def found_by_line_pass(n: Column) -> Column:
-        line = F.element_at(F.col("lines"), n)
-        return ~T.py_strip(line).startswith("#") & T.matches(line, fixed.P1_PATTERN)
-
     # a \\n stands before the first line
     starts = F.transform(F.split("_marked", "\n", -1), lambda line, i: F.when(line.contains(_MARK), i))
     return (files
@@ -223,7 +230,7 @@ def with_multiline_session(files: DataFrame) -> DataFrame:
             .withColumn("_full", whole)
             .withColumn("_marked", F.when(full.isNotNull(), F.when(escaped, mark_sessions(full)).otherwise(mark_sessions(full, True))))
             .withColumn("_starts", F.when(F.col("_marked").contains(_MARK), F.array_compact(starts)))
-            .withColumn("p1b", F.when(F.col("_starts").isNotNull(), F.filter("_starts", lambda n: ~found_by_line_pass(n)))
+            .withColumn("p1b", F.when(F.col("_starts").isNotNull(), F.filter("_starts", lambda n: ~told_by_line(F.element_at(F.col("lines"), n))))
                         .otherwise(F.array().cast("array<int>")))
             .drop("_marked", "_starts", "_folded", "_full"))
 
